@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def fresh(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with a bounded amount of text each, so that memory follows CHUNK_CHARS
     and the longest single text, not the batch."""
-    sizes = batch.column(column).to_pylist() if batch.num_rows == 0 else pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = batch.column(column).to_pylist() if batch.num_rows == 0 else pc.binary_length(batch.column(column)).to_pylist()
     begin = total = 0
     for i, size in enumerate(sizes):
         if total and total + (size or 0) > CHUNK_CHARS:
@@ -81,8 +82,6 @@ def map_texts(df: DataFrame, work: Callable[[list[str]], dict[str, list]], schem
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part, texts in chunks(batch, text):
                 got = work(texts)
@@ -98,8 +97,6 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_
     """The rows, all columns, whose text `keep` accepts (a null text counts as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part, texts in chunks(batch, text_col):
                 yield part.filter(pa.array(keep([t or "" for t in texts]), type=pa.bool_()))

@@ -40,7 +40,6 @@ def _packed(dealt: DataFrame) -> DataFrame:
     make a block. A block never spans input partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
         from pyspark import TaskContext
 
         block, filled = TaskContext.get().partitionId() << 24, 0

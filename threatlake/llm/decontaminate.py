@@ -192,7 +192,6 @@ def _search(spark: SparkSession, base: DataFrame, rows: list[tuple], schema: T.S
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute  # noqa: F401
 
         index = sent.value
         for batch in batches:
