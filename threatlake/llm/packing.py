@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import chunks, fresh
 CAPACITY = 2048
 END = 1
 #: Words whose tokens a Python worker remembers, at most; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Between an ASCII letter or digit and a closing run of these marks the tokenizer always
 #: splits; the apostrophe is not among them, as it may begin a contraction.
 _TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)$")
@@ -46,43 +47,62 @@ class Tokens:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        self.flat = np.zeros(1 << 20, np.uint32)  # the words' ids, one word after another
+        self.start = np.zeros((1 << 18) + 1, np.int64)
+        self._add([b""], np.array([END], np.uint32), [1])  # the end of a text is word 0
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: list[int]) -> None:
+        n, end = len(self.number), self.start[len(self.number)]
+        if n + len(words) + 1 > len(self.start):
+            self.start = np.append(self.start, np.zeros(len(self.start) + len(words), np.int64))
+        if end + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(len(self.flat) + len(ids), np.uint32))
+        self.flat[end : end + len(ids)] = ids
+        self.start[n + 1 : n + len(words) + 1] = end + np.cumsum(sizes)
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, given by number, in a row, and where each word ends in them."""
+        size = self.start[words + 1] - self.start[words]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[words] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)], end
 
     def _learn(self, words: list[bytes]) -> None:
         """Tokenizes unseen words, closing marks apart from the stem."""
-        split = {w: (w[: m.start(2)], m[2]) if (m := _TAIL.search(w)) else (w,) for w in words}
-        new = [w for w in dict.fromkeys(x for pieces in split.values() for x in pieces) if w not in self.number]
-        for w, ids in zip(new, self._encode(new)):
-            self.number[w] = len(self.parts)
-            self.parts.append(ids)
-        for w, pieces in split.items():
-            if len(pieces) > 1:
-                self.number[w] = len(self.parts)
-                self.parts.append(np.concatenate([self.parts[self.number[x]] for x in pieces]))
+        whole, split = [], []
+        for w in words:
+            if m := _TAIL.search(w):
+                at = m.start(2)
+                split.append((w, w[:at], w[at:]))
+            else:
+                whole.append(w)
+        number = self.number
+        new = list({x for _, *pair in split for x in pair}.union(whole) - number.keys())
+        ids = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        self._add(new, np.fromiter(chain.from_iterable(ids), np.uint32), list(map(len, ids)))
+        if split:
+            flat, end = self._gather(np.array([number[x] for _, *pair in split for x in pair], np.int64))
+            self._add([w for w, _, _ in split], flat, np.diff(np.append(0, end[1::2])))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
             self.forget()
         words = [[] if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
-        if new := [w for w in dict.fromkeys(x for ws in words for x in ws) if w not in self.number]:
+        if new := list(set().union(*words) - self.number.keys()):
             self._learn(new)
-        number, parts = self.number, self.parts
-        out = []
-        for text, ws in zip(texts, words):
+        number, places = self.number, []
+        for ws in words:
+            places += [number[w] for w in ws]
+            places.append(0)
+        flat, end = self._gather(np.array(places, np.int64))
+        cuts = end[np.cumsum([len(ws) + 1 for ws in words]) - 1] if words else []
+        out = np.split(flat, cuts[:-1]) if len(cuts) else []
+        for i, text in enumerate(texts):
             if "<|" in text:
-                out.append(np.array(self.model.encode(text, add_special_tokens=False).ids + [END], np.uint32))
-            else:
-                got = [parts[number[w]] for w in ws]
-                got.append(_END)
-                out.append(np.concatenate(got))
+                out[i] = np.array(self.model.encode(text, add_special_tokens=False).ids + [END], np.uint32)
         return out
 
 
-_END = np.array([END], np.uint32)
 _loaded: dict[str, Tokens] = {}
 
 
