@@ -5,8 +5,9 @@ and dropped once the posterior probability that its similarity reaches the thres
 below a chosen miss probability; survivors are verified on their full shingle sets.
 
 Candidates are never all pairs of a bucket. First every member is paired with one hub, the
-least member of its buckets; what links is contracted to components. Then only buckets that
-still hold more than one component give pairs, across components.
+least member of its buckets; what links is contracted to components. Rounds with other hubs
+follow in buckets that still hold several components, until few pairs across components are
+left; these are all verified.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, map_texts
@@ -29,6 +31,10 @@ BATCH = 40  # signature values compared at a time
 MISS = 1e-7
 #: Document ids that are sent to every task at most (8 bytes each); beyond it, a shuffled join.
 SENT_IDS = 2_000_000
+#: Rounds of pairing members with hubs, and hubs a member tries in a round, before the rest is
+#: paired across components; the rounds end early once that rest is linear in the members.
+MOST_ROUNDS = 6
+HUBS = 3
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
@@ -200,19 +206,53 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
     links = check.links(first, "first")
     roots = components(links, scratch, "one")
-    # buckets with several components left
-    placed = scratch.keep(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    left = scratch.keep(placed.join(open_, "band", "left_semi"), "open")
-    one, two = left.toDF("band", "a", "ra"), left.toDF("band", "b", "rb")
-    tried = first.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    pairs = one.join(two, "band").where("ra <> rb and b < a").select("a", "b").distinct()
-    pairs = pairs.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = check.links(scratch.keep(pairs, "pairs"), "more")
-    roots = components(links.union(more), scratch, "all")
+    tried = first
+    members = members.select("band", "node")
+    for turn in range(MOST_ROUNDS + 1):
+        # buckets with several components left
+        placed = scratch.keep(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), f"placed-{turn}")
+        open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+        members = scratch.keep(placed.join(open_, "band", "left_semi"), f"open-{turn}")
+        last = turn == MOST_ROUNDS or _across(members) <= 2 * members.count()
+        pairs = _all_across(members) if last else _to_hubs(members, turn)
+        done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
+        fresh_pairs = pairs.join(done, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
+        fresh_pairs = scratch.keep(fresh_pairs if last else _few(fresh_pairs, turn), f"pairs-{turn}")
+        links = links.union(check.links(fresh_pairs, f"more-{turn}"))
+        roots = components(links, scratch, f"all-{turn}")
+        if last:
+            break
+        tried = tried.union(fresh_pairs)
     return _labelled(sigs, real, roots, scratch, id_col)
 
 
+def _across(members: DataFrame) -> int:
+    """Pairs of different components that meet in a bucket, counted without making them."""
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("c"))
+    per_band = sizes.groupBy("band").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
+    return int(per_band.agg(F.sum("p")).first()[0] or 0)
+
+
+def _to_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """Every member with its bucket's hub of this turn, if that is of another component."""
+    hub = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+    met = members.join(hub, "band").where(F.col("root") != F.col("hub.root"))
+    return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+
+
+def _few(pairs: DataFrame, turn: int) -> DataFrame:
+    """At most HUBS hubs a node and turn; what is left waits for later turns."""
+    order = W.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)), "b")  # no more rows than bands
+    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HUBS).select("a", "b")
+
+
+def _all_across(members: DataFrame) -> DataFrame:
+    """Every pair of different components that meets in a bucket: the exact rest."""
+    members = members.select("band", "node", "root")
+    one, two = members.toDF("band", "a", "ra"), members.toDF("band", "b", "rb")
+    return one.join(two, "band").where("ra <> rb and b < a").select("a", "b").distinct()
+
+
 def _labelled(sigs: DataFrame, real: DataFrame, roots: DataFrame, scratch: Scratch, id_col: str) -> DataFrame:
     lows = scratch.keep(real.groupBy("node").agg(F.min("_id").alias("low")), "lows")
     placed = lows.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
