@@ -51,15 +51,17 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     else:
         words, of_word = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     per_doc = np.bincount(of_word, minlength=len(texts)).astype(np.int64)
-    total = 2 * size + per_doc
+    use = size - 3  # grams that begin in the text or at its first pad, so never reach the next text
+    total = 2 * use + per_doc
     start = np.cumsum(total) - total
     out = np.empty(int(total.sum()), np.uint32)
-    doc = np.repeat(np.arange(len(texts)), size)
-    rel = np.arange(n) - begin[doc]
-    out[start[doc] + rel] = (three * np.uint32(2654435761)) >> shift
-    out[start[doc] + size[doc] + rel] = (four * np.uint32(2246822519)) >> shift
+    doc = np.repeat(np.arange(len(texts)), use)
+    rel = np.arange(int(use.sum())) - (np.cumsum(use) - use)[doc]
+    here = begin[doc] + rel
+    out[start[doc] + rel] = (three[here] * np.uint32(2654435761)) >> shift
+    out[start[doc] + use[doc] + rel] = (four[here] * np.uint32(2246822519)) >> shift
     word_rank = np.arange(len(words)) - (np.cumsum(per_doc) - per_doc)[of_word]
-    out[start[of_word] + 2 * size[of_word] + word_rank] = (words * np.uint32(3266489917)) >> shift
+    out[start[of_word] + 2 * use[of_word] + word_rank] = (words * np.uint32(3266489917)) >> shift
     return out, start
 
 

@@ -33,7 +33,7 @@ MISS = 1e-7
 SENT_IDS = 2_000_000
 #: Rounds of pairing members with hubs, and hubs a member tries in a round, before the rest is
 #: paired across components; the rounds end early once that rest is linear in the members.
-MOST_ROUNDS = 6
+MOST_ROUNDS = 2
 HUBS = 3
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -210,7 +210,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     members = members.select("band", "node")
     for turn in range(MOST_ROUNDS + 1):
         # buckets with several components left
-        placed = scratch.keep(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), f"placed-{turn}")
+        placed = scratch.keep(members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), f"placed-{turn}")
         open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
         members = scratch.keep(placed.join(open_, "band", "left_semi"), f"open-{turn}")
         last = turn == MOST_ROUNDS or _across(members) <= 2 * members.count()
