@@ -5,13 +5,299 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import predicates
+from .functions.normalize import access_is_dangerous, basename, outcome
+from .operators import graph, hunt, incidents, rules, summaries
+from .sources.tables import EVENTS_SQL, events
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: Rule conditions of the oracle, written for DuckDB (RE2 patterns) over the columns the test events have.
+_RULES_SQL = {
+    "TH-001": "lower(process_name) = 'powershell.exe' and regexp_matches(commandline, '(?i)(-enc\\b|-encodedcommand)')",
+    "TH-007": "lower(process_name) = 'certutil.exe' and regexp_matches(commandline, '(?i)(-urlcache|-decode|http)')",
+    "TH-010": "regexp_matches(commandline, '(?i)(sekurlsa|lsadump|dcsync|logonpasswords)')",
+    "TH-011": "event_id = '4662' and contains(lower(properties), '1131f6aa-9c07-11d1-f79f')",
+    "TH-017": "event_id = '7045'",
+    "TH-022": "(process_name = 'powershell.exe' and parent_process_name in ('wmiprvse.exe', 'lsass.exe')) or (process_name = 'cmd.exe' and parent_process_name = 'lsass.exe')",
+    "TH-023": "contains(lower(process_path), chr(92) || 'temp' || chr(92))",
+    "TH-025": "event_id = '10' and contains(lower(target_image), 'lsass.exe') and granted_access in ('0x1410', '0x40')",
+}
+_BY_ID = {r.id: (i, r) for i, r in enumerate(rules.RULES)}
+# TH-002 needs a download word; no test command of a shell has one
+_FINDINGS = ", fi as (" + " union all ".join(
+    f"select {_BY_ID[i][0]} as rule_ord, '{i}' as rule_id, '{_BY_ID[i][1].mitre}' as mitre, '{_BY_ID[i][1].tactic}' as tactic, '{_BY_ID[i][1].severity}' as severity, * from ev where {w}"
+    for i, w in _RULES_SQL.items()
+) + ")"
+_DEDUP = """, de as (select * from (select *, row_number() over (partition by rule_id, coalesce(process_guid, commandline, ''), source_ip, user_name, hostname order by seq, rule_ord) as rn from fi) x where rn = 1)"""
+_FCOLS = "rule_ord, rule_id, mitre, tactic, severity, seq, ts, hostname, user_name, process_guid, process_name, commandline, source_ip"
+_RANK = "case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
+
+
+def query(sql: str | None = None, with_: str = ""):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = f"with recursive {EVENTS_SQL}{with_} {sql}"
+        return f
+
+    return keep
+
+
+def _step(op: str, field: str, value) -> dict:
+    return {"match": "all", "predicates": [{"field": field, "op": op, "value": value}]}
+
+
+def _pred(name: str, spec: dict, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events(spark, sf_dir).where(predicates.step(spec)).select("seq", "hostname", "user_name")
+
+    run.__name__ = name
+    query(f"select seq, hostname, user_name from ev where {where}")(run)
+
+
+_pred("pred_eq_ne", {"match": "all", "predicates": [{"field": "process_name", "op": "eq", "value": "SSHD"}, {"field": "event_outcome", "op": "ne", "value": "failed"}]}, "process_name = 'sshd' and coalesce(event_outcome, '') <> 'failed'")
+_pred("pred_contains", _step("contains", "commandline", "LSASS"), "contains(lower(commandline), 'lsass')")
+_pred("pred_regex", _step("regex", "commandline", r"-enc\b|minidump"), "regexp_matches(commandline, '(?i)(-enc\\b|minidump)')")
+_pred("pred_in", _step("in", "source_ip", ["10.0.0.3", "10.0.0.17"]), "source_ip in ('10.0.0.3', '10.0.0.17')")
+_pred("pred_gte_lte", {"match": "all", "predicates": [{"field": "event_id", "op": "gte", "value": 10}, {"field": "event_id", "op": "lte", "value": 4662}]}, "try_cast(event_id as double) between 10 and 4662")
+_pred("pred_match_all_any", {"match": "any", "predicates": [{"field": "hostname", "op": "eq", "value": "host-3"}, {"field": "event_outcome", "op": "eq", "value": "success"}]}, "hostname = 'host-3' or event_outcome = 'success'")
+
+
+@query("select * from ev")
+def src_tables(spark, sf_dir):
+    return events(spark, sf_dir)
+
+
+@query("select seq, granted_access in ('0x1410', '0x40') as dangerous from ev")
+def mask_dangerous(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", access_is_dangerous(F.col("granted_access")).alias("dangerous"))
+
+
+@query("select seq, regexp_extract(process_path, '([^\\\\/]*)$', 1) as name from ev")
+def norm_basename(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", basename(F.col("process_path")).alias("name"))
+
+
+@query("select seq, case when event_outcome is null then '' else event_outcome end as outcome from ev")
+def norm_outcome(spark, sf_dir):
+    noisy = F.concat(F.upper("event_outcome"), F.lit("'tail"))
+    return events(spark, sf_dir).select("seq", F.coalesce(outcome(noisy), F.lit("")).alias("outcome"))
+
+
+@query("select seq, concat_ws(' | ', process_name, commandline, parent_process_name, event_outcome, target_image, properties) as activity from ev")
+def activity_text(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", F.concat_ws(" | ", "process_name", "commandline", "parent_process_name", "event_outcome", "target_image", "properties").alias("activity"))
+
+
+@query("select conv_id, turn from conversations where regexp_matches(text, '(?i)(ignore (all )?previous instructions|system prompt|<\\|im_start\\|>)')")
+def prompt_injection_scan(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.where(F.col("text").rlike(r"(?i)(ignore (all )?previous instructions|system prompt|<\|im_start\|>)")).select("conv_id", "turn")
+
+
+@query(f"select {_FCOLS} from fi", _FINDINGS)
+def rules_evaluate(spark, sf_dir):
+    return rules.evaluate(events(spark, sf_dir))
+
+
+@query(f"select {_FCOLS} from de", _FINDINGS + _DEDUP)
+def dedup_findings(spark, sf_dir):
+    return rules.dedup(rules_evaluate(spark, sf_dir))
+
+
+@query("select s.severity, count(de.severity) as findings, round(100.0 * count(de.severity) / greatest((select count(*) from de), 1), 4) as share from (values ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) s(severity) left join de on de.severity = s.severity group by s.severity", _FINDINGS + _DEDUP)
+def agg_severity_counts(spark, sf_dir):
+    return rules.severity_counts(dedup_findings(spark, sf_dir))
+
+
+@query("select severity, tactic, count(*) as findings, count(distinct mitre) as techniques from de group by grouping sets ((severity), (tactic), ())", _FINDINGS + _DEDUP)
+def agg_hunt_summary(spark, sf_dir):
+    found = dedup_findings(spark, sf_dir)
+    return found.groupingSets([["severity"], ["tactic"], []], "severity", "tactic").agg(F.count("*").alias("findings"), F.countDistinct("mitre").alias("techniques"))
+
+
+@query("""select rule_id, severity, source_ip, invalid as invalid_failures, hosts, accounts, first_seen, last_seen from (
+  select *, unnest([case when won > 0 then 1 end, case when real > 0 then 2 end, case when won = 0 and real = 0 then 3 end]) as c from per where invalid >= 5) x,
+  lateral (select case c when 1 then 'TH-CORR-001' when 2 then 'TH-CORR-002' else 'TH-CORR-003' end as rule_id, case c when 1 then 'CRITICAL' when 2 then 'HIGH' else 'MEDIUM' end as severity,
+    case c when 1 then won_users when 2 then real_users else '' end as accounts, case c when 1 then last_won when 2 then last_real else last_invalid end as last_seen) y where c is not null""",
+    """, per as (select source_ip, count(*) filter (f and i) as invalid, count(*) filter (f and not i) as real, count(*) filter (s) as won,
+  coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (s), '') as won_users, coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (f and not i), '') as real_users,
+  coalesce(string_agg(distinct hostname, ', ' order by hostname) filter (f or s), '') as hosts, min(ts) filter (f and i) as first_seen, max(ts) filter (s) as last_won, max(ts) filter (f and not i) as last_real, max(ts) filter (f and i) as last_invalid
+  from (select *, coalesce(event_outcome, '') = 'failed' as f, coalesce(event_outcome, '') = 'success' as s, user_name = 'invalid user' as i from ev where process_name = 'sshd' or event_category = 'authentication') a group by source_ip)""")
+def corr_bruteforce(spark, sf_dir):
+    return rules.bruteforce(events(spark, sf_dir))
+
+
+@query("select rule_id, severity, count(*) as n from de group by 1, 2", _FINDINGS + _DEDUP)
+def union_findings(spark, sf_dir):
+    both = dedup_findings(spark, sf_dir).select("rule_id", "severity")
+    return both.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+_A = {"id": "a", **_step("eq", "event_outcome", "success")}
+_B = {"id": "b", **_step("contains", "commandline", "minidump")}
+
+
+def _hunt(name: str, relations: list[dict], where: str, previous: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = events(spark, sf_dir)
+        before = rows.where("hostname = 'host-3'") if previous else None
+        ir = {"steps": [_A, _B], "relations": relations, "select": "b", "use_previous": previous}
+        return hunt.run_hunt(rows, ir, before, None).select("seq", "hostname", "user_name")
+
+    run.__name__ = name
+    query(f"select seq, hostname, user_name from b where {where}", ", a as (select * from ev where event_outcome = 'success'), b as (select * from ev where contains(lower(commandline), 'minidump'))")(run)
+
+
+_hunt("hunt_same", [{"type": "same", "step": "a", "field": "user_name"}], "user_name in (select user_name from a)")
+_hunt("hunt_after", [{"type": "after", "step": "a"}], "ts > (select min(ts) from a)")
+_hunt("hunt_within", [{"type": "within", "step": "a", "seconds": 600}], "exists (select 1 from a where a.ts between b.ts - interval 600 second and b.ts + interval 600 second)")
+_hunt("hunt_entity_within", [{"type": "within", "step": "a", "seconds": 7200, "keys": ["hostname"]}], "exists (select 1 from a where a.hostname = b.hostname and a.ts between b.ts - interval 7200 second and b.ts + interval 7200 second)")
+_hunt("hunt_use_previous", [], "hostname = 'host-3'", True)
+_hunt("hunt_execute", [{"type": "same", "step": "a", "field": "hostname"}, {"type": "after", "step": "a"}, {"type": "within", "step": "a", "seconds": 3600}], "hostname in (select hostname from a) and ts > (select min(ts) from a) and exists (select 1 from a where a.ts between b.ts - interval 3600 second and b.ts + interval 3600 second)")
+
+
+@query("select seq, ts, hostname from ev where contains(lower(commandline), 'minidump') order by ts nulls last, seq limit 1000")
+def topk_hunt_results(spark, sf_dir):
+    return hunt.run_hunt(events(spark, sf_dir), {"steps": [_B], "select": "b"}).select("seq", "ts", "hostname")
+
+
+@query(f"select seq, rule_id, severity from de order by {_RANK} desc, length(commandline) desc, seq, rule_ord limit 15", _FINDINGS + _DEDUP)
+def topk_findings(spark, sf_dir):
+    return dedup_findings(spark, sf_dir).orderBy(F.desc(F.expr(_RANK)), F.desc(F.length("commandline")), "seq", "rule_ord").limit(15).select("seq", "rule_id", "severity")
+
+
+@query("select seq, process_name, commandline, hostname, user_name, ts from ev where process_name in ('powershell.exe', 'cmd.exe') and contains(lower(commandline), 'enc') order by ts desc, seq desc limit 100")
+def filter_flat_hunt(spark, sf_dir):
+    rows = events(spark, sf_dir).where(F.lower("process_name").isin("powershell.exe", "cmd.exe") & F.lower("commandline").contains("enc"))
+    return rows.orderBy(F.desc("ts"), F.desc("seq")).limit(100).select("seq", "process_name", "commandline", "hostname", "user_name", "ts")
+
+
+@query("select distinct field, value from (" + " union all ".join(f"select '{c}' as field, {c} as value from ev" for c in summaries.FACETS) + ") x where trim(value) <> ''")
+def agg_facets(spark, sf_dir):
+    return summaries.facets(events(spark, sf_dir))
+
+
+@query("select field, value, n, first_seq, rank from (select *, row_number() over (partition by field order by n desc, first_seq) as rank from (select field, value, count(*) as n, min(seq) as first_seq from (" + " union all ".join(f"select seq, '{c}' as field, coalesce({c}, 'unknown') as value from ev" for c in ("event_id", "hostname", "user_name")) + ") x group by 1, 2) y) z where rank <= 12")
+def agg_top_counts(spark, sf_dir):
+    return summaries.top_counts(events(spark, sf_dir))
+
+
+@query("select lower(parent_process_name) as parent, lower(process_name) as child, count(*) as n, min(seq) as first_seq from ev group by 1, 2 order by n desc, first_seq limit 20")
+def agg_process_edges(spark, sf_dir):
+    return summaries.process_edges(events(spark, sf_dir))
+
+
+@query("select commandline, min(seq) as first_seq from ev where length(commandline) >= 20 group by commandline order by first_seq limit 6")
+def quick_picks(spark, sf_dir):
+    rows = events(spark, sf_dir).where(F.length("commandline") >= 20)
+    return rows.groupBy("commandline").agg(F.min("seq").alias("first_seq")).orderBy("first_seq").limit(6)
+
+
+@query("select distinct ip, not regexp_matches(ip, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') as external from (select unnest(regexp_extract_all(commandline, '\\b(\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})\\b')) as ip from ev) x")
+def ioc_extract(spark, sf_dir):
+    return summaries.iocs(events(spark, sf_dir))
+
+
+_SESSIONS = """, gaps as (select seq, hostname, ts, case when ts - lag(ts) over w <= interval 1 hour then 0 else 1 end as fresh from ev window w as (partition by hostname order by ts, seq)),
+ ses as (select *, sum(fresh) over (partition by hostname order by ts, seq) as part from gaps)"""
+
+
+@query("select seq, hostname, min(seq) filter (fresh = 1) over (partition by hostname, part) as session from ses", _SESSIONS)
+def gap_sessions(spark, sf_dir):
+    return incidents.gap_sessions(events(spark, sf_dir)).select("seq", "hostname", "session")
+
+
+@query("select hostname, min(ts) as first_seen, max(ts) as last_seen, arg_min(commandline, seq) as first_command from ev group by hostname")
+def first_last_seen(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("hostname").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("commandline", "seq").alias("first_command"))
+
+
+@query()
+def incident_components(spark, sf_dir):
+    return incidents.components(dedup_findings(spark, sf_dir)).select("seq", "rule_id", "hostname", "incident")
+
+
+@query()
+def agg_incident_rollup(spark, sf_dir):
+    return incidents.rollup(incidents.components(dedup_findings(spark, sf_dir)))
+
+
+_EDGES = """, ed as (select source, target, type, arg_min(label, seq) as label from (
+ select parent_process_guid as source, process_guid as target, 'SPAWNED' as type, process_name as label, seq from ev where parent_process_guid <> process_guid
+ union all select process_guid, 'net-' || destination_ip || ':' || coalesce(destination_port, ''), 'CONNECTED', destination_port, seq from ev where destination_ip <> '' and (event_id in ('3', '5156') or event_category = 'network_connection')) x group by 1, 2, 3)"""
+
+
+@query("select source, target, type, label from ed", _EDGES)
+def graph_edges(spark, sf_dir):
+    return graph.edges(events(spark, sf_dir))
+
+
+@query("select count(*) as edges, count(*) filter (type = 'SPAWNED') as spawned, count(*) filter (type = 'CONNECTED') as connected, count(distinct source) as sources from ed", _EDGES)
+def graph_stats(spark, sf_dir):
+    return graph.stats(graph_edges(spark, sf_dir))
+
+
+@query(f"select ev.process_guid as id, arg_min(process_name, ev.seq) as process_name, arg_min(hostname, ev.seq) as hostname, arg_min(user_name, ev.seq) as user_name, count(*) as events, coalesce(any_value(m.r), 0) as severity_rank, coalesce(any_value(m.rules), '') as rules from ev left join (select process_guid, max({_RANK}) as r, string_agg(distinct rule_id, '|' order by rule_id) as rules from de group by 1) m on m.process_guid = ev.process_guid group by ev.process_guid", _FINDINGS + _DEDUP)
+def agg_graph_nodes(spark, sf_dir):
+    return graph.nodes(events(spark, sf_dir), dedup_findings(spark, sf_dir))
+
+
+@query("select root, node, depth from t", _EDGES + ", t as (select source as root, source as node, 0 as depth from (select distinct source from ed where type = 'SPAWNED' and source not in (select target from ed where type = 'SPAWNED')) r union all select t.root, ed.target, t.depth + 1 from t join ed on ed.source = t.node and ed.type = 'SPAWNED')")
+def process_tree(spark, sf_dir):
+    return graph.tree(graph_edges(spark, sf_dir))
+
+
+@query("select source, count(distinct target) as destinations from ed where type = 'CONNECTED' group by source", _EDGES)
+def node_connections(spark, sf_dir):
+    return graph_edges(spark, sf_dir).where("type = 'CONNECTED'").groupBy("source").agg(F.countDistinct("target").alias("destinations"))
+
+
+@query("select process_guid, parent_process_guid, seq, row_number() over (partition by parent_process_guid order by ts, seq) as child_rank from ev")
+def tree_child_rank(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("parent_process_guid").orderBy("ts", "seq")
+    return events(spark, sf_dir).select("process_guid", "parent_process_guid", "seq", F.row_number().over(order).alias("child_rank"))
+
+
+@query("select seq, coalesce(max(r), 0) as severity_rank from (select ev.seq, " + _RANK.replace("severity", "de.severity") + " as r from ev left join de on de.process_guid = ev.process_guid) x group by seq", _FINDINGS + _DEDUP)
+def enrich_timeline(spark, sf_dir):
+    marks = dedup_findings(spark, sf_dir).groupBy("process_guid").agg(F.max(F.expr(_RANK)).alias("r"))
+    return events(spark, sf_dir).join(marks, "process_guid", "left").select("seq", F.coalesce("r", F.lit(0)).alias("severity_rank"))
+
+
+@query("select doc_id, quality = 1 as agree, case when toxic = 1 then 1.0::double else 0.5::double end as trust, least(greatest(3 + 4 * toxic, 1), 10) as severity from labels")
+def feedback_label(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rows.select("doc_id", (F.col("quality") == 1).alias("agree"), F.when(F.col("toxic") == 1, 1.0).otherwise(0.5).alias("trust"), F.least(F.greatest(3 + 4 * F.col("toxic"), F.lit(1)), F.lit(10)).alias("severity"))
+
+
+@query("select commandline from ev group by commandline having count(distinct process_name) > 1")
+def feedback_disputed(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("commandline").agg(F.countDistinct("process_name").alias("n")).where("n > 1").select("commandline")
+
+
+@query()
+def embed_hash(spark, sf_dir):
+    return summaries.embed(events(spark, sf_dir), "commandline")
+
+
+@query("select label, count(*) as vectors, round(avg(list_dot_product(embedding::double[], embedding::double[])), 4) as mean_square from embeddings group by label")
+def vector_norms(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg(square), 4).alias("mean_square"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
