@@ -58,13 +58,13 @@ def fresh(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with a bounded amount of text each, so that memory follows CHUNK_CHARS
-    and the longest single text, not the batch."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with a bounded amount of text each, so that memory follows `most`
+    characters and the longest single text, not the batch."""
     sizes = batch.column(column).to_pylist() if batch.num_rows == 0 else pc.binary_length(batch.column(column)).to_pylist()
     begin = total = 0
     for i, size in enumerate(sizes):
-        if total and total + (size or 0) > CHUNK_CHARS:
+        if total and total + (size or 0) > most:
             part = batch.slice(begin, i - begin)
             yield part, part.column(column).to_pylist()
             begin, total = i, 0

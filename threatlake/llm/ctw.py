@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, Scratch, chunks, fresh
+from .common import Scratch, chunks, fresh
 
 DEPTH = 5
 #: Characters of a block, at most about; its documents and its part of the model meet in one task.
 BLOCK_CHARS = 48_000_000
+#: Characters that are counted or scored in one numpy step, about.
+STEP_CHARS = 800_000
 #: Distinct sequences whose probabilities one task works out, about.
 GROUP = 100_000
 _END = b"\n"  # the end token's key; no word holds white space
@@ -36,7 +38,7 @@ def held_out(doc_id):
 
 
 def _packed(dealt: DataFrame) -> DataFrame:
-    """(block, payload): documents in compressed groups of about CHUNK_CHARS, some of which
+    """(block, payload): documents in compressed groups of about STEP_CHARS, some of which
     make a block. A block never spans input partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,10 +57,10 @@ def _packed(dealt: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for part, texts in chunks(batch, "_text"):
+            for part, texts in chunks(batch, "_text", STEP_CHARS):
                 size += sum(map(len, texts))
                 waiting.append(part)
-                if size >= CHUNK_CHARS // 2:
+                if size >= STEP_CHARS // 2:
                     yield close()
                     filled += size
                     size = 0
@@ -83,29 +85,45 @@ def sequences(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The byte sequences that end at each byte and at the end mark (zero) of every text, and
     where each text begins in them. DEPTH zero bytes stand before a text."""
     size = np.array([len(r) + 1 for r in raw], np.int64)
+    start = np.cumsum(size) - size
+    if not len(raw):
+        return np.zeros(0, np.uint64), start
     flat = np.frombuffer(b"".join(_PAD + r + b"\0" for r in raw), np.uint8).astype(np.uint64)
-    code = flat[: len(flat) - DEPTH].copy() if len(raw) else np.zeros(0, np.uint64)
+    two = flat[:-1] << np.uint64(8) | flat[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    code = four[:-2] << np.uint64(16) | two[4:]
+    # of DEPTH + 1 = 6 bytes each; those that begin in a text's last DEPTH bytes run into the next one
+    keep = np.ones(len(flat), bool)
+    ends = np.cumsum(size + DEPTH)
     for k in range(1, DEPTH + 1):
-        code = (code << np.uint64(8)) | flat[k : len(flat) - DEPTH + k]
-    start = np.cumsum(size) - size
-    at = np.repeat(np.arange(len(raw), dtype=np.int64) * DEPTH, size) + np.arange(int(size.sum()))
-    return code[at], start
+        keep[ends - k] = False
+    return code[keep[: len(code)]], start
+
+
+class _Words:
+    """Numbers of a block's distinct tokens; the end token is number 0."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {_END: 0}
 
+    def ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The token numbers of all texts in a row, and how many each text has."""
+        words = [r.split() for r in raw]
+        known = self.number
+        new = set().union(*words).difference(known)
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        out: list[int] = []
+        for ws in words:
+            out += [known[w] for w in ws]
+            out.append(0)
+        return np.array(out, np.int64), np.array([len(ws) + 1 for ws in words], np.int64)
 
-def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct tokens, the token numbers of all texts in a row, and their counts."""
-    import xxhash
+    def keys(self, begin: int = 0) -> np.ndarray:
+        """64-bit hashes of the tokens from number `begin` on."""
+        import xxhash
 
-    numbers: dict[bytes, int] = {_END: 0}
-    ids: list[int] = []
-    counts = []
-    for r in raw:
-        words = r.split()
-        ids += [numbers.setdefault(w, len(numbers)) for w in words]
-        ids.append(0)
-        counts.append(len(words) + 1)
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers)).view(np.int64)
-    return keys, np.array(ids, np.int64), np.array(counts, np.int64)
+        words = list(self.number)[begin:] if begin else self.number
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(self.number) - begin).view(np.int64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +136,19 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def count_block(payloads) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, keys, counts) of a block's distinct tokens (kind 0) and byte sequences (kind 1):
     all that occur, with how often training documents have them."""
-    words, grams = [], []
+    words, counts, grams = _Words(), np.zeros(1, np.int64), []
     for _, held, raw in _groups(payloads):
-        keys, ids, counts = _words(raw)
-        words.append((keys, np.bincount(ids, np.repeat(~held, counts), len(keys))))
+        ids, sizes = words.ids(raw)
+        more = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words.number))
+        more[: len(counts)] += counts
+        counts = more
         code, start = sequences(raw)
         size = np.diff(np.append(start, len(code)))
         code = np.sort((code << np.uint64(1)) | np.repeat(~held, size).astype(np.uint64))
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         n = np.diff(np.append(first, len(code))) * (code[first] & np.uint64(1)).astype(np.int64)
         grams.append(((code[first] >> np.uint64(1)).view(np.int64), n))
-    yield 0, *_merged(words)
+    yield 0, words.keys(), counts
     yield 1, *_merged(grams)
 
 
@@ -269,9 +289,10 @@ class _Lookup:
 def score_block(payloads, kind: np.ndarray, key: np.ndarray, value: np.ndarray, total: int, distinct: int) -> Iterator[pa.Table]:
     """Scores a block's documents with the block's own part of the model."""
     word, gram = (_Lookup(key[kind == k], value[kind == k]) for k in (0, 1))
+    words, c = _Words(), np.zeros(0)
     for doc, held, raw in _groups(payloads):
-        keys, ids, counts = _words(raw)
-        c = word(keys)
+        ids, counts = words.ids(raw)
+        c = np.append(c, word(words.keys(len(c))))
         start = np.cumsum(counts) - counts
         known = np.add.reduceat((c > 0)[ids].astype(np.int64), start)
         base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[ids], start)
