@@ -29,7 +29,8 @@ BLOCK_CHARS = 48_000_000
 STEP_CHARS = 800_000
 #: Distinct sequences whose probabilities one task works out, about.
 GROUP = 100_000
-_END = b"\n"  # the end token's key; no word holds white space
+END_KEY = 0  # the end token's; words have their hashes
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _PAD = bytes(DEPTH)
 
 
@@ -100,56 +101,76 @@ def sequences(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep[: len(code)]], start
 
 
-class _Words:
-    """Numbers of a block's distinct tokens; the end token is number 0."""
+def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in a row, and the text that each is of.
+
+    A word's hash is its bytes weighted by powers of an odd number, mixed with its length.
+    """
+    size = np.array([len(r) + 1 for r in raw], np.int64)
+    flat = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    inside = ~_BLANK[flat]
+    first = np.flatnonzero(inside & np.append(True, ~inside[:-1])) if len(flat) else np.zeros(0, np.int64)
+    if not len(first):
+        return np.zeros(0, np.int64), first
+    length = np.add.reduceat(inside, first, dtype=np.int64)
+    begin = np.zeros(len(flat), np.int64)
+    begin[first] = np.diff(first, prepend=0)
+    offset = np.arange(len(flat)) - np.cumsum(begin)
+    power = np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    value = np.zeros(len(flat), np.uint64)
+    value[inside] = (flat[inside] + np.uint64(1)) * power[offset[inside]]
+    h = np.add.reduceat(value, first) ^ (length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64), np.searchsorted(np.cumsum(size), first, "right")
 
-    def __init__(self):
-        self.number: dict[bytes, int] = {_END: 0}
 
-    def ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The token numbers of all texts in a row, and how many each text has."""
-        words = [r.split() for r in raw]
-        known = self.number
-        new = set().union(*words).difference(known)
-        known.update(zip(new, range(len(known), len(known) + len(new))))
-        out: list[int] = []
-        for ws in words:
-            out += [known[w] for w in ws]
-            out.append(0)
-        return np.array(out, np.int64), np.array([len(ws) + 1 for ws in words], np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key of sorted parts."""
+    key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
 
-    def keys(self, begin: int = 0) -> np.ndarray:
-        """64-bit hashes of the tokens from number `begin` on."""
-        import xxhash
+class _Sums:
+    """Counts by key; merged whenever many parts have come."""
 
-        words = list(self.number)[begin:] if begin else self.number
-        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(self.number) - begin).view(np.int64)
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def add(self, key: np.ndarray, trained: np.ndarray) -> None:
+        """key: every occurrence; trained: whether it is of a training document."""
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.put(key[first], np.add.reduceat(trained[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64))
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([p[0] for p in parts])
-    n = np.concatenate([p[1] for p in parts])
-    key, at = np.unique(key, return_inverse=True)
-    return key, np.bincount(at, n, len(key)).astype(np.int64)
+    def put(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts) > max(1_000_000, 2 * len(self.parts[0][0])):
+            self.parts = [_merged(self.parts)]
 
 
 def count_block(payloads) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, keys, counts) of a block's distinct tokens (kind 0) and byte sequences (kind 1):
     all that occur, with how often training documents have them."""
-    words, counts, grams = _Words(), np.zeros(1, np.int64), []
+    words, grams = _Sums(), _Sums()
     for _, held, raw in _groups(payloads):
-        ids, sizes = words.ids(raw)
-        more = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words.number))
-        more[: len(counts)] += counts
-        counts = more
+        key, of = tokens(raw)
+        words.add(key, ~held[of])
+        words.put(np.array([END_KEY]), np.array([int((~held).sum())]))
         code, start = sequences(raw)
         size = np.diff(np.append(start, len(code)))
         code = np.sort((code << np.uint64(1)) | np.repeat(~held, size).astype(np.uint64))
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         n = np.diff(np.append(first, len(code))) * (code[first] & np.uint64(1)).astype(np.int64)
-        grams.append(((code[first] >> np.uint64(1)).view(np.int64), n))
-    yield 0, words.keys(), counts
-    yield 1, *_merged(grams)
+        grams.put((code[first] >> np.uint64(1)).view(np.int64), n)
+    yield 0, *_merged(words.parts)
+    yield 1, *_merged(grams.parts)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,15 +293,15 @@ class _Lookup:
     def __init__(self, key: np.ndarray, value: np.ndarray):
         order = np.argsort(key)
         self.key, self.value = key[order], value[order]
-        self.slot = np.zeros(1 << 20, np.int32)
+        self.shift = np.uint64(64 - min(23, max(12, len(key).bit_length() + 1)))
+        self.slot = np.zeros(1 << (64 - int(self.shift)), np.int32)
         self.slot[self._hash(self.key)] = np.arange(len(key), dtype=np.int32)
 
-    @staticmethod
-    def _hash(key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        at = self.slot[self._hash(key)].astype(np.int64)
+        at = self.slot[self._hash(key)]
         miss = np.flatnonzero(self.key[at] != key)
         at[miss] = np.searchsorted(self.key, key[miss])
         return self.value[at]
@@ -289,13 +310,15 @@ class _Lookup:
 def score_block(payloads, kind: np.ndarray, key: np.ndarray, value: np.ndarray, total: int, distinct: int) -> Iterator[pa.Table]:
     """Scores a block's documents with the block's own part of the model."""
     word, gram = (_Lookup(key[kind == k], value[kind == k]) for k in (0, 1))
-    words, c = _Words(), np.zeros(0)
+    chance = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    end = word(np.array([END_KEY]))
     for doc, held, raw in _groups(payloads):
-        ids, counts = words.ids(raw)
-        c = np.append(c, word(words.keys(len(c))))
-        start = np.cumsum(counts) - counts
-        known = np.add.reduceat((c > 0)[ids].astype(np.int64), start)
-        base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[ids], start)
+        keys, of = tokens(raw)
+        c = word(keys)
+        n = len(raw)
+        counts = np.bincount(of, minlength=n).astype(np.int64) + 1
+        known = np.bincount(of[c > 0], minlength=n).astype(np.int64) + int(end[0] > 0)
+        base = np.bincount(of, chance(c), n) + chance(end)[0]
         code, start = sequences(raw)
         score = np.add.reduceat(gram(code.view(np.int64)), start)
         sizes = np.array([len(r) for r in raw], np.int64)
