@@ -361,6 +361,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     model = mixed.where("kind = 1").select("key", "p").mapInPandas(values, "kind int, key long, value double")
     model = scratch.keep(model.union(counts.where("kind = 0").select("kind", "key", F.col("n").cast("double"))), "model")
+    scratch.drop("mixed")
+    scratch.drop("counts")
     # a block that lay in two input splits was counted in two parts; a key's value is the same in both
     mine = parts.select("block", "kind", "key").join(model, ["kind", "key"]).select("block", "kind", "key", "value")
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, _held boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
