@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Code points that one numpy step works on.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 _own: dict[str, str] = {}
 

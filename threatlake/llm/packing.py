@@ -25,7 +25,7 @@ from .common import chunks, fresh
 CAPACITY = 2048
 END = 1
 #: Words whose tokens a Python worker remembers, at most; beyond it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Between an ASCII letter or digit and a closing run of these marks the tokenizer always
 #: splits; the apostrophe is not among them, as it may begin a contraction.
 _TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)$")
