@@ -5,9 +5,11 @@ and dropped once the posterior probability that its similarity reaches the thres
 below a chosen miss probability; survivors are verified on their full shingle sets.
 
 Candidates are never all pairs of a bucket. First every member is paired with one hub, the
-least member of its buckets; what links is contracted to components. Rounds with other hubs
-follow in buckets that still hold several components, until few pairs across components are
-left; these are all verified.
+least member of its buckets; what links is contracted to components. A second hub follows in
+buckets that still hold several components. For the nodes of buckets that are open even then,
+shingles take the place of buckets: two linked sets share one of their rarest shingles, with
+enough of either set behind it. The most central node of a shingle is the third hub, and every
+pair across components that this bound leaves is verified.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,9 +33,7 @@ BATCH = 40  # signature values compared at a time
 MISS = 1e-7
 #: Document ids that are sent to every task at most (8 bytes each); beyond it, a shuffled join.
 SENT_IDS = 2_000_000
-#: Rounds of pairing members with hubs, and hubs a member tries in a round, before the rest is
-#: paired across components; the rounds end early once that rest is linear in the members.
-MOST_ROUNDS = 2
+#: Hubs a node tries in a round before the rest is paired across components.
 HUBS = 3
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -179,6 +179,24 @@ class _Verifier:
             self.scratch.drop(f"{name}-{done}")
         return good
 
+    def prefixes(self, open_: DataFrame) -> DataFrame:
+        """(s, node, n, c) of the given nodes: the shingles that a linked pair has to share.
+
+        A set's shingles are ordered by the number of these nodes that hold them, rarest first;
+        c is what the set holds from s on. Two linked sets share a shingle, and of their first
+        one both hold at least the needed intersection from there on. Shingles of a single node
+        only count, and sets that share too little with all others are left out.
+        """
+        want = self.scratch.keep(open_.join(self.nodes, "node").select(F.col("low").alias("_id"), "node"), "open-ids")
+        near = F.broadcast(want) if want.count() <= SENT_IDS else want
+        texts = self.docs.join(near, "_id")
+        sets = map_texts(texts, lambda texts: {"s": [x.view(np.int64) for x in shingle_sets(texts)]}, "s array<long>", carry=("node",))
+        each = self.scratch.keep(sets.select("node", F.size("s").cast("long").alias("n"), F.explode("s").alias("s")), "open-sets")
+        often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+        own = W.partitionBy("node")
+        ranked = each.join(often, "s").withColumns({"m": F.count("*").over(own), "r": F.row_number().over(own.orderBy("df", "s"))})
+        return ranked.withColumn("c", F.col("m") - F.col("r") + 1).where(100 * F.col("c") >= THRESHOLD * F.col("n")).select("s", "node", "n", "c")
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (least id reachable over links), kept.
@@ -206,51 +224,86 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
     links = check.links(first, "first")
     roots = components(links, scratch, "one")
-    tried = first
-    members = members.select("band", "node")
-    for turn in range(MOST_ROUNDS + 1):
-        # buckets with several components left
-        placed = scratch.keep(members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), f"placed-{turn}")
-        open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-        members = scratch.keep(placed.join(open_, "band", "left_semi"), f"open-{turn}")
-        last = turn == MOST_ROUNDS or _across(members) <= 2 * members.count()
-        pairs = _all_across(members) if last else _to_hubs(members, turn)
-        done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-        fresh_pairs = pairs.join(done, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
-        fresh_pairs = scratch.keep(fresh_pairs if last else _few(fresh_pairs, turn), f"pairs-{turn}")
-        links = links.union(check.links(fresh_pairs, f"more-{turn}"))
-        roots = components(links, scratch, f"all-{turn}")
-        if last:
-            break
-        tried = tried.union(fresh_pairs)
+    # a second hub for those in buckets that still hold several components
+    members = _open(members.select("band", "node"), roots, "band", scratch, "band-1")
+    pairs = scratch.keep(_few(_untried(_to_hubs(members), first)), "pairs-1")
+    links = links.union(check.links(pairs, "second"))
+    roots = components(links, scratch, "two")
+    tried = first.union(pairs)
+    # the rest by the shingles that two linked sets must share
+    members = _open(members.select("band", "node"), roots, "band", scratch, "band-2")
+    shared = scratch.keep(check.prefixes(members.select("node").distinct()), "prefixes")
+    scratch.drop("open-sets")
+    entries = _open(shared, roots, "s", scratch, "s-1")
+    pairs = scratch.keep(_few(_untried(_to_central(entries), tried)), "pairs-2")
+    links = links.union(check.links(pairs, "third"))
+    roots = components(links, scratch, "three")
+    entries = _open(shared, roots, "s", scratch, "s-2")
+    pairs = scratch.keep(_untried(_across(entries), tried.union(pairs)), "pairs-3")
+    links = links.union(check.links(pairs, "rest"))
+    roots = components(links, scratch, "four")
     return _labelled(sigs, real, roots, scratch, id_col)
 
 
-def _across(members: DataFrame) -> int:
-    """Pairs of different components that meet in a bucket, counted without making them."""
-    sizes = members.groupBy("band", "root").agg(F.count("*").alias("c"))
-    per_band = sizes.groupBy("band").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-    return int(per_band.agg(F.sum("p")).first()[0] or 0)
+def _open(rows: DataFrame, roots: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """The rows (key, node, ...), with their root, whose key several components share."""
+    placed = rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = scratch.keep(placed, f"{name}-placed")
+    several = placed.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(key)
+    kept = scratch.keep(placed.join(several, key, "left_semi"), f"{name}-open")
+    scratch.drop(f"{name}-placed")
+    return kept
 
 
-def _to_hubs(members: DataFrame, turn: int) -> DataFrame:
-    """Every member with its bucket's hub of this turn, if that is of another component."""
-    hub = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+def _to_hubs(members: DataFrame) -> DataFrame:
+    """Every member with one hub of its bucket, if that is of another component."""
+    hub = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"))
     met = members.join(hub, "band").where(F.col("root") != F.col("hub.root"))
     return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
-def _few(pairs: DataFrame, turn: int) -> DataFrame:
-    """At most HUBS hubs a node and turn; what is left waits for later turns."""
-    order = W.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)), "b")  # no more rows than bands
+def _to_central(entries: DataFrame) -> DataFrame:
+    """Every node with its shingle's most central node (least of the set in front of the shingle,
+    so the fewest rare shingles), if that is of another component and can be linked."""
+    hub = entries.groupBy("s").agg(F.min_by(F.struct("node", "root", "n", "c"), F.struct(F.col("n") - F.col("c"), "node")).alias("hub"))
+    met = entries.join(hub, "s").where((F.col("root") != F.col("hub.root")) & _can_link(F.col("n"), F.col("c"), F.col("hub.n"), F.col("hub.c")))
+    return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
+    return pairs.join(done, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """At most HUBS hubs a node; what is left stays for the exact rest."""
+    order = W.partitionBy("a").orderBy(F.xxhash64("b"), "b")
     return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= HUBS).select("a", "b")
 
 
-def _all_across(members: DataFrame) -> DataFrame:
-    """Every pair of different components that meets in a bucket: the exact rest."""
-    members = members.select("band", "node", "root")
-    one, two = members.toDF("band", "a", "ra"), members.toDF("band", "b", "rb")
-    return one.join(two, "band").where("ra <> rb and b < a").select("a", "b").distinct()
+def _can_link(na: Column, ca: Column, nb: Column, cb: Column) -> Column:
+    """Whether sets of na and nb shingles, of which at most ca and cb are shared, can reach the
+    threshold: a similarity of t needs an intersection of t / (1 + t) of the sizes' sum."""
+    return (100 + THRESHOLD) * F.least(ca, cb) >= THRESHOLD * (na + nb)
+
+
+def _across(entries: DataFrame) -> DataFrame:
+    """Every pair of different components that can be linked and shares a prefix shingle.
+
+    A shingle's most frequent component is one side only, never paired with itself, and nodes
+    too large for the smallest partner under a shingle leave it first.
+    """
+    least = entries.groupBy("s").agg(F.min("n").alias("low"))
+    low = F.greatest(F.col("low"), F.ceil(F.col("n") * THRESHOLD / 100))
+    some = entries.join(least, "s").where((100 + THRESHOLD) * F.col("c") >= THRESHOLD * (F.col("n") + low)).select("s", "node", "root", "n", "c")
+    sizes = some.groupBy("s", "root").agg(F.count("*").alias("k"))
+    major = sizes.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    some = some.join(major.select("s", "major"), "s")
+    one = some.where("root <> major").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    two = some.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("major"))
+    once = (F.col("rb") == F.col("major")) | (F.col("b") < F.col("a"))
+    met = one.join(two, (one.s == two.s) & (F.col("ra") != F.col("rb")) & once & _can_link(F.col("na"), F.col("ca"), F.col("nb"), F.col("cb")))
+    return met.select("a", "b").distinct()
 
 
 def _labelled(sigs: DataFrame, real: DataFrame, roots: DataFrame, scratch: Scratch, id_col: str) -> DataFrame:
