@@ -5,11 +5,10 @@ and dropped once the posterior probability that its similarity reaches the thres
 below a chosen miss probability; survivors are verified on their full shingle sets.
 
 Candidates are never all pairs of a bucket. First every member is paired with one hub, the
-least member of its buckets; what links is contracted to components. A second hub follows in
-buckets that still hold several components. For the nodes of buckets that are open even then,
-shingles take the place of buckets: two linked sets share one of their rarest shingles, with
-enough of either set behind it. The most central node of a shingle is the third hub, and every
-pair across components that this bound leaves is verified.
+least member of its buckets; what links is contracted to components. For the nodes of buckets
+that still hold several components, shingles take the place of buckets: two linked sets share
+one of their rarest shingles, with enough of either set behind it. The most central node of a
+shingle is the second hub, and every pair across components that this bound leaves is verified.
 """
 
 from __future__ import annotations
@@ -224,24 +223,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
     links = check.links(first, "first")
     roots = components(links, scratch, "one")
-    # a second hub for those in buckets that still hold several components
-    members = _open(members.select("band", "node"), roots, "band", scratch, "band-1")
-    pairs = scratch.keep(_few(_untried(_to_hubs(members), first)), "pairs-1")
-    links = links.union(check.links(pairs, "second"))
-    roots = components(links, scratch, "two")
-    tried = first.union(pairs)
     # the rest by the shingles that two linked sets must share
-    members = _open(members.select("band", "node"), roots, "band", scratch, "band-2")
+    members = _open(members.select("band", "node"), roots, "band", scratch, "band")
     shared = scratch.keep(check.prefixes(members.select("node").distinct()), "prefixes")
     scratch.drop("open-sets")
     entries = _open(shared, roots, "s", scratch, "s-1")
-    pairs = scratch.keep(_few(_untried(_to_central(entries), tried)), "pairs-2")
-    links = links.union(check.links(pairs, "third"))
-    roots = components(links, scratch, "three")
+    pairs = scratch.keep(_few(_untried(_to_central(entries), first)), "pairs-1")
+    links = links.union(check.links(pairs, "second"))
+    roots = components(links, scratch, "two")
     entries = _open(shared, roots, "s", scratch, "s-2")
-    pairs = scratch.keep(_untried(_across(entries), tried.union(pairs)), "pairs-3")
+    pairs = scratch.keep(_untried(_across(entries), first.union(pairs)), "pairs-2")
     links = links.union(check.links(pairs, "rest"))
-    roots = components(links, scratch, "four")
+    roots = components(links, scratch, "three")
     return _labelled(sigs, real, roots, scratch, id_col)
 
 
@@ -255,13 +248,6 @@ def _open(rows: DataFrame, roots: DataFrame, key: str, scratch: Scratch, name: s
     return kept
 
 
-def _to_hubs(members: DataFrame) -> DataFrame:
-    """Every member with one hub of its bucket, if that is of another component."""
-    hub = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("hub"))
-    met = members.join(hub, "band").where(F.col("root") != F.col("hub.root"))
-    return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-
-
 def _to_central(entries: DataFrame) -> DataFrame:
     """Every node with its shingle's most central node (least of the set in front of the shingle,
     so the fewest rare shingles), if that is of another component and can be linked."""
