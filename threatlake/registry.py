@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates
-from .functions.normalize import access_is_dangerous, basename, outcome
-from .operators import graph, hunt, incidents, rules, summaries
+from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, outcome, parent_guid, process_guid
+from .operators import graph, hunt, incidents, rules, summaries, verdicts
 from .sources.tables import EVENTS_SQL, events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,55 @@ def vector_norms(spark, sf_dir):
     return rows.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg(square), 4).alias("mean_square"))
 
 
+def _uuid5_sql(seed: str) -> str:
+    digest = f"sha1(unhex('{DNS_NAMESPACE}') || encode({seed}))"
+    return f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || translate(substr({digest}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)"
+
+
+@query("select seq, " + _uuid5_sql("hostname || '-' || process_name || '-' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || commandline") + " as guid, " + _uuid5_sql("hostname || '-' || parent_process_name || '-parent'") + " as parent_guid from ev")
+def norm_guid(spark, sf_dir):
+    guid = process_guid(F.col("hostname"), F.col("process_name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("commandline"))
+    return events(spark, sf_dir).select("seq", guid.alias("guid"), parent_guid(F.col("hostname"), F.col("parent_process_name")).alias("parent_guid"))
+
+
+@query("select seq, hostname, user_name, 'DS-Replication-Get-Changes' as matched_right, 10 as severity from ev where event_id = '4662' and contains(lower(properties), '1131f6aa-9c07-11d1-f79f-00c04fc2dcd2')")
+def agg_dcsync(spark, sf_dir):
+    return verdicts.replication_rights(events(spark, sf_dir))
+
+
+_EXCLUDED = "user_name = 'invalid user' or source_ip = '10.0.0.4'"
+
+
+@query(f"""select incident, finding_count, active_finding_count, severity_rank, active_finding_count = 0 as all_excluded, 'P' || cast(greatest(0, 4 - severity_rank) as varchar) as priority from (
+    select hostname as incident, count(*) as finding_count, count(*) filter (not ({_EXCLUDED})) as active_finding_count,
+    coalesce(max({_RANK}) filter (not ({_EXCLUDED})), max({_RANK})) as severity_rank from de group by hostname) x""", _FINDINGS + _DEDUP)
+def exclude_findings(spark, sf_dir):
+    found = dedup_findings(spark, sf_dir).withColumn("incident", F.col("hostname"))
+    return verdicts.exclude_findings(found, found.where(_EXCLUDED))
+
+
+@query(f"""select item, cast(ord as int) as ord, value from (
+    select 'overall_severity' as item, 1 as ord, ['clean', 'low', 'medium', 'high', 'critical'][coalesce(max({_RANK}), 0) + 1] as value from de
+    union all select 'attack_stage', 1, coalesce(max(tactic), 'None') from de
+    union all select 'findings', 1, cast(count(*) as varchar) from de
+    union all select 'critical', 1, cast(count(*) filter (severity = 'CRITICAL') as varchar) from de
+    union all select 'host', row_number() over (order by hostname), hostname from (select distinct hostname from de order by hostname limit 100) h
+    union all select 'user', row_number() over (order by user_name), user_name from (select distinct user_name from de order by user_name limit 100) u
+    union all select 'technique ' || mitre, 1, arg_max(rule_id, seq * 1000 + rule_ord) from de where regexp_full_match(mitre, 'T[0-9]{{4}}([.][0-9]{{3}})?') group by mitre
+    union all select 'key finding', row_number() over (order by {_RANK} desc, seq, rule_ord), rule_id || ' on ' || hostname || ' by ' || user_name from (select * from de order by {_RANK} desc, seq, rule_ord limit 8) k
+    ) x""", _FINDINGS + _DEDUP)
+def agg_session_summary(spark, sf_dir):
+    return verdicts.session_summary(dedup_findings(spark, sf_dir))
+
+
+@query("""select hostname as incident_id, arg_max(event_outcome, seq) filter (event_outcome is not null) as status,
+    arg_max(target_image, seq) filter (target_image is not null) as note, max(seq) as seq from ev group by hostname""")
+def latest_triage(spark, sf_dir):
+    log = events(spark, sf_dir).select(F.col("hostname").alias("incident_id"), "seq", F.col("event_outcome").alias("status"), F.col("target_image").alias("note"))
+    newest = log.groupBy("incident_id").agg(F.max("seq").alias("seq"))
+    return incidents.latest_triage(log).join(newest, "incident_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
