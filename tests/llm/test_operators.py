@@ -176,6 +176,25 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def linked(texts):
+    """What near_duplicates has to return, by comparing all pairs."""
+    sets = {d: shingles(t or "") for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in texts:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d), find(d) == d) for d in texts}
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(11)
     words = [f"w{k}" for k in range(4000)]
@@ -196,22 +215,22 @@ def test_near_duplicates_match_brute_force(spark):
         texts[k] = " ".join(copy)
         k += 1
     texts |= {k: None, k + 1: "", k + 2: "same few", k + 3: "SAME few"}
-    sets = {d: shingles(t or "") for d, t in texts.items()}
-    root = {d: d for d in texts}
+    got = neardup.near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(texts)
 
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
 
-    for a in texts:
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
+def test_near_duplicates_hot_group(spark):
+    """Copies of one text with none to nine words replaced: many share buckets, few links cross components."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = {}
+    for k in range(150):
+        copy = list(base)
+        for _ in range(k % 10):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(60)}"
+        texts[k] = " ".join(copy)
     got = neardup.near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {d: (len(sets[d]), find(d), find(d) == d) for d in texts}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(texts)
 
 
 def test_near_duplicates_odd_rows(spark, odd):
