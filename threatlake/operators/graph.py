@@ -43,3 +43,26 @@ def tree(edge: DataFrame, depth: int = 64) -> DataFrame:
             break
         out = out.unionByName(front)
     return out.select("root", "node", "depth")
+
+
+def ego(edge: DataFrame, matched: DataFrame) -> DataFrame:
+    """Matched nodes (column node) and all that one edge, either way, connects with them."""
+    near = [edge.join(matched.select(F.col("node").alias(a)), a, "left_semi").select(F.col(b).alias("node")) for a, b in (("source", "target"), ("target", "source"))]
+    return matched.select("node").union(near[0]).union(near[1]).distinct()
+
+
+def with_ancestors(edge: DataFrame, matched: DataFrame, depth: int = 64) -> DataFrame:
+    """Matched nodes (column node), all their ancestors, and one level of children of these.
+
+    A round walks up only from nodes that are new, so cycles end.
+    """
+    spawn = edge.where("type = 'SPAWNED'").select("source", "target").distinct().persist()
+    front = seen = matched.select("node").distinct()
+    for _ in range(depth):
+        up = spawn.join(front.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        front = up.join(seen, "node", "left_anti").persist()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    children = spawn.join(seen.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"))
+    return seen.unionByName(children).distinct()

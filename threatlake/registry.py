@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import predicates
+from .functions import decode, predicates
 from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, outcome, parent_guid, process_guid
-from .operators import graph, hunt, incidents, rules, summaries, verdicts
+from .operators import graph, hunt, incidents, rules, summaries, vectors, verdicts
 from .sources.tables import EVENTS_SQL, events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,21 +121,24 @@ def agg_hunt_summary(spark, sf_dir):
     return found.groupingSets([["severity"], ["tactic"], []], "severity", "tactic").agg(F.count("*").alias("findings"), F.countDistinct("mitre").alias("techniques"))
 
 
-@query("""select rule_id, severity, source_ip, invalid as invalid_failures, hosts, accounts, first_seen, last_seen from (
+_CORR = """select rule_id, severity, source_ip, invalid as invalid_failures, hosts, accounts, first_seen, last_seen from (
   select *, unnest([case when won > 0 then 1 end, case when real > 0 then 2 end, case when won = 0 and real = 0 then 3 end]) as c from per where invalid >= 5) x,
   lateral (select case c when 1 then 'TH-CORR-001' when 2 then 'TH-CORR-002' else 'TH-CORR-003' end as rule_id, case c when 1 then 'CRITICAL' when 2 then 'HIGH' else 'MEDIUM' end as severity,
-    case c when 1 then won_users when 2 then real_users else '' end as accounts, case c when 1 then last_won when 2 then last_real else last_invalid end as last_seen) y where c is not null""",
-    """, per as (select source_ip, count(*) filter (f and i) as invalid, count(*) filter (f and not i) as real, count(*) filter (s) as won,
+    case c when 1 then won_users when 2 then real_users else '' end as accounts, case c when 1 then last_won when 2 then last_real else last_invalid end as last_seen) y where c is not null"""
+_PER = """, per as (select source_ip, count(*) filter (f and i) as invalid, count(*) filter (f and not i) as real, count(*) filter (s) as won,
   coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (s), '') as won_users, coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (f and not i), '') as real_users,
   coalesce(string_agg(distinct hostname, ', ' order by hostname) filter (f or s), '') as hosts, min(ts) filter (f and i) as first_seen, max(ts) filter (s) as last_won, max(ts) filter (f and not i) as last_real, max(ts) filter (f and i) as last_invalid
-  from (select *, coalesce(event_outcome, '') = 'failed' as f, coalesce(event_outcome, '') = 'success' as s, user_name = 'invalid user' as i from ev where process_name = 'sshd' or event_category = 'authentication') a group by source_ip)""")
+  from (select *, coalesce(event_outcome, '') = 'failed' as f, coalesce(event_outcome, '') = 'success' as s, user_name = 'invalid user' as i from ev where process_name = 'sshd' or event_category = 'authentication') a group by source_ip)"""
+
+
+@query(_CORR, _PER)
 def corr_bruteforce(spark, sf_dir):
     return rules.bruteforce(events(spark, sf_dir))
 
 
-@query("select rule_id, severity, count(*) as n from de group by 1, 2", _FINDINGS + _DEDUP)
+@query(f"select rule_id, severity, count(*) as n from (select rule_id, severity from de union all select rule_id, severity from ({_CORR}) c) u group by 1, 2", _FINDINGS + _DEDUP + _PER)
 def union_findings(spark, sf_dir):
-    both = dedup_findings(spark, sf_dir).select("rule_id", "severity")
+    both = dedup_findings(spark, sf_dir).unionByName(corr_bruteforce(spark, sf_dir), allowMissingColumns=True)
     return both.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
@@ -344,6 +347,37 @@ def latest_triage(spark, sf_dir):
     return incidents.latest_triage(log).join(newest, "incident_id")
 
 
+_MATCHED = ", m as (select distinct process_guid as node from ev where process_name = 'powershell.exe' and hostname = 'host-3')"
+
+
+def _matched(spark, sf_dir):
+    return events(spark, sf_dir).where("process_name = 'powershell.exe' and hostname = 'host-3'").select(F.col("process_guid").alias("node")).distinct()
+
+
+@query("select node from m union select target from ed join m on source = node union select source from ed join m on target = node", _EDGES + _MATCHED)
+def filter_graph_ego(spark, sf_dir):
+    return graph.ego(graph_edges(spark, sf_dir), _matched(spark, sf_dir))
+
+
+@query("select node from up union select target from ed join up on source = node and type = 'SPAWNED'", _EDGES + _MATCHED + ", up as (select node from m union select source from ed join up on target = node and type = 'SPAWNED')")
+def filter_tree_ancestors(spark, sf_dir):
+    return graph.with_ancestors(graph_edges(spark, sf_dir), _matched(spark, sf_dir))
+
+
+@query()
+def decode_commands(spark, sf_dir):
+    return decode.decode_commands(events(spark, sf_dir)).select("commandline", F.array_join("decoded", "\n").alias("decoded"))
+
+
+@query("""select query_id, cast(rank as int) as rank, neighbour_id, round(similarity, 4) as similarity from (
+    select *, row_number() over (partition by query_id order by similarity desc, neighbour_id) as rank from (
+    select q.vec_id as query_id, v.vec_id as neighbour_id, coalesce(round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9), 0) as similarity
+    from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id) x) y where rank <= 5""")
+def knn_dense(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.knn_dense(rows, rows.where("vec_id % 50 = 0")).withColumn("similarity", F.round("similarity", 4))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
