@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +51,58 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "Event") -> DataFram
     return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), F.from_json(F.to_json(F.struct("*")), MAP).alias("raw"), F.lit(None).cast("string").alias("line"))
 
 
-READERS = {"json": read_json, "ndjson": read_ndjson, "jsonl": read_ndjson, "csv": read_csv, "xml": read_xml, "log": read_log, "txt": read_log}
+def objects(text: str) -> Iterator[str]:
+    """The JSON objects of a text one after another; what does not parse is skipped up to the next brace."""
+    read, opening, at = json.JSONDecoder().raw_decode, re.compile(r"\{"), 0
+    while m := opening.search(text, at):
+        try:
+            _, at = read(text, m.start())
+            yield text[m.start() : at]
+        except (ValueError, RecursionError):
+            at = m.end()
+
+
+def read_concat_json(spark: SparkSession, path: str) -> DataFrame:
+    """Objects one after another, also over several lines; one task per file, so split large files."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_src"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(objects(text))
+                yield pa.RecordBatch.from_arrays([pa.array([src] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["_src", "seq", "line"])
+
+    rows = whole.mapInArrow(run, "_src string, seq long, line string")
+    return rows.select("_src", "seq", F.from_json("line", MAP).alias("raw"), "line").where("raw is not null")
+
+
+_DATA = "struct<Data: array<struct<_Name: string, _VALUE: string>>>"
+_SYSTEM = ("EventID", "Version", "Level", "Task", "Opcode", "Keywords", "EventRecordID", "Channel", "Computer")
+_EVENT = (
+    f"System struct<Provider: struct<_Name: string, _Guid: string>, TimeCreated: struct<_SystemTime: string>, Execution: struct<_ProcessID: string, _ThreadID: string>, "
+    f"Security: struct<_UserID: string>, {', '.join(f'{c}: string' for c in _SYSTEM)}>, EventData {_DATA}, UserData {_DATA}, DebugData {_DATA}"
+)
+
+
+def read_winevent_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Exported event-log XML: System values by name, named Data values, EventCode and ComputerName
+    as copies. Of equal names the last counts; an element without a value is left out."""
+    table = spark.read.format("xml").option("rowTag", "Event").schema(_EVENT).load(path)
+
+    def pair(name: str, column: str):
+        return F.struct(F.lit(name).alias("key"), F.col(column).alias("value"))
+
+    system = [pair(c, f"System.{c}") for c in _SYSTEM] + [
+        pair("Provider", "System.Provider._Name"), pair("ProviderGuid", "System.Provider._Guid"), pair("TimeCreated", "System.TimeCreated._SystemTime"), pair("ProcessID", "System.Execution._ProcessID"),
+        pair("ThreadID", "System.Execution._ThreadID"), pair("UserID", "System.Security._UserID"), pair("EventCode", "System.EventID"), pair("ComputerName", "System.Computer"),
+    ]
+    data = [F.coalesce(F.transform(f"{c}.Data", lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value"))), F.array().cast("array<struct<key: string, value: string>>")) for c in ("EventData", "UserData", "DebugData")]
+    pairs = F.filter(F.concat(F.array(*system), *data), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    last = F.aggregate(pairs, F.create_map().cast(MAP), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+    return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), last.alias("raw"), F.lit(None).cast("string").alias("line"))
+
+
+READERS = {"json": read_json, "ndjson": read_ndjson, "jsonl": read_ndjson, "csv": read_csv, "xml": read_xml, "concat_json": read_concat_json, "winevent_xml": read_winevent_xml, "log": read_log, "txt": read_log}
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
