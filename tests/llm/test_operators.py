@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threatlake.llm import chat, classifier, ctw, decontaminate, html, linedup, neardup, packing, pii, queries, rules
 
@@ -420,6 +421,34 @@ def test_chat_layouts(spark):
         assert r.layout == name and (r.turns is None if turns is None else [tuple(t) for t in r.turns] == turns)
 
 
+def test_chat_large_texts(spark):
+    """One text over 20 M characters, a conversation over 128 MiB, and JSON records of these."""
+    unit, long = 'abcde fgh \\ "\n', 1_500_000
+    rows = spark.range(8).selectExpr("if(id = 0, 1, 2) as conv_id", "id as turn", "if(id % 2 = 0, 'assistant', 'user') as role").withColumn("text", F.repeat(F.lit(unit), long))
+    done = chat.format_conversations(rows).select("conv_id", "loss_mask", F.sha2("formatted", 256).alias("sha256"))
+    got = {r.conv_id: r for r in done.collect()}
+    for c, turns in ((1, [0]), (2, range(1, 8))):
+        want, at, spans = hashlib.sha256(), 0, []
+        for n in turns:
+            role = "assistant" if n % 2 == 0 else "user"
+            want.update(f"<|im_start|>{role}\n{unit * long}<|im_end|>\n".encode())
+            begin = at + len(f"<|im_start|>{role}\n")
+            at = begin + len(unit) * long + len("<|im_end|>\n")
+            spans += [(begin, begin + len(unit) * long)] if role == "assistant" else []
+        assert got[c].sha256 == want.hexdigest() and [tuple(s) for s in got[c].loss_mask] == spans
+    text = F.col("text")
+    two = F.struct(text.alias("prompt"), F.lit("c").alias("completion"))
+    many = F.struct(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda _: F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages"))
+    one = rows.where("turn = 0")
+    records = one.select(F.to_json(two).alias("r")).union(one.select(F.to_json(many))).union(one.select(F.concat(F.lit("not json "), "text")))
+    read = chat.to_turns(records, "r").select("layout", F.transform("turns", lambda t: F.md5(t["text"])).alias("m")).collect()
+    m = hashlib.md5((unit * long).encode()).hexdigest()
+    assert [tuple(r) for r in read] == [("prompt", [m, hashlib.md5(b"c").hexdigest()]), ("messages", [m] * 7), (None, None)]
+    large = spark.range(1).select(F.concat(F.lit('{"other": ['), F.repeat(F.lit("1.5,"), 14_000_000), F.lit("1.5]}")).alias("r"))
+    with pytest.raises(Exception, match="(?i)variant.*size|size.*limit"):
+        chat.to_turns(large, "r").select("layout").collect()
+
+
 # --- html
 
 

@@ -2,7 +2,8 @@
 
 Records of several layouts (prompt and completion, instruction with input, message lists)
 come as JSON. The nested field paths of a record are hashed; the hash selects a declarative
-mapping to canonical turns. Turns are written in one template, in which control strings
+mapping to canonical turns. The paths are read from a skeleton without texts, so the limits
+of VARIANT (128 MiB) and of JSON strings (20 M characters) do not bound a text or a record. Turns are written in one template, in which control strings
 inside texts are escaped reversibly, and a mask marks what a model is trained on.
 """
 
@@ -44,38 +45,44 @@ def _role_back(role: Column) -> Column:
 @dataclass(frozen=True)
 class Layout:
     """paths: the nested field paths of a record, sorted; turns: their mapping, a SQL
-    expression over the VARIANT column `_v` that gives TURNS."""
+    expression over `_r`, the record as a struct of `fields`, that gives TURNS."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
 
+    @property
+    def fields(self) -> str:
+        """The record's schema: lists of structs as the paths name them, all else text."""
+        inner = {p: [q.removeprefix(f"{p}[].") for q in self.paths if q.startswith(f"{p}[].")] for p in self.paths if "[]." not in p}
+        return ", ".join(f"{p} " + (f"array<struct<{', '.join(f'{q}: string' for q in qs)}>>" if qs else "string") for p, qs in inner.items())
 
-def _get(path: str) -> str:
-    return f"coalesce(try_variant_get(_v, '{path}', 'string'), '')"
+
+def _get(field: str) -> str:
+    return f"coalesce(_r.{field}, '')"
 
 
 def _turn(role: str, text: str) -> str:
     return f"named_struct('role', {role}, 'text', {text})"
 
 
-def _list(path: str, role: str, text: str) -> str:
+def _list(field: str, role: str, text: str) -> str:
     item = f"named_struct('role', coalesce(x.{role}, ''), 'text', coalesce(x.{text}, ''))"
-    return f"transform(try_variant_get(_v, '{path}', 'array<struct<{role}:string,{text}:string>>'), x -> {item})"
+    return f"transform(_r.{field}, x -> {item})"
 
 
 LAYOUTS = (
-    Layout("turns", ("turns", "turns[].role", "turns[].text"), _list("$.turns", "role", "text")),
-    Layout("messages", ("messages", "messages[].content", "messages[].role"), _list("$.messages", "role", "content")),
+    Layout("turns", ("turns", "turns[].role", "turns[].text"), _list("turns", "role", "text")),
+    Layout("messages", ("messages", "messages[].content", "messages[].role"), _list("messages", "role", "content")),
     Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"),
-           "transform(" + _list("$.conversations", "from", "value") + ", x -> named_struct('role', "
+           "transform(" + _list("conversations", "from", "value") + ", x -> named_struct('role', "
            "case x.role when 'human' then 'user' when 'gpt' then 'assistant' else x.role end, 'text', x.text))"),
-    Layout("prompt", ("completion", "prompt"), f"array({_turn("'user'", _get('$.prompt'))}, {_turn("'assistant'", _get('$.completion'))})"),
-    Layout("response", ("prompt", "response"), f"array({_turn("'user'", _get('$.prompt'))}, {_turn("'assistant'", _get('$.response'))})"),
-    Layout("qa", ("answer", "question"), f"array({_turn("'user'", _get('$.question'))}, {_turn("'assistant'", _get('$.answer'))})"),
-    Layout("instruction", ("instruction", "output"), f"array({_turn("'user'", _get('$.instruction'))}, {_turn("'assistant'", _get('$.output'))})"),
+    Layout("prompt", ("completion", "prompt"), f"array({_turn("'user'", _get('prompt'))}, {_turn("'assistant'", _get('completion'))})"),
+    Layout("response", ("prompt", "response"), f"array({_turn("'user'", _get('prompt'))}, {_turn("'assistant'", _get('response'))})"),
+    Layout("qa", ("answer", "question"), f"array({_turn("'user'", _get('question'))}, {_turn("'assistant'", _get('answer'))})"),
+    Layout("instruction", ("instruction", "output"), f"array({_turn("'user'", _get('instruction'))}, {_turn("'assistant'", _get('output'))})"),
     Layout("alpaca", ("input", "instruction", "output"),
-           f"array({_turn("'user'", "concat_ws('\\n\\n', " + _get('$.instruction') + ", nullif(" + _get('$.input') + ", ''))")}, {_turn("'assistant'", _get('$.output'))})"),
+           f"array({_turn("'user'", "concat_ws('\\n\\n', " + _get('instruction') + ", nullif(" + _get('input') + ", ''))")}, {_turn("'assistant'", _get('output'))})"),
 )
 
 
@@ -101,13 +108,42 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+#: Strings that end in a colon are keys; groups are possessive, so long texts need no stack.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_VALUE = rf'(?s)\G([^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}'
+_REPEAT = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
+#: Bytes under which JSON always fits a VARIANT: one byte never becomes more than six.
+_FITS = 16_000_000
+_OPTIONS = "map('maxStringLen', '2147483647', 'columnNameOfCorruptRecord', '_bad')"
+
+
+def skeleton(json: Column) -> Column:
+    """JSON with empty texts and one of equal neighbours in a list; it has the same field paths."""
+    return F.regexp_replace(F.regexp_replace(json, _VALUE, '$1""'), _REPEAT, "$1")
+
+
+def _parsed(json: Column) -> Column:
+    """The VARIANT of a text; null if it is not JSON, an error if only its size is the reason."""
+    sound = (F.octet_length(json) > _FITS) & F.from_json(json, "map<string,string>", {"maxStringLen": "2147483647"}).isNotNull()
+    return F.when(sound, F.parse_json(json)).otherwise(F.try_parse_json(json))
+
+
+def _mapped(json_col: str, layout: Layout) -> Column:
+    """The turns of a record by a layout; null if the record is not JSON after all."""
+    record = f"from_json(`{json_col}`, '{layout.fields}, _bad string', {_OPTIONS})"
+    return F.expr(f"transform(array({record}), _r -> if(_r._bad is null, cast({layout.turns} as {TURNS}), null))[0]")
+
+
 def to_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds layout (null: unknown, or not JSON) and turns (null then) to records of JSON text."""
-    marked = records.withColumn("_v", F.try_parse_json(json_col)).withColumn("_f", fingerprint(field_paths(F.col("_v"))))
+    """Adds layout (null: unknown, or not JSON) and turns (null then) to records of JSON text.
+
+    A JSON record whose skeleton is too large for a VARIANT is an error, not a null.
+    """
+    marked = records.withColumn("_f", fingerprint(field_paths(_parsed(skeleton(F.col(json_col))))))
     known = [(layout, F.col("_f") == fingerprint(F.array(*map(F.lit, layout.paths)))) for layout in layouts]
     name = F.coalesce(*(F.when(hit, F.lit(layout.name)) for layout, hit in known))
-    turns = F.coalesce(*(F.when(hit, F.expr(layout.turns).cast(TURNS)) for layout, hit in known))
-    return marked.withColumn("layout", name).withColumn("turns", turns).drop("_v", "_f")
+    turns = F.coalesce(*(F.when(hit, _mapped(json_col, layout)) for layout, hit in known))
+    return marked.withColumn("turns", turns).withColumn("layout", F.when(F.col("turns").isNotNull(), name)).drop("_f")
 
 
 def format_turns(records: DataFrame, turns_col: str = "turns") -> DataFrame:
@@ -158,16 +194,15 @@ def masked_texts(formatted: Column, loss_mask: Column) -> Column:
     return F.transform(loss_mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
 
 
-def records_of_rows(rows: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """One JSON record {"turns": [...]} per key from rows of turns (null role or text: empty).
+def turns_of_rows(rows: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """The TURNS of each key from rows of turns (null role or text: empty).
 
     Turns go by (turn, role, text), null turns first, so ties have a defined order. Rows of
     one key are combined before the shuffle as far as they lie together.
     """
     item = F.struct(F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_t"))
-    record = F.to_json(F.struct(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
-    return grouped.select(key, record.alias("record"))
+    return grouped.select(key, F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def digests(formatted: DataFrame, key: str) -> DataFrame:
@@ -185,7 +220,9 @@ def format_conversations(rows: DataFrame, key: str = "conv_id", turn: str = "tur
     """(key, formatted, loss_mask) per conversation of a table of turns.
 
     Null roles and texts are empty, a null key is a conversation of its own, repeated rows are
-    repeated turns, other columns are ignored, and an empty table gives no rows.
+    repeated turns, other columns are ignored, and an empty table gives no rows. The columns
+    are of one layout, so texts go into the turns as they are, without JSON; a conversation
+    is bounded only by Spark's size of a row (2 GB), above which the job fails.
     """
     clean = rows.select(F.col(key), F.col(turn), F.col(role), F.col(text))
-    return format_turns(to_turns(records_of_rows(clean, key, turn, role, text), "record")).select(key, "formatted", "loss_mask")
+    return format_turns(turns_of_rows(clean, key, turn, role, text)).select(key, "formatted", "loss_mask")
