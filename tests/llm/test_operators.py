@@ -72,6 +72,17 @@ def test_pii_further_kinds():
     assert [text[a:b] for k, a, b in pii.find_spans(text)] == ["DE89 3704 0044 0532 0130 00", "https://ex.org/a?b=1", "123-45-6789", "abcdefghijklmnopqrstuv0123"]
 
 
+def test_pii_iban_before_capitals_and_numbers():
+    known = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    # a country without a fixed length: check digits made for the number
+    other = next(t for t in (f"ZZ{n:02d} 1234 5678 9012 3456" for n in range(2, 99)) if pii._iban(t))
+    for iban in (*known, other):
+        for tail in ("", " BIC COBADEFFXXX", " EUR 1200", " 2024", " Please pay", " 99 A B C D E", ", then"):
+            text = f"IBAN: {iban}{tail}"
+            assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [iban], text
+    assert not [s for s in pii.find_spans("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") if s[0] == "iban"]
+
+
 # --- rules
 
 

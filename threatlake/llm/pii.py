@@ -27,6 +27,11 @@ _CARD_AT = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE_AT = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_AT = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 _IBAN_AT = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30})")
+#: Characters of an account number by country (IBAN registry).
+_IBAN_SIZE = {c: int(n) for n, cs in (p.split(":") for p in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
 _SSN_AT = re.compile(r"[\s:#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 _SECRET_AT = re.compile(r"[A-Za-z0-9_+/=-]{20,}(?=\")")
 
@@ -64,6 +69,20 @@ def _iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _iban_size(run: str) -> int:
+    """Length of the account number that a run of groups begins with, 0 if there is none.
+
+    The country fixes its number of characters; where the country is not known, every end
+    of a group is tried, longest first.
+    """
+    places = [i + 1 for i, c in enumerate(run) if c != " "]
+    if known := _IBAN_SIZE.get(run[:2]):
+        ends = [places[known - 1]] if len(places) >= known else []
+    else:
+        ends = [i for i in reversed(places) if i == len(run) or run[i] == " "]
+    return next((i for i in ends if _iban(run[:i])), 0)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All valid spans (kind, start, end), by start and kind. Code points, end exclusive."""
     out: list[tuple[str, int, int]] = []
@@ -109,9 +128,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if stop > end:
                     out.append(("url", start, stop))
         elif kind == "iban":
-            if (m := _IBAN_AT.match(text, end)) and _iban(m[1]):
-                done["iban"] = m.end()
-                out.append(("iban", m.start(1), m.end(1)))
+            if (m := _IBAN_AT.match(text, end)) and (size := _iban_size(m[1])):
+                done["iban"] = m.start(1) + size
+                out.append(("iban", m.start(1), m.start(1) + size))
         elif kind == "ssn":
             if m := _SSN_AT.match(text, end):
                 done["ssn"] = m.end()
