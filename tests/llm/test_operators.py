@@ -293,6 +293,23 @@ def test_leaks_match_alignment_everywhere(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_leaks_of_short_items():
+    """Items of 1 to 39 characters, exact and with all edits of their budget, evenly spread."""
+    rng = random.Random(9)
+    for n in range(1, 40):
+        item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        budget = int(n * decontaminate.EDIT_SHARE)
+        index = decontaminate.Index.of([("x", item), ("none", None)], decontaminate.EDIT_SHARE)
+        assert (index.need >= 1).all()
+        places = [(k + 1) * n // (budget + 1) for k in range(budget)]
+        near = "".join("#" if k in places else c for k, c in enumerate(item))
+        assert len(places) == sum(c == "#" for c in near) == budget
+        found = index.find(f"0123 {item} 4567 {near} 89")
+        assert [(m[0], m[1], m[3]) for m in found] == [(0, 5, 0), (0, 5 + n + 6, budget)], (n, found)
+    index = decontaminate.Index.of([("x", "aa")], decontaminate.EDIT_SHARE)
+    assert [m[1] for m in index.find("aaaaa b aa")] == [0, 2, 8]
+
+
 def test_leaks_odd_rows(spark, odd):
     marks = spark.createDataFrame([(1, None), (2, ""), (3, "short")], "item_id long, text string")
     assert decontaminate.find_leaks(spark, odd, marks).count() == 0

@@ -3,7 +3,7 @@
 Shared character q-grams of a document and a benchmark item are counted in overlapping
 bands of diagonals. A text within e edits of an item of length n shares at least
 n + 1 - q - q*e of its q-grams in some band; regions that reach this bound are verified
-by banded alignment.
+by banded alignment. Short items have shorter grams, so that the bound is at least 1.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from .common import chunks, filter_texts, fresh
 
+#: Longest grams; an item of length n with e edits has min(Q, n // (e + 1)).
 Q = 10
-#: Edits allowed, as a share of the item's length; q * share < 1 keeps the lemma's bound positive.
+#: Edits allowed, as a share of the item's length.
 EDIT_SHARE = 0.08
 #: Text of the benchmark that is sent to the tasks at once; a larger one is searched in blocks.
 BLOCK_CHARS = 4_000_000
@@ -31,12 +32,17 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def gram_keys(text: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the Q characters from each position on (UTF-32 code points)."""
-    n = len(text) - Q + 1
+def gram_keys(text: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit key of the q characters from each position on (UTF-32 code points)."""
+    n = len(text) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     c = text.astype(np.uint64)
+    if q != Q:
+        key = c[:n]
+        for i in range(1, q):
+            key = (key ^ (key >> np.uint64(29))) * _MIX[i % 2] + c[i : i + n]
+        return key ^ (key >> np.uint64(32))
     two = c[:-1] * np.uint64(0x100000001B3) + c[1:]
     four = two[:-2] * _MIX[0] + two[2:]
     eight = (four[:-4] ^ (four[:-4] >> np.uint64(31))) * _MIX[1] + four[4:]
@@ -49,61 +55,84 @@ def points(text: str) -> np.ndarray:
 
 
 @dataclass
-class Index:
-    """q-grams of a block of benchmark items, sorted by key, with a bitmap in front."""
+class Grams:
+    """q-grams of the items with one q, sorted by key, with a bitmap in front."""
 
-    ids: list
-    texts: list[str]
+    q: int
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
-    budget: np.ndarray
-    need: np.ndarray
-    share: float
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str]], share: float) -> Index:
-        rows = [(i, t) for i, t in ((i, normal(t or "")) for i, t in rows) if len(t) >= Q]
-        keys = [gram_keys(points(t)) for _, t in rows]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(rows), dtype=np.int64), [len(k) for k in keys]) if keys else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(k), dtype=np.int64) for k in keys]) if keys else np.zeros(0, np.int64)
+    def of(cls, q: int, items: list[int], texts: list[str]) -> Grams:
+        keys = [gram_keys(points(texts[i]), q) for i in items]
+        key = np.concatenate(keys)
+        item = np.repeat(np.array(items, np.int64), [len(k) for k in keys])
+        place = np.concatenate([np.arange(len(k), dtype=np.int64) for k in keys])
         order = np.argsort(key, kind="stable")
         bitmap = np.zeros(1 << 22, bool)
         bitmap[(key & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        length = np.array([len(t) for _, t in rows], np.int64)
-        budget = np.floor(length * share).astype(np.int64)
-        need = np.maximum(length + 1 - Q - Q * budget, 1)
-        return cls([i for i, _ in rows], [t for _, t in rows], key[order], item[order], place[order], bitmap, budget, need, share)
+        return cls(q, key[order], item[order], place[order], bitmap)
 
-    def regions(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, from, to) of document regions whose band holds enough shared q-grams."""
-        key = gram_keys(points(text))
+    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of every shared gram."""
+        key = gram_keys(text, self.q)
         at = np.flatnonzero(self.bitmap[(key & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        if not len(at):
-            return []
         low, high = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        if not len(at):
-            return []
         hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item = self.item[hit]
-        diagonal = np.repeat(at, n) - self.place[hit]
-        width = self.budget[item] + 1
-        band = np.floor_divide(diagonal, width)
-        span = np.int64(len(text) + 4_000_000)
+        return self.item[hit], np.repeat(at, n) - self.place[hit]
+
+
+@dataclass
+class Index:
+    """A block of benchmark items and their q-grams, by q."""
+
+    ids: list
+    texts: list[str]
+    grams: list[Grams]
+    budget: np.ndarray
+    need: np.ndarray
+    share: float
+
+    @classmethod
+    def of(cls, rows: list[tuple[object, str]], share: float) -> Index:
+        rows = [(i, t) for i, t in ((i, normal(t or "")) for i, t in rows) if t]
+        texts = [t for _, t in rows]
+        length = np.array([len(t) for t in texts], np.int64)
+        budget = np.floor(length * share).astype(np.int64)
+        q = np.minimum(Q, length // (budget + 1))  # so that need is 1 at least
+        grams = [Grams.of(int(k), np.flatnonzero(q == k).tolist(), texts) for k in np.unique(q)]
+        return cls([i for i, _ in rows], texts, grams, budget, length + 1 - q - q * budget, share)
+
+    def regions(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, from, to) of document regions whose band holds enough shared q-grams."""
+        code = points(text)
+        return [region for grams in self.grams for region in self._regions(*grams.hits(code), len(text))]
+
+    def _regions(self, item: np.ndarray, diagonal: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+        if not len(item):
+            return []
+        span = np.int64(length + 4_000_000)
+        # without edits a diagonal is the only place of a match
+        plain = self.budget[item] == 0
+        code, count = np.unique(item[plain] * span + diagonal[plain] + 2_000_000, return_counts=True)
+        i, d = code // span, code % span - 2_000_000
+        enough = (count >= self.need[i]) & (d >= 0)
+        out = [(i, d, d + len(self.texts[i])) for i, d in zip(i[enough].tolist(), d[enough].tolist())]
+        item, diagonal = item[~plain], diagonal[~plain]
+        band = np.floor_divide(diagonal, self.budget[item] + 1)
         # bands are two widths wide and overlap by one: a diagonal lies in two of them, and any
         # `budget` + 1 adjacent diagonals lie together in one
         code = np.concatenate([item * span + band + 2_000_000, item * span + band + 1_999_999])
         code, count = np.unique(code, return_counts=True)
         item, band = code // span, code % span - 2_000_000
         enough = count >= self.need[item]
-        out = []
         for i, b in zip(item[enough].tolist(), band[enough].tolist()):
             width, size = int(self.budget[i]) + 1, len(self.texts[i])
-            out.append((i, max(0, b * width - width), min(len(text), (b + 2) * width + size + width)))
+            out.append((i, max(0, b * width - width), min(length, (b + 2) * width + size + width)))
         return out
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -159,8 +188,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
 
     Positions are code points of the text in lower case with single spaces. An item matches
     where at most share * length edits turn it into a part of the document. Null or empty
-    texts hold nothing; items shorter than Q characters, or null, are never matched; two
-    items with equal text are both reported. Repeated document rows repeat their rows. The
+    texts hold nothing; null or empty items are never matched, and short ones are matched
+    like all others (without edits below 1 / share characters); two items with equal text are both reported. Repeated document rows repeat their rows. The
     benchmark is the stated query set: it goes to the tasks in blocks of BLOCK_CHARS, each
     block against every document; no documents are gathered anywhere.
     """
