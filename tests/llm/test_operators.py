@@ -256,6 +256,28 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert kept.columns == odd.columns and kept.count() == 7
 
 
+def test_drop_near_duplicates_keeps_one_row_a_group(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(4))
+    rows = [(4, a, "y"), (4, a, "x"), (5, a + " z", "x"), (5, b, "x"), (5, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (None, c + " z", "x"), (6, d, "x"), (7, "", "x"), (7, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    kept = neardup.drop_near_duplicates(spark, frame)
+    assert kept.columns == frame.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(r[0] for r in got if r[0] is not None) == [4, 5, 6, 7, 7] and sum(r[0] is None for r in got) == 1
+    assert {(5, b, "x"), (6, d, "x")} <= set(got) and all(r[1] in (c, c + " z") for r in got if r[0] is None)
+    assert neardup.drop_near_duplicates(spark, frame.select("doc_id", "text")).count() == 6
+
+
+def test_classifier_learns_a_repeated_document_once(spark):
+    rows = [(k, ("good words here " if k % 2 else "bad junk there ") * (k + 1)) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    hot = frame.union(frame.where("doc_id = 0").crossJoin(spark.range(200)).select("doc_id", "text"))
+    once, more = (classifier.fit(spark, docs, marks, sample=30) for docs in (frame, hot))
+    assert once.any() and (once == more).all()
+
+
 # --- decontamination
 
 

@@ -113,7 +113,8 @@ def score(texts: list[str], model: np.ndarray) -> np.ndarray:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000) -> np.ndarray:
     """Trains in one task on at most `sample` labelled documents, whole texts, those with the
-    least hash of the id. Only ids with crc32(id as text) mod 3 != 1 are learned from."""
+    least hash of the id. Only ids with crc32(id as text) mod 3 != 1 are learned from. Rows
+    that share an id are one document, the one with the least text."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropna().groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     marks = marks.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
@@ -122,7 +123,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         y = (rows["_y"].to_numpy() > 0).astype(int)
         return pd.DataFrame({"model": [train(list(rows["_text"]), y).tobytes()]})
 
-    got = fresh(docs, id_col, text_col).join(F.broadcast(marks), "_id").withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(one, "model binary").collect()
+    learned = fresh(docs, id_col, text_col).join(F.broadcast(marks), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"))
+    got = learned.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(one, "model binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros(SLOTS + 1, np.float32)
 
 

@@ -306,8 +306,25 @@ def _labelled(sigs: DataFrame, real: DataFrame, roots: DataFrame, scratch: Scrat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those that near_duplicates does not keep."""
-    gone = near_duplicates(spark, docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = Scratch(spark, "gone").keep(gone, "ids")
-    small = gone.count() <= SENT_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates, all columns; empty texts all stay.
+
+    The row of the least id stays, then of the least text hash; null ids take part and come
+    last. Rows equal in id and text are known by a 64-bit hash of both and become one row
+    before any text is shuffled.
+    """
+    scratch, mark = Scratch(spark, "gone"), "_row_key"
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))
+    found = near_duplicates(spark, docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text").where("n_shingles > 0")
+    marks = found.groupBy("_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    marks = scratch.keep(marks.select(F.xxhash64("_key").alias(mark), "kept"), "ids")
+    again = marks.where("kept").select(mark)
+    sent = lambda some: F.broadcast(some) if some.count() <= SENT_IDS else some
+    keyed = docs.withColumn(mark, F.xxhash64(key))
+    out = keyed.join(sent(marks.select(mark)), mark, "left_anti").drop(mark)
+    if again.isEmpty():
+        return out
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    one = keyed.join(sent(again), mark, "left_semi").groupBy(mark).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return out.union(one.select("_row.*"))
