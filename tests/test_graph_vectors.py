@@ -2,6 +2,7 @@ import base64
 import gzip
 
 import numpy as np
+import pytest
 
 from threatlake.functions.decode import decode_commands
 from threatlake.operators import graph, vectors
@@ -16,6 +17,16 @@ def test_filters_walk_cycles_and_one_hop(spark):
     assert graph.with_ancestors(edge, start.limit(0)).count() == 0
 
 
+def test_walks_of_long_chains(spark):
+    edge = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "SPAWNED") for k in range(66)], "source string, target string, type string").coalesce(1)
+    assert {(r.root, r.node, r.depth) for r in graph.tree(edge).collect()} == {("n0", f"n{k}", k) for k in range(67)}
+    last = spark.createDataFrame([("n66",)], "node string")
+    assert {r.node for r in graph.with_ancestors(edge, last).collect()} == {f"n{k}" for k in range(67)}
+    for walk in (lambda: graph.tree(edge, most_rounds=3), lambda: graph.with_ancestors(edge, last, most_rounds=3)):
+        with pytest.raises(RuntimeError, match="3 rounds"):
+            walk()
+
+
 def test_knn_of_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(40, [0.0] * 4), (41, None), (42, [1.0]), (43, [])]

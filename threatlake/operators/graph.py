@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .incidents import _write
+
+#: Rounds after which a walk is given up with an error.
+MOST_ROUNDS = 10_000
+
 
 def edges(events: DataFrame) -> DataFrame:
     """Distinct spawn and connect edges, with the label of the first event."""
@@ -29,20 +36,31 @@ def stats(edge: DataFrame) -> DataFrame:
     return edge.agg(F.count("*").alias("edges"), F.count_if(F.expr("type = 'SPAWNED'")).alias("spawned"), F.count_if(F.expr("type = 'CONNECTED'")).alias("connected"), F.countDistinct("source").alias("sources"))
 
 
-def tree(edge: DataFrame, depth: int = 64) -> DataFrame:
+def _all(rounds: list[DataFrame]) -> DataFrame:
+    """The rows of all rounds written so far, as one scan."""
+    files = [f for r in rounds for f in r.inputFiles()]
+    return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*files) if files else rounds[0]
+
+
+def tree(edge: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Depth of every process below its root, by frontier joins; a process is met once per path
-    of its own parents, and cycles end as a node is never walked twice."""
-    spawn = edge.where("type = 'SPAWNED'").select("source", "target").distinct()
+    of its own parents, and cycles end as a node is never walked twice.
+
+    Rounds are written to the shared folder until one is empty; raises after most_rounds.
+    """
+    run = f"walk-{uuid.uuid4().hex}"
+    spawn = _write(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), f"{run}-spawn")
     front = spawn.select(F.col("source").alias("node")).distinct().join(spawn.select(F.col("target").alias("node")), "node", "left_anti")
-    front = front.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    out = front
-    for _ in range(depth):
+    front = _write(front.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")), f"{run}-0")
+    rounds = [front]
+    for k in range(1, most_rounds + 1):
         front = front.join(spawn, front["node"] == spawn["source"]).where(~F.array_contains("path", F.col("target")))
         front = front.select("root", F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("target")).alias("path"))
-        if front.limit(1).count() == 0:
-            break
-        out = out.unionByName(front)
-    return out.select("root", "node", "depth")
+        front = _write(front, f"{run}-{k}")
+        if front.isEmpty():
+            return _all(rounds).select("root", "node", "depth")
+        rounds.append(front)
+    raise RuntimeError(f"the tree did not end in {most_rounds} rounds")
 
 
 def ego(edge: DataFrame, matched: DataFrame) -> DataFrame:
@@ -51,18 +69,22 @@ def ego(edge: DataFrame, matched: DataFrame) -> DataFrame:
     return matched.select("node").union(near[0]).union(near[1]).distinct()
 
 
-def with_ancestors(edge: DataFrame, matched: DataFrame, depth: int = 64) -> DataFrame:
+def with_ancestors(edge: DataFrame, matched: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Matched nodes (column node), all their ancestors, and one level of children of these.
 
-    A round walks up only from nodes that are new, so cycles end.
+    A round walks up only from nodes that are new, so cycles end. Rounds are written to the
+    shared folder until one is empty; raises after most_rounds.
     """
-    spawn = edge.where("type = 'SPAWNED'").select("source", "target").distinct().persist()
-    front = seen = matched.select("node").distinct()
-    for _ in range(depth):
+    run = f"walk-{uuid.uuid4().hex}"
+    spawn = _write(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), f"{run}-spawn")
+    front = _write(matched.select("node").distinct(), f"{run}-0")
+    rounds = [front]
+    for k in range(1, most_rounds + 1):
         up = spawn.join(front.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        front = up.join(seen, "node", "left_anti").persist()
+        front = _write(up.join(_all(rounds), "node", "left_anti"), f"{run}-{k}")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    children = spawn.join(seen.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"))
-    return seen.unionByName(children).distinct()
+            seen = _all(rounds)
+            children = spawn.join(seen.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"))
+            return seen.unionByName(children).distinct()
+        rounds.append(front)
+    raise RuntimeError(f"ancestors did not end in {most_rounds} rounds")
