@@ -3,7 +3,9 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from threatlake.functions import predicates
 from threatlake.functions.decode import decode_commands
 from threatlake.operators import graph, vectors
 
@@ -56,3 +58,8 @@ def test_hidden_commands(spark):
     got = {r.commandline: r.decoded for r in decode_commands(spark.createDataFrame(rows, "commandline string")).collect()}
     assert got[rows[0][0]] == ["Get-Process | Out-Null"] and got[rows[1][0]] == ["whoami /all and a good deal more"]
     assert got[rows[2][0]] == [] and got["dir"] == [] and len(got) == 4
+
+
+def test_patterns_see_whole_texts(spark):
+    rows = spark.range(1).select(F.concat(F.repeat(F.lit(" "), 20_000), F.lit("mimikatz")).alias("c"))
+    assert rows.select(predicates.matches(F.col("c"), "mimikatz$")).first()[0]

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-TEXT_LIMIT = 16_384  # characters that a pattern is held against
 
 
 def text(column: str) -> Column:
@@ -18,7 +17,7 @@ def text(column: str) -> Column:
 
 def matches(column: Column, pattern: str) -> Column:
     """Unicode-aware search; an empty text never matches."""
-    return F.coalesce((F.length(column) > 0) & F.substring(column, 1, TEXT_LIMIT).rlike("(?dU)" + pattern), F.lit(False))
+    return F.coalesce((F.length(column) > 0) & column.rlike("(?dU)" + pattern), F.lit(False))
 
 
 def number(column: str) -> Column:
