@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: A word as every contract of this package counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-#: Code points that one numpy step works on.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text that one numpy step works on; a single longer text is one step.
+CHUNK_CHARS = 250_000
+#: Bytes of an Arrow batch between the JVM and Python, at most, unless a single row is larger.
+BATCH_BYTES = 8 << 20
 
 _own: dict[str, str] = {}
 
@@ -58,19 +62,37 @@ def fresh(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def small_batches(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches by bytes: a batch lies in the JVM and in Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(key) or "").lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the system; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded amount of text each, so that memory follows `most`
-    characters and the longest single text, not the batch."""
-    sizes = batch.column(column).to_pylist() if batch.num_rows == 0 else pc.binary_length(batch.column(column)).to_pylist()
+    bytes and the longest single text, not the batch."""
+    sizes = pc.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []
     begin = total = 0
     for i, size in enumerate(sizes):
         if total and total + (size or 0) > most:
-            part = batch.slice(begin, i - begin)
-            yield part, part.column(column).to_pylist()
+            yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += size or 0
     if begin < len(sizes):
-        part = batch.slice(begin)
+        yield batch.slice(begin)
+
+
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for part in slices(batch, column, most):
         yield part, part.column(column).to_pylist()
 
 
@@ -89,7 +111,9 @@ def map_texts(df: DataFrame, work: Callable[[list[str]], dict[str, list]], schem
                     [part.column(c) for c in carry] + [pa.array(got[n], type=t) for n, t in arrow],
                     names=[*carry, *(n for n, _ in arrow)],
                 )
+        release()
 
+    small_batches(df)
     return df.select(*carry, text).mapInArrow(run, out)
 
 
@@ -100,5 +124,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_
         for batch in batches:
             for part, texts in chunks(batch, text_col):
                 yield part.filter(pa.array(keep([t or "" for t in texts]), type=pa.bool_()))
+        release()
 
+    small_batches(docs)
     return docs.mapInArrow(run, docs.schema)
