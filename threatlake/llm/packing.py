@@ -1,38 +1,40 @@
 """Packing by harmonic classes.
 
-A piece of length l with C/(k+1) < l <= C/k belongs to class k, whose bins hold exactly k
-pieces. Documents are cut at the powers of two that divide the capacity, which are the
-upper ends of classes 1, 2, 4, ...: such bins have no room left over. Every partition
-fills its own bins, so nothing is shuffled.
+What is left of a document after its whole sequences is one piece of length l; it belongs
+to class k where C/(k+1) < l <= C/k. A bin of class k takes exactly k such pieces. The room
+that then remains in it is filled from the next document before that one is classed, so a
+bin costs one cut and no padding. Every partition fills its own bins; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh
+from .common import BATCH_BYTES, fresh, release, slices, small_batches
 
 CAPACITY = 2048
 END = 1
-#: Words whose tokens a Python worker remembers, at most; beyond it starts anew.
-REMEMBERED = 800_000
-#: Between an ASCII letter or digit and a closing run of these marks the tokenizer always
-#: splits; the apostrophe is not among them, as it may begin a contraction.
-_TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)$")
+#: Words whose tokens a Python worker remembers, at most about; beyond it starts anew.
+REMEMBERED = 500_000
+#: Words whose tokens are put together in one numpy step.
+STEP_WORDS = 100_000
+#: Characters that are single tokens of common vocabularies; one of them stands between unseen words.
+_MARKS = "\U0001f602\u2764\u2122\u20ac"
+_JOINED = 2_000
 
 
 class Tokens:
-    """Ids of whole texts. Words between white space are tokenized once and remembered.
+    """Ids of whole texts. Words between white space are tokenized once and remembered, as
+    Arrow strings and flat arrays.
 
     This equals encoding the whole text, as this vocabulary drops white space and never
     merges across it. A text with `<|` (part of the special tokens' strings) is encoded whole.
@@ -43,118 +45,139 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        single = [(m, ids[0]) for m in _MARKS if len(ids := self._encode([m])[0]) == 1]
+        self.mark, self.mark_id = single[0] if single else (None, -1)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)  # the words' ids, one word after another
-        self.start = np.zeros((1 << 18) + 1, np.int64)
-        self._add([b""], np.array([END], np.uint32), [1])  # the end of a text is word 0
-
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: list[int]) -> None:
-        n, end = len(self.number), self.start[len(self.number)]
-        if n + len(words) + 1 > len(self.start):
-            self.start = np.append(self.start, np.zeros(len(self.start) + len(words), np.int64))
-        if end + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros(len(self.flat) + len(ids), np.uint32))
-        self.flat[end : end + len(ids)] = ids
-        self.start[n + 1 : n + len(words) + 1] = end + np.cumsum(sizes)
-        self.number.update(zip(words, range(n, n + len(words))))
-
-    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, given by number, in a row, and where each word ends in them."""
-        size = self.start[words + 1] - self.start[words]
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.start[words] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)], end
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Tokenizes unseen words, closing marks apart from the stem."""
-        whole, split = [], []
-        for w in words:
-            if m := _TAIL.search(w):
-                at = m.start(2)
-                split.append((w, w[:at], w[at:]))
+        self.words = pa.array([], pa.string())
+        self.flat = np.array([END], np.uint32)  # the end of a text, then the words' ids, one word after another
+        self.start = np.array([0, 1], np.int64)  # a word's number is its place among the words plus one
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, unseen: pa.StringArray) -> None:
+        """Tokenizes unseen words, many at a time with the mark between them."""
+        flat, size = [self.flat], [self.start[1:] - self.start[:-1]]
+        for begin in range(0, len(unseen), _JOINED):
+            some = unseen.slice(begin, _JOINED).to_pylist()
+            if self.mark and not any(self.mark in w for w in some):
+                ids = np.array(self._encode([f" {self.mark} ".join(some)])[0], np.uint32)
+                marks = np.flatnonzero(ids == self.mark_id)
+                flat.append(np.delete(ids, marks))
+                size.append(np.diff(marks, prepend=-1, append=len(ids)) - 1)
             else:
-                whole.append(w)
-        number = self.number
-        new = list({x for _, *pair in split for x in pair}.union(whole) - number.keys())
-        ids = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        self._add(new, np.fromiter(chain.from_iterable(ids), np.uint32), list(map(len, ids)))
-        if split:
-            flat, end = self._gather(np.array([number[x] for _, *pair in split for x in pair], np.int64))
-            self._add([w for w, _, _ in split], flat, np.diff(np.append(0, end[1::2])))
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
+                each = self._encode(some)
+                flat.append(np.fromiter(chain.from_iterable(each), np.uint32))
+                size.append(np.fromiter(map(len, each), np.int64, len(each)))
+        self.flat = np.concatenate(flat)
+        self.start = np.append(0, np.cumsum(np.concatenate(size)))
+        self.words = pa.concat_arrays([self.words, unseen])
+
+    def ids(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Per text its ids and END. The distinct words of a call are looked up once."""
+        if not len(texts):
+            return
+        if len(self.words) > REMEMBERED:
             self.forget()
-        words = [[] if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
-        if new := list(set().union(*words) - self.number.keys()):
-            self._learn(new)
-        number, places = self.number, []
-        for ws in words:
-            places += [number[w] for w in ws]
-            places.append(0)
-        flat, end = self._gather(np.array(places, np.int64))
-        cuts = end[np.cumsum([len(ws) + 1 for ws in words]) - 1] if words else []
-        out = np.split(flat, cuts[:-1]) if len(cuts) else []
-        for i, text in enumerate(texts):
-            if "<|" in text:
-                out[i] = np.array(self.model.encode(text, add_special_tokens=False).ids + [END], np.uint32)
-        return out
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().dictionary_encode()
+        known = len(self.words)
+        place = pc.index_in(words.dictionary, value_set=self.words)
+        unseen = words.dictionary.filter(pc.is_null(place))
+        if len(unseen):
+            self._learn(unseen)
+        number = place.fill_null(-1).to_numpy() + 1
+        number[number == 0] = np.arange(known + 1, known + 1 + len(unseen))
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        words = np.insert(number[words.indices.to_numpy()], ends, 0)  # every text's words, then word 0
+        ends = ends + np.arange(1, len(ends) + 1)
+        whole = pc.match_substring(texts, "<|").to_pylist()
+        begin = doc = 0
+        while doc < len(ends):
+            last = max(doc + 1, int(np.searchsorted(ends, begin + STEP_WORDS, "right")))
+            some = words[begin : ends[last - 1]]
+            size = self.start[some + 1] - self.start[some]
+            end = np.cumsum(size)
+            flat = self.flat[np.repeat(self.start[some] - (end - size), size) + np.arange(int(end[-1]))]
+            for i, one in enumerate(np.split(flat, end[ends[doc : last - 1] - begin - 1]), doc):
+                yield np.array(self._encode([texts[i].as_py()])[0] + [END], np.uint32) if whole[i] else one
+            begin, doc = int(ends[last - 1]), last
 
 
 _loaded: dict[str, Tokens] = {}
 
 
-def cut(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths of a document: full bins, then the binary parts of the rest."""
-    full, rest = divmod(length, capacity)
-    return [capacity] * full + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """Open bins of one partition, one per class; k pieces of class k fill a bin."""
+    """Open bins of one partition. A document is (id, its ids as bytes); emitted pieces are
+    rows [id, start, length, crc32, tokens of the document, sequence, offset]."""
 
     def __init__(self, first: int, capacity: int):
         self.next, self.capacity = first, capacity
-        self.open: dict[int, list[list]] = {}
-
-    def put(self, piece: list, length: int) -> list[list]:
-        """Returns the pieces of a bin that this piece fills, each with [sequence, offset] added."""
-        k = self.capacity // length
-        waiting = self.open.setdefault(k, [])
-        waiting.append(piece)
-        return self._close(self.open.pop(k)) if len(waiting) == k else []
-
-    def _close(self, pieces: list[list]) -> list[list]:
+        self.open: dict[int, list[tuple]] = {}
+        self.short: list[list] = []  # [room, pieces] of bins with all k pieces and room left
+
+    def put(self, doc: object, raw: bytes) -> Iterator[list]:
+        """Places a document; gives the rows of the sequences that it completes."""
+        at, total = 0, len(raw) // 4
+        while self.short and at < total:
+            filling = self.short[-1]
+            take = min(filling[0], total - at)
+            filling[1].append((doc, raw, at, take))
+            filling[0] -= take
+            at += take
+            if not filling[0]:
+                yield from self._rows(self.short.pop()[1])
+        while total - at >= self.capacity:
+            yield from self._rows([(doc, raw, at, self.capacity)])
+            at += self.capacity
+        if at < total:
+            k = self.capacity // (total - at)
+            pieces = self.open.setdefault(k, [])
+            pieces.append((doc, raw, at, total - at))
+            if len(pieces) == k:
+                room = self.capacity - sum(p[3] for p in self.open.pop(k))
+                if room:
+                    self.short.append([room, pieces])
+                else:
+                    yield from self._rows(pieces)
+
+    def _rows(self, pieces: list[tuple]) -> Iterator[list]:
         offset = 0
-        for p in pieces:
-            p += [self.next, offset]
-            offset += p[2]
+        for doc, raw, start, length in pieces:
+            yield [doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4, self.next, offset]
+            offset += length
         self.next += 1
-        return pieces
 
-    def rest(self) -> Iterator[list[list]]:
-        """What is left: per class, sequences that hold a power of two of pieces, so need no padding."""
-        for k in sorted(self.open):
-            pieces = self.open[k]
-            while pieces:
-                n = 1 << (len(pieces).bit_length() - 1)
-                yield self._close(pieces[:n])
-                pieces = pieces[n:]
+    def rest(self) -> Iterator[list]:
+        """What is left, one piece after another; cut where a sequence ends, so only the last one is padded."""
+        pieces = [p for k in sorted(self.open) for p in self.open[k]]
+        room, now = self.short.pop() if self.short else (self.capacity, [])
+        self.open = {}
+        for doc, raw, start, length in pieces:
+            while length:
+                take = min(room, length)
+                now.append((doc, raw, start, take))
+                start, length, room = start + take, length - take, room - take
+                if not room:
+                    yield from self._rows(now)
+                    room, now = self.capacity, []
+        if now:
+            yield from self._rows(now)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    capacity: a power of two. tokenizer: the vocabulary file, present on every executor.
-    A null or empty text is the end id alone. Every id lies in exactly one piece; a full bin
-    has capacity ids, and each partition's last bins hold a power of two of ids, so nothing
-    is padded. sequence_id is unique over all partitions (the partition's number, then a
-    count). Repeated rows are packed as often as they occur; null ids are kept; an empty
-    table gives no rows. A partition keeps at most one open bin per class.
+    tokenizer: the vocabulary file, present on every executor. A null or empty text is the end
+    id alone. Every id lies in exactly one piece; a text of any length is cut at whole
+    sequences. All sequences of a partition but its last have capacity ids, so padding is
+    less than one sequence a partition. sequence_id is unique over all partitions (the
+    partition's number, then a count). Repeated rows are packed as often as they occur; null
+    ids are kept; other columns, whatever their names, are ignored; an empty table gives no
+    rows. A partition keeps at most one open bin per class, k pieces of at most capacity / k ids.
     """
-    assert capacity & (capacity - 1) == 0
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType),
         *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")),
@@ -162,7 +185,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def batch(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 7
-        # a piece is [id, start, length, crc, doc_tokens, sequence, offset]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], type=kind), *(pa.array(c, type=pa.int64()) for c in columns[1:])], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +195,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         tokens, bins, kind = _loaded[tokenizer], Bins(TaskContext.get().partitionId() << 36, capacity), None
         for whole in batches:
             kind = whole.schema.field("_id").type
-            for part, texts in chunks(whole, "_text"):
-                out: list[list] = []
-                for doc, ids in zip(part.column("_id").to_pylist(), tokens.ids(texts)):
-                    raw, at = ids.astype("<u4").tobytes(), 0
-                    for n in cut(len(ids), capacity):
-                        out += bins.put([doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), len(ids)], n)
-                        at += n
-                yield batch(out, kind)
+            for part in slices(whole, "_text", BATCH_BYTES):
+                ids = tokens.ids(part.column("_text"))
+                yield batch([row for doc, one in zip(part.column("_id").to_pylist(), ids) for row in bins.put(doc, one.tobytes())], kind)
         if kind is not None:
-            yield batch([p for pieces in bins.rest() for p in pieces], kind)
+            yield batch(list(bins.rest()), kind)
+        tokens.forget()
+        release()
 
+    small_batches(docs)
     return fresh(docs, id_col, text_col).mapInArrow(run, schema)
