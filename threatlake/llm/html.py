@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -22,10 +23,12 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split()
 )
+#: Markup inside a block: part of its text, no summand of a density sum.
+_PHRASE = _INLINE - {"td", "th"}
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCE = frozenset("article aside body blockquote button caption div dl footer form header li main nav ol section table td th ul".split())
 #: Not the article: elements, roles, and words in class and id.
 _OUT_TAGS = frozenset("nav footer aside form button select dialog menu object embed canvas audio video head".split()) | _RAW
@@ -35,9 +38,13 @@ _OUT_WORDS = frozenset(
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply widget toolbar pager pagination skip paywall".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_STOP = re.compile(r"[>\"']")
 _WORDS = re.compile(r"[A-Za-z]+")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
+#: The least divisor of a density: pages without links, where the formula's logarithm is 0, stay comparable.
+_LEAST_SCALE = 0.1
 
 
 class Node:
@@ -62,69 +69,137 @@ def _marks(node: Node, attrs: str) -> None:
     node.header |= "header" in names
 
 
+def _decoded(text: str) -> str:
+    """Character references as characters; numbers beyond Unicode as U+FFFD."""
+    return unescape(_HUGE.sub("�", text))
+
+
+def _tag_end(html: str, at: int, lost: set[str]) -> int:
+    """Where the tag that is open at `at` ends: at the next > outside quoted values, -1 if none.
+
+    A quote counts after an equals sign; one that is never closed is an ordinary character.
+    Each character is looked at once, as the search never goes back (lost: quotes that do not
+    occur any more).
+    """
+    while m := _STOP.search(html, at):
+        at, mark = m.end(), m[0]
+        if mark == ">":
+            return at
+        before = m.start() - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=" and mark not in lost:
+            close = html.find(mark, at)
+            if close < 0:
+                lost.add(mark)
+            else:
+                at = close + 1
+    return -1
+
+
+class _Open:
+    """The open elements. Per fence the number of open elements of each tag above it, so that
+    every question about them takes one look."""
+
+    def __init__(self, root: Node):
+        self.stack, self.scopes, self.names, self.fences = [root], [Counter()], [""], Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        if node.tag in _FENCE:
+            self.fences[node.tag] += 1
+            self.scopes.append(Counter())
+            self.names.append(node.tag)
+        else:
+            self.scopes[-1][node.tag] += 1
+
+    def pop_to(self, tags: set[str]) -> None:
+        """Closes elements up to the nearest of `tags`, which is open."""
+        done = False
+        while not done:
+            node = self.stack.pop()
+            done = node.tag in tags
+            if node.tag in _FENCE:
+                self.fences[node.tag] -= 1
+                self.scopes.pop()
+                self.names.pop()
+            else:
+                self.scopes[-1][node.tag] -= 1
+
+    def near(self, tag: str) -> bool:
+        """Whether `tag` is open with no fence above it, or is the nearest fence."""
+        return self.scopes[-1][tag] > 0 or self.names[-1] == tag
+
+
 def parse(html: str) -> Node:
-    """A DOM tree; kids are texts (references decoded) and nodes. Never fails on broken markup."""
-    root = node = Node("html", None)
-    at, size = 0, len(html)
+    """A DOM tree; kids are texts (references decoded) and nodes. Linear in the page; never fails
+    on broken markup: a tag that the page's end cuts off is dropped with what follows it."""
+    root = Node("html", None)
+    open_, lost, at, size = _Open(root), set(), 0, len(html)
     while at < size:
-        m = _TOKEN.search(html, at)
-        if not m:
-            node.kids.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            node.kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            node.kids.append(m[0][9:].removesuffix("]]>"))
-        name = m[2] or m[5]
-        if not name:
-            continue
-        tag, closing, attrs = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
-        if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                if up.tag in _FENCE and tag not in _FENCE:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            elif tag == "p":
-                node.kids.append(Node("p", node))
-            continue
-        if tag in ("html", "body", "head") and tag == "html":
-            continue
-        if tag in _CLOSES_P:
-            node = _close(node, {"p"})
-        if tag in _SIBLINGS and tag != "p":
-            node = _close(node, _SIBLINGS[tag], "tr" if tag in ("td", "th") else None)
-        if tag == "body":
-            node = root
-        new = Node(tag, node)
-        _marks(new, attrs)
-        node.kids.append(new)
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
-        elif tag not in _VOID and not (attrs or "").endswith("/"):
-            node = new
+        begin = html.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            open_.stack[-1].kids.append(_decoded(html[at:begin]))
+        at = begin
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+        elif html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            open_.stack[-1].kids.append(html[at + 9 : end if end >= 0 else size])
+            at = end + 3 if end >= 0 else size
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            at = end + 1 if end >= 0 else size
+        elif at < size:
+            closing = html.startswith("</", at)
+            name = _NAME.match(html, at + 1 + closing)
+            if not name:
+                open_.stack[-1].kids.append("<")
+                at += 1
+                continue
+            at = _tag_end(html, name.end(), lost)
+            if at < 0:
+                break
+            if closing:
+                _leave(open_, name[0].lower())
+            else:
+                at = _enter(open_, name[0].lower(), html[name.end() : at - 1], html, at)
     return root
 
 
-def _close(node: Node, tags: set[str], stop: str | None = None) -> Node:
-    """Leaves the nearest open element of `tags`, unless a fence or `stop` stands before it."""
-    up = node
-    while up is not None and up.tag not in tags:
-        if up.tag == stop or up.tag in _FENCE and up.tag not in ("li", "td", "th"):
-            return node
-        if up.tag in ("li", "td", "th") and not tags & {"li", "td", "th", "tr"}:
-            return node
-        up = up.parent
-    return up.parent if up is not None and up.parent is not None else node
+def _leave(open_: _Open, tag: str) -> None:
+    if tag in _FENCE and open_.fences[tag] or tag not in _FENCE and open_.scopes[-1][tag]:
+        open_.pop_to({tag})
+    elif tag == "p":
+        open_.stack[-1].kids.append(Node("p", open_.stack[-1]))
+
+
+def _enter(open_: _Open, tag: str, attrs: str, html: str, at: int) -> int:
+    """Adds an element; returns where the page goes on."""
+    if tag == "html" or tag == "body" and open_.fences["body"]:
+        return at
+    if tag in _CLOSES_P and open_.near("p"):
+        open_.pop_to({"p"})
+    for ends in _SIBLINGS.get(tag, ()):
+        if open_.near(ends):
+            open_.pop_to({ends})
+    node = Node(tag, open_.stack[-1])
+    _marks(node, attrs)
+    node.parent.kids.append(node)
+    if tag in _RAW:
+        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+        at = html.find(">", end.end()) + 1 if end else 0
+        return at or len(html)
+    if tag not in _VOID and not attrs.endswith("/"):
+        open_.push(node)
+    return at
 
 
 def _order(root: Node) -> list[Node]:
-    """Nodes, parents before children."""
+    """Nodes, parents before children, in page order."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -133,77 +208,113 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _clean(root: Node) -> list[Node]:
-    """Drops what is marked as not of the article, unless it holds an article or main element;
-    of a header inside an article only the headings stay."""
-    nodes = _order(root)
-    holds = set()
-    for node in reversed(nodes):
-        if node.tag in ("article", "main") or id(node) in holds:
-            holds.add(id(node.parent))
-    inside: set[int] = set()
-    for node in nodes:
-        if node.tag in ("article", "main") or id(node.parent) in inside:
-            inside.add(id(node))
-        if node.header and id(node) not in holds and not node.out:
-            headings = [n for n in _order(node) if re.fullmatch("h[1-6]", n.tag)] if id(node) in inside else []
-            node.kids = headings
-            for n in headings:
-                n.parent = node
-        node.kids = [k for k in node.kids if not isinstance(k, Node) or not k.out or id(k) in holds]
-    return _order(root)
-
-
-def _densities(nodes: list[Node]) -> Node:
-    """Composite density and density sum of every node; returns the body."""
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, and those of links of every subtree; what is out counts nothing."""
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        if node.out:
+            continue
         for kid in node.kids:
             if isinstance(kid, Node):
                 node.chars += kid.chars
-                node.tags += kid.tags + 1
+                node.tags += kid.tags + (not kid.out)
                 node.link_chars += kid.chars if kid.tag == "a" else kid.link_chars
-                node.link_tags += kid.link_tags + (kid.tag == "a")
+                node.link_tags += kid.link_tags + (kid.tag == "a" and not kid.out)
             else:
                 node.chars += sum(map(len, kid.split()))
-    share = body.link_chars / max(body.chars, 1)
+
+
+def _penalties(nodes: list[Node]) -> None:
+    """Settles what is out: a marked element that is not an article's wrapper, and headers.
+
+    A mark by class, id or role does not count on an element that holds an article or main
+    element or more than half of the page's text. Headers are out; of one inside an article
+    the headings stay.
+    """
+    wraps = set()
+    for node in reversed(nodes):
+        if node.tag in ("article", "main") or id(node) in wraps:
+            wraps.add(id(node.parent))
+    marked = [n for n in nodes if n.out]
+    for node in marked:
+        node.out = node.tag in _RAW
+    _count(nodes)
+    for node in marked:
+        node.out = id(node) not in wraps and (node.tag in _OUT_TAGS or 2 * node.chars <= nodes[0].chars)
+    inside, head = set(), set()
     for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(max(base, 1 + 1e-9)) if c and base > 1 else c / t * math.log(max(c * t, 1)) if c else 0.0
+        up = id(node.parent)
+        if node.tag in ("article", "main") or up in inside:
+            inside.add(id(node))
+        if up in head:
+            head.add(id(node))
+        if node.header and id(node) not in wraps and 2 * node.chars <= nodes[0].chars:
+            if id(node) in inside:
+                head.add(id(node))
+            else:
+                node.out = True
+    # in an article's header only headings stay: all else, and texts beside them, go
+    stays = set()
     for node in nodes:
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node))
-    return body
+        if id(node) in head:
+            if _HEADING.fullmatch(node.tag) or id(node.parent) in stays:
+                stays.add(id(node))
+            else:
+                node.kids = [k for k in node.kids if isinstance(k, Node)]
+
+
+_HEADING = re.compile("h[1-6]")
+
+
+def density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite text density: characters per tag, with a logarithm that links lower.
+
+    c, t: characters and tags; lc, lt: those of links; share: of the body's characters in links.
+    """
+    if not c:
+        return 0.0
+    t, scale = max(t, 1), math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e))
+    return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / max(scale, _LEAST_SCALE)
 
 
 def article(root: Node) -> list[Node]:
-    """The subtrees of the main text, in page order."""
-    nodes = _clean(root)
-    body = _densities(nodes)
-    best = max(nodes, key=lambda n: n.total)
-    named = best
-    while named is not None and named.tag not in ("article", "main"):
-        named = named.parent
-    if named is not None:
-        return [named]
-    inner = [n for n in nodes if n.tag in ("article", "main")]
-    if inner and max(n.chars for n in inner) * 2 >= body.chars:
-        return [max(inner, key=lambda n: n.chars)]
-    threshold, up = best.density, best
-    while up is not body and up.parent is not None:
+    """The subtrees of the main text, in page order.
+
+    The node with the greatest sum of its child blocks' densities is the article. The least
+    density on its path to the body is the threshold: of every node that reaches it, all
+    nodes above it too, the subtree's node with the greatest sum is main text as well.
+    """
+    nodes = _order(root)
+    _penalties(nodes)
+    _count(nodes)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    share = body.link_chars / max(body.chars, 1)
+    top: dict[int, Node] = {}
+    for node in reversed(nodes):
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        node.total = sum(k.density for k in kids if k.tag not in _PHRASE)
+        best = max((top[id(k)] for k in kids), key=lambda n: n.total, default=node)
+        top[id(node)] = best if best.total > node.total else node
+    best = up = top[id(body)]
+    threshold = best.density
+    while up is not body:
         up = up.parent
         threshold = min(threshold, up.density)
-    out, stack = [], [body]
+    chosen, out, stack = set(), [], [body]
     while stack:
         node = stack.pop()
-        if node.density < threshold:
-            continue
-        top = max(_order(node), key=lambda n: n.total)
-        if top is node or top.total <= 0 or top is best.parent:
+        if node.density >= threshold and node.chars:
+            chosen.add(id(top[id(node)]))
+            stack += [k for k in node.kids if isinstance(k, Node)]
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if id(node) in chosen:
             out.append(node)
-        elif node is body or any(k is top for k in _order(node)[1:]):
-            stack += [k for k in reversed(node.kids) if isinstance(k, Node)] if top is not best or node is not best else []
-    return out or [best]
+        else:
+            stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return out
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -226,7 +337,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             end()
         elif isinstance(item, str):
             now.append(item)
-        else:
+        elif not item.out:
             if item.tag in ("br", "td", "th", "wbr"):
                 now.append(" " if item.tag != "wbr" else "")
             if item.tag not in _INLINE:
