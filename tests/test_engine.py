@@ -77,3 +77,68 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     assert spark.sql("select sum(events) from hosts").first()[0] == rows.count()
     for make in (jobs.stream_rules, jobs.stream_bruteforce):
         assert make(stream).isStreaming
+
+
+def test_canonical_fields(spark):
+    """Order of aliases, lone dashes, numeric names, paths, made ids, times, outcomes."""
+    import uuid
+
+    raws = [
+        {"HostName": "-", "Computer": "c1", "Image": "C:\\\\x\\\\cmd.exe", "ParentImage": "C:/p/up.exe", "EventID": "007", "Timestamp": "Apr 4, 2025 @ 22:00:00.000", "message": "said", "event.outcome": "Failed'\x1dUID=0"},
+        {"host.name": "h2", "ProcessName": "1.5e3", "process.executable": "/bin/sh", "ProcessGuid": "g", "ParentProcessGuid": "pg", "EventCode": "x", "CommandLine": "run"},
+        {"ProcessName": "plain", "Timestamp": "1714557600", "Hashes": "h", "AccessMask": "0x1", "SubjectUserSid": "s"},
+    ]
+    frame = spark.createDataFrame([("f", k, r) for k, r in enumerate(raws)], "_src string, seq long, raw map<string,string>")
+    a, b, c = normalize.canonical(frame).orderBy("seq").collect()
+    assert set(normalize.ALIASES) <= set(a.asDict()) and len(normalize.ALIASES) == 42
+    assert (a.hostname, a.process_name, a.process_path, a.parent_process_name, a.parent_process_path) == ("c1", "cmd.exe", raws[0]["Image"], "up.exe", "C:/p/up.exe")
+    assert (a.event_id, a.commandline, a.event_outcome, str(a.ts)) == ("7", "said", "failed", "2025-04-04 22:00:00")
+    assert a.process_guid == str(uuid.uuid5(uuid.NAMESPACE_DNS, f"c1-{raws[0]['Image']}-Apr 4, 2025 22:00:00.000-said"))
+    assert a.parent_process_guid == str(uuid.uuid5(uuid.NAMESPACE_DNS, "c1-C:/p/up.exe-parent"))
+    assert (b.process_name, b.process_guid, b.parent_process_guid, b.event_id, b.commandline) == ("sh", "g", "pg", "x", "run")
+    assert (c.process_name, c.process_path, c.parent_process_guid, str(c.ts)) == ("plain", None, None, "2024-05-01 10:00:00")
+    assert (c.hashes, c.action_type, c.access_mask, c.user_sid, c.properties) == ("h", "0x1", "0x1", "s", "s")
+
+
+def test_sessions_across_buckets(spark):
+    """Chains that go on over many time buckets, against a plain walk."""
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=rng.choice([0, 50, 3600, 3601, 9000]) * rng.randint(0, 40)), rng.choice(["a", "b", None])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "seq long, ts timestamp, hostname string")
+    want = {}
+    for host in ("a", "b", None):
+        last, session = None, None
+        for k, ts, _ in sorted((r for r in rows if r[2] == host), key=lambda r: (r[1], r[0])):
+            session = k if last is None or (ts - last).total_seconds() > 3600 else session
+            want[k], last = session, ts
+    for width in (3600, 7200, 86_400):
+        got = incidents.gap_sessions(frame, bucket_seconds=width)
+        assert got.columns == ["seq", "ts", "hostname", "session"] and {r.seq: r.session for r in got.collect()} == want
+
+
+def test_long_chains_of_incidents_settle(spark):
+    rows = [(k, 0, f"g{k // 2}", f"u{(k + 1) // 2}") for k in range(150)]
+    frame = spark.createDataFrame(rows, "seq long, rule_ord int, process_guid string, user_name string").selectExpr("*", "cast(null as timestamp) as ts", "'h' as hostname")
+    assert {r.incident for r in incidents.components(frame).collect()} == {0}
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    from threatlake.operators import rules
+
+    rows = events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def ran(df, name, mode="append"):
+        done = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        done.processAllAvailable()
+        done.stop()
+        return spark.table(name)
+
+    found = rules.evaluate(rows)
+    assert ran(jobs.stream_rules(stream), "r1").count() == found.count()
+    assert ran(jobs.stream_dedup(jobs.stream_rules(stream)), "r2").count() == rules.dedup(found).count()
+    tries = ran(jobs.stream_bruteforce(stream), "r3", "update")
+    assert "invalid_failures" in tries.columns
+    assert ran(jobs.stream_incident_sessions(jobs.stream_rules(stream)), "r4", "complete").agg(F.sum("findings")).first()[0] == found.count()

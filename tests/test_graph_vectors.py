@@ -51,13 +51,18 @@ def test_knn_of_odd_vectors(spark, monkeypatch):
 
 
 def test_hidden_commands(spark):
-    wide = base64.b64encode("Get-Process | Out-Null".encode("utf-16-le")).decode()
-    packed = base64.b64encode(gzip.compress(b"whoami /all and a good deal more")).decode()
-    noise = base64.b64encode(bytes(range(128, 160))).decode()
-    rows = [(f"powershell -enc {wide}",), (f"x {packed}",), (f"y {noise}",), ("dir",), (None,), ("dir",)]
-    got = {r.commandline: r.decoded for r in decode_commands(spark.createDataFrame(rows, "commandline string")).collect()}
-    assert got[rows[0][0]] == ["Get-Process | Out-Null"] and got[rows[1][0]] == ["whoami /all and a good deal more"]
-    assert got[rows[2][0]] == [] and got["dir"] == [] and len(got) == 4
+    encode = lambda raw: base64.b64encode(raw).decode()
+    wide, packed = encode("Get-Process | Out-Null".encode("utf-16-le")), encode(gzip.compress(b"whoami /all and a good deal more"))
+    noise, bad = encode(bytes(range(128, 160))), encode(b"text with a bad \xff byte in the middle")
+    rows = {
+        f"powershell -enc {wide}": ("Get-Process | Out-Null", "utf-16-le", 1), f"x {packed}": ("whoami /all and a good deal more", "utf-8+gzip", 1),
+        f"y {noise}": (None, None, 1), f"z {bad}": (None, None, 1), "dir": (None, None, 0),
+        f"z {noise} {noise[:-2]}AA {encode(b'the second blob is a text')}": ("the second blob is a text", "utf-8", 3),
+        "powershell -e aGVsbG8gd29y": (None, None, 0), "powershell -ec aGVsbG8gd29ybGQh": ("hello world!", "utf-8", 1), "powershell -e AAAAAAAAAAAAAAAA": (None, None, 1),
+    }
+    frame = spark.createDataFrame([(c,) for c in [*rows, None, "dir"]], "commandline string")
+    assert {r.commandline: (r.decoded, r.layer, r.candidates) for r in decode_commands(frame).collect()} == rows
+    assert sum(r.candidates for r in decode_commands(frame, most=1).collect()) == 7
 
 
 def test_patterns_see_whole_texts(spark):

@@ -20,3 +20,33 @@ def test_exported_event_log(spark, tmp_path):
     one, two = (r.raw for r in read_raw(spark, str(path), "winevent_xml").orderBy("seq").collect())
     assert one["EventCode"] == "4624" and one["ComputerName"] == "h1" and one["User"] == "bob" and one["Provider"] == "P" and "Empty" not in one
     assert one["TimeCreated"] == "2024-01-02T03:04:05Z" and two["EventID"] == "1" and "User" not in two
+
+
+def test_json_in_any_form(spark, tmp_path):
+    """One object per line, an array, a wrapper, one object, objects over lines; zero and empty values are missing."""
+    two = ['{"EventID": 1, "LogonType": 0, "x": {"y": 1}, "e": ""}', '{"EventID": "2", "LogonType": "0"}']
+    forms = {"lines": "\n".join(two), "array": f"[{two[0]}, {two[1]}]", "wrapper": f'{{"records": [{",".join(two)}]}}', "run": "".join(two), "bom": "\ufeff" + f"[{two[0]}, {two[1]}]"}
+    for name, text in forms.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        got = [r.raw for r in read_raw(spark, str(tmp_path / f"{name}.json")).orderBy("seq").collect()]
+        assert got == [{"EventID": "1", "x": '{"y": 1}'}, {"EventID": "2", "LogonType": "0"}], name
+    (tmp_path / "one.json").write_text(two[1])
+    assert read_raw(spark, str(tmp_path / "one.json")).count() == 1
+
+
+def test_rows_with_lists_that_are_not_quoted(spark, tmp_path):
+    header = "id,host.ip,host.mac,host.name,user"
+    rows = ["1,a,m,h1,u", "2,a,b,c,m,h2,u", '3,"a,b",m,h3,u', "4,h4,u", "5,a,m"]
+    (tmp_path / "x.csv").write_text("\n".join([header, *rows]))
+    got = {r.raw["id"]: r.raw for r in read_raw(spark, str(tmp_path / "x.csv"), "csv_realign").collect()}
+    assert [got[k]["host.ip"] for k in "123"] == ["a", "a, b, c, m", "a,b"] and [got[k]["host.name"] for k in "13"] == ["h1", "h3"]
+    assert got["2"]["host.mac"] == "h2" and got["2"]["host.name"] == "u" and got["2"]["user"] == "" and set(got) == set("12345")
+
+
+def test_lines_that_do_not_parse_and_attributes(spark, tmp_path):
+    (tmp_path / "x.ndjson").write_text('{"a": "1"}\nbroken\n\n{"a": "2"}')
+    from threatlake.sources.readers import corrupt
+
+    assert read_raw(spark, str(tmp_path / "x.ndjson")).count() == 2 and [r.line for r in corrupt(spark, str(tmp_path / "x.ndjson")).collect()] == ["broken"]
+    (tmp_path / "x.xml").write_text('<L><Event><EventID q="7">1</EventID><HostName>h</HostName></Event><Event><EventID q="8">2</EventID></Event></L>')
+    assert [r.raw for r in read_raw(spark, str(tmp_path / "x.xml")).orderBy("seq").collect()] == [{"EventID": "1", "EventID_q": "7", "HostName": "h"}, {"EventID": "2", "EventID_q": "8"}]

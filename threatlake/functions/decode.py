@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import gzip
 import zlib
 
 import pandas as pd
@@ -11,48 +12,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Candidates a command, bytes of a blob or its unpacked form, share of plain characters.
-MOST, LIMIT, PLAIN = 6, 1 << 20, 0.85
-ARGUMENT = r"(?i)-e(?:c|nc|ncodedcommand)?\s+[\"']?([A-Za-z0-9+/]{8,}={0,2})"
-BLOB = r"([A-Za-z0-9+/]{24,}={0,2})"
+#: The argument of an encoded command, a long blob, characters of a decoded text
+#: at least, and its share of plain ones.
+ARGUMENT = r"(?i)-(?:e|ec|enc|encodedcommand)\s+([A-Za-z0-9+/=]{16,})"
+BLOB = r"[A-Za-z0-9+/]{24,}={0,2}"
+LEAST, PLAIN = 3, 0.85
 
 
 def _plain(text: str) -> float:
-    return sum(" " <= c <= "~" or c in "\t\r\n" for c in text) / len(text) if text else 0.0
+    return sum(" " <= c <= "~" or c in "\t\r\n" for c in text) / len(text)
 
 
-def decode_blob(blob: str) -> str | None:
-    """The text of a base64 blob, gzip layer removed; None if it is no text or too large."""
-    if len(blob) > LIMIT:
-        return None
+def _unpacked(raw: bytes) -> tuple[bytes, str]:
+    """Without a gzip layer, if there is a whole one."""
+    if raw[:2] == b"\x1f\x8b":
+        try:
+            return gzip.decompress(raw), "+gzip"
+        except (OSError, EOFError, zlib.error):
+            pass
+    return raw, ""
+
+
+def decode_blob(blob: str) -> tuple[str, str] | None:
+    """(text, layer) of a base64 blob in the encoding that gives more plain characters; None if
+    it is not base64 or neither encoding gives a text."""
     try:
-        raw = base64.b64decode(blob.rstrip("=") + "=" * (-len(blob.rstrip("=")) % 4), validate=True)
-        if raw[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(wbits=31)
-            raw = unpack.decompress(raw, LIMIT)
-            if unpack.unconsumed_tail:
-                return None
-    except (binascii.Error, zlib.error):
+        raw, layer = _unpacked(base64.b64decode(blob, validate=True))
+    except (binascii.Error, ValueError):
         return None
-    texts = [raw.decode(kind, "replace") for kind in ("utf-16-le", "utf-8")]
-    best = max(texts, key=_plain)
-    return best if _plain(best) >= PLAIN else None
+    found = []
+    for kind in ("utf-16-le", "utf-8"):
+        try:
+            text = raw.decode(kind).replace("\0", "")
+        except UnicodeDecodeError:
+            continue
+        if len(text) >= LEAST:
+            found.append((_plain(text), text, kind + layer))
+    best = max(found, key=lambda f: f[0], default=None)
+    return (best[1], best[2]) if best and best[0] >= PLAIN else None
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decoded(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda found: [t for t in map(decode_blob, found) if t] if found is not None else [])
+@F.pandas_udf(T.StructType([T.StructField("decoded", T.StringType()), T.StructField("layer", T.StringType())]))
+def _decoded(blobs: pd.Series) -> pd.DataFrame:
+    first = [next((d for d in map(decode_blob, found) if d), (None, None)) for found in blobs]
+    return pd.DataFrame(first, columns=["decoded", "layer"])
 
 
-def candidates(command: Column) -> Column:
-    """Arguments of an encoded command first, then long blobs, each once."""
+def candidates(command: Column, most: int | None = None) -> Column:
+    """The argument of an encoded command first, then long blobs, each once; the first `most` if given."""
     text = F.coalesce(command, F.lit(""))
-    both = F.concat(F.regexp_extract_all(text, F.lit(ARGUMENT), 1), F.regexp_extract_all(text, F.lit(BLOB), 1))
-    return F.slice(F.array_distinct(both), 1, MOST)
+    argument = F.regexp_extract(text, ARGUMENT, 1)
+    both = F.array_distinct(F.concat(F.when(argument != "", F.array(argument)).otherwise(F.array().cast("array<string>")), F.regexp_extract_all(text, F.lit(BLOB), 0)))
+    return F.slice(both, 1, most) if most else both
 
 
-def decode_commands(events: DataFrame, column: str = "commandline") -> DataFrame:
-    """Distinct commands with the texts hidden in them; Python sees only those with candidates."""
-    distinct = events.select(F.col(column).alias("commandline")).where("commandline is not null").distinct().withColumn("_found", candidates(F.col("commandline")))
-    none = distinct.where(F.size("_found") == 0).select("commandline", F.array().cast("array<string>").alias("decoded"))
-    return none.unionByName(distinct.where(F.size("_found") > 0).select("commandline", _decoded("_found").alias("decoded")))
+def decode_commands(events: DataFrame, column: str = "commandline", most: int | None = None) -> DataFrame:
+    """Distinct commands with the first text hidden in them, its layer, and the number of
+    candidates; Python sees only commands that have some."""
+    distinct = events.select(F.col(column).alias("commandline")).where("commandline is not null").distinct().withColumn("_found", candidates(F.col("commandline"), most))
+    tried = F.size("_found").alias("candidates")
+    none = distinct.where(F.size("_found") == 0).select("commandline", F.lit(None).cast("string").alias("decoded"), F.lit(None).cast("string").alias("layer"), tried)
+    some = distinct.where(F.size("_found") > 0).withColumn("_d", _decoded("_found"))
+    return none.unionByName(some.select("commandline", "_d.decoded", "_d.layer", tried))

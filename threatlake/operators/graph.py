@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .incidents import _write
+from .severity import RANK
+from .shared import Scratch
 
 #: Rounds after which a walk is given up with an error.
 MOST_ROUNDS = 10_000
 
 
+def _network(events: DataFrame) -> DataFrame:
+    connects = events.where("destination_ip <> '' and (event_id in ('3', '5156') or event_category = 'network_connection')")
+    return connects.withColumn("target", F.concat(F.lit("net-"), "destination_ip", F.lit(":"), F.coalesce("destination_port", F.lit(""))))
+
+
 def edges(events: DataFrame) -> DataFrame:
     """Distinct spawn and connect edges, with the label of the first event."""
     spawn = events.where("parent_process_guid <> process_guid").select(
         F.col("parent_process_guid").alias("source"), F.col("process_guid").alias("target"), F.lit("SPAWNED").alias("type"), F.col("process_name").alias("label"), "seq")
-    net = events.where("destination_ip <> '' and (event_id in ('3', '5156') or event_category = 'network_connection')").select(
-        F.col("process_guid").alias("source"), F.concat(F.lit("net-"), "destination_ip", F.lit(":"), F.coalesce("destination_port", F.lit(""))).alias("target"),
-        F.lit("CONNECTED").alias("type"), F.col("destination_port").alias("label"), "seq")
+    net = _network(events).select(F.col("process_guid").alias("source"), "target", F.lit("CONNECTED").alias("type"), F.col("destination_port").alias("label"), "seq")
     return spawn.unionByName(net).groupBy("source", "target", "type").agg(F.min_by("label", "seq").alias("label"))
 
 
 def nodes(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per process: attributes of its first event, and the severity and rules of its findings."""
-    first = events.groupBy(F.col("process_guid").alias("id")).agg(F.min_by(F.struct("process_name", "hostname", "user_name"), "seq").alias("f"), F.count("*").alias("events"))
-    rank = F.expr("case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end")
-    marks = findings.groupBy(F.col("process_guid").alias("id")).agg(F.max(rank).alias("severity_rank"), F.array_join(F.array_sort(F.collect_set("rule_id")), "|").alias("rules"))
-    out = first.select("id", "f.*", "events").join(marks, "id", "left")
-    return out.withColumns({"severity_rank": F.coalesce("severity_rank", F.lit(0)), "rules": F.coalesce("rules", F.lit(""))})
-
-
-def stats(edge: DataFrame) -> DataFrame:
-    return edge.agg(F.count("*").alias("edges"), F.count_if(F.expr("type = 'SPAWNED'")).alias("spawned"), F.count_if(F.expr("type = 'CONNECTED'")).alias("connected"), F.countDistinct("source").alias("sources"))
+    """Processes with the attributes of their first event and what their findings say, parents
+    that have no event of their own, and network ends."""
+    place = F.col("seq")
+    own = events.where("process_guid <> ''").groupBy(F.col("process_guid").alias("id")).agg(
+        F.min_by(F.struct(F.col("process_name").alias("label"), "hostname", "user_name", "commandline"), place).alias("f"), F.count("*").alias("events"), F.min("seq").alias("first_seq"))
+    own = own.select("id", F.lit("process").alias("type"), "f.*", "events", "first_seq")
+    parents = events.where("parent_process_guid <> '' and (process_guid is null or parent_process_guid <> process_guid)").groupBy(F.col("parent_process_guid").alias("id")).agg(
+        F.min_by(F.struct(F.col("parent_process_name").alias("label"), "hostname"), place).alias("f"), F.min("seq").alias("first_seq"))
+    parents = parents.join(own.select("id"), "id", "left_anti").select("id", F.lit("process").alias("type"), "f.*", F.lit(0).cast("long").alias("events"), "first_seq")
+    ends = _network(events).groupBy(F.col("target").alias("id")).agg(F.min_by("hostname", place).alias("hostname"), F.count("*").alias("events"), F.min("seq").alias("first_seq"))
+    ends = ends.select("id", F.lit("network").alias("type"), F.regexp_replace("id", "^net-", "").alias("label"), "hostname", "events", "first_seq")
+    marks = findings.groupBy(F.col("process_guid").alias("id")).agg(
+        F.max(F.expr(RANK)).alias("severity_rank"), F.array_join(F.array_sort(F.collect_set("rule_id")), "|").alias("rules"), F.array_join(F.array_sort(F.collect_set("mitre")), "|").alias("techniques"))
+    out = own.unionByName(parents, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True).join(marks, "id", "left")
+    return out.withColumns({"severity_rank": F.coalesce("severity_rank", F.lit(0)), "rules": F.coalesce("rules", F.lit("")), "techniques": F.coalesce("techniques", F.lit(""))})
+
+
+def top(node: DataFrame, edge: DataFrame, most: int = 500) -> DataFrame:
+    """The `most` most severe nodes, then by first event, and one level of their parents."""
+    kept = node.orderBy(F.desc("severity_rank"), "first_seq", "id").limit(most).select("id")
+    parents = edge.join(kept.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id")).join(node.select("id"), "id", "left_semi")
+    return node.join(kept.union(parents).distinct(), "id", "left_semi")
+
+
+def stats(node: DataFrame, edge: DataFrame, most: int | None = None) -> DataFrame:
+    """Counts of the graph and of the severities of the nodes displayed (see top)."""
+    shown = top(node, edge, most) if most else node
+    levels = [F.count_if(F.col("severity_rank") == r).alias(n) for r, n in ((4, "critical"), (3, "high"), (2, "medium"))]
+    of_edges = edge.agg(F.count("*").alias("edges"), F.count_if(F.expr("type = 'SPAWNED'")).alias("spawned"), F.count_if(F.expr("type = 'CONNECTED'")).alias("connected"))
+    whole = node.agg(F.count("*").alias("nodes")).crossJoin(shown.agg(F.count("*").alias("displayed"), *levels)).crossJoin(of_edges)
+    return whole.withColumn("truncated", F.col("displayed") < F.col("nodes"))
 
 
 def _all(rounds: list[DataFrame]) -> DataFrame:
@@ -48,15 +71,15 @@ def tree(edge: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
 
     Rounds are written to the shared folder until one is empty; raises after most_rounds.
     """
-    run = f"walk-{uuid.uuid4().hex}"
-    spawn = _write(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), f"{run}-spawn")
+    scratch = Scratch(edge.sparkSession, "walk")
+    spawn = scratch.keep(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), "spawn")
     front = spawn.select(F.col("source").alias("node")).distinct().join(spawn.select(F.col("target").alias("node")), "node", "left_anti")
-    front = _write(front.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")), f"{run}-0")
+    front = scratch.keep(front.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "0")
     rounds = [front]
     for k in range(1, most_rounds + 1):
         front = front.join(spawn, front["node"] == spawn["source"]).where(~F.array_contains("path", F.col("target")))
         front = front.select("root", F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("target")).alias("path"))
-        front = _write(front, f"{run}-{k}")
+        front = scratch.keep(front, str(k))
         if front.isEmpty():
             return _all(rounds).select("root", "node", "depth")
         rounds.append(front)
@@ -75,13 +98,13 @@ def with_ancestors(edge: DataFrame, matched: DataFrame, most_rounds: int = MOST_
     A round walks up only from nodes that are new, so cycles end. Rounds are written to the
     shared folder until one is empty; raises after most_rounds.
     """
-    run = f"walk-{uuid.uuid4().hex}"
-    spawn = _write(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), f"{run}-spawn")
-    front = _write(matched.select("node").distinct(), f"{run}-0")
+    scratch = Scratch(edge.sparkSession, "walk")
+    spawn = scratch.keep(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), "spawn")
+    front = scratch.keep(matched.select("node").distinct(), "0")
     rounds = [front]
     for k in range(1, most_rounds + 1):
         up = spawn.join(front.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        front = _write(up.join(_all(rounds), "node", "left_anti"), f"{run}-{k}")
+        front = scratch.keep(up.join(_all(rounds), "node", "left_anti"), str(k))
         if front.isEmpty():
             seen = _all(rounds)
             children = spawn.join(seen.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"))

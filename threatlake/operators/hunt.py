@@ -40,9 +40,10 @@ def within(select: DataFrame, partner: DataFrame, seconds: int, keys: tuple[str,
     return hit.drop("_b", "_at")
 
 
-def run_hunt(events: DataFrame, ir: dict, previous: DataFrame | None = None, most: int | None = 1000) -> DataFrame:
+def run_hunt(events: DataFrame, ir: dict, previous: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """ir: steps [{id, match, predicates}], relations [{type, ...}], select. Relations are
-    independent semi joins of the selected step; results by time, NULL last."""
+    independent semi joins of the selected step; results by time, NULL last, the first `most`
+    if given (None: all)."""
     if ir.get("use_previous") and previous is not None:
         events = events.join(previous.select("seq").distinct(), "seq", "left_semi")
     steps = {s["id"]: events.where(step(s)) for s in ir["steps"]}
@@ -78,3 +79,23 @@ def validate(ir: dict) -> list[str]:
         if r.get("type") == "same" and r.get("field") not in FIELDS:
             errors.append(f"bad field {r.get('field')}")
     return errors
+
+
+#: Saved hunts by the words that ask for them: a process test and a command test.
+SAVED = {
+    "encoded powershell": (("process_name", "in", ["powershell.exe", "pwsh.exe"]), ("commandline", "regex", r"(-enc\b|-encodedcommand|frombase64)")),
+    "credential dumping": (("commandline", "regex", r"(lsass|sekurlsa|mimikatz|procdump|comsvcs)"),),
+    "download": (("commandline", "regex", r"(downloadstring|downloadfile|invoke-webrequest|urlcache|bitsadmin|wget|curl)"),),
+    "failed logon": (("event_outcome", "eq", "failed"),),
+    "new service": (("event_id", "eq", "7045"),),
+    "lateral movement": (("commandline", "regex", r"(psexec|wmic.*/node:|invoke-command)"),),
+}
+
+
+def saved(question: str) -> dict:
+    """The saved hunt whose words all occur in a question; an error if there is none."""
+    words = question.lower().split()
+    for name, tests in SAVED.items():
+        if all(any(w.startswith(x) for w in words) for x in name.split()):
+            return {"steps": [{"id": "a", "match": "all", "predicates": [{"field": f, "op": o, "value": v} for f, o, v in tests]}], "relations": [], "select": "a"}
+    raise ValueError(f"no saved hunt for {question!r}")

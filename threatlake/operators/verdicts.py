@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .severity import RANK, priority
+
 #: Extended rights that directory replication asks for.
 REPLICATION_RIGHTS = {
     "1131f6aa-9c07-11d1-f79f-00c04fc2dcd2": "DS-Replication-Get-Changes",
     "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2": "DS-Replication-Get-Changes-All",
     "89e95b76-444d-4c62-991a-0facbeda640c": "DS-Replication-Get-Changes-In-Filtered-Set",
 }
-RANK = "case upper(severity) when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
-MOST_NAMES, KEY_FINDINGS = 100, 8
+#: The form of a technique, and the stages and severities that a verdict may name.
+TECHNIQUE = r"^T\d{4}(\.\d{3})?$"
+KEY_FINDINGS = 8
 
 
-def _right(text: Column) -> Column:
+def replication_right(text: Column) -> Column:
+    """The first replication right whose id a text holds, null if none."""
     low = F.lower(text)
     return F.coalesce(*(F.when(F.contains(low, F.lit(guid)), F.lit(name)) for guid, name in REPLICATION_RIGHTS.items()))
 
@@ -25,8 +29,8 @@ def replication_rights(events: DataFrame) -> DataFrame:
     """Events that use a replication right: named in the command, or by a 4662's properties or object."""
     is_4662 = F.col("event_id") == "4662"
     named = F.when(is_4662 & F.contains(F.lower("properties"), F.lit("replication")), F.col("properties"))
-    listed = F.when(is_4662, F.coalesce(_right(F.col("properties")), _right(F.col("object_guid")) if "object_guid" in events.columns else F.lit(None)))
-    found = F.coalesce(_right(F.col("commandline")), named, listed)
+    listed = F.when(is_4662, F.coalesce(replication_right(F.col("properties")), replication_right(F.col("object_guid")) if "object_guid" in events.columns else F.lit(None)))
+    found = F.coalesce(replication_right(F.col("commandline")), named, listed)
     return events.select("seq", "hostname", "user_name", found.alias("matched_right"), F.lit(10).alias("severity")).where("matched_right is not null")
 
 
@@ -40,13 +44,14 @@ def exclude_findings(findings: DataFrame, excluded: DataFrame, key: tuple[str, .
         F.count("*").alias("finding_count"), F.count_if(active).alias("active_finding_count"),
         F.coalesce(F.max(F.when(active, rank)), F.max(rank)).alias("severity_rank"),
     )
-    return out.withColumns({"all_excluded": F.col("active_finding_count") == 0, "priority": F.concat(F.lit("P"), F.greatest(F.lit(0), 4 - F.col("severity_rank")).cast("string"))})
+    return out.withColumns({"all_excluded": F.col("active_finding_count") == 0, "priority": priority(F.col("severity_rank"))})
 
 
-def session_summary(findings: DataFrame) -> DataFrame:
+def session_summary(findings: DataFrame, most_names: int | None = None, key_findings: int = KEY_FINDINGS) -> DataFrame:
     """The report on a session as rows (item, ord, value); without findings the severity is clean.
 
-    Name lists are cut to their first MOST_NAMES in order, after a distributed distinct and top-k.
+    most_names: names of a kind at most, in order (None: all); key_findings: findings that the
+    report quotes.
     """
     rank = F.expr(RANK)
     level = F.max(F.greatest(rank, F.lit(1)))
@@ -57,11 +62,12 @@ def session_summary(findings: DataFrame) -> DataFrame:
     )
     out = totals.unpivot([], totals.columns, "item", "value").select("item", F.lit(1).alias("ord"), "value")
     for item, column in (("host", "hostname"), ("user", "user_name")):
-        names = findings.where(F.col(column) != "").select(F.col(column).alias("value")).distinct().orderBy("value").limit(MOST_NAMES)
-        out = out.union(names.select(F.lit(item), F.row_number().over(W.orderBy("value")), "value"))
-    last = findings.where(F.col("mitre").rlike(r"^T\d{4}(\.\d{3})?$")).groupBy("mitre").agg(F.max_by("rule_id", F.struct("seq", "rule_ord")).alias("rule"))
+        names = findings.where(F.col(column) != "").select(F.col(column).alias("value")).distinct()
+        names = names.orderBy("value").limit(most_names) if most_names else names
+        out = out.union(names.select(F.lit(item), F.lit(1), "value"))
+    last = findings.where(F.col("mitre").rlike(TECHNIQUE)).groupBy("mitre").agg(F.max_by("rule_id", F.struct("seq", "rule_ord")).alias("rule"))
     out = out.union(last.select(F.concat(F.lit("technique "), "mitre"), F.lit(1), "rule"))
-    top = findings.withColumn("_rank", rank).orderBy(F.desc("_rank"), "seq", "rule_ord").limit(KEY_FINDINGS)
+    top = findings.withColumn("_rank", rank).orderBy(F.desc("_rank"), "seq", "rule_ord").limit(key_findings)
     text = F.concat("rule_id", F.lit(" on "), F.coalesce("hostname", F.lit("")), F.lit(" by "), F.coalesce("user_name", F.lit("")))
     return out.union(top.select(F.lit("key finding"), F.row_number().over(W.orderBy(F.desc("_rank"), "seq", "rule_ord")), text))
 
@@ -69,3 +75,76 @@ def session_summary(findings: DataFrame) -> DataFrame:
 def export_feedback(labels: DataFrame, path: str, deidentify: bool = False) -> None:
     """Labelled rows as JSON lines; de-identified ones lack analyst, context and trust."""
     (labels.drop("analyst", "context", "trust") if deidentify else labels).write.json(path)
+
+
+def feedback(rows: DataFrame, trusted: list[str]) -> DataFrame:
+    """Analyst feedback with its id, label, trust and bounded severity.
+
+    rows: commandline, process_name, event_id, hostname, agree, verdict (what was said before),
+    corrected (null: no correction), corrected_severity, analyst. A correction is the label;
+    else the verdict, turned round where the analyst disagrees.
+    """
+    context = F.concat_ws("\x1f", *(F.coalesce(F.col(c), F.lit("")) for c in ("commandline", "process_name", "event_id", "hostname")))
+    return rows.withColumns({
+        "id": F.concat(F.lit("fb_"), F.substring(F.sha1(context), 1, 16)),
+        "label": F.coalesce("corrected", F.when(F.col("agree"), F.col("verdict")).otherwise(~F.col("verdict"))),
+        "trust": F.when(F.col("analyst").isin(trusted), 1.0).otherwise(0.5),
+        "corrected_severity": F.least(F.greatest("corrected_severity", F.lit(1)), F.lit(10)),
+    })
+
+
+def disputed(feedback: DataFrame, least_trust: float = 0.9) -> DataFrame:
+    """Ids whose trusted labels disagree."""
+    labels = feedback.where((F.col("trust") >= least_trust) & F.col("label").isNotNull())
+    return labels.groupBy("id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("id")
+
+
+def floor(verdicts: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """Verdicts from elsewhere, never below the heuristic severity; techniques and indicators united."""
+    ours = scored.select(key, F.col("severity").alias("_s"), F.col("techniques").alias("_t"), F.col("indicators").alias("_i"))
+    joined = verdicts.join(ours, key, "left")
+    none = F.array().cast("array<string>")
+    raised = F.coalesce(F.col("_s") > F.col("severity"), F.lit(False))
+    return joined.withColumns({
+        "severity": F.greatest("severity", F.coalesce("_s", F.lit(1))), "is_malicious": F.when(raised, F.col("_s") >= 5).otherwise(F.col("is_malicious")),
+        "techniques": F.array_union("techniques", F.coalesce("_t", none)), "indicators": F.array_union("indicators", F.coalesce("_i", none)),
+    }).drop("_s", "_t", "_i")
+
+
+def validate(rows: DataFrame, column: str = "json") -> DataFrame:
+    """Checked fields of verdicts that come as JSON: severity 1 to 10, techniques of the right
+    form; valid is false, and the fields are the defaults, where the text is no JSON object."""
+    v = F.from_json(column, "severity string, is_malicious string, mitre_techniques array<string>, indicators array<string>, intent string")
+    number = F.when(F.col("_v.severity").rlike(r"^\s*[+-]?\d+\s*$"), F.col("_v.severity").try_cast("int"))
+    valid = F.coalesce(F.ltrim(column).startswith("{") & (F.to_json("_v") != "{}") & (F.col("_v.severity").isNull() | number.isNotNull()), F.lit(False))
+    none = F.array().cast("array<string>")
+    out = rows.withColumn("_v", v).withColumn("valid", valid)
+    return out.withColumns({
+        "severity": F.when(F.col("valid"), F.least(F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)), F.lit(10))).otherwise(1),
+        "is_malicious": F.col("valid") & F.coalesce(F.col("_v.is_malicious") == "true", F.lit(False)),
+        "techniques": F.when(F.col("valid"), F.filter(F.coalesce("_v.mitre_techniques", none), lambda t: t.rlike(TECHNIQUE))).otherwise(none),
+        "indicators": F.when(F.col("valid"), F.coalesce("_v.indicators", none)).otherwise(none),
+    }).drop("_v")
+
+
+def nudge(rows: DataFrame, examples: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """Scored rows moved by the nearest trusted label (key, label, corrected_severity, similarity).
+
+    Nothing of heuristic severity 7 or more changes. A malicious label raises to 7 at least; a
+    benign one lowers what is at most 6 to 2 at most.
+    """
+    near = examples.where(F.col("similarity") >= least).groupBy(key).agg(F.max_by(F.struct("label", "corrected_severity", "similarity"), F.struct("similarity", "label")).alias("_e"))
+    joined = rows.join(near, key, "left")
+    open_ = F.col("_e").isNotNull() & (F.col("severity") < 7)
+    up, down = open_ & F.col("_e.label"), open_ & ~F.col("_e.label")
+    return joined.withColumns({
+        "moved": F.coalesce(up | down, F.lit(False)),
+        "severity": F.when(up, F.greatest(F.lit(7), F.coalesce("_e.corrected_severity", F.lit(7)))).when(down, F.least("severity", F.lit(2))).otherwise(F.col("severity")),
+        "is_malicious": F.when(up, True).when(down, False).otherwise(F.col("is_malicious")),
+        "confidence": F.when(up | down, F.round(F.greatest(F.lit(0.8), F.least("_e.similarity", F.lit(0.97))), 2)).otherwise(F.col("confidence")),
+    }).drop("_e")
+
+
+def write_findings(findings: DataFrame, path: str) -> None:
+    """Findings as Parquet, a folder per severity."""
+    findings.write.partitionBy("severity").parquet(path)

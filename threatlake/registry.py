@@ -9,32 +9,44 @@ from pyspark.sql import functions as F
 
 from .functions import decode, predicates
 from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, outcome, parent_guid, process_guid
-from .operators import graph, hunt, incidents, rules, summaries, vectors, verdicts
-from .sources.tables import EVENTS_SQL, events
+from .operators import graph, heuristics, hunt, incidents, rules, severity, summaries, vectors, verdicts
+from .sources.tables import EVENTS_SQL, FEEDBACK_SQL, TRUSTED, events, feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-#: Rule conditions of the oracle, written for DuckDB (RE2 patterns) over the columns the test events have.
-_RULES_SQL = {
-    "TH-001": "lower(process_name) = 'powershell.exe' and regexp_matches(commandline, '(?i)(-enc\\b|-encodedcommand)')",
-    "TH-007": "lower(process_name) = 'certutil.exe' and regexp_matches(commandline, '(?i)(-urlcache|-decode|http)')",
-    "TH-010": "regexp_matches(commandline, '(?i)(sekurlsa|lsadump|dcsync|logonpasswords)')",
-    "TH-011": "event_id = '4662' and contains(lower(properties), '1131f6aa-9c07-11d1-f79f')",
-    "TH-017": "event_id = '7045'",
-    "TH-022": "(process_name = 'powershell.exe' and parent_process_name in ('wmiprvse.exe', 'lsass.exe')) or (process_name = 'cmd.exe' and parent_process_name = 'lsass.exe')",
-    "TH-023": "contains(lower(process_path), chr(92) || 'temp' || chr(92))",
-    "TH-025": "event_id = '10' and contains(lower(target_image), 'lsass.exe') and granted_access in ('0x1410', '0x40')",
-}
-_BY_ID = {r.id: (i, r) for i, r in enumerate(rules.RULES)}
-# TH-002 needs a download word; no test command of a shell has one
+
+
+def _lit(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _search(column: str, pattern: str) -> str:
+    return f"coalesce({column} <> '' and regexp_matches({column}, {_lit(pattern)}), false)"
+
+
+def _one_of(column: str, words: tuple[str, ...]) -> str:
+    return f"coalesce(lower({column}), '') in ({', '.join(_lit(w.lower()) for w in words)})"
+
+
+def _rule_sql(r: rules.Rule) -> str:
+    """The condition of a rule for DuckDB, put together from the rule's fields."""
+    tests = [_one_of("process_name", r.names)] * bool(r.names) + [_one_of("event_id", r.codes)] * bool(r.codes)
+    tests += [_search("commandline", r.command)] * bool(r.command) + [_search("case when process_path <> '' then process_path else process_name end", r.path)] * bool(r.path)
+    tests += [_search("(coalesce(properties, '') || ' ' || coalesce(object_guid, '') || ' ' || coalesce(access_mask, ''))", r.properties)] * bool(r.properties)
+    tests += [_search("target_image", r.target)] * bool(r.target) + ["granted_access in ('0x1410', '0x40')"] * r.dangerous
+    if r.parents:
+        tests.append("(" + " or ".join(f"{_one_of('process_name', (c,))} and {_one_of('parent_process_name', ps)}" for c, ps in r.parents.items()) + ")")
+    return " and ".join(tests)
+
+
+_FCOLS = ", ".join(rules.FINDING)
 _FINDINGS = ", fi as (" + " union all ".join(
-    f"select {_BY_ID[i][0]} as rule_ord, '{i}' as rule_id, '{_BY_ID[i][1].mitre}' as mitre, '{_BY_ID[i][1].tactic}' as tactic, '{_BY_ID[i][1].severity}' as severity, * from ev where {w}"
-    for i, w in _RULES_SQL.items()
+    f"select {i} as rule_ord, '{r.id}' as rule_id, {_lit(r.name)} as rule_name, '{r.mitre}' as mitre, '{r.tactic}' as tactic, '{r.severity}' as severity, * from ev where {_rule_sql(r)}"
+    for i, r in enumerate(rules.RULES)
 ) + ")"
-_DEDUP = """, de as (select * from (select *, row_number() over (partition by rule_id, coalesce(process_guid, commandline, ''), source_ip, user_name, hostname order by seq, rule_ord) as rn from fi) x where rn = 1)"""
-_FCOLS = "rule_ord, rule_id, mitre, tactic, severity, seq, ts, hostname, user_name, process_guid, process_name, commandline, source_ip"
+_DEDUP = """, de as (select * from (select *, row_number() over (partition by rule_id, coalesce(nullif(process_guid, ''), commandline, ''), source_ip, user_name, hostname order by seq, rule_ord) as rn from fi) x where rn = 1)"""
 _RANK = "case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
 
 
@@ -89,15 +101,24 @@ def norm_outcome(spark, sf_dir):
     return events(spark, sf_dir).select("seq", F.coalesce(outcome(noisy), F.lit("")).alias("outcome"))
 
 
-@query("select seq, concat_ws(' | ', process_name, commandline, parent_process_name, event_outcome, target_image, properties) as activity from ev")
+_ACTIVITY = "concat_ws(' | ', " + ", ".join(f"nullif({c}, '')" for c in heuristics.ACTIVITY) + ")"
+
+
+@query(f"select seq, {_ACTIVITY} as activity from ev")
 def activity_text(spark, sf_dir):
-    return events(spark, sf_dir).select("seq", F.concat_ws(" | ", "process_name", "commandline", "parent_process_name", "event_outcome", "target_image", "properties").alias("activity"))
+    return events(spark, sf_dir).select("seq", heuristics.activity(events(spark, sf_dir)).alias("activity"))
+
 
+#: Fixed value: words that try to steer a model.
+_MARKERS = r"(?i)(ignore\s+(previous|all|above)|you\s+are\s+now|jailbreak|system\s*:|\[INST\]|<\|im_start\|>|</?input>|</?system>|assistant\s*:)"
 
-@query("select conv_id, turn from conversations where regexp_matches(text, '(?i)(ignore (all )?previous instructions|system prompt|<\\|im_start\\|>)')")
+
+@query(f"select 'conversations' as source, conv_id as id, turn from conversations where regexp_matches(text, {_lit(_MARKERS)}) union all select 'documents', doc_id, null from documents where regexp_matches(text, {_lit(_MARKERS)})")
 def prompt_injection_scan(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.where(F.col("text").rlike(r"(?i)(ignore (all )?previous instructions|system prompt|<\|im_start\|>)")).select("conv_id", "turn")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(predicates.matches(F.col("text"), _MARKERS))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(predicates.matches(F.col("text"), _MARKERS))
+    turns = turns.select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), "turn")
+    return turns.unionByName(docs.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn")))
 
 
 @query(f"select {_FCOLS} from fi", _FINDINGS)
@@ -121,14 +142,16 @@ def agg_hunt_summary(spark, sf_dir):
     return found.groupingSets([["severity"], ["tactic"], []], "severity", "tactic").agg(F.count("*").alias("findings"), F.countDistinct("mitre").alias("techniques"))
 
 
-_CORR = """select rule_id, severity, source_ip, invalid as invalid_failures, hosts, accounts, first_seen, last_seen from (
+_CORR = """select rule_id, rule_name, 'T1110.001' as mitre, 'Credential Access' as tactic, severity, source_ip, invalid as invalid_failures, hosts, accounts, first_seen, last_seen from (
   select *, unnest([case when won > 0 then 1 end, case when real > 0 then 2 end, case when won = 0 and real = 0 then 3 end]) as c from per where invalid >= 5) x,
   lateral (select case c when 1 then 'TH-CORR-001' when 2 then 'TH-CORR-002' else 'TH-CORR-003' end as rule_id, case c when 1 then 'CRITICAL' when 2 then 'HIGH' else 'MEDIUM' end as severity,
+    case c when 1 then 'SSH Brute Force — Account Compromised' when 2 then 'SSH Brute Force — Valid Account Targeted' else 'SSH User Enumeration Detected' end as rule_name,
     case c when 1 then won_users when 2 then real_users else '' end as accounts, case c when 1 then last_won when 2 then last_real else last_invalid end as last_seen) y where c is not null"""
 _PER = """, per as (select source_ip, count(*) filter (f and i) as invalid, count(*) filter (f and not i) as real, count(*) filter (s) as won,
-  coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (s), '') as won_users, coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (f and not i), '') as real_users,
+  coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (s and user_name <> ''), '') as won_users, coalesce(string_agg(distinct user_name, ', ' order by user_name) filter (f and not i and user_name <> ''), '') as real_users,
   coalesce(string_agg(distinct hostname, ', ' order by hostname) filter (f or s), '') as hosts, min(ts) filter (f and i) as first_seen, max(ts) filter (s) as last_won, max(ts) filter (f and not i) as last_real, max(ts) filter (f and i) as last_invalid
-  from (select *, coalesce(event_outcome, '') = 'failed' as f, coalesce(event_outcome, '') = 'success' as s, user_name = 'invalid user' as i from ev where process_name = 'sshd' or event_category = 'authentication') a group by source_ip)"""
+  from (select *, coalesce(event_outcome, '') = 'failed' as f, coalesce(event_outcome, '') = 'success' as s,
+    lower(trim(user_name)) in ('(invalid user)', '(unknown user)', '(unknown)', 'invalid user', 'unknown user', 'unknown') as i from ev where process_name = 'sshd' or event_category = 'authentication') a group by source_ip)"""
 
 
 @query(_CORR, _PER)
@@ -157,7 +180,7 @@ def _hunt(name: str, relations: list[dict], where: str, previous: bool = False)
     query(f"select seq, hostname, user_name from b where {where}", ", a as (select * from ev where event_outcome = 'success'), b as (select * from ev where contains(lower(commandline), 'minidump'))")(run)
 
 
-_hunt("hunt_same", [{"type": "same", "step": "a", "field": "user_name"}], "user_name in (select user_name from a)")
+_hunt("hunt_same", [{"type": "same", "step": "a", "field": "user_name"}], "user_name <> '' and user_name in (select user_name from a)")
 _hunt("hunt_after", [{"type": "after", "step": "a"}], "ts > (select min(ts) from a)")
 _hunt("hunt_within", [{"type": "within", "step": "a", "seconds": 600}], "exists (select 1 from a where a.ts between b.ts - interval 600 second and b.ts + interval 600 second)")
 _hunt("hunt_entity_within", [{"type": "within", "step": "a", "seconds": 7200, "keys": ["hostname"]}], "exists (select 1 from a where a.hostname = b.hostname and a.ts between b.ts - interval 7200 second and b.ts + interval 7200 second)")
@@ -202,7 +225,10 @@ def quick_picks(spark, sf_dir):
     return rows.groupBy("commandline").agg(F.min("seq").alias("first_seq")).orderBy("first_seq").limit(6)
 
 
-@query("select distinct ip, not regexp_matches(ip, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') as external from (select unnest(regexp_extract_all(commandline, '\\b(\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})\\b')) as ip from ev) x")
+_IOC = " union ".join(f"select unnest(regexp_extract_all(commandline, {_lit(p)})) as ioc from ev" for p in (summaries.IPV4, summaries.URL))
+
+
+@query(f"select distinct ioc, not regexp_matches(ioc, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)') as external from ({_IOC}) x")
 def ioc_extract(spark, sf_dir):
     return summaries.iocs(events(spark, sf_dir))
 
@@ -221,14 +247,70 @@ def first_last_seen(spark, sf_dir):
     return events(spark, sf_dir).groupBy("hostname").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("commandline", "seq").alias("first_command"))
 
 
-@query()
+_COMPONENTS = """, links as (select de.seq, 's' || de.hostname || cast(s.session as varchar) as node from de join (select seq, min(seq) over (partition by hostname, part) as session from ses2) s on s.seq = de.seq
+ union select seq, 'u' || hostname || user_name from de where user_name <> '' union select seq, 'g' || hostname || process_guid from de where process_guid <> ''),
+ reach as (select seq as root, node from links union select reach.root, b.node from reach join links a on a.node = reach.node join links b on b.seq = a.seq),
+ inc as (select l.seq, min(r.root) as incident from links l join reach r on r.node = l.node group by l.seq)"""
+_DE_SESSIONS = """, gaps2 as (select seq, rule_ord, hostname, ts, case when ts - lag(ts) over w <= interval 1 hour then 0 else 1 end as fresh from de window w as (partition by hostname order by ts, seq, rule_ord)),
+ ses2 as (select *, sum(fresh) over (partition by hostname order by ts, seq, rule_ord) as part from gaps2)"""
+_ROLLUP = """, ru as (select incident, 'inc_' || cast(sum(cast(('0x' || substr(md5(concat_ws('|', rule_id, hostname, user_name, process_guid, substr(commandline, 1, 120))), 1, 15)) as hugeint)) as varchar) as id,
+ max({rank}) as severity_rank, count(*) as finding_count, min(ts) as first_seen, max(ts) as last_seen, string_agg(distinct hostname, '|' order by hostname) as hosts,
+ coalesce(string_agg(distinct user_name, '|' order by user_name) filter (user_name <> ''), '') as users, string_agg(distinct tactic, '|' order by tactic) as tactics, string_agg(distinct mitre, '|' order by mitre) as tactic_ids,
+ string_agg(distinct rule_id, '|' order by rule_id) as rule_ids, arg_min(tactic, seq * 100 + rule_ord) || ' on ' || arg_min(hostname, seq * 100 + rule_ord) || ' via ' || arg_min(process_name, seq * 100 + rule_ord) as title,
+ 'P' || cast(least(3, greatest(0, 4 - max({rank}))) as varchar) as priority from di group by incident),
+ na as (select incident, string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || rule_name, ' → ' order by n) as steps from (select *, row_number() over (partition by incident order by ts nulls last, seq, rule_ord) as n from di) q where n <= 8 group by incident),
+ ro as (select ru.*, steps || case when finding_count > 8 then ' (+' || cast(finding_count - 8 as varchar) || ' more)' else '' end as narrative from ru join na using (incident))""".replace("{rank}", _RANK)
+_BY_HOST_DAY = ", di as (select *, cast(seq % 40 as bigint) as incident from de)"
+
+
+@query(f"select de.seq, rule_id, hostname, incident from de join inc on inc.seq = de.seq", _FINDINGS + _DEDUP + _DE_SESSIONS + _COMPONENTS)
 def incident_components(spark, sf_dir):
     return incidents.components(dedup_findings(spark, sf_dir)).select("seq", "rule_id", "hostname", "incident")
 
 
-@query()
+def _grouped(spark, sf_dir):
+    """Findings under incident numbers that SQL can give as well; incidents_build has the real ones."""
+    return dedup_findings(spark, sf_dir).withColumn("incident", F.expr("cast(seq % 40 as bigint)"))
+
+
+@query("select * from ro", _FINDINGS + _DEDUP + _BY_HOST_DAY + _ROLLUP)
 def agg_incident_rollup(spark, sf_dir):
-    return incidents.rollup(incidents.components(dedup_findings(spark, sf_dir)))
+    return incidents.rollup(_grouped(spark, sf_dir))
+
+
+@query("select incident, severity_rank, finding_count from ro order by severity_rank desc, finding_count desc, incident", _FINDINGS + _DEDUP + _BY_HOST_DAY + _ROLLUP)
+def sort_incidents(spark, sf_dir):
+    return incidents.ranked(incidents.rollup(_grouped(spark, sf_dir))).select("incident", "severity_rank", "finding_count")
+
+
+_TRIAGE = """, tl as (select seq % 60 as incident_id, seq, case seq % 5 when 0 then 'remediated' when 1 then 'pending_fix' when 2 then 'excluded' end as status,
+ case when seq % 7 = 0 then 'P' || cast(seq % 4 as varchar(1)) end as priority, case when seq % 3 = 0 then 'note ' || cast(seq as varchar(20)) end as note from ev where seq % 97 = 0 or seq % 60 in (7, 8)),
+ ts0 as (select incident_id, arg_max(status, seq) filter (status is not null) as status, arg_max(priority, seq) filter (priority is not null) as priority, arg_max(note, seq) filter (note is not null) as note from tl group by 1),
+ tm as (select ro.incident, coalesce(ts0.status, 'new') as status, coalesce(ts0.priority, ro.priority) as priority, coalesce(ts0.note, '') as note, finding_count from ro left join ts0 on ts0.incident_id = ro.incident)"""
+
+
+def _triaged(spark, sf_dir):
+    log = events(spark, sf_dir).where("seq % 97 = 0 or seq % 60 in (7, 8)").selectExpr(
+        "seq % 60 as incident_id", "seq", "case seq % 5 when 0 then 'remediated' when 1 then 'pending_fix' when 2 then 'excluded' end as status",
+        "case when seq % 7 = 0 then 'P' || cast(seq % 4 as varchar(1)) end as priority", "case when seq % 3 = 0 then 'note ' || cast(seq as varchar(20)) end as note")
+    return incidents.triage_merge(incidents.rollup(_grouped(spark, sf_dir)), log)
+
+
+@query("select * from tm", _FINDINGS + _DEDUP + _BY_HOST_DAY + _ROLLUP + _TRIAGE)
+def triage_merge(spark, sf_dir):
+    return _triaged(spark, sf_dir).select("incident", "status", "priority", "note", "finding_count")
+
+
+@query("""select count(*) as total, count(*) filter (o) as open, count(*) filter (not o) as closed, count(*) filter (o and priority = 'P0') as p0, count(*) filter (o and priority = 'P1') as p1,
+ count(*) filter (o and priority = 'P2') as p2, count(*) filter (o and priority = 'P3') as p3 from (select *, status not in ('remediated', 'excluded', 'risk_accepted') as o from tm) x""", _FINDINGS + _DEDUP + _BY_HOST_DAY + _ROLLUP + _TRIAGE)
+def agg_incident_stats(spark, sf_dir):
+    return incidents.stats(_triaged(spark, sf_dir))
+
+
+@query("select i.* from ro i", _FINDINGS + _DEDUP + _DE_SESSIONS + _COMPONENTS + ", di as (select de.*, inc.incident from de join inc on inc.seq = de.seq)" + _ROLLUP)
+def incidents_build(spark, sf_dir):
+    found = dedup_findings(spark, sf_dir)
+    return incidents.rollup(incidents.components(found))
 
 
 _EDGES = """, ed as (select source, target, type, arg_min(label, seq) as label from (
@@ -241,16 +323,35 @@ def graph_edges(spark, sf_dir):
     return graph.edges(events(spark, sf_dir))
 
 
-@query("select count(*) as edges, count(*) filter (type = 'SPAWNED') as spawned, count(*) filter (type = 'CONNECTED') as connected, count(distinct source) as sources from ed", _EDGES)
-def graph_stats(spark, sf_dir):
-    return graph.stats(graph_edges(spark, sf_dir))
+_NODES = f""", own as (select process_guid as id, 'process' as type, arg_min(process_name, seq) as label, arg_min(hostname, seq) as hostname, arg_min(user_name, seq) as user_name, arg_min(commandline, seq) as commandline, count(*) as events, min(seq) as first_seq from ev group by process_guid),
+ nd as (select * from own union all select parent_process_guid, 'process', arg_min(parent_process_name, seq), arg_min(hostname, seq), null, null, 0, min(seq) from ev where parent_process_guid <> process_guid and parent_process_guid not in (select id from own) group by 1
+ union all select 'net-' || destination_ip || ':' || coalesce(destination_port, ''), 'network', destination_ip || ':' || coalesce(destination_port, ''), arg_min(hostname, seq), null, null, count(*), min(seq) from ev where destination_ip <> '' and (event_id in ('3', '5156') or event_category = 'network_connection') group by 1, 3),
+ nm as (select nd.*, coalesce(m.r, 0) as severity_rank, coalesce(m.rules, '') as rules, coalesce(m.techniques, '') as techniques from nd left join (select process_guid, max({_RANK}) as r, string_agg(distinct rule_id, '|' order by rule_id) as rules, string_agg(distinct mitre, '|' order by mitre) as techniques from de group by 1) m on m.process_guid = nd.id)"""
 
 
-@query(f"select ev.process_guid as id, arg_min(process_name, ev.seq) as process_name, arg_min(hostname, ev.seq) as hostname, arg_min(user_name, ev.seq) as user_name, count(*) as events, coalesce(any_value(m.r), 0) as severity_rank, coalesce(any_value(m.rules), '') as rules from ev left join (select process_guid, max({_RANK}) as r, string_agg(distinct rule_id, '|' order by rule_id) as rules from de group by 1) m on m.process_guid = ev.process_guid group by ev.process_guid", _FINDINGS + _DEDUP)
-def agg_graph_nodes(spark, sf_dir):
+def _nodes(spark, sf_dir):
     return graph.nodes(events(spark, sf_dir), dedup_findings(spark, sf_dir))
 
 
+@query("select * from nm", _FINDINGS + _DEDUP + _NODES)
+def agg_graph_nodes(spark, sf_dir):
+    return _nodes(spark, sf_dir)
+
+
+_TOP = ", kept as (select id from nm order by severity_rank desc, first_seq, id limit 300), shown as (select * from nm where id in (select id from kept) or id in (select source from ed where target in (select id from kept)))"
+
+
+@query("select * from shown", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP)
+def topk_graph(spark, sf_dir):
+    return graph.top(_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 300)
+
+
+@query("""select (select count(*) from nm) as nodes, count(*) as displayed, count(*) filter (severity_rank = 4) as critical, count(*) filter (severity_rank = 3) as high, count(*) filter (severity_rank = 2) as medium,
+ (select count(*) from ed) as edges, (select count(*) from ed where type = 'SPAWNED') as spawned, (select count(*) from ed where type = 'CONNECTED') as connected, count(*) < (select count(*) from nm) as truncated from shown""", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP)
+def graph_stats(spark, sf_dir):
+    return graph.stats(_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 300)
+
+
 @query("select root, node, depth from t", _EDGES + ", t as (select source as root, source as node, 0 as depth from (select distinct source from ed where type = 'SPAWNED' and source not in (select target from ed where type = 'SPAWNED')) r union all select t.root, ed.target, t.depth + 1 from t join ed on ed.source = t.node and ed.type = 'SPAWNED')")
 def process_tree(spark, sf_dir):
     return graph.tree(graph_edges(spark, sf_dir))
@@ -269,26 +370,96 @@ def tree_child_rank(spark, sf_dir):
     return events(spark, sf_dir).select("process_guid", "parent_process_guid", "seq", F.row_number().over(order).alias("child_rank"))
 
 
-@query("select seq, coalesce(max(r), 0) as severity_rank from (select ev.seq, " + _RANK.replace("severity", "de.severity") + " as r from ev left join de on de.process_guid = ev.process_guid) x group by seq", _FINDINGS + _DEDUP)
+_TIMELINE = f""", byp as (select process_guid, max({_RANK}) as r, string_agg(distinct rule_id, '|' order by rule_id) as rules from de group by 1),
+ bys as (select source_ip, max({_RANK}) as r, string_agg(distinct rule_id, '|' order by rule_id) as rules from ({_CORR}) c group by 1),
+ tline as (select ev.seq, hostname, process_name, greatest(coalesce(byp.r, 0), coalesce(bys.r, 0)) as severity_rank, concat_ws('|', byp.rules, bys.rules) as rules from ev left join byp on byp.process_guid = ev.process_guid left join bys on bys.source_ip = ev.source_ip)"""
+
+
+def _timeline(spark, sf_dir):
+    return summaries.enrich_timeline(events(spark, sf_dir), dedup_findings(spark, sf_dir), corr_bruteforce(spark, sf_dir))
+
+
+@query("select seq, severity_rank, rules from tline", _FINDINGS + _DEDUP + _PER + _TIMELINE)
 def enrich_timeline(spark, sf_dir):
-    marks = dedup_findings(spark, sf_dir).groupBy("process_guid").agg(F.max(F.expr(_RANK)).alias("r"))
-    return events(spark, sf_dir).join(marks, "process_guid", "left").select("seq", F.coalesce("r", F.lit(0)).alias("severity_rank"))
+    return _timeline(spark, sf_dir).select("seq", "severity_rank", "rules")
+
+
+@query("select seq, severity_rank from tline where hostname = 'host-3' and process_name = 'cmd.exe' and severity_rank > 0", _FINDINGS + _DEDUP + _PER + _TIMELINE)
+def filter_timeline(spark, sf_dir):
+    return summaries.filter_timeline(_timeline(spark, sf_dir), host="host-3", process="cmd.exe", severity="malicious").select("seq", "severity_rank")
+
+
+_FEEDBACK = FEEDBACK_SQL + """, fb as (select * exclude (corrected_severity), 'fb_' || substr(sha1(concat_ws(chr(31), commandline, process_name, event_id, hostname)), 1, 16) as id, coalesce(corrected, case when agree then verdict else not verdict end) as label,
+ case when analyst in ('analyst-1', 'analyst-3') then 1.0::double else 0.5::double end as trust, least(greatest(corrected_severity, 1), 10) as corrected_severity from fb0)"""
+
+
+def _feedback(spark, sf_dir):
+    return verdicts.feedback(feedback(spark, sf_dir), TRUSTED)
 
 
-@query("select doc_id, quality = 1 as agree, case when toxic = 1 then 1.0::double else 0.5::double end as trust, least(greatest(3 + 4 * toxic, 1), 10) as severity from labels")
+@query("select seq, label, trust, case when corrected_severity is null then -1 else corrected_severity end as severity from fb", _FEEDBACK)
 def feedback_label(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rows.select("doc_id", (F.col("quality") == 1).alias("agree"), F.when(F.col("toxic") == 1, 1.0).otherwise(0.5).alias("trust"), F.least(F.greatest(3 + 4 * F.col("toxic"), F.lit(1)), F.lit(10)).alias("severity"))
+    return _feedback(spark, sf_dir).select("seq", "label", "trust", F.coalesce("corrected_severity", F.lit(-1)).alias("severity"))
 
 
-@query("select commandline from ev group by commandline having count(distinct process_name) > 1")
+@query("select seq, id from fb", _FEEDBACK)
+def feedback_fingerprint(spark, sf_dir):
+    return _feedback(spark, sf_dir).select("seq", "id")
+
+
+_DISPUTED = ", dis as (select id from fb where trust >= 0.9 and label is not null group by id having count(distinct label) > 1)"
+
+
+@query("select id from dis", _FEEDBACK + _DISPUTED)
 def feedback_disputed(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("commandline").agg(F.countDistinct("process_name").alias("n")).where("n > 1").select("commandline")
+    return verdicts.disputed(_feedback(spark, sf_dir))
 
 
-@query()
+def _embedded(rows: DataFrame) -> DataFrame:
+    return summaries.embed(rows, rows.columns[0] if rows.columns[0] != "corpus_id" else "text")
+
+
+def _embed_sql(name: str, source: str) -> str:
+    """Sparse embeddings of the texts of a table, as {name}(text, idx, w)."""
+    byte = "cast('0x' || substr(md5(g), {}, 2) as int)"
+    return f""", {name}g as (select text, substr(lower(text), cast(i as bigint), 3) as g from (select text, unnest(range(1, greatest(length(text) - 2, 1) + 1)) as i from (select distinct text from {source} where text <> '') q0) q),
+ {name}s as (select text, {byte.format(31)} as idx, sum(case when {byte.format(29)} % 2 = 0 then 1 else -1 end)::double as w from {name}g group by 1, 2 having sum(case when {byte.format(29)} % 2 = 0 then 1 else -1 end) <> 0),
+ {name} as (select text, idx, w / sqrt(sum(w * w) over (partition by text)) as w from {name}s)"""
+
+
+_EMBEDDED = _embed_sql("emb", "(select commandline as text from ev)")
+
+
+@query("select text, idx, round(w, 6) as w from emb", _EMBEDDED)
 def embed_hash(spark, sf_dir):
-    return summaries.embed(events(spark, sf_dir), "commandline")
+    return summaries.embed(events(spark, sf_dir), "commandline").withColumn("w", F.round("w", 6))
+
+
+_CORPUS = ", cor as (select * from (values " + ", ".join(f"({i}, {_lit(t)}, {_lit(label) if label else 'null'})" for i, (t, label) in enumerate((*vectors.KNOWN_BAD, *((b, None) for b in vectors.BENIGN)))) + ") c(corpus_id, text, label))"
+_SCORES = _EMBEDDED + _CORPUS + _embed_sql("cem", "cor") + """, sc as (select t.text, cor.corpus_id, cor.label, round(coalesce(sum(emb.w * cem.w), 0), 9) as score from (select distinct commandline as text from ev) t, cor
+ left join emb on emb.text = t.text left join cem on cem.text = cor.text and cem.idx = emb.idx group by 1, 2, 3)"""
+
+
+@query("""select text, round(b, 4) as bad_score, round(g, 4) as benign_score, b >= 0.3 as like_bad, case when b >= 0.3 then l end as family, round(1 - g, 4) as novelty from (
+ select text, max(score) filter (label is not null) as b, max(score) filter (label is null) as g, arg_max(label, score * 1000000 - corpus_id) filter (label is not null) as l from sc group by text) x""", _SCORES)
+def knn_known_bad(spark, sf_dir):
+    per = vectors.known_bad(summaries.embed(events(spark, sf_dir), "commandline"), lambda rows: summaries.embed(rows.select("text"), "text"))[1]
+    return per.withColumns({c: F.round(c, 4) for c in ("bad_score", "benign_score", "novelty")})
+
+
+_FEWSHOT = _EMBEDDED + _DISPUTED + """, good as (select id, arg_min(commandline, seq) as commandline, arg_min(label, seq) as label, min(seq) as seq from fb where trust >= 0.9 and label is not null and id not in (select id from dis) group by id),
+ sims as (select a.text as commandline, b.text as other, round(sum(a.w * b.w), 9) as s from emb a join emb b on a.idx = b.idx group by 1, 2),
+ fs as (select * from (select sims.commandline, id, label, s as similarity, row_number() over (partition by sims.commandline order by s desc, seq) as rank from sims join good on good.commandline = other where s >= 0.45) x where rank <= 3)"""
+
+
+def _fewshot(spark, sf_dir):
+    shown = _feedback(spark, sf_dir)
+    return vectors.fewshot(events(spark, sf_dir).select("commandline"), shown, verdicts.disputed(shown), lambda rows: summaries.embed(rows, "commandline"))
+
+
+@query("select commandline, cast(rank as int) as rank, id, label, round(similarity, 4) as similarity from fs", _FEEDBACK + _FEWSHOT)
+def fewshot_retrieve(spark, sf_dir):
+    return _fewshot(spark, sf_dir).select("commandline", "rank", "id", "label", F.round("similarity", 4).alias("similarity"))
 
 
 @query("select label, count(*) as vectors, round(avg(list_dot_product(embedding::double[], embedding::double[])), 4) as mean_square from embeddings group by label")
@@ -309,7 +480,8 @@ def norm_guid(spark, sf_dir):
     return events(spark, sf_dir).select("seq", guid.alias("guid"), parent_guid(F.col("hostname"), F.col("parent_process_name")).alias("parent_guid"))
 
 
-@query("select seq, hostname, user_name, 'DS-Replication-Get-Changes' as matched_right, 10 as severity from ev where event_id = '4662' and contains(lower(properties), '1131f6aa-9c07-11d1-f79f-00c04fc2dcd2')")
+@query("""select seq, hostname, user_name, case when contains(lower(properties), '1131f6aa-9c07-11d1-f79f-00c04fc2dcd2') then 'DS-Replication-Get-Changes' else 'DS-Replication-Get-Changes-In-Filtered-Set' end as matched_right, 10 as severity
+ from ev where event_id = '4662' and (contains(lower(properties), '1131f6aa-9c07-11d1-f79f-00c04fc2dcd2') or contains(lower(object_guid), '89e95b76-444d-4c62-991a-0facbeda640c'))""")
 def agg_dcsync(spark, sf_dir):
     return verdicts.replication_rights(events(spark, sf_dir))
 
@@ -317,7 +489,7 @@ def agg_dcsync(spark, sf_dir):
 _EXCLUDED = "user_name = 'invalid user' or source_ip = '10.0.0.4'"
 
 
-@query(f"""select incident, finding_count, active_finding_count, severity_rank, active_finding_count = 0 as all_excluded, 'P' || cast(greatest(0, 4 - severity_rank) as varchar) as priority from (
+@query(f"""select incident, finding_count, active_finding_count, severity_rank, active_finding_count = 0 as all_excluded, 'P' || cast(least(3, greatest(0, 4 - severity_rank)) as varchar) as priority from (
     select hostname as incident, count(*) as finding_count, count(*) filter (not ({_EXCLUDED})) as active_finding_count,
     coalesce(max({_RANK}) filter (not ({_EXCLUDED})), max({_RANK})) as severity_rank from de group by hostname) x""", _FINDINGS + _DEDUP)
 def exclude_findings(spark, sf_dir):
@@ -330,8 +502,8 @@ def exclude_findings(spark, sf_dir):
     union all select 'attack_stage', 1, coalesce(max(tactic), 'None') from de
     union all select 'findings', 1, cast(count(*) as varchar) from de
     union all select 'critical', 1, cast(count(*) filter (severity = 'CRITICAL') as varchar) from de
-    union all select 'host', row_number() over (order by hostname), hostname from (select distinct hostname from de order by hostname limit 100) h
-    union all select 'user', row_number() over (order by user_name), user_name from (select distinct user_name from de order by user_name limit 100) u
+    union all select 'host', 1, hostname from (select distinct hostname from de where hostname <> '') h
+    union all select 'user', 1, user_name from (select distinct user_name from de where user_name <> '') u
     union all select 'technique ' || mitre, 1, arg_max(rule_id, seq * 1000 + rule_ord) from de where regexp_full_match(mitre, 'T[0-9]{{4}}([.][0-9]{{3}})?') group by mitre
     union all select 'key finding', row_number() over (order by {_RANK} desc, seq, rule_ord), rule_id || ' on ' || hostname || ' by ' || user_name from (select * from de order by {_RANK} desc, seq, rule_ord limit 8) k
     ) x""", _FINDINGS + _DEDUP)
@@ -366,7 +538,7 @@ def filter_tree_ancestors(spark, sf_dir):
 
 @query()
 def decode_commands(spark, sf_dir):
-    return decode.decode_commands(events(spark, sf_dir)).select("commandline", F.array_join("decoded", "\n").alias("decoded"))
+    return decode.decode_commands(events(spark, sf_dir))
 
 
 @query("""select query_id, cast(rank as int) as rank, neighbour_id, round(similarity, 4) as similarity from (
@@ -378,6 +550,210 @@ def knn_dense(spark, sf_dir):
     return vectors.knn_dense(rows, rows.where("vec_id % 50 = 0")).withColumn("similarity", F.round("similarity", 4))
 
 
+def _hit_sql(text: str, is_4662: str) -> str:
+    rights = [f"case when {is_4662} and contains(lower({text}), '{g}') then {{'i': {_lit('DCSync GUID: ' + n)}, 's': 10, 't': 'T1003.006'}} end" for g, n in verdicts.REPLICATION_RIGHTS.items()]
+    checks = [f"case when regexp_matches({text}, {_lit(p)}) then {{'i': {_lit(i)}, 's': {v}, 't': '{t}'}} end" for p, i, v, t in heuristics.CHECKS]
+    return f"[x for x in [{', '.join(rights + checks)}] if x is not null]"
+
+
+_SEMANTICS = f""", act as (select distinct {_ACTIVITY} as activity, coalesce(event_id = '4662', false) as is_4662 from ev), hit as (select activity, is_4662, {_hit_sql('activity', 'is_4662')} as hits from act),
+ sem as (select ev.*, coalesce(list_max([h.s for h in hits]), 1) as sev, [h.t for h in hits] as techs, [h.i for h in hits] as inds from ev join hit on hit.activity = {_ACTIVITY} and hit.is_4662 = coalesce(ev.event_id = '4662', false))"""
+_TECHS = "array_to_string(list_sort(list_distinct(techs)), '|')"
+
+
+def _joined(column: str, ordered: bool = False):
+    return F.array_join(F.col(column) if ordered else F.array_sort(column), "|").alias(column)
+
+
+@query(f"select seq, sev as severity, {_TECHS} as techniques, array_to_string(inds, '|') as indicators from sem", _SEMANTICS)
+def agg_event_semantics(spark, sf_dir):
+    return heuristics.event_semantics(events(spark, sf_dir)).select("seq", "severity", _joined("techniques"), _joined("indicators", True))
+
+
+_NUMBER = "case severity when 'CRITICAL' then 10 when 'HIGH' then 8 when 'MEDIUM' then 5 else 3 end"
+
+
+@query(f"""select seq, greatest(sev, coalesce(n, 1)) as severity, concat_ws('|', nullif(array_to_string(inds, '|'), ''), names) as indicators from sem left join (
+ select seq as q, max({_NUMBER}) as n, string_agg('Rule match: ' || rule_name, '|' order by rule_ord) filter ({_NUMBER} >= 8) as names from fi group by seq) r on r.q = sem.seq""", _SEMANTICS + _FINDINGS)
+def rule_escalation(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return heuristics.escalate(heuristics.event_semantics(rows), rules.evaluate(rows)).select("seq", "severity", _joined("indicators", True))
+
+
+@query("select seq, event_id, case event_id " + " ".join(f"when '{k}' then {_lit(v)}" for k, v in heuristics.EVENT_NOTES.items()) + " end as note from ev where event_id in (" + ", ".join(f"'{k}'" for k in heuristics.EVENT_NOTES) + ")")
+def eid_context(spark, sf_dir):
+    return heuristics.event_notes(events(spark, sf_dir)).select("seq", "event_id", "note").where("note is not null")
+
+
+@query("select seq, sev as severity from sem where sev >= 5 order by sev desc, seq limit 100", _SEMANTICS)
+def topk_semantic_hits(spark, sf_dir):
+    return heuristics.semantic_hits(heuristics.event_semantics(events(spark, sf_dir))).select("seq", "severity")
+
+
+_TACTIC = "case split_part(t, '.', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in severity.TACTICS.items()) + " end"
+_COUNTS = " union all ".join(f"select '{c}' as field, coalesce({c}, 'unknown') as value, seq from ev" for c in ("event_id", "hostname", "user_name"))
+
+
+@query(f"""select 'overall_severity' as item, 1 as ord, case when m >= 9 then 'critical' when m >= 7 then 'high' when m >= 5 then 'medium' else 'clean' end as value, n from (select coalesce(max(sev), 1) as m, count(*) as n from sem where sev >= 5) a
+ union all select 'phase', 1, value, count(distinct seq) from (select seq, {_TACTIC} as value from (select seq, unnest(techs) as t from sem where sev >= 5) b0) b where value is not null group by value
+ union all select 'top ' || field, cast(rank as int), value, n from (select *, row_number() over (partition by field order by n desc, f) as rank from (select field, value, count(*) as n, min(seq) as f from ({_COUNTS}) c0 group by 1, 2) c1) c where rank <= 12
+ union all select 'process edge', 1, parent || ' > ' || child, n from (select lower(parent_process_name) as parent, lower(process_name) as child, count(*) as n, min(seq) as f from ev group by 1, 2 order by n desc, f limit 20) d""", _SEMANTICS)
+def agg_prescan(spark, sf_dir):
+    return heuristics.prescan(events(spark, sf_dir), None)
+
+
+@query()
+def score_commands(spark, sf_dir):
+    return heuristics.score_commands(events(spark, sf_dir)).select("commandline", "decoded", "severity", "is_malicious", _joined("techniques"), _joined("indicators", True), "confidence", "abstained")
+
+
+_SHOWN = ", sh as (select seq, sev as severity, hostname as host, user_name, technique from (select *, unnest(list_distinct(techs)) as technique from sem where sev >= 5) q), nw as (select * from sh where (technique, host) not in (select mitre, hostname from de))"
+_EVIDENCE = " union all ".join(
+    f"select '{t}' as technique, count(*) filter (" + " or ".join(
+        {"regex": lambda f, v: _search(f, v), "contains": lambda f, v: f"coalesce(contains(lower({f}), {_lit(v)}), false)", "eq": lambda f, v: f"coalesce(lower({f}) = {_lit(v)}, false)"}[o](f, v) for f, o, v in tests
+    ) + ") as evidence from ev" for t, tests in heuristics.EVIDENCE.items()
+)
+
+
+def _hypotheses(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return heuristics.hypotheses(heuristics.event_semantics(rows), dedup_findings(spark, sf_dir)).join(heuristics.evidence(rows), "technique", "left")
+
+
+@query(f"""select h.*, e.evidence, case when severity >= 9 then 0.9::double when severity >= 7 then 0.75::double when severity >= 5 then 0.55::double else 0.4::double end as confidence from (
+ select technique, severity, host, user_name, seq from (select *, row_number() over (partition by technique order by severity desc, seq) as rn from nw) q where rn = 1 order by severity desc, seq, technique limit 12) h left join ({_EVIDENCE}) e using (technique)""", _SEMANTICS + _FINDINGS + _DEDUP + _SHOWN)
+def hypotheses_rank(spark, sf_dir):
+    return _hypotheses(spark, sf_dir)
+
+
+@query("select seq, technique, host from nw", _SEMANTICS + _FINDINGS + _DEDUP + _SHOWN)
+def hyp_drop_confirmed(spark, sf_dir):
+    scored = heuristics.event_semantics(events(spark, sf_dir)).where("severity >= 5")
+    shown = scored.select("seq", F.col("hostname").alias("host"), F.explode("techniques").alias("technique"))
+    confirmed = dedup_findings(spark, sf_dir).select(F.col("mitre").alias("technique"), F.col("hostname").alias("host")).distinct()
+    return heuristics.drop_confirmed(shown, confirmed).select("seq", "technique", "host")
+
+
+@query("select seq as id from ev where seq % 11 <> 0 and (seq % 13 <> 0)")
+def hyp_grounding(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    named = rows.selectExpr("seq as id", "array(if(seq % 11 = 0, 'nowhere', upper(hostname))) as hosts", "if(seq % 13 = 0, array(user_name, 'nobody'), array(user_name)) as users")
+    return heuristics.grounded(named, rows).select("id")
+
+
+@query("select seq, mitre, coalesce(name, 'Unknown') as technique_name, coalesce(tac, 'Unknown') as technique_tactic, 'https://attack.mitre.org/techniques/' || replace(mitre, '.', '/') || case when name is null then '' else '/' end as technique_url from de left join (values "
+       + ", ".join(f"('{t}', {_lit(n)}, '{c}')" for t, n, c in severity.TECHNIQUES) + ") m(id, name, tac) on id = mitre", _FINDINGS + _DEDUP)
+def mitre_lookup(spark, sf_dir):
+    return severity.mitre_lookup(dedup_findings(spark, sf_dir)).select("seq", "mitre", "technique_name", "technique_tactic", "technique_url")
+
+
+@query(f"select {_TACTIC.replace('(t,', '(mitre,')} as phase, count(*) as findings, count(distinct mitre) as techniques from de group by 1", _FINDINGS + _DEDUP)
+def tactic_rollup(spark, sf_dir):
+    return dedup_findings(spark, sf_dir).groupBy(severity.tactic_of(F.col("mitre")).alias("phase")).agg(F.count("*").alias("findings"), F.countDistinct("mitre").alias("techniques"))
+
+
+@query(f"""select severity, number, {_RANK} as severity_rank, 'P' || cast(least(3, 4 - {_RANK}) as varchar) as priority, {_NUMBER} as severity_number, case when number >= 9 then 'critical' when number >= 7 then 'high' when number >= 5 then 'medium' else 'clean' end as word,
+ case when number >= 9 then 0.9::double when number >= 7 then 0.75::double when number >= 5 then 0.55::double else 0.4::double end as confidence, case when number >= 9 then 'High' when number >= 7 then 'Elevated' when number >= 5 then 'Moderate' else 'Low' end as band, n
+ from (select severity, cast(seq % 10 + 1 as int) as number, count(*) as n from fi group by 1, 2) x""", _FINDINGS)
+def severity_map(spark, sf_dir):
+    return severity.severity_map(rules_evaluate(spark, sf_dir).groupBy("severity", F.expr("cast(seq % 10 + 1 as int)").alias("number")).agg(F.count("*").alias("n")))
+
+
+@query("select i as rule_ord, id as rule_id, name as rule_name, sev as severity, count(fi.seq) as findings from (values " + ", ".join(f"({i}, '{r.id}', {_lit(r.name)}, '{r.severity}')" for i, r in enumerate(rules.RULES)) + ") r(i, id, name, sev) left join fi on fi.rule_id = id group by 1, 2, 3, 4", _FINDINGS)
+def rules_summary(spark, sf_dir):
+    found = rules_evaluate(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return rules.summary(spark).join(found, "rule_id", "left").select("rule_ord", "rule_id", "rule_name", "severity", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@query("""select 'address' as kind, value, 1 as ord from (select distinct destination_ip as value from ev where destination_ip <> '' order by 1 limit 5) a
+ union all select 'process', process_name || ' (' || rule_name || ')', cast(n as int) from (select process_name, arg_min(rule_name, n) as rule_name, min(n) as n from (select process_name, rule_name, row_number() over (order by seq, rule_ord) as n from (select * from de order by seq, rule_ord limit 10) d0) d where process_name <> '' group by 1) b""", _FINDINGS + _DEDUP)
+def suggest_pivots(spark, sf_dir):
+    return summaries.pivots(events(spark, sf_dir), dedup_findings(spark, sf_dir))
+
+
+_UNION = "select seq, array_to_string(list_sort(list_distinct(list_concat(techs, [t for t in [mitre] if t is not null]))), '|') as techniques from sem left join (select seq as q, arg_min(mitre, rule_ord) as mitre from fi group by 1) r on r.q = sem.seq"
+
+
+@query(_UNION, _SEMANTICS + _FINDINGS)
+def techniques_union(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    first = rules.evaluate(rows).groupBy("seq").agg(F.min_by("mitre", "rule_ord").alias("mitre"))
+    joined = heuristics.event_semantics(rows).join(first, "seq", "left")
+    both = F.array_union("techniques", F.array_compact(F.array("mitre")))
+    return joined.select("seq", F.array_join(F.array_sort(both), "|").alias("techniques"))
+
+
+@query("select seq, hostname from ev where lower(process_name) in ('powershell.exe', 'pwsh.exe') and regexp_matches(commandline, '(?i)(-enc\\b|-encodedcommand|frombase64)')")
+def hunt_keywords(spark, sf_dir):
+    return hunt.run_hunt(events(spark, sf_dir), hunt.saved("encoded powershell"), most=None).select("seq", "hostname")
+
+
+#: Verdicts that a model might have given, as JSON, made from the events.
+_SAID = "'{\"severity\": ' || cast(seq % 13 as varchar(9)) || ', \"is_malicious\": ' || case when seq % 2 = 0 then 'true' else 'false' end || ', \"mitre_techniques\": [\"T1027\", \"bad\"], \"indicators\": [\"said\"]' || case when seq % 17 = 0 then '' else '}' end"
+
+
+def _verdicts(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return verdicts.validate(rows.select("seq", F.expr(_SAID).alias("json"))), rows
+
+
+_VALID = ", vd as (select seq, seq % 17 <> 0 as valid, case when seq % 17 = 0 then 1 else least(greatest(seq % 13, 1), 10) end as severity, seq % 17 <> 0 and seq % 2 = 0 as is_malicious, case when seq % 17 = 0 then [] else ['T1027'] end as techniques, case when seq % 17 = 0 then [] else ['said'] end as indicators from ev)"
+
+
+@query("select seq, valid, cast(severity as int) as severity, is_malicious, array_to_string(techniques, '|') as techniques from vd", _VALID)
+def verdict_validate(spark, sf_dir):
+    return _verdicts(spark, sf_dir)[0].select("seq", "valid", "severity", "is_malicious", _joined("techniques", True))
+
+
+_FLOOR = ", fl as (select vd.seq, cast(greatest(vd.severity, sev) as int) as severity, case when sev > vd.severity then sev >= 5 else is_malicious end as is_malicious, list_sort(list_distinct(list_concat(techniques, techs))) as techniques, len(list_distinct(list_concat(indicators, inds))) as n, sev, sev >= 5 as hm from vd join sem on sem.seq = vd.seq)"
+
+
+def _floored(spark, sf_dir):
+    said, rows = _verdicts(spark, sf_dir)
+    scored = heuristics.event_semantics(rows)
+    return verdicts.floor(said, scored, "seq").join(scored.select("seq", F.col("severity").alias("heuristic")), "seq")
+
+
+@query("select seq, severity, is_malicious, array_to_string(techniques, '|') as techniques from fl", _SEMANTICS + _VALID + _FLOOR)
+def verdict_floor(spark, sf_dir):
+    return _floored(spark, sf_dir).select("seq", "severity", "is_malicious", _joined("techniques"))
+
+
+@query("""select seq, round(case when agree then v else least(v, 0.45) end, 2)::double as confidence, not agree or not (strong or benign) as abstained from (select *, is_malicious = hm as agree, severity >= 7 or sev >= 7 as strong, severity <= 2 and n = 0 as benign,
+ case when severity >= 7 or sev >= 7 then least(0.95, 0.7 + 0.05 * n) when severity <= 2 and n = 0 then 0.7 else 0.4 end as v from fl) x""", _SEMANTICS + _VALID + _FLOOR)
+def verdict_confidence(spark, sf_dir):
+    agree = F.col("is_malicious") == (F.col("heuristic") >= 5)
+    return heuristics.confidence(_floored(spark, sf_dir), F.col("heuristic"), agree).select("seq", "confidence", "abstained")
+
+
+@query()
+def verdict_feedback_nudge(spark, sf_dir):
+    scored = heuristics.score_commands(events(spark, sf_dir))
+    return verdicts.nudge(scored, _fewshot(spark, sf_dir), "commandline").select("commandline", "severity", "is_malicious", "moved", "confidence")
+
+
+@query("select case when seq % 2 = 0 then analyst else '' end as analyst, commandline, label, case when corrected_severity is null then -1 else corrected_severity end as corrected_severity from fb", _FEEDBACK)
+def sink_feedback_jsonl(spark, sf_dir):
+    """The rows of the export, with every second analyst left out, as they come back from JSON lines."""
+    from .operators.shared import Scratch
+
+    path = f"{Scratch(spark, 'export').base}/jsonl"
+    rows = _feedback(spark, sf_dir).select("commandline", "label", "corrected_severity", F.expr("if(seq % 2 = 0, analyst, '')").alias("analyst"))
+    verdicts.export_feedback(rows, path)
+    back = spark.read.schema("commandline string, label boolean, corrected_severity int, analyst string").json(path)
+    return back.select("analyst", "commandline", "label", F.coalesce("corrected_severity", F.lit(-1)).alias("corrected_severity"))
+
+
+@query(f"select severity, cast(count(*) as bigint) as n from de group by severity", _FINDINGS + _DEDUP)
+def sink_findings(spark, sf_dir):
+    """Findings written by severity, read back and counted: a severity is a folder."""
+    from .operators.shared import Scratch
+
+    path = f"{Scratch(spark, 'sink').base}/findings"
+    verdicts.write_findings(dedup_findings(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAP = "map<string,string>"
 
@@ -18,24 +21,58 @@ def _rows(lines: DataFrame, raw) -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line; splittable. Lines that do not parse are left out."""
+    """One object per line; splittable. Lines that do not parse are left out (see corrupt)."""
     return _rows(spark.read.text(path), F.from_json("value", MAP)).where("raw is not null")
 
 
+def corrupt(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that read_ndjson leaves out."""
+    return _rows(spark.read.text(path).where("trim(value) <> ''"), F.from_json("value", MAP)).where("raw is null").select("_src", "seq", "line")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are JSON objects, and all others as {"raw": line}."""
     parsed = F.coalesce(F.from_json("value", MAP), F.create_map(F.lit("raw"), F.col("value")))
     return _rows(spark.read.text(path).where("trim(value) <> ''"), parsed)
 
 
+def _texts(record: dict) -> dict[str, str]:
+    """A record's values as text. What is empty, zero or false counts as missing; lists and objects stay JSON."""
+    return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in record.items() if v}
+
+
+def records(text: str) -> Iterator[dict]:
+    """The objects of a JSON text: an array, an object or a wrapper with Events, events or records;
+    else objects one after another, on one line each or not."""
+    try:
+        found = json.loads(text.removeprefix("\ufeff"))
+    except ValueError:
+        found = [json.loads(x) for x in objects(text)]
+    if isinstance(found, dict):
+        found = next((found[k] for k in ("Events", "events", "records") if k in found), [found])
+    yield from (r for r in found if isinstance(r, dict)) if isinstance(found, list) else ()
+
+
+def _by_file(spark: SparkSession, path: str, split) -> DataFrame:
+    """(_src, seq, raw, line) from whole files; split gives the records of a text. One task per
+    file, so large files belong into one object per line (read_ndjson), which Spark splits."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_src"), "value")
+    schema = pa.schema([("_src", pa.string()), ("seq", pa.int64()), ("raw", pa.map_(pa.string(), pa.string())), ("line", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = enumerate(split(text))
+                while some := list(islice(found, 1_000)):
+                    columns = [src] * len(some), [i for i, _ in some], [list(_texts(r).items()) for _, r in some], [json.dumps(r, ensure_ascii=False) for _, r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return whole.mapInArrow(run, f"_src string, seq long, raw {MAP}, line string")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array, one object, or a wrapper with Events, events or records; one task per file,
-    so convert large files to one object per line once."""
-    whole = spark.read.text(path, wholetext=True)
-    wrapped = F.coalesce(*(F.get_json_object("value", f"$.{k}") for k in ("Events", "events", "records")))
-    items = F.coalesce(F.from_json(wrapped, "array<string>"), F.from_json("value", "array<string>"), F.array("value"))
-    rows = whole.select(F.col("_metadata.file_path").alias("_src"), F.posexplode(items).alias("seq", "line"))
-    return rows.select("_src", F.col("seq").cast("long"), F.from_json("line", MAP).alias("raw"), "line").where("raw is not null")
+    """An array, one object, a wrapper, or objects one after another, whichever a file holds."""
+    return _by_file(spark, path, records)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +82,59 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), F.create_map(*pairs).alias("raw"), F.lit(None).cast("string").alias("line"))
 
 
+def realign(cells: list[str], header: list[str]) -> list[str]:
+    """A row's cells under its header, repaired where a list in the middle was not quoted.
+
+    Columns before the first of host.ip, host.mac and source.ip and from host.name on keep
+    their places, counted from the row's start and end; what lies between is one value.
+    """
+    size = len(header)
+    first = next((header.index(c) for c in ("host.ip", "host.mac", "source.ip") if c in header), None)
+    if len(cells) != size and first is not None and first < len(cells):
+        last = size - (header.index("host.name") if "host.name" in header else first + 2)
+        end = len(cells) - last if 0 < last <= len(cells) else len(cells)
+        cells = [*cells[:first], ", ".join(cells[first:end]), *cells[end:]]
+    return [*cells, *[""] * (size - len(cells))][:size]
+
+
+def read_csv_realigned(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV whose rows may have too many or too few cells (see realign); a row is one line.
+    The files share one header."""
+    lines = spark.read.text(path).where("value <> ''")
+    top = lines.first()
+    header = next(csv.reader([top.value.removeprefix("\ufeff")])) if top else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            rows = [list(zip(header, realign(cells, header))) for cells in csv.reader(batch.column(2).to_pylist())]
+            raw = pa.array(rows, type=pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, batch.column(2)], names=["_src", "seq", "raw", "line"])
+
+    rows = lines.where(F.col("value") != F.lit(top.value if top else "")).select(F.col("_metadata.file_path").alias("_src"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    return rows.mapInArrow(run, f"_src string, seq long, raw {MAP}, line string")
+
+
 def read_xml(spark: SparkSession, path: str, row_tag: str = "Event") -> DataFrame:
-    """<Event> rows: an element's text by its local name."""
+    """<Event> rows: an element's text by its local name, an attribute by element_attribute."""
     table = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
-    return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), F.from_json(F.to_json(F.struct("*")), MAP).alias("raw"), F.lit(None).cast("string").alias("line"))
+
+    def leaves(name: str, column, kind) -> Iterator[tuple]:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                inner = name if f.name == "_VALUE" else f"{name}_{f.name[1:]}" if f.name.startswith("_") else f.name.rsplit(":", 1)[-1]
+                yield from leaves(inner, column[f.name], f.dataType)
+        else:
+            yield name, column.cast("string") if isinstance(kind, T.StringType) else F.to_json(column)
+
+    found = [x for f in table.schema.fields for x in leaves(f.name.rsplit(":", 1)[-1].removeprefix("_"), F.col(f"`{f.name}`"), f.dataType)]
+    pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in found)), lambda p: p["value"].isNotNull())
+    return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), _last_wins(pairs).alias("raw"), F.lit(None).cast("string").alias("line"))
+
+
+def _last_wins(pairs):
+    """A map from (key, value) pairs; of equal keys the last counts."""
+    return F.aggregate(pairs, F.create_map().cast(MAP), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
 
 
 def objects(text: str) -> Iterator[str]:
@@ -63,17 +149,8 @@ def objects(text: str) -> Iterator[str]:
 
 
 def read_concat_json(spark: SparkSession, path: str) -> DataFrame:
-    """Objects one after another, also over several lines; one task per file, so split large files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_src"), "value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(objects(text))
-                yield pa.RecordBatch.from_arrays([pa.array([src] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["_src", "seq", "line"])
-
-    rows = whole.mapInArrow(run, "_src string, seq long, line string")
-    return rows.select("_src", "seq", F.from_json("line", MAP).alias("raw"), "line").where("raw is not null")
+    """Objects one after another, also over several lines; what does not parse is skipped."""
+    return _by_file(spark, path, lambda text: (json.loads(x) for x in objects(text)))
 
 
 _DATA = "struct<Data: array<struct<_Name: string, _VALUE: string>>>"
@@ -98,11 +175,11 @@ def read_winevent_xml(spark: SparkSession, path: str) -> DataFrame:
     ]
     data = [F.coalesce(F.transform(f"{c}.Data", lambda d: F.struct(d["_Name"].alias("key"), d["_VALUE"].alias("value"))), F.array().cast("array<struct<key: string, value: string>>")) for c in ("EventData", "UserData", "DebugData")]
     pairs = F.filter(F.concat(F.array(*system), *data), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    last = F.aggregate(pairs, F.create_map().cast(MAP), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+    last = _last_wins(pairs)
     return table.select(F.lit(path).alias("_src"), F.monotonically_increasing_id().alias("seq"), last.alias("raw"), F.lit(None).cast("string").alias("line"))
 
 
-READERS = {"json": read_json, "ndjson": read_ndjson, "jsonl": read_ndjson, "csv": read_csv, "xml": read_xml, "concat_json": read_concat_json, "winevent_xml": read_winevent_xml, "log": read_log, "txt": read_log}
+READERS = {"json": read_json, "ndjson": read_ndjson, "jsonl": read_ndjson, "csv": read_csv, "csv_realign": read_csv_realigned, "xml": read_xml, "concat_json": read_concat_json, "winevent_xml": read_winevent_xml, "log": read_log, "txt": read_log}
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:

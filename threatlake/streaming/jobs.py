@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import text
 from ..operators import rules
 
 
@@ -13,16 +14,18 @@ def stream_rules(events: DataFrame) -> DataFrame:
 
 
 def stream_dedup(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival per key within the watermark."""
-    return findings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["rule_id", "process_guid", "source_ip", "user_name", "hostname"])
+    """First arrival within the watermark per rule, process or command, source, user and host."""
+    actor = F.coalesce(F.nullif("process_guid", F.lit("")), F.col("commandline"), F.lit(""))
+    keyed = findings.withColumns({"_actor": actor, **{f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("source_ip", "user_name", "hostname")}})
+    first = keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["rule_id", "_actor", "_source_ip", "_user_name", "_hostname"])
+    return first.drop("_actor", "_source_ip", "_user_name", "_hostname")
 
 
 def stream_bruteforce(events: DataFrame, least: int = 5, delay: str = "1 hour") -> DataFrame:
-    auth = events.where("process_name = 'sshd' or event_category = 'authentication'").withWatermark("ts", delay)
-    invalid = F.lower(F.coalesce("user_name", F.lit(""))).isin("invalid user", "unknown", "")
-    per = auth.groupBy(F.window("ts", "1 hour", "10 minutes"), "source_ip").agg(
-        F.count_if((F.col("event_outcome") == "failed") & invalid).alias("invalid_failures"), F.count_if(F.expr("event_outcome = 'success'")).alias("successes")
-    )
+    """Failures of users who do not exist and successes per source in sliding hours."""
+    auth = events.where((text("process_name") == "sshd") | (text("event_category") == "authentication")).where("source_ip <> ''").withWatermark("ts", delay)
+    failed = (text("event_outcome") == "failed") & rules.is_invalid_user(F.col("user_name"))
+    per = auth.groupBy(F.window("ts", "1 hour", "10 minutes"), "source_ip").agg(F.count_if(failed).alias("invalid_failures"), F.count_if(text("event_outcome") == "success").alias("successes"))
     return per.where(F.col("invalid_failures") >= least)
 
 
