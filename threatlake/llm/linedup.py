@@ -4,22 +4,27 @@ Lines that occur once end every repeat, so the array is built over the others. P
 doubling ranks the suffixes by their first 1, 2, 4, ... lines: each step sorts the pairs
 of ranks, and their sorted order numbers the next ones. Suffixes that agree on m lines form
 an interval of the array whose least common prefix is at least m; the pair of ranks of the
-2^k-line prefixes at a run's start and 2^k lines before its end names that interval. A run
-is judged once it is MIN_WORDS long: every maximal repeated run of that length is the union
-of the shortest such runs that start or end at its lines.
+2^k-line prefixes at a run's start and 2^k lines before its end names that interval. Every
+maximal repeated run is the union of its shortest parts of a stated number of words that
+start or end at its lines; these are looked up, their first copy in the interval stays, and
+what they cover is merged into maximal stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-#: Words that a repeated run of lines must have, so that its later copies are deleted.
-MIN_WORDS = 50
-_KEY = ["_d", "_t"]  # a document: its id and its text's hash
+#: Words of a long repeated run: a passage rather than a line that happens to agree.
+LONG_WORDS = 50
+#: Bytes of the deleted stretches up to which they are broadcast; beyond, a shuffled join.
+SENT_BYTES = 64 << 20
+_KEY = ["_k"]  # a document: the hash of its id and text
 
 
 def _ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -28,10 +33,14 @@ def _ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> Data
     return scratch.keep(classes.orderBy(*by).withColumn("new", F.monotonically_increasing_id()), name)
 
 
+def _document(id_: Column, text: Column) -> Column:
+    return F.xxhash64(id_, F.coalesce(text, F.lit("")))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_d"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("line", "_line"))
-    return keyed.select("_d", "_t", "line", F.xxhash64("_line").alias("h"), F.xxhash64(F.lit("line"), "_line").alias("g"), F.regexp_count("_line", F.lit(WORD)).alias("words"))
+    keyed = docs.select(F.col(id_col).alias("_d"), _document(F.col(id_col), text).alias("_k"), F.posexplode(F.split(text, "\n")).alias("line", "_line"))
+    return keyed.select("_d", "_k", "line", F.xxhash64("_line").alias("h"), F.xxhash64(F.lit("line"), "_line").alias("g"), F.regexp_count("_line", F.lit(WORD)).alias("words"))
 
 
 def _shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -45,29 +54,30 @@ def _shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     # a run from i to j has upto[j] - before[i] words. In the order of word counts, the first j
     # with upto >= before[i] + min_words ends the shortest run from i, and the last i with
     # before <= upto[j] - min_words starts the shortest run to j
-    keys = [*_KEY, "stretch"]
+    keys = ["_d", *_KEY, "stretch"]
     ends = lines.select(*keys, F.col("upto").alias("at"), F.lit(1).alias("kind"), "line")
     asks = lines.select(*keys, (F.col("before") + min_words).alias("at"), F.lit(2).alias("kind"), "line")
-    down = W.partitionBy(*keys).orderBy(F.desc("at"), F.desc("kind"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*_KEY, "stretch").orderBy(F.desc("at"), F.desc("kind"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0)
     # equal word counts (empty lines): descending order meets the least line last
     forward = ends.union(asks).withColumn("other", F.last(F.when(F.col("kind") == 1, F.col("line")), True).over(down))
-    forward = forward.where("kind = 2 and other is not null").select(*_KEY, F.col("line").alias("start"), (F.col("other") - F.col("line") + 1).alias("m"))
+    forward = forward.where("kind = 2 and other is not null").select("_d", *_KEY, F.col("line").alias("start"), (F.col("other") - F.col("line") + 1).alias("m"))
     starts = lines.select(*keys, F.col("before").alias("at"), F.lit(1).alias("kind"), "line")
     asks = lines.select(*keys, (F.col("upto") - min_words).alias("at"), F.lit(2).alias("kind"), "line")
-    up = W.partitionBy(*keys).orderBy("at", "kind", "line").rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy(*_KEY, "stretch").orderBy("at", "kind", "line").rowsBetween(W.unboundedPreceding, 0)
     backward = starts.union(asks).withColumn("other", F.last(F.when(F.col("kind") == 1, F.col("line")), True).over(up))
-    backward = backward.where("kind = 2 and other is not null").select(*_KEY, F.col("other").alias("start"), (F.col("line") - F.col("other") + 1).alias("m"))
+    backward = backward.where("kind = 2 and other is not null").select("_d", *_KEY, F.col("other").alias("start"), (F.col("line") - F.col("other") + 1).alias("m"))
     return forward.union(backward).distinct()
 
 
-def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_d, _t, start, m): runs of m lines that repeat an earlier run, by id, text hash and line."""
+def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, least: tuple[int, ...]) -> DataFrame:
+    """(_k, start, m, least): runs of m lines with `least` words that repeat an earlier run, for each of `least`."""
     lines = _lines(docs, id_col, text_col)
     ranks = _ranked(lines, ["h", "g"], scratch, "rank-0")
     # repeated rows of one document are one document
-    found = lines.join(ranks, ["h", "g"]).select(F.coalesce("_d", F.lit(-(1 << 62))).alias("_d"), "_t", "line", F.col("new").alias("rank"), "words")
+    found = lines.join(ranks, ["h", "g"]).select("_d", "_k", "line", F.col("new").alias("rank"), "words")
     found = scratch.keep(found.repartition(*_KEY).dropDuplicates([*_KEY, "line"]), "lines")
-    runs = scratch.keep(_shortest_runs(found, min_words), "runs")
+    runs = [_shortest_runs(found, n).withColumn("least", F.lit(n)) for n in least]
+    runs = scratch.keep(reduce(DataFrame.union, runs), "runs")
     # doubling goes on among lines of such runs, up to the longest run asked about
     longest = runs.agg(F.max("m")).first()[0] or 0
     level = found.select(*_KEY, "line", "rank")
@@ -84,46 +94,62 @@ def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col:
     runs = runs.withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int"))
     head = levels.select(*_KEY, F.col("line").alias("start"), "k", F.col("rank").alias("r"))
     tail = levels.select(*_KEY, F.col("line").alias("last"), "k", F.col("rank").alias("s"))
-    named = runs.join(head, [*_KEY, "start", "k"]).withColumn("last", F.col("start") + F.col("m") - F.expr("cast(shiftleft(1, k) as int)"))
-    named = scratch.keep(named.join(tail, [*_KEY, "last", "k"]).select(*_KEY, "start", "m", "r", "s"), "named")
-    first = named.groupBy("m", "r", "s").agg(F.min(F.struct(*_KEY, "start")).alias("first"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    # a run of 2^k lines is named by its one rank, without a second look
+    exact = F.col("m") == F.expr("cast(shiftleft(1, k) as int)")
+    headed = scratch.keep(runs.join(head, [*_KEY, "start", "k"]), "headed")
+    longer = headed.where(~exact).withColumn("last", F.col("start") + F.col("m") - F.expr("cast(shiftleft(1, k) as int)"))
+    named = headed.where(exact).select("_d", *_KEY, "start", "m", "least", "r", F.col("r").alias("s"))
+    named = named.unionByName(longer.join(tail, [*_KEY, "last", "k"]).select("_d", *_KEY, "start", "m", "least", "r", "s"))
+    named = scratch.keep(named, "named")
+    place = F.struct("_d", *_KEY, "start")
+    first = named.groupBy("m", "r", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     first = scratch.keep(first, "first")
-    return named.join(first, ["m", "r", "s"]).where(F.struct(*_KEY, "start") != F.col("first")).select(*_KEY, "start", "m")
+    return named.join(first, ["m", "r", "s"]).where(place != F.col("first")).select(*_KEY, "start", "m", "least")
 
 
-def _kept_parts(runs: DataFrame) -> DataFrame:
-    """Per document the merged deleted stretches, as an array of (from, to), to exclusive."""
+def _stretches(runs: DataFrame, name: str) -> DataFrame:
+    """Per document the merged deleted stretches, as an array of (from, to), to exclusive, and their lines."""
     order = W.partitionBy(*_KEY).orderBy("start", "end")
     runs = runs.select(*_KEY, "start", (F.col("start") + F.col("m")).alias("end"))
     runs = runs.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.withColumn("part", F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(order))
     parts = runs.groupBy(*_KEY, "part").agg(F.min("start").alias("from"), F.max("end").alias("to"))
-    return parts.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_gone"), F.sum(F.col("to") - F.col("from")).alias("_n_gone"))
+    return parts.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(name), F.sum(F.col("to") - F.col("from")).alias(f"n_{name}"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
+def dedup_lines(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, count_col: str | None = None, long_col: str | None = None
+) -> DataFrame:
     """The documents, all columns, with later copies of repeated line runs cut from the text.
 
     Lines are split at \\n. A run repeats where equal lines follow one another, inside one
-    document too; of a run's copies the first by (id, text hash, line) stays. Only runs of at
-    least min_words words count, so short lines that happen to agree stay. A null text stays
-    null and an empty one empty; a text whose lines all go becomes empty, and its row stays.
-    Null ids sort first. Repeated rows (same id and text) are one document and get equal
-    texts; no row is added or lost. count_col: adds the number of lines cut.
+    document too; of a run's copies the first by (id, hash of id and text, line) stays. With
+    the default every repeated line goes that has a word, or lies in a repeated run that has
+    one; a greater min_words leaves shorter runs. A null text stays null and an empty one
+    empty; a text whose lines all go becomes empty, and its row stays. Ids of any orderable
+    type; null ids sort first. Repeated rows (same id and text) are one document and get
+    equal texts; no row is added or lost, an empty table gives no rows, and extra columns may
+    have any name. count_col: adds the number of lines cut; long_col: adds how many lie in
+    repeated runs of LONG_WORDS words or more. A document's lines are windowed in one task,
+    as its text is a row anyway.
     """
     scratch = Scratch(spark, "linedup")
-    gone = scratch.keep(_kept_parts(later_copies(spark, docs, scratch, id_col, text_col, min_words)), "gone")
-    gone = gone.toDF("_gd", "_gt", "_gone", "_n_gone")
-    text = F.col(text_col)
-    hit = (F.coalesce(F.col(id_col), F.lit(-(1 << 62))) == F.col("_gd")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_gt"))
-    small = gone.count() <= 200_000
-    joined = docs.join(F.broadcast(gone) if small else gone, hit, "left")
+    least = tuple(dict.fromkeys([min_words, *([LONG_WORDS] if long_col else [])]))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    row = F.col("_row")
+    bare = rows.select(row[id_col].alias("_id"), row[text_col].alias("_text"))
+    copies = scratch.keep(later_copies(spark, bare, scratch, "_id", "_text", least), "copies")
+    gone = _stretches(copies.where(F.col("least") == min_words), "gone")
+    if long_col:
+        gone = gone.join(_stretches(copies.where(F.col("least") == LONG_WORDS), "long").drop("long"), "_k", "full")
+    gone = scratch.keep(gone, "gone")
+    size = gone.agg(F.sum(40 + 8 * F.size(F.coalesce("gone", F.array())))).first()[0] or 0
+    joined = rows.withColumn("_k", _document(row[id_col], row[text_col])).join(F.broadcast(gone) if size <= SENT_BYTES else gone, "_k", "left")
     # what stands between the deleted stretches, each a slice of the lines
-    lines = F.split(text, "\n")
-    edges = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda g: g["to"].cast("int")))
-    stops = F.concat(F.transform("_gone", lambda g: g["from"].cast("int")), F.array(F.size(lines)))
+    lines = F.split(row[text_col], "\n")
+    edges = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["to"].cast("int")))
+    stops = F.concat(F.transform("gone", lambda g: g["from"].cast("int")), F.array(F.size(lines)))
     left = F.flatten(F.zip_with(edges, stops, lambda a, z: F.slice(lines, a + 1, z - a)))
-    names = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    if count_col:
-        names.append(F.coalesce("_n_gone", F.lit(0)).cast("long").alias(count_col))
-    return joined.select(*names)
+    out = [F.when(F.col("gone").isNull(), row[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else row[c].alias(c) for c in docs.columns]
+    out += [F.coalesce(n, F.lit(0)).cast("long").alias(c) for n, c in (("n_gone", count_col), ("n_long", long_col)) if c]
+    return joined.select(*out)

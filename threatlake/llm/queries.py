@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_lines_cut")
+    return linedup.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_lines_cut", long_col="n_long_run_lines")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
