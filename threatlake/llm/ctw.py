@@ -27,7 +27,7 @@ DEPTH = 5
 BLOCK_CHARS = 48_000_000
 #: Characters that are counted or scored in one numpy step, about.
 STEP_CHARS = 800_000
-#: Distinct sequences whose probabilities one task works out, about.
+#: Distinct sequences whose probabilities one group works out, about; those of three context bytes stay together.
 GROUP = 100_000
 END_KEY = 0  # the end token's; words have their hashes
 _BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -226,16 +226,16 @@ def _level(context: np.ndarray, node: np.ndarray, bit: np.ndarray, n: np.ndarray
 
 
 def lower_depths(rows: pd.DataFrame) -> pd.DataFrame:
-    """Mixes depths DEPTH to 2 for sequences whose two-byte contexts are all in `rows`.
+    """Mixes depths DEPTH to 3 for sequences whose three-byte contexts are all in `rows`.
 
     Per sequence (kind 1) the probabilities of its eight bits, -1 where training has not seen
-    the node; per depth-2 node (kind 0) its counts and the log of its weighted probability.
+    the node; per depth-3 node (kind 0) its counts and the log of its weighted probability.
     """
     key, n = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(float)
     symbol, context = key & 255, key >> 8
     node, bit = _bits(symbol)
     below, chance = None, None
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, 2, -1):
         keys, at, zero, one = _level(context & ((1 << (8 * depth)) - 1), node, bit, n)
         own = log_kt(zero, one)
         seen = (zero + one > 0)[at]
@@ -258,32 +258,51 @@ def lower_depths(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([grams, nodes[(nodes["zero"] + nodes["one"]) > 0]])
 
 
-def top_depths(rows: list[tuple[int, float, float, float]]) -> dict[str, np.ndarray]:
-    """Depths 1 and 0 from (last byte * 256 + node, zeros, ones, sum of the children's logs):
-    at most 256 * 255 rows. Tables of estimates, weights and whether a node was seen."""
-    zero, one, child = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
-    for key, z, o, w in rows:
-        zero[key >> 8, key & 255], one[key >> 8, key & 255], child[key >> 8, key & 255] = z, o, w
+def top_depths(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Depths 2 to 0 from depth-2 nodes: key (two context bytes * 256 + node), zero, one, child
+    (sum of the children's logs). At most 65,536 contexts; those seen have a row each in the
+    tables of estimates and weights."""
+    key = rows["key"].to_numpy(np.int64)
+    zero, one, child = (rows[c].to_numpy(float) for c in ("zero", "one", "child"))
+    contexts, at = np.unique(key >> 8, return_inverse=True)
+    row = np.full(1 << 16, -1, np.int32)
+    row[contexts] = np.arange(len(contexts))
+    own = log_kt(zero, one)
+    total = np.logaddexp(own, child)
+    p2, w2, seen2 = (np.zeros((len(contexts) + 1, 256), t) for t in (np.float32, np.float32, bool))
+    place = at, key & 255
+    p2[place], w2[place], seen2[place] = (one + 0.5) / (zero + one + 1), np.exp(own - total), True
+    sums = np.zeros((3, 256, 256))
+    for table, value in zip(sums, (zero, one, total - np.log(2))):
+        np.add.at(table, (key >> 8 & 255, key & 255), value)
+    zero, one, child = sums
     own = log_kt(zero, one)
     total = np.logaddexp(own, child)
-    share1 = np.exp(own - total)
     zero0, one0 = zero.sum(0), one.sum(0)
     own0 = log_kt(zero0, one0)
     share0 = np.exp(own0 - np.logaddexp(own0, (total - np.log(2)).sum(0)))
-    return {"p1": (one + 0.5) / (zero + one + 1), "w1": share1, "seen1": zero + one > 0, "p0": (one0 + 0.5) / (zero0 + one0 + 1), "w0": share0}
+    return {
+        "row": row, "p2": p2, "w2": w2, "seen2": seen2, "p1": (one + 0.5) / (zero + one + 1), "w1": np.exp(own - total), "seen1": zero + one > 0,
+        "p0": (one0 + 0.5) / (zero0 + one0 + 1), "w0": share0,
+    }
 
 
 def finish(key: np.ndarray, lower: np.ndarray, top: dict[str, np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence's last byte after the bytes before it."""
     node, bit = _bits(key & 255)
-    last = (key >> 8 & 255)[:, None]
-    one = top["p1"][last, node]
-    kt1 = np.where(bit == 1, one, 1 - one)
-    w1 = top["w1"][last, node]
-    p1 = np.where(lower < 0, kt1, w1 * kt1 + (1 - w1) * lower)
-    one = top["p0"][node]
-    kt0 = np.where(bit == 1, one, 1 - one)
-    p = np.where(top["seen1"][last, node], top["w0"][node] * kt0 + (1 - top["w0"][node]) * p1, kt0)
+
+    def estimate(one: np.ndarray) -> np.ndarray:
+        return np.where(bit == 1, one, 1 - one)
+
+    place = top["row"][key >> 8 & 65535][:, None], node  # -1, the last row, if not seen
+    kt, w = estimate(top["p2"][place]), top["w2"][place]
+    p = np.where(lower < 0, kt, w * kt + (1 - w) * lower)
+    known = top["seen2"][place]
+    place = (key >> 8 & 255)[:, None], node
+    kt, w = estimate(top["p1"][place]), top["w1"][place]
+    p = np.where(known, w * kt + (1 - w) * p, kt)
+    kt, w = estimate(top["p0"][node]), top["w0"][node]
+    p = np.where(top["seen1"][place], w * kt + (1 - w) * p, kt)
     return np.log10(p).sum(1)
 
 
@@ -342,15 +361,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count("*").alias("rows")).collect()}
     total, distinct = (int(sums[0]["n"]), int(sums[0]["v"])) if 0 in sums else (0, 0)
     groups = max(1, -(-int(sums[1]["rows"] if 1 in sums else 0) // GROUP))
-    grams = counts.where("kind = 1").withColumn("_g", F.pmod(F.xxhash64(F.expr("shiftright(key, 8) & 65535")), F.lit(groups)))
+    grams = counts.where("kind = 1").withColumn("_g", F.pmod(F.xxhash64(F.expr("shiftright(key, 8) & 16777215")), F.lit(groups)))
     mixed = scratch.keep(
         grams.groupBy("_g").applyInPandas(lambda rows: lower_depths(rows), "kind int, key long, p binary, zero double, one double, weighted double"), "mixed"
     )
-    # at most 256 * 255 rows: a last byte and a node of its decisions
-    top = top_depths([
-        tuple(r) for r in mixed.where("kind = 0").groupBy(F.expr("(shiftright(key, 8) & 255) * 256 + (key & 255)").alias("key"))
-        .agg(F.sum("zero"), F.sum("one"), F.sum("weighted")).collect()
-    ])
+    # at most 65,536 contexts of two bytes with 255 nodes each, through Arrow
+    top = top_depths(
+        mixed.where("kind = 0").groupBy(F.expr("(shiftright(key, 8) & 65535) * 256 + (key & 255)").alias("key"))
+        .agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("child")).toArrow().to_pandas()
+    )
     sent = spark.sparkContext.broadcast(top)
 
     def values(batches):
