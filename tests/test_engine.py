@@ -64,7 +64,17 @@ def test_components_match_union_find(spark):
 
 
 def test_hunt_validation():
-    assert hunt.validate({"steps": [], "select": "x"}) and not hunt.validate({"steps": [{"id": "a", "predicates": []}], "select": "a"})
+    step = {"id": "a", "predicates": [{"field": "hostname", "op": "eq", "value": "x"}]}
+    assert hunt.validate({"steps": [], "select": "x"}) and hunt.validate(7) == ["a hunt is an object"] and not hunt.validate({"steps": [step], "select": "a"})
+    bad = [{"field": "secret", "op": "eq"}, {"field": "hostname", "op": "like"}, {"field": "hostname", "op": "in", "value": "x"}, {"field": "hostname", "op": "regex", "value": "(a+)+"},
+           {"field": "hostname", "op": "regex", "value": "("}, {"field": "event_id", "op": "gte", "value": "x"}]
+    ir, errors = hunt.checked({"steps": [step, {**step, "predicates": step["predicates"] + bad}, {"predicates": bad}, 3], "relations": [
+        {"type": "after", "left": "a", "right": "a_1"}, {"type": "within", "steps": ["a", "a_1"], "seconds": 10**9}, {"type": "same", "steps": ["a", "a_1"], "field": "ts"}, {"type": "near", "step": "a"},
+    ]})
+    assert [s["id"] for s in ir["steps"]] == ["a", "a_1"] and len(ir["steps"][1]["predicates"]) == 1 and ir["select"] == "a_1"
+    assert ir["relations"] == [{"type": "after", "step": "a"}, {"type": "within", "step": "a", "seconds": 604_800, "keys": []}] and len(errors) == 2 * len(bad) + 4
+    back, _ = hunt.checked({"steps": [step, {**step, "id": "b"}], "relations": [{"type": "after", "left": "a", "right": "b"}], "select": "a"})
+    assert back["relations"] == [{"type": "before", "step": "b"}]
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,32 +55,104 @@ def run_hunt(events: DataFrame, ir: dict, previous: DataFrame | None = None, mos
         if r["type"] == "same":
             out = same(out, partner, r["field"])
         elif r["type"] == "within":
-            out = within(out, partner, max(1, min(int(r["seconds"]), 7 * 86400)), tuple(r.get("keys", ())))
+            out = within(out, partner, max(1, min(int(r["seconds"]), WEEK)), tuple(r.get("keys", ())))
         else:
             out = after(out, partner, before=r["type"] == "before")
     out = out.orderBy(F.asc_nulls_last("ts"), "seq")
     return out.limit(most) if most else out
 
 
-def validate(ir: dict) -> list[str]:
-    """Errors of a hunt; an empty list if it can run."""
-    errors, ids = [], [s.get("id") for s in ir.get("steps", [])]
-    if not ids:
-        errors.append("no steps")
-    if ir.get("select") not in ids:
-        errors.append("select names no step")
-    for s in ir.get("steps", []):
-        for p in s.get("predicates", []):
-            if p.get("op") not in ("eq", "ne", "contains", "regex", "in", "gte", "lte"):
-                errors.append(f"unknown operator {p.get('op')}")
-            if p.get("op") == "in" and len(p.get("value", ())) > 50:
-                errors.append("more than 50 values")
-    for r in ir.get("relations", []):
-        if r.get("type") not in ("same", "after", "before", "within") or r.get("step") not in ids:
+#: Fields that a hunt may name, and its operators.
+HUNT_FIELDS = (
+    "process_name", "parent_process_name", "process_path", "commandline", "event_id", "user_name", "hostname", "source_ip", "destination_ip",
+    "destination_port", "target_image", "target_object", "message", "properties", "process_guid", "event_outcome", "event_category", "action_type",
+)
+HUNT_OPS = ("eq", "ne", "contains", "regex", "in", "gte", "lte")
+WEEK = 7 * 86_400
+_NESTED = re.compile(r"\([^()]*[+*}][^()]*\)\s*[+*{]")
+
+
+def _bad_pattern(pattern: str) -> str:
+    try:
+        re.compile(pattern)
+    except re.error as wrong:
+        return str(wrong)
+    return "a repeat inside a repeat" if _NESTED.search(pattern) else ""
+
+
+def _bad_predicate(p: dict) -> str:
+    if p.get("field") not in HUNT_FIELDS:
+        return f"unknown field {p.get('field')}"
+    if p.get("op") not in HUNT_OPS:
+        return f"unknown operator {p.get('op')}"
+    if p["op"] == "in" and not isinstance(p.get("value"), list):
+        return "in needs a list"
+    if p["op"] == "regex" and (wrong := _bad_pattern(str(p.get("value", "")))):
+        return f"pattern {p['value']}: {wrong}"
+    if p["op"] in ("gte", "lte"):
+        try:
+            float(p.get("value"))
+        except (TypeError, ValueError):
+            return f"{p['op']} needs a number"
+    return ""
+
+
+def checked(ir: object) -> tuple[dict, list[str]]:
+    """The runnable part of a hunt from elsewhere, and what is wrong with the rest.
+
+    Steps get ids of their own where they have none or one twice. A relation names its partner
+    as step, or both ends: left and right (right is after left), or steps. The selected step
+    is the last one unless it names another. An empty hunt cannot run.
+    """
+    if not isinstance(ir, dict):
+        return {}, ["a hunt is an object"]
+    errors: list[str] = []
+    steps: dict[str, dict] = {}
+    for i, s in enumerate(ir.get("steps") or []):
+        if not isinstance(s, dict):
+            errors.append(f"step {i} is no object")
+            continue
+        name = str(s.get("id") or f"s{i}")
+        name = f"{name}_{i}" if name in steps else name
+        found = [(p, _bad_predicate(p)) for p in s.get("predicates") or [] if isinstance(p, dict)]
+        errors += [f"step {i}: {wrong}" for _, wrong in found if wrong]
+        good = [p for p, wrong in found if not wrong]
+        if good:
+            steps[name] = {"id": name, "match": "any" if s.get("match") == "any" else "all", "predicates": good}
+        else:
+            errors.append(f"step {i} has no usable predicate")
+    if not steps:
+        return {}, errors or ["no steps"]
+    select = ir.get("select") if ir.get("select") in steps else list(steps)[-1]
+    relations = []
+    for r in ir.get("relations") or []:
+        kind = r.get("type") if isinstance(r, dict) else None
+        ends = [str(x) for x in (r.get("steps") or [r.get("left"), r.get("right")])] if kind and "step" not in r else [select, str(r.get("step"))] if kind else []
+        if kind not in ("same", "after", "before", "within") or len(ends) != 2 or ends[0] == ends[1] or not set(ends) <= set(steps) or select not in ends:
             errors.append(f"bad relation {r}")
-        if r.get("type") == "same" and r.get("field") not in FIELDS:
-            errors.append(f"bad field {r.get('field')}")
-    return errors
+            continue
+        out = {"type": kind, "step": next(x for x in ends if x != select)}
+        if kind == "after" and "step" not in r and ends[0] == select:
+            out["type"] = "before"
+        if kind == "same":
+            if r.get("field") not in FIELDS:
+                errors.append(f"bad field {r.get('field')}")
+                continue
+            out["field"] = r["field"]
+        if kind == "within":
+            try:
+                out["seconds"] = max(1, min(int(r.get("seconds")), WEEK))
+            except (TypeError, ValueError):
+                errors.append("within needs seconds")
+                continue
+            out["keys"] = [k for k in r.get("keys", ()) if k in FIELDS]
+        relations.append(out)
+    return {"use_previous": ir.get("use_previous") is True, "steps": list(steps.values()), "relations": relations, "select": select}, errors
+
+
+def validate(ir: object) -> list[str]:
+    """Errors of a hunt; an empty list if all of it can run."""
+    return checked(ir)[1]
 
 
 #: Saved hunts by the words that ask for them: a process test and a command test.

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode, predicates
-from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, outcome, parent_guid, process_guid
-from .operators import graph, heuristics, hunt, incidents, rules, severity, summaries, vectors, verdicts
+from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, canonical, outcome, parent_guid, process_guid, timestamp
+from .operators import graph, heuristics, hunt, incidents, rules, session, severity, summaries, vectors, verdicts
 from .sources.tables import EVENTS_SQL, FEEDBACK_SQL, TRUSTED, events, feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -688,6 +688,39 @@ def hunt_keywords(spark, sf_dir):
     return hunt.run_hunt(events(spark, sf_dir), hunt.saved("encoded powershell"), most=None).select("seq", "hostname")
 
 
+#: Raw records with source names, made from the events: dashes, second names, paths, padded and odd ids, missing commands.
+_RAW = {
+    "HostName": "case when seq % 3 = 0 then '-' else hostname end", "Computer": "case when seq % 3 = 0 then hostname end", "User": "user_name",
+    "EventID": "case when seq % 4 = 0 then 'x' || event_id else '00' || event_id end", "Image": "process_path", "ProcessName": "case when seq % 5 = 0 then '12.5e1' end",
+    "CommandLine": "case when seq % 7 > 0 then commandline end", "message": "'said ' || cast(seq as varchar(20))", "ProcessGuid": "case when seq % 6 > 0 then process_guid end",
+}
+
+
+@query("""select seq, hostname, nullif(user_name, '') as user_name, case when seq % 4 = 0 then 'x' || event_id else event_id end as event_id, case when seq % 5 = 0 then regexp_extract(process_path, '([^\\\\/]*)$', 1) else regexp_extract(process_path, '([^\\\\/]*)$', 1) end as process_name,
+    process_path, case when seq % 7 > 0 then commandline else 'said ' || cast(seq as varchar) end as commandline, seq % 6 > 0 as given from ev""")
+def norm_alias_coalesce(spark, sf_dir):
+    pairs = [x for name, sql in _RAW.items() for x in (F.lit(name), F.expr(sql))]
+    raw = events(spark, sf_dir).select(F.lit("f").alias("_src"), "seq", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("raw"))
+    return canonical(raw).select("seq", "hostname", "user_name", "event_id", "process_name", "process_path", "commandline", F.col("process_guid").startswith("p-").alias("given"))
+
+
+@query("select seq, cast(floor(epoch(ts)) as bigint) as seconds from ev")
+def norm_timestamp(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    forms = [F.unix_seconds(at).cast("string"), F.unix_millis(at).cast("string"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(at, "MMM d, yyyy '@' HH:mm:ss.SSS"), F.date_format(at, "yyyy/MM/dd HH:mm:ss"), F.date_format(at, "dd/MMM/yyyy:HH:mm:ss '+0000'")]
+    text = F.coalesce(*(F.when(F.col("seq") % len(forms) == i, f) for i, f in enumerate(forms)))
+    return events(spark, sf_dir).select("seq", F.unix_seconds(timestamp(text)).alias("seconds"))
+
+
+@query(f"""select 'findings' as part, count(*) as n from de union all select 'edges', count(*) from ed union all select 'timeline', count(*) from ev
+ union all select 'incidents', count(distinct incident) from inc""", _FINDINGS + _DEDUP + _EDGES + _DE_SESSIONS + _COMPONENTS)
+def analyze_session(spark, sf_dir):
+    """The sizes of the main results of one analysis."""
+    found = session.analyze(events(spark, sf_dir))
+    sizes = [found[p].agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("findings", "edges", "timeline", "incidents")]
+    return sizes[0].union(sizes[1]).union(sizes[2]).union(sizes[3])
+
+
 #: Verdicts that a model might have given, as JSON, made from the events.
 _SAID = "'{\"severity\": ' || cast(seq % 13 as varchar(9)) || ', \"is_malicious\": ' || case when seq % 2 = 0 then 'true' else 'false' end || ', \"mitre_techniques\": [\"T1027\", \"bad\"], \"indicators\": [\"said\"]' || case when seq % 17 = 0 then '' else '}' end"
 
