@@ -39,3 +39,36 @@ def test_export_leaves_identities_out(spark, tmp_path):
     rows = spark.createDataFrame([("cmd", True, "ann", 0.5)], "commandline string, agree boolean, analyst string, trust double")
     verdicts.export_feedback(rows, str(tmp_path / "out"), deidentify=True)
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [{"commandline": "cmd", "agree": True}]
+
+
+def test_labels_move_only_what_is_open(spark):
+    rows = [("a", 9, True), ("b", 5, True), ("c", 5, True), ("d", 1, False), ("e", 6, True), ("f", 3, False)]
+    scored = spark.createDataFrame([(c, s, m, 0.4) for c, s, m in rows], "commandline string, severity int, is_malicious boolean, confidence double")
+    near = [("a", False, None, 0.99), ("b", False, None, 0.9), ("b", True, 10, 0.85), ("c", True, 9, 0.81), ("d", True, None, 1.0), ("e", False, 1, 0.79)]
+    examples = spark.createDataFrame(near, "commandline string, label boolean, corrected_severity int, similarity double")
+    got = {r.commandline: (r.severity, r.is_malicious, r.moved, r.confidence) for r in verdicts.nudge(scored, examples, "commandline").collect()}
+    assert got == {"a": (9, True, False, 0.4), "b": (2, False, True, 0.9), "c": (9, True, True, 0.81), "d": (7, True, True, 0.97), "e": (6, True, False, 0.4), "f": (3, False, False, 0.4)}
+
+
+def test_verdicts_in_json(spark):
+    cases = {
+        '{"severity": 14, "is_malicious": true, "mitre_techniques": ["T1003", "T1003.001", "T1", 7]}': (True, 10, True, ["T1003", "T1003.001"]),
+        '{"severity": "3", "is_malicious": "yes"}': (True, 3, False, []), '{"severity": "high"}': (False, 1, False, []), '{"severity": -4}': (True, 1, False, []),
+        "[1]": (False, 1, False, []), "not json": (False, 1, False, []), "": (False, 1, False, []), None: (False, 1, False, []),
+    }
+    got = {r.json: (r.valid, r.severity, r.is_malicious, r.techniques) for r in verdicts.validate(spark.createDataFrame([(c,) for c in cases], "json string")).collect()}
+    assert got == cases
+
+
+def test_known_bad_commands(spark):
+    """Commands of the fixed lists are nearest to themselves; scores against a plain cosine."""
+    from threatlake.operators import summaries, vectors
+
+    texts = [vectors.KNOWN_BAD[3][0], vectors.BENIGN[0], "zzzzqqqq"]
+    embed = lambda rows: summaries.embed(rows, "text")
+    near, per = vectors.known_bad(embed(spark.createDataFrame([(t,) for t in texts], "text string")), embed, 3)
+    best = {r.text: (r.corpus_id, round(r.score, 6)) for r in near.where("rank = 1").collect()}
+    assert best[texts[0]] == (3, 1.0) and near.count() == 9
+    rows = {r.text: r for r in per.collect()}
+    assert rows[texts[0]].like_bad and rows[texts[0]].family == "credential-access" and abs(rows[texts[1]].benign_score - 1) < 1e-6
+    assert not rows["zzzzqqqq"].like_bad and rows["zzzzqqqq"].family is None

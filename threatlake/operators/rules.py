@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -38,17 +39,18 @@ class Rule:
     description: str = ""
     guidance: str = ""
 
-    def condition(self) -> Column | None:
-        """The cheap tests first; None for a rule without conditions, which never holds."""
+    def condition(self, low: Callable[[str], Column] = text) -> Column | None:
+        """The cheap tests first; None for a rule without conditions, which never holds.
+        low: the lower-cased column of a name."""
         tests: list[Column] = []
         for column, words in (("process_name", self.names), ("event_outcome", self.outcomes), ("action_type", self.actions), ("event_category", self.categories)):
             if words:
-                tests.append(text(column).isin([w.lower() for w in words]))
+                tests.append(low(column).isin([w.lower() for w in words]))
         if self.codes:
             tests.append(F.coalesce(F.col("event_id"), F.lit("")).isin(list(self.codes)))
         if self.parents:
             pairs = [f"{child.lower()}\x01{p.lower()}" for child, ps in self.parents.items() for p in ps]
-            tests.append(F.concat(text("process_name"), F.lit("\x01"), text("parent_process_name")).isin(pairs))
+            tests.append(F.concat(low("process_name"), F.lit("\x01"), low("parent_process_name")).isin(pairs))
         if self.dangerous:
             tests.append(access_is_dangerous(F.col("granted_access")))
         if self.command:
@@ -143,10 +145,11 @@ def summary(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def evaluate(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per event and rule that matches; one scan, no join."""
-    hits = []
+    """One row per event and rule that matches; one scan, no join. Names are lower-cased once."""
+    hits, names = [], ("process_name", "parent_process_name", "event_outcome", "action_type", "event_category")
+    events = events.withColumns({f"_low_{c}": text(c) for c in names})
     for i, r in enumerate(rules):
-        if (condition := r.condition()) is not None:
+        if (condition := r.condition(lambda c: F.col(f"_low_{c}"))) is not None:
             values = zip(_OF_RULE, (r.id, r.name, r.mitre, r.tactic, r.severity))
             hits.append(F.when(condition, F.struct(F.lit(i).alias("rule_ord"), *(F.lit(v).alias(n) for n, v in values))))
     found = events.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
