@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_texts
 from .components import components
+from .common import Scratch, fresh, map_texts
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -78,6 +78,17 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _node(s: np.ndarray) -> int:
+    """The hash of a set of shingles, which stands for it."""
+    weights = np.arange(1, len(s) + 1, dtype=np.uint64)
+    return int(_mix(np.array([_mix(s * (weights | np.uint64(1)) + weights).sum()], np.uint64) + np.uint64(len(s))).view(np.int64)[0])
+
+
+def _sets(texts: list[str]) -> dict[str, list]:
+    sets = shingle_sets(texts)
+    return {"s": [x.view(np.int64) for x in sets], "own": [_node(x) for x in sets]}
+
+
 def _signatures(texts: list[str]) -> dict[str, list]:
     sets = shingle_sets(texts)
     some = [s for s in sets if len(s)]
@@ -99,9 +110,7 @@ def _signatures(texts: list[str]) -> dict[str, list]:
         if not len(s):
             got["node"].append(None), got["bands"].append(None), got["sig"].append(None)
             continue
-        # the set's own hash stands for it: documents with equal sets are one node
-        weights = np.arange(1, len(s) + 1, dtype=np.uint64)
-        got["node"].append(int(_mix(np.array([_mix(s * (weights | np.uint64(1)) + weights).sum()], np.uint64) + np.uint64(len(s))).view(np.int64)[0]))
+        got["node"].append(_node(s))  # documents with equal sets are one node
         got["bands"].append(band[:, j].view(np.int64))
         got["sig"].append(small[:, j].tobytes())
         j += 1
@@ -167,7 +176,8 @@ class _Verifier:
         want = self.scratch.keep(want, f"{name}-want")
         near = F.broadcast(want) if want.count() <= SENT_IDS // 2 else want
         texts = self.docs.join(near, "_id")
-        rows = map_texts(texts, lambda texts: {"s": [x.view(np.int64) for x in shingle_sets(texts)]}, "s array<long>", carry=("a", "key"))
+        # an id may be used for several texts: only the one that gives the node is meant
+        rows = map_texts(texts, _sets, "s array<long>, own long", carry=("a", "key")).where("own = coalesce(a, key)").drop("own")
         rows = self.scratch.keep(rows, f"{name}-sets")
         one = rows.where("a is not null").select("a", F.col("key").alias("b"), F.col("s").alias("x"))
         two = rows.where("a is null").select(F.col("key").alias("b"), F.col("s").alias("y"))
@@ -189,9 +199,10 @@ class _Verifier:
         want = self.scratch.keep(open_.join(self.nodes, "node").select(F.col("low").alias("_id"), "node"), "open-ids")
         near = F.broadcast(want) if want.count() <= SENT_IDS else want
         texts = self.docs.join(near, "_id")
-        sets = map_texts(texts, lambda texts: {"s": [x.view(np.int64) for x in shingle_sets(texts)]}, "s array<long>", carry=("node",))
+        sets = map_texts(texts, _sets, "s array<long>, own long", carry=("node",)).where("own = node")
         each = self.scratch.keep(sets.select("node", F.size("s").cast("long").alias("n"), F.explode("s").alias("s")), "open-sets")
-        often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+        # written, as a join of two plain tables can be split at frequent shingles while it runs
+        often = self.scratch.keep(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "open-often")
         own = W.partitionBy("node")
         ranked = each.join(often, "s").withColumns({"m": F.count("*").over(own), "r": F.row_number().over(own.orderBy("df", "s"))})
         return ranked.withColumn("c", F.col("m") - F.col("r") + 1).where(100 * F.col("c") >= THRESHOLD * F.col("n")).select("s", "node", "n", "c")
@@ -204,8 +215,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     5-word shingles. Documents with equal sets are one node (known by a 64-bit hash of the
     set). Empty texts, nulls among them, have no shingles and are linked with nothing; a text
     of fewer than five words is one shingle. Null ids take part in no group: their
-    component_id is null and they are kept. Repeated rows with one id give equal rows.
-    Other columns are ignored; an empty table gives no rows.
+    component_id is null and they are kept. Repeated rows with one id give equal rows; of an
+    id that has several texts every row has the component of its own text. Of a component
+    the least id is kept, so there are no ties. Texts of any length are compared whole.
+    Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     scratch = Scratch(spark, "neardup")
     base = fresh(docs, id_col, text_col)
@@ -227,12 +240,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     members = _open(members.select("band", "node"), roots, "band", scratch, "band")
     shared = scratch.keep(check.prefixes(members.select("node").distinct()), "prefixes")
     scratch.drop("open-sets")
+    scratch.drop("open-often")
     entries = _open(shared, roots, "s", scratch, "s-1")
-    pairs = scratch.keep(_few(_untried(_to_central(entries), first)), "pairs-1")
+    pairs = scratch.keep(_few(_untried(_to_central(entries, scratch), first)), "pairs-1")
     links = links.union(check.links(pairs, "second"))
     roots = components(links, scratch, "two")
     entries = _open(shared, roots, "s", scratch, "s-2")
-    pairs = scratch.keep(_untried(_across(entries), first.union(pairs)), "pairs-2")
+    pairs = scratch.keep(_untried(_across(entries, scratch), first.union(pairs)), "pairs-2")
     links = links.union(check.links(pairs, "rest"))
     roots = components(links, scratch, "three")
     return _labelled(sigs, real, roots, scratch, id_col)
@@ -243,15 +257,17 @@ def _open(rows: DataFrame, roots: DataFrame, key: str, scratch: Scratch, name: s
     placed = rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.keep(placed, f"{name}-placed")
     several = placed.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(key)
+    several = scratch.keep(several, f"{name}-several")
     kept = scratch.keep(placed.join(several, key, "left_semi"), f"{name}-open")
     scratch.drop(f"{name}-placed")
     return kept
 
 
-def _to_central(entries: DataFrame) -> DataFrame:
+def _to_central(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """Every node with its shingle's most central node (least of the set in front of the shingle,
     so the fewest rare shingles), if that is of another component and can be linked."""
     hub = entries.groupBy("s").agg(F.min_by(F.struct("node", "root", "n", "c"), F.struct(F.col("n") - F.col("c"), "node")).alias("hub"))
+    hub = scratch.keep(hub, "hubs")
     met = entries.join(hub, "s").where((F.col("root") != F.col("hub.root")) & _can_link(F.col("n"), F.col("c"), F.col("hub.n"), F.col("hub.c")))
     return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
@@ -273,17 +289,19 @@ def _can_link(na: Column, ca: Column, nb: Column, cb: Column) -> Column:
     return (100 + THRESHOLD) * F.least(ca, cb) >= THRESHOLD * (na + nb)
 
 
-def _across(entries: DataFrame) -> DataFrame:
+def _across(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """Every pair of different components that can be linked and shares a prefix shingle.
 
     A shingle's most frequent component is one side only, never paired with itself, and nodes
     too large for the smallest partner under a shingle leave it first.
     """
-    least = entries.groupBy("s").agg(F.min("n").alias("low"))
+    least = scratch.keep(entries.groupBy("s").agg(F.min("n").alias("low")), "least")
     low = F.greatest(F.col("low"), F.ceil(F.col("n") * THRESHOLD / 100))
     some = entries.join(least, "s").where((100 + THRESHOLD) * F.col("c") >= THRESHOLD * (F.col("n") + low)).select("s", "node", "root", "n", "c")
+    some = scratch.keep(some, "some")
     sizes = some.groupBy("s", "root").agg(F.count("*").alias("k"))
     major = sizes.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    major = scratch.keep(major, "major")
     some = some.join(major.select("s", "major"), "s")
     one = some.where("root <> major").select("s", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("c").alias("ca"))
     two = some.select("s", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("major"))
@@ -306,25 +324,28 @@ def _labelled(sigs: DataFrame, real: DataFrame, roots: DataFrame, scratch: Scrat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, all columns; empty texts all stay.
+    """One document of each group of near-duplicates, all columns; empty texts and nulls all stay.
 
     The row of the least id stays, then of the least text hash; null ids take part and come
     last. Rows equal in id and text are known by a 64-bit hash of both and become one row
-    before any text is shuffled.
+    before any text is shuffled, the one with the least hash of its other columns. Texts of
+    any length are compared whole; extra columns may have any name; an empty table gives no
+    rows.
     """
-    scratch, mark = Scratch(spark, "gone"), "_row_key"
-    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))
-    found = near_duplicates(spark, docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text").where("n_shingles > 0")
+    scratch = Scratch(spark, "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    id_, text = F.col("row")[id_col], F.col("row")[text_col]
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"))
+    found = near_duplicates(spark, rows.select(key.alias("_key"), text.alias("_text")), "_key", "_text").where("n_shingles > 0")
     marks = found.groupBy("_key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
-    marks = scratch.keep(marks.select(F.xxhash64("_key").alias(mark), "kept"), "ids")
-    again = marks.where("kept").select(mark)
+    marks = scratch.keep(marks.select(F.xxhash64("_key").alias("mark"), "kept"), "ids")
+    again = marks.where("kept").select("mark")
     sent = lambda some: F.broadcast(some) if some.count() <= SENT_IDS else some
-    keyed = docs.withColumn(mark, F.xxhash64(key))
-    out = keyed.join(sent(marks.select(mark)), mark, "left_anti").drop(mark)
+    keyed = rows.withColumn("mark", F.xxhash64(key))
+    out = keyed.join(sent(marks.select("mark")), "mark", "left_anti").select("row.*")
     if again.isEmpty():
         return out
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in (id_col, text_col)]
     order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
-    one = keyed.join(sent(again), mark, "left_semi").groupBy(mark).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
-    return out.union(one.select("_row.*"))
+    one = keyed.join(sent(again), "mark", "left_semi").groupBy("mark").agg(F.min_by("row", order).alias("row"))
+    return out.union(one.select("row.*"))
