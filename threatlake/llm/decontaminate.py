@@ -24,6 +24,8 @@ Q = 10
 EDIT_SHARE = 0.08
 #: Text of the benchmark that is sent to the tasks at once; a larger one is searched in blocks.
 BLOCK_CHARS = 4_000_000
+#: Shared grams that one numpy step counts, about.
+STEP_HITS = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -75,15 +77,36 @@ class Grams:
         bitmap[(key & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         return cls(q, key[order], item[order], place[order], bitmap)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every shared gram."""
+    def hits(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, diagonal) of every shared gram, in steps of about STEP_HITS: a gram that is
+        frequent in a text and in an item makes as many as the product of both."""
         key = gram_keys(text, self.q)
         at = np.flatnonzero(self.bitmap[(key & np.uint64((1 << 22) - 1)).astype(np.int64)])
         low, high = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.item[hit], np.repeat(at, n) - self.place[hit]
+        ends, begin = np.cumsum(n), 0
+        while begin < len(n):
+            last = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP_HITS, "right")))
+            m, first = n[begin:last], low[begin:last]
+            hit = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            yield self.item[hit], np.repeat(at[begin:last], m) - self.place[hit]
+            begin = last
+
+
+class _Counts:
+    """Occurrences of codes, summed as they come."""
+
+    def __init__(self):
+        self.code, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, code: np.ndarray) -> None:
+        code, n = np.unique(code, return_counts=True)
+        if not len(self.code):
+            self.code, self.n = code, n
+        elif len(code):
+            self.code, at = np.unique(np.concatenate([self.code, code]), return_inverse=True)
+            self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.code)).astype(np.int64)
 
 
 @dataclass
@@ -110,25 +133,24 @@ class Index:
     def regions(self, text: str) -> list[tuple[int, int, int]]:
         """(item, from, to) of document regions whose band holds enough shared q-grams."""
         code = points(text)
-        return [region for grams in self.grams for region in self._regions(*grams.hits(code), len(text))]
+        return [region for grams in self.grams for region in self._regions(grams.hits(code), len(text))]
 
-    def _regions(self, item: np.ndarray, diagonal: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-        if not len(item):
-            return []
+    def _regions(self, hits: Iterator[tuple[np.ndarray, np.ndarray]], length: int) -> list[tuple[int, int, int]]:
         span = np.int64(length + 4_000_000)
+        exact, banded = _Counts(), _Counts()
+        for item, diagonal in hits:
+            plain = self.budget[item] == 0
+            exact.add(item[plain] * span + diagonal[plain] + 2_000_000)
+            item, diagonal = item[~plain], diagonal[~plain]
+            band = np.floor_divide(diagonal, self.budget[item] + 1)
+            # bands are two widths wide and overlap by one: a diagonal lies in two of them, and any
+            # `budget` + 1 adjacent diagonals lie together in one
+            banded.add(np.concatenate([item * span + band + 2_000_000, item * span + band + 1_999_999]))
         # without edits a diagonal is the only place of a match
-        plain = self.budget[item] == 0
-        code, count = np.unique(item[plain] * span + diagonal[plain] + 2_000_000, return_counts=True)
-        i, d = code // span, code % span - 2_000_000
-        enough = (count >= self.need[i]) & (d >= 0)
+        i, d = exact.code // span, exact.code % span - 2_000_000
+        enough = (exact.n >= self.need[i]) & (d >= 0)
         out = [(i, d, d + len(self.texts[i])) for i, d in zip(i[enough].tolist(), d[enough].tolist())]
-        item, diagonal = item[~plain], diagonal[~plain]
-        band = np.floor_divide(diagonal, self.budget[item] + 1)
-        # bands are two widths wide and overlap by one: a diagonal lies in two of them, and any
-        # `budget` + 1 adjacent diagonals lie together in one
-        code = np.concatenate([item * span + band + 2_000_000, item * span + band + 1_999_999])
-        code, count = np.unique(code, return_counts=True)
-        item, band = code // span, code % span - 2_000_000
+        item, band, count = banded.code // span, banded.code % span - 2_000_000, banded.n
         enough = count >= self.need[item]
         for i, b in zip(item[enough].tolist(), band[enough].tolist()):
             width, size = int(self.budget[i]) + 1, len(self.texts[i])
@@ -189,8 +211,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
     Positions are code points of the text in lower case with single spaces. An item matches
     where at most share * length edits turn it into a part of the document. Null or empty
     texts hold nothing; null or empty items are never matched, and short ones are matched
-    like all others (without edits below 1 / share characters); two items with equal text are both reported. Repeated document rows repeat their rows. The
-    benchmark is the stated query set: it goes to the tasks in blocks of BLOCK_CHARS, each
+    like all others (without edits below 1 / share characters); two items with equal text
+    are both reported. Repeated document rows repeat their rows, null ids stay null, other
+    columns are ignored, and texts of any length are searched whole. The benchmark is the stated query set: it goes to the tasks in blocks of BLOCK_CHARS, each
     block against every document; no documents are gathered anywhere.
     """
     schema = T.StructType([
