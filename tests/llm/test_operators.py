@@ -171,15 +171,30 @@ def test_line_dedup_matches_brute_force(spark):
 
 
 def test_line_dedup_odd_rows(spark, odd):
-    got = linedup.dedup_lines(spark, odd, count_col="cut").collect()
-    assert odd.columns + ["cut"] == list(got[0].asDict())
-    by = defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r.text)
-    assert by[1] == [None] and by[2] == [""] and by[5] == ["", ""] and len(by[4][0]) > 1000 and by[6][0].endswith(" tail")
+    for least, tail in ((1, " tail"), (50, " tail")):
+        got = linedup.dedup_lines(spark, odd, count_col="cut", long_col="long", min_words=least).collect()
+        assert odd.columns + ["cut", "long"] == list(got[0].asDict())
+        by = defaultdict(list)
+        for r in got:
+            by[r.doc_id].append(r.text)
+        assert by[1] == [None] and by[2] == [""] and by[5] == ["", ""] and len(by[4][0]) > 1000 and by[6][0].endswith(tail) and by[8] == ["One TWO"]
+        assert {r.cut for r in got if r.doc_id == 5} == {300} == {r.long for r in got if r.doc_id == 5}
     assert linedup.dedup_lines(spark, odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_text_ids_and_private_names(spark):
+    line = "one two three"
+    rows = [("b", f"{line}\nx y"), ("a", f"{line}\n\nz"), (None, f"{line}\nq"), ("c", None), ("c", line), ("c", line)]
+    names = ["_gone", "gone", "n_gone", "_k", "_d", "line", "words", "_row", "least", "m", "_id", "_text"]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], f"doc_id string, text string, {', '.join(f'`{n}` int' for n in names)}")
+    got = linedup.dedup_lines(spark, frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or "", r.text) for r in got.collect() if r.text is not None) == [("", f"{line}\nq"), ("a", "\nz"), ("b", "x y"), ("c", ""), ("c", "")]
+    assert got.where("doc_id = 'c' and text is null").count() == 1 and got.agg(F.sum("`least`")).first()[0] == 8 * 6
+    huge = spark.createDataFrame([(-(1 << 62), line), (None, line)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in linedup.dedup_lines(spark, huge).collect()) == [(-(1 << 62), ""), (0, line)]
+
+
 # --- near duplicates
 
 
@@ -199,7 +214,7 @@ def linked(texts):
         return d
 
     for a in texts:
-        for b in range(a):
+        for b in (x for x in texts if x < a):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
@@ -269,6 +284,18 @@ def test_drop_near_duplicates_keeps_one_row_a_group(spark):
     assert neardup.drop_near_duplicates(spark, frame.select("doc_id", "text")).count() == 6
 
 
+def test_near_duplicates_with_private_names_and_ids_of_several_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    names = ["_gone", "_row", "row", "mark", "_row_key", "_key", "node", "own", "n", "kept", "_id", "_text"]
+    rows = [("x", a), ("y", a + " z"), ("x", b), ("z", b + " q"), ("v", c)]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], f"doc_id string, text string, {', '.join(f'`{n}` int' for n in names)}")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(spark, frame).collect()}
+    assert got == {("x", 76): "x", ("y", 77): "x", ("z", 77): "x", ("v", 76): "v"}
+    kept = neardup.drop_near_duplicates(spark, frame)
+    assert kept.columns == frame.columns and sorted(r.text for r in kept.collect()) == sorted([a, b, c])
+
+
 def test_classifier_learns_a_repeated_document_once(spark):
     rows = [(k, ("good words here " if k % 2 else "bad junk there ") * (k + 1)) for k in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -342,31 +369,78 @@ def test_leaks_odd_rows(spark, odd):
 # --- packing
 
 
+def check_bins(rows, capacity=2048):
+    """Pieces are gapless; but for a partition's last two sequences, a sequence is one whole block, or
+    the end of a document (k pieces of class k), then what other documents give to fill it."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        sequences[r.sequence_id].append((r.offset, r.length, r.start, r.doc_tokens))
+    for parts in pieces.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total
+    last = {q >> 36: max(x for x in sequences if x >> 36 == q >> 36) for q in sequences}
+    merged = set()
+    for q, parts in sequences.items():
+        at = 0
+        for offset, length, _, _ in sorted(parts):
+            assert offset == at and length
+            at += length
+        assert at == capacity or q == last[q >> 36] and at < capacity
+        k = capacity // sorted(parts)[0][1]
+        first = sorted(parts)[:k]
+        if not (len(first) == k and all(capacity // n == k and (k == 1 and n == capacity or start + n == total) for _, n, start, total in first)):
+            merged.add(q)
+    return merged, sequences
+
+
 def test_packing(spark, docs, texts, odd):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.tokenizer())
     ids = {d: np.array(model.encode(t, add_special_tokens=False).ids + [1], "<u4") for d, t in texts.items()}
-    pieces, sequences = defaultdict(list), defaultdict(list)
-    for r in packing.pack(docs, queries.tokenizer()).collect():
-        pieces[r.doc_id].append((r.start, r.length))
-        sequences[r.sequence_id].append((r.offset, r.length))
+    rows = packing.pack(docs, queries.tokenizer()).collect()
+    for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
-    for found, whole in ((pieces, {d: len(x) for d, x in ids.items()}), (sequences, None)):
-        for k, parts in found.items():
-            at = 0
-            for a, n in sorted(parts):
-                assert a == at
-                at += n
-            assert at == whole[k] if whole else at == 2048 or at & (at - 1) == 0
+    assert {r.doc_id for r in rows} == set(ids)
+    check_bins(rows)
+    assert len(rows) < 2.2 * len(ids)
     rows = packing.pack(odd, queries.tokenizer()).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 1 and packing.pack(odd.limit(0), queries.tokenizer()).count() == 0
+    assert sum(r.length for r in rows if r.doc_id == 5) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 5)
 
 
-def test_remembered_words_equal_whole_texts():
-    tokens = packing.Tokens(queries.tokenizer())
-    some = ["It's a TEST—. don't'́ <|endoftext|> x", "Ünï̈ co​de ,,, a.b.c  .'s 're!'", "", "\x85\xa0 a b ΣΑΣ. İstanbul", "<|x a", "x" * 3000]
-    assert [list(i[:-1]) for i in tokens.ids(some)] == [tokens.model.encode(t, add_special_tokens=False).ids for t in some]
+def test_bins_hold_k_pieces_of_class_k():
+    """Random lengths through the bins of one partition, each class recomputed from the rows."""
+    from collections import namedtuple
+
+    row = namedtuple("row", "doc_id start length ids_crc32 doc_tokens sequence_id offset")
+    rng = random.Random(8)
+    for lengths in ([rng.choice([1, 2, 3, 300, 700, 1025, 2048, 2049, rng.randint(1, 9000)]) for _ in range(3000)], [1500] * 50, [1], [2048] * 3, [683] * 10):
+        bins = packing.Bins(0, 2048)
+        rows = [row(*r) for d, n in enumerate(lengths) for r in bins.put(d, bytes(4 * n))]
+        closed = len({r.sequence_id for r in rows})
+        rows += [row(*r) for r in bins.rest()]
+        merged, sequences = check_bins(rows)
+        assert all(q >= closed for q in merged), "only what the end of a partition merges has no class"
+        assert sum(r.length for r in rows) == sum(lengths) and len(sequences) == -(-sum(lengths) // 2048)
+        open_tokens = sum(lengths) - closed * 2048
+        assert open_tokens < 2048 * len({2048 // max(1, n % 2048) for n in lengths}) + 2048 * 90
+
+
+def test_remembered_words_equal_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    some = ["It's a TEST\u2014. don't'\u0301 <|endoftext|> x", "\u00dcn\u00ef\u0308 co\u200bde ,,, a.b.c  .'s 're!'", "", "\x85\xa0 a b \u03a3\u0391\u03a3. \u0130stanbul", "<|x a", "x" * 3000, " lead and end ", "a\U0001f602b \U0001f602 c"]
+    for step, remembered in ((100_000, 500_000), (3, 2)):
+        monkeypatch.setattr(packing, "STEP_WORDS", step)
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        tokens = packing.Tokens(queries.tokenizer())
+        for texts in (some, some[::-1], [], [""], some):
+            assert [list(i) for i in tokens.ids(pa.array(texts, pa.string()))] == [tokens.model.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 # --- language model
@@ -494,9 +568,38 @@ def test_chat_large_texts(spark):
     read = chat.to_turns(records, "r").select("layout", F.transform("turns", lambda t: F.md5(t["text"])).alias("m")).collect()
     m = hashlib.md5((unit * long).encode()).hexdigest()
     assert [tuple(r) for r in read] == [("prompt", [m, hashlib.md5(b"c").hexdigest()]), ("messages", [m] * 7), (None, None)]
-    large = spark.range(1).select(F.concat(F.lit('{"other": ['), F.repeat(F.lit("1.5,"), 14_000_000), F.lit("1.5]}")).alias("r"))
-    with pytest.raises(Exception, match="(?i)variant.*size|size.*limit"):
-        chat.to_turns(large, "r").select("layout").collect()
+    large = spark.range(1).select(F.concat(F.lit('{"other": ['), F.repeat(F.lit("1.5, "), 14_000_000), F.lit("1.5]}")).alias("r"))
+    assert chat.to_turns(large, "r").select("layout").collect()[0][0] is None
+
+
+def test_chat_paths_and_names(spark):
+    """Names with marks and spaces, mixed lists, objects in objects; columns with the names of results."""
+    cases = {
+        '{"a b": 1, "c,d:e": [{"x<y>": 1}, 2, "t", null, {"z": {"w": 1}}], "o": {"p": 1}, "l": ["{", 1.5]}': ["a b", "c,d:e", "c,d:e[].x<y>", "c,d:e[].z", "l", "o", "o.p"],
+        '{"messages": [{"role": "user", "content": "[{"}, {"content": "b", "role": null}]}': ["messages", "messages[].content", "messages[].role"],
+        "{}": [], "[1]": None, "x": None, '{"q\\"r": "\\\\"}': ['q"r'],
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "r string")
+    got = {x.r: x.p for x in frame.select("r", chat.field_paths(chat.skeleton(F.col("r"))).alias("p")).collect()}
+    assert got == cases
+    names = ["_v", "_f", "_p", "row", "mark", "layout", "turns", "formatted", "loss_mask", "pieces"]
+    one = spark.createDataFrame([('{"prompt": "p", "completion": "c"}', *range(len(names)))], f"r string, {', '.join(f'`{n}` int' for n in names)}")
+    done = chat.format_turns(chat.to_turns(one, "r"))
+    row = done.first()
+    assert row["_v"] == 0 and row["mark"] == 4 and row.layout == "prompt" and row.formatted == "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert sorted(done.columns) == sorted(["r", *names])
+
+
+def test_chat_tables_by_fingerprint(spark):
+    """The columns' fingerprint selects the mapping; an unknown table is an error."""
+    pairs = spark.createDataFrame([(1, "p", None)], "id long, prompt string, response string")
+    assert [tuple(t) for t in chat.table_turns(pairs, ("id",)).first().turns] == [("user", "p"), ("assistant", "")]
+    lists = spark.createDataFrame([(1, [("user", "a"), (None, "b")])], "id long, messages array<struct<role: string, content: string>>")
+    assert [tuple(t) for t in chat.table_turns(lists, ("id",)).first().turns] == [("user", "a"), ("", "b")]
+    turns = spark.createDataFrame([(1, 2, "user", "b"), (1, 1, "system", "a")], "id long, turn int, role string, text string")
+    assert [t.text for t in chat.table_turns(turns, ("id",)).first().turns] == ["a", "b"]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.table_turns(pairs.withColumnRenamed("prompt", "unknown"), ("id",))
 
 
 # --- html
@@ -534,3 +637,35 @@ def test_queries_and_pipeline_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_leaks_in_long_runs_of_one_character():
+    """Grams that are frequent on both sides are counted in steps, with the same result."""
+    tail = " the quick brown fox jumps over the lazy dog and then it sleeps"
+    index = decontaminate.Index.of([("x", "-" * 300 + tail)], decontaminate.EDIT_SHARE)
+    assert [m[1:] for m in index.find("start " + "-" * 30_000 + tail + " more")] == [(6 + 29_700, 6 + 30_000 + len(tail), 0)]
+    assert index.find("-" * 30_000 + " something else at the end of the run, as it goes on and on") == []
+
+
+def test_classifier_features_and_scores_match_a_plain_computation():
+    """Every gram and word hashed one at a time, scores as plain averages."""
+
+    def slots(text):
+        raw = text.encode().lower() + bytes(4)
+        out = []
+        for i in range(len(raw) - 3):
+            three = int.from_bytes(raw[i : i + 3], "little")
+            out += [(three * 2654435761 % 2**32) >> 14, (int.from_bytes(raw[i : i + 4], "little") * 2246822519 % 2**32) >> 14]
+        for word in re.findall(rb"[^\x00\x20\x09-\x0d]+", raw):
+            h = sum(c * pow(16777619, k, 2**32) for k, c in enumerate(word)) % 2**32
+            out.append((h * 3266489917 % 2**32) >> 14)
+        return out
+
+    some = ["", "a", "Some Text, twice twice.", "été\tÜber 12 \n x", " lead", "\n", "word " * 300]
+    got, start = classifier.features(some)
+    ends = [*start[1:], len(got)]
+    model = np.random.default_rng(2).normal(size=classifier.SLOTS + 1).astype(np.float32)
+    for text, a, z, score in zip(some, start, ends, classifier.score(some, model)):
+        want = slots(text)
+        assert sorted(got[a:z].tolist()) == sorted(want), text
+        assert score == pytest.approx(1 / (1 + np.exp(-(np.mean(model[want].astype(float)) + model[-1]))), abs=1e-6)

@@ -1,10 +1,11 @@
 """Chat formatting by schema fingerprints, DataFrame operations only.
 
 Records of several layouts (prompt and completion, instruction with input, message lists)
-come as JSON. The nested field paths of a record are hashed; the hash selects a declarative
-mapping to canonical turns. The paths are read from a skeleton without texts, so the limits
-of VARIANT (128 MiB) and of JSON strings (20 M characters) do not bound a text or a record. Turns are written in one template, in which control strings
-inside texts are escaped reversibly, and a mask marks what a model is trained on.
+come as JSON text or as tables. The nested field paths of a record, or of a table's schema,
+are hashed; the hash selects a declarative mapping to canonical turns. A record's paths are
+read from a skeleton without texts, so no limit of JSON strings bounds a text. Turns are
+written in one template, in which control strings inside texts are escaped reversibly, and
+a mask marks what a model is trained on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BEGIN, STOP = "<|im_start|>", "<|im_end|>"
 #: Control strings of common chat templates, without their first character.
@@ -20,6 +22,8 @@ _CONTROL = r"\|[A-Za-z0-9_]+\||/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>"
 _ESCAPE = rf"([<\[])(\\*)({_CONTROL})"
 _UNESCAPE = rf"([<\[])\\(\\*)({_CONTROL})"
 TURNS = "array<struct<role:string,text:string>>"
+#: Paths of a table with one turn a row.
+TURN_ROWS = ("role", "text", "turn")
 
 
 def escape(text: Column) -> Column:
@@ -86,22 +90,35 @@ LAYOUTS = (
 )
 
 
-def field_paths(variant: Column) -> Column:
-    """The sorted field paths of a record, from its schema. Types do not count: a null and a
-    text give one path. Lists and objects below the third level are taken as values."""
-    schema = F.schema_of_variant(variant)
-    top = F.regexp_extract_all(_strip(_strip(schema)), F.lit(r"([^\s:<>,]+): "), 1)
-    nested = F.regexp_extract_all(schema, F.lit(r"([^\s:<>,]+): ARRAY<OBJECT<([^<>]*)>>"), 0)
-    inner = F.flatten(F.transform(nested, lambda n: F.transform(
-        F.regexp_extract_all(F.regexp_extract(n, r"OBJECT<([^<>]*)>", 1), F.lit(r"([^\s:<>,]+): "), 1),
-        lambda f: F.concat(F.regexp_extract(n, r"^([^\s:<>,]+): ", 1), F.lit("[]."), f),
-    )))
-    return F.array_sort(F.array_distinct(F.concat(top, inner)))
+def field_paths(skeleton: Column) -> Column:
+    """The sorted field paths of a record: its keys, those of objects in them (a.b), and those of
+    objects in lists (a[].b). Types do not count: a null and a text give one path, and other
+    values beside the objects of a list add nothing. Null if the text is not a JSON object."""
+    none = F.array().cast("array<string>")
 
+    def keys(json: Column, prefix: Column) -> Column:
+        return F.transform(F.coalesce(F.json_object_keys(json), none), lambda k: F.concat(prefix, k))
 
-def _strip(schema: Column) -> Column:
-    """Removes the innermost types inside the outer OBJECT<...>."""
-    return F.regexp_replace(schema, r"(?<=.)(ARRAY|OBJECT)<[^<>]*>", "T")
+    def under(entry: Column) -> Column:
+        items = F.from_json(entry["value"], "array<string>", _READ)
+        in_list = F.flatten(F.transform(items, lambda x: F.when(x.startswith("{"), keys(x, F.concat(entry["key"], F.lit("[].")))).otherwise(none)))
+        in_object = F.when(F.coalesce(entry["value"].startswith("{"), F.lit(False)), keys(entry["value"], F.concat(entry["key"], F.lit(".")))).otherwise(none)
+        return F.when(F.coalesce(entry["value"].startswith("["), F.lit(False)), F.coalesce(in_list, none)).otherwise(in_object)
+
+    record = F.from_json(skeleton, "map<string,string>", _READ)
+    inner = F.flatten(F.transform(F.map_entries(record), under))
+    return F.array_sort(F.array_distinct(F.concat(F.map_keys(record), inner)))
+
+
+def schema_paths(schema: T.StructType) -> tuple[str, ...]:
+    """The same paths of a table's columns."""
+    out = []
+    for f in schema.fields:
+        kind, prefix = f.dataType, f"{f.name}."
+        if isinstance(kind, T.ArrayType):
+            kind, prefix = kind.elementType, f"{f.name}[]."
+        out += [f.name, *(prefix + name for name in (kind.names if isinstance(kind, T.StructType) else ()))]
+    return tuple(sorted(out))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -112,52 +129,77 @@ def fingerprint(paths: Column) -> Column:
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _VALUE = rf'(?s)\G([^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}'
 _REPEAT = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
-#: Bytes under which JSON always fits a VARIANT: one byte never becomes more than six.
-_FITS = 16_000_000
+_SCALARS = r'\[(?:\s*+(?:""|[-+.0-9eE]++|true|false|null)\s*+,?+)++\s*+\]'
+_READ = {"maxStringLen": "2147483647"}
 _OPTIONS = "map('maxStringLen', '2147483647', 'columnNameOfCorruptRecord', '_bad')"
 
 
 def skeleton(json: Column) -> Column:
-    """JSON with empty texts and one of equal neighbours in a list; it has the same field paths."""
-    return F.regexp_replace(F.regexp_replace(json, _VALUE, '$1""'), _REPEAT, "$1")
-
-
-def _parsed(json: Column) -> Column:
-    """The VARIANT of a text; null if it is not JSON, an error if only its size is the reason."""
-    sound = (F.octet_length(json) > _FITS) & F.from_json(json, "map<string,string>", {"maxStringLen": "2147483647"}).isNotNull()
-    return F.when(sound, F.parse_json(json)).otherwise(F.try_parse_json(json))
+    """JSON with empty texts, lists of plain values emptied, and one of equal neighbours in a
+    list; it has the same field paths."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(json, _VALUE, '$1""'), _SCALARS, "[]"), _REPEAT, "$1")
 
 
 def _mapped(json_col: str, layout: Layout) -> Column:
     """The turns of a record by a layout; null if the record is not JSON after all."""
-    record = f"from_json(`{json_col}`, '{layout.fields}, _bad string', {_OPTIONS})"
+    record = f"from_json({json_col}, '{layout.fields}, _bad string', {_OPTIONS})"
     return F.expr(f"transform(array({record}), _r -> if(_r._bad is null, cast({layout.turns} as {TURNS}), null))[0]")
 
 
+def _known(print_: Column, layouts: tuple[Layout, ...]) -> list[tuple[Layout, Column]]:
+    return [(layout, print_ == fingerprint(F.array(*map(F.lit, layout.paths)))) for layout in layouts]
+
+
+def _beside(df: DataFrame, *names: str) -> list[Column]:
+    """The columns under `row`, but for those whose names the results take."""
+    return [F.col("row")[c].alias(c) for c in df.columns if c not in names]
+
+
 def to_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds layout (null: unknown, or not JSON) and turns (null then) to records of JSON text.
 
-    A JSON record whose skeleton is too large for a VARIANT is an error, not a null.
+    Other columns stay, whatever their names; columns named layout or turns are replaced.
+    Repeated records give repeated rows, an empty table none.
     """
-    marked = records.withColumn("_f", fingerprint(field_paths(_parsed(skeleton(F.col(json_col))))))
-    known = [(layout, F.col("_f") == fingerprint(F.array(*map(F.lit, layout.paths)))) for layout in layouts]
+    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"))
+    marked = rows.withColumn("mark", fingerprint(field_paths(skeleton(F.col("row")[json_col]))))
+    known = _known(F.col("mark"), layouts)
     name = F.coalesce(*(F.when(hit, F.lit(layout.name)) for layout, hit in known))
-    turns = F.coalesce(*(F.when(hit, _mapped(json_col, layout)) for layout, hit in known))
-    return marked.withColumn("turns", turns).withColumn("layout", F.when(F.col("turns").isNotNull(), name)).drop("_f")
+    turns = F.coalesce(*(F.when(hit, _mapped(f"row.`{json_col}`", layout)) for layout, hit in known))
+    made = marked.withColumn("turns", turns)
+    return made.select(*_beside(records, "layout", "turns"), F.when(F.col("turns").isNotNull(), name).alias("layout"), "turns")
+
+
+def table_turns(table: DataFrame, keys: tuple[str, ...], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The key columns and turns of a table whose other columns have the paths of a layout, or are
+    one turn a row. The schema's fingerprint selects the mapping; an unknown one is an error."""
+    paths = schema_paths(T.StructType([f for f in table.schema.fields if f.name not in keys]))
+    if paths == TURN_ROWS:
+        return turns_of_rows(table, keys[0], "turn", "role", "text")
+    layout = {x.paths: x for x in layouts}.get(paths)
+    if not layout:
+        raise ValueError(f"no layout for columns {paths}")
+    record = F.struct(*(F.col(f"`{c}`") for c in table.columns if c not in keys)).alias("_r")
+    return table.select(*keys, record).select(*keys, F.expr(f"cast({layout.turns} as {TURNS})").alias("turns"))
 
 
 def format_turns(records: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """Adds formatted (text) and loss_mask (array of start, end: code points of assistant texts)."""
+    """Adds formatted (text) and loss_mask (array of start, end: code points of assistant texts).
+
+    Null turns give nulls. Other columns stay, whatever their names; columns named formatted
+    or loss_mask are replaced.
+    """
+    rows = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"))
     pieces = F.transform(
-        turns_col,
+        F.col("row")[turns_col],
         lambda t: F.struct(
             F.concat(F.lit(BEGIN), _role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")
         ),
     )
-    marked = records.withColumn("_p", pieces)
+    marked = rows.withColumn("pieces", pieces)
     # the running end of each turn; a conversation's turns are folded once
     spans = F.aggregate(
-        "_p",
+        "pieces",
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + F.lit(len(STOP) + 1)).alias("at"),
@@ -170,8 +212,8 @@ def format_turns(records: DataFrame, turns_col: str = "turns") -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    text = F.array_join(F.transform("_p", lambda p: F.concat(p["head"], p["body"], F.lit(STOP + "\n"))), "")
-    return marked.withColumn("formatted", text).withColumn("loss_mask", spans).drop("_p")
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(STOP + "\n"))), "")
+    return marked.select(*_beside(records, "formatted", "loss_mask"), text.alias("formatted"), spans.alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -209,10 +251,10 @@ def digests(formatted: DataFrame, key: str) -> DataFrame:
     """What the formatted texts say when they are read back."""
     back = read_back(F.col("formatted"))
     loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), "")
-    whole = F.array_join(F.transform("_b", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return formatted.withColumn("_b", back).withColumn("_l", loss).select(
-        key, F.size("_b").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length("_l").cast("long").alias("loss_chars"), F.sha2("_l", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return formatted.select(F.col(key).alias("key"), "formatted", back.alias("back"), loss.alias("loss")).select(
+        F.col("key").alias(key), F.size("back").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
@@ -220,9 +262,10 @@ def format_conversations(rows: DataFrame, key: str = "conv_id", turn: str = "tur
     """(key, formatted, loss_mask) per conversation of a table of turns.
 
     Null roles and texts are empty, a null key is a conversation of its own, repeated rows are
-    repeated turns, other columns are ignored, and an empty table gives no rows. The columns
-    are of one layout, so texts go into the turns as they are, without JSON; a conversation
-    is bounded only by Spark's size of a row (2 GB), above which the job fails.
+    repeated turns, equal turn numbers go by role and text, other columns are ignored, and an
+    empty table gives no rows. The table's fingerprint selects the mapping, so texts go into
+    the turns as they are, without JSON; a conversation is bounded only by Spark's size of a
+    row (2 GB) and a task's memory, above which the job fails.
     """
-    clean = rows.select(F.col(key), F.col(turn), F.col(role), F.col(text))
-    return format_turns(turns_of_rows(clean, key, turn, role, text)).select(key, "formatted", "loss_mask")
+    clean = rows.select(F.col(key), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    return format_turns(table_turns(clean, (key,))).select(key, "formatted", "loss_mask")

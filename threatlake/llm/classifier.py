@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_texts
+from .common import fresh, map_texts, same_ids
 
 #: Hash slots; the model that every task gets holds this many 32-bit floats, whatever the data.
 SLOTS = 1 << 18
@@ -123,7 +123,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         y = (rows["_y"].to_numpy() > 0).astype(int)
         return pd.DataFrame({"model": [train(list(rows["_text"]), y).tobytes()]})
 
-    learned = fresh(docs, id_col, text_col).join(F.broadcast(marks), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"))
+    texts, marks = same_ids(fresh(docs, id_col, text_col), marks)
+    learned = texts.join(F.broadcast(marks), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y"))
     got = learned.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(one, "model binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros(SLOTS + 1, np.float32)
 
@@ -137,8 +138,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
 
     The model is fitted on a bounded sample (see fit) and then scores every whole text; a
     null text is empty and gets the score of an empty text. Without labels every score is
-    0.5. Null ids are not held out and not learned from. Repeated rows get equal rows; other
-    columns are ignored. The broadcast model has a fixed size (SLOTS floats, 1 MB).
+    0.5. Null ids are not held out and not learned from. Ids are compared as text where their
+    types differ. Repeated rows get equal rows; other columns, whatever their names, are
+    ignored; texts of any length are scored whole; an empty table gives no rows. The broadcast model has a fixed size (SLOTS floats, 1 MB).
     """
     model = fit(spark, docs, labels, id_col, text_col, sample=sample)
     sent = spark.sparkContext.broadcast(model)

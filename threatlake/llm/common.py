@@ -1,11 +1,9 @@
-"""What the operators of this subpackage share: scratch tables and batched text maps."""
+"""What the operators of this subpackage share: words, table access and batched text maps."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.shared import Scratch  # noqa: F401
+
 #: A word as every contract of this package counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,45 +23,22 @@ CHUNK_CHARS = 250_000
 #: Bytes of an Arrow batch between the JVM and Python, at most, unless a single row is larger.
 BATCH_BYTES = 8 << 20
 
-_own: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Tables written once to the folder that all executors share (spark.checkpoint.dir).
-
-    They cut the lineage: a lost executor costs only the running stage. A private
-    folder is made only where that setting is missing, as in tests.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = _own.setdefault(spark.sparkContext.applicationId, "")
-            if not base:
-                base = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="threatlake-")
-        self.base = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Frees a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator works on, under private names; a null text is empty."""
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
+def same_ids(one: DataFrame, two: DataFrame, column: str = "_id") -> tuple[DataFrame, DataFrame]:
+    """Both tables, with ids as text where their types differ."""
+    if one.schema[column].dataType == two.schema[column].dataType:
+        return one, two
+    return tuple(df.withColumn(column, F.col(column).cast("string")) for df in (one, two))
+
+
 def small_batches(df: DataFrame) -> None:
     """Bounds the session's Arrow batches by bytes: a batch lies in the JVM and in Python at once."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

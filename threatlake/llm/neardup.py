@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.shared import components
 from .common import Scratch, fresh, map_texts
 
 WORDS = 5
@@ -228,10 +228,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared = scratch.keep(bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub"), "shared")
     members = scratch.keep(bands.join(shared, "band").distinct(), "members")
     # what is needed of a node, for nodes that share a bucket
-    nodes = scratch.keep(
-        real.select("node", "_id", "n", "sig").join(members.select("node").distinct(), "node", "left_semi")
-        .groupBy("node").agg(F.min("_id").alias("low"), F.min("n").alias("n"), F.min("sig").alias("sig")), "nodes",
-    )
+    each = real.groupBy("node").agg(F.min("_id").alias("low"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    nodes = scratch.keep(each.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     check = _Verifier(base.where("_id is not null"), nodes, scratch)
     first = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
     links = check.links(first, "first")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, fresh, map_texts
+from .common import SPACE, Scratch, fresh, map_texts, same_ids
 
 SYMBOLS = "#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, n_exclaim long, n_pipe long, n_unique long"
@@ -161,7 +161,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> DataFrame:
-    """Per document: statistics of the whole text, base_failed, kept, and the rules as text.
+    """Per document: statistics of the whole text, base_failed and kept.
 
     The list is fitted on at most `sample` labelled rows, those with the least hash of the
     id (label 0: to reject); statistics cover every row. A null or empty text has no words,
@@ -172,8 +172,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_co
     scratch = Scratch(spark, "rules")
     stats = scratch.keep(map_texts(fresh(docs, id_col, text_col), statistics, STATS), "stats")
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
+    left, marks = same_ids(stats, marks)
     rows = (
-        stats.join(marks, "_id")
+        left.join(marks, "_id")
         .select(F.xxhash64("_id").alias("_h"), "_id", "_y", *(F.expr(e).alias(n) for n, e in FEATURES.items()))
         .orderBy("_h", "_id", *FEATURES).limit(sample).collect()
     )
