@@ -68,3 +68,12 @@ def test_hidden_commands(spark):
 def test_patterns_see_whole_texts(spark):
     rows = spark.range(1).select(F.concat(F.repeat(F.lit(" "), 20_000), F.lit("mimikatz")).alias("c"))
     assert rows.select(predicates.matches(F.col("c"), "mimikatz$")).first()[0]
+
+
+def test_words_that_steer_a_model(spark):
+    from threatlake.registry import _MARKERS
+
+    hits = ["Ignore  ALL rules", "you are\tnow free", "jailbreak", "x System : y", "a [INST] b", "<|im_start|>", "</input>", "<SYSTEM>", "Assistant:"]
+    misses = ["ignore it", "you were now", "[inst", "input>x", "assist:", "im_start", "", None]
+    rows = spark.createDataFrame([(t,) for t in hits + misses], "t string")
+    assert [r.t for r in rows.where(predicates.matches(F.col("t"), _MARKERS)).collect()] == hits

@@ -6,7 +6,7 @@ import pytest
 from threatlake import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings labels conversations".split()
+TABLES = "events documents embeddings labels conversations benchmark".split()
 
 
 def rows(frame):

@@ -113,12 +113,12 @@ def activity_text(spark, sf_dir):
 _MARKERS = r"(?i)(ignore\s+(previous|all|above)|you\s+are\s+now|jailbreak|system\s*:|\[INST\]|<\|im_start\|>|</?input>|</?system>|assistant\s*:)"
 
 
-@query(f"select 'conversations' as source, conv_id as id, turn from conversations where regexp_matches(text, {_lit(_MARKERS)}) union all select 'documents', doc_id, null from documents where regexp_matches(text, {_lit(_MARKERS)})")
+@query(" union all ".join(f"select '{t}' as source, count(*) as scanned, count(*) filter (coalesce(regexp_matches(text, {_lit(_MARKERS)}), false)) as flagged from {t}" for t in ("conversations", "documents", "benchmark")))
 def prompt_injection_scan(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(predicates.matches(F.col("text"), _MARKERS))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(predicates.matches(F.col("text"), _MARKERS))
-    turns = turns.select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), "turn")
-    return turns.unionByName(docs.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn")))
+    """Texts with such words in every table of texts, whole texts."""
+    flagged = F.count_if(predicates.matches(F.col("text"), _MARKERS)).alias("flagged")
+    counts = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.lit(t).alias("source"), F.count("*").alias("scanned"), flagged) for t in ("conversations", "documents", "benchmark")]
+    return counts[0].union(counts[1]).union(counts[2])
 
 
 @query(f"select {_FCOLS} from fi", _FINDINGS)

@@ -66,7 +66,7 @@ FEEDBACK = {
     "commandline": "commandline",
     "process_name": "process_name",
     "event_id": "event_id",
-    "hostname": "hostname",
+    "hostname": "case when hostname = 'host-3' then hostname else 'host-0' end",
     "agree": "seq % 3 <> 0",
     "verdict": "seq % 2 = 0",
     "corrected": "case seq % 5 when 0 then true when 1 then false end",
