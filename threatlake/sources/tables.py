@@ -69,7 +69,7 @@ FEEDBACK = {
     "hostname": "case when hostname = 'host-3' then hostname else 'host-0' end",
     "agree": "seq % 3 <> 0",
     "verdict": "seq % 2 = 0",
-    "corrected": "case seq % 5 when 0 then true when 1 then false end",
+    "corrected": "case cast(floor(seq / 50) as bigint) % 5 when 0 then true when 1 then false end",
     "corrected_severity": "cast(case when seq % 4 = 0 then seq % 14 - 1 end as int)",
     "analyst": "'analyst-' || cast(seq % 4 as varchar(9))",
 }
