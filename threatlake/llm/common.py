@@ -21,7 +21,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that one numpy step works on; a single longer text is one step.
 CHUNK_CHARS = 250_000
 #: Bytes of an Arrow batch between the JVM and Python, at most, unless a single row is larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ END = 1
 #: Words whose tokens a Python worker remembers, at most about; beyond it starts anew.
 REMEMBERED = 500_000
 #: Words whose tokens are put together in one numpy step.
-STEP_WORDS = 100_000
+STEP_WORDS = 50_000
 #: Characters that are single tokens of common vocabularies; one of them stands between unseen words.
 _MARKS = "\U0001f602\u2764\u2122\u20ac"
 _JOINED = 2_000
@@ -88,10 +88,10 @@ class Tokens:
         unseen = words.dictionary.filter(pc.is_null(place))
         if len(unseen):
             self._learn(unseen)
-        number = place.fill_null(-1).to_numpy() + 1
-        number[number == 0] = np.arange(known + 1, known + 1 + len(unseen))
+        number = place.fill_null(-1).to_numpy() + np.int32(1)
+        number[number == 0] = np.arange(known + 1, known + 1 + len(unseen), dtype=np.int32)
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-        words = np.insert(number[words.indices.to_numpy()], ends, 0)  # every text's words, then word 0
+        words = np.insert(number[words.indices.to_numpy()], ends, np.int32(0))  # every text's words, then word 0
         ends = ends + np.arange(1, len(ends) + 1)
         whole = pc.match_substring(texts, "<|").to_pylist()
         begin = doc = 0
