@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def asked(sql):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet{'/*.parquet' if __import__('os').path.isdir(f'{SF}/{t}.parquet') else ''}')")
     return con.sql(sql).fetchall()
 

@@ -27,3 +27,23 @@ reach as (select node as root, node from firsts union select reach.root, links.y
 least_of as (select node, min(root) as component_id from reach group by node)
 select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, coalesce(c.component_id, d.doc_id) = d.doc_id as kept
 from documents d left join sets s on s.doc_id = d.doc_id left join firsts f on f.same = s.same and f.n = s.n left join least_of c on c.node = f.node"""
+
+#: Every document's failures, and for each order and step what they mean.
+OP12 = r"""with words as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+judged as (select doc_id, part, array_concat(
+    case when len(w) < 50 then ['A'] else [] end, case when 100 * len(list_distinct(w)) < 65 * len(w) then ['B'] else [] end,
+    case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) then ['C'] else [] end, case when regexp_matches(t, '[#$%&*|]') then ['D'] else [] end,
+    case when doc_id > min(doc_id) over (partition by t) then ['E'] else [] end) as fails from words),
+marked as (select j.*, coalesce(l.good, false) as good, coalesce(l.toxic, false) as toxic from judged j left join (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id) l using (doc_id)),
+classes as (select part, fails, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as x from marked group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select filter_order, step, filter_order[step] as f, string_split(filter_order[1:step - 1], '') as before from orders, range(1, 6) s(step)),
+cells as (select part, filter_order, step, f, sum(case when not list_has_any(before, fails) and not list_contains(fails, f) then n else 0 end) as kept,
+    sum(case when not list_has_any(before, fails) and list_contains(fails, f) then n else 0 end) as removed,
+    sum(case when list_has_any(before, fails) and list_contains(fails, f) then n else 0 end) as redundant,
+    sum(case when fails = [f] then n else 0 end) as unique_fails,
+    sum(case when not list_has_any(before, fails) and list_contains(fails, f) then g else 0 end) as good_lost,
+    sum(case when not list_has_any(before, fails) and list_contains(fails, f) then x else 0 end) as toxic_lost from classes, steps group by part, filter_order, step, f)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from cells"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, ctw, decontaminate, html, linedup, neardup, oracles, packing, pii, rules
+from . import audit, chat, classifier, ctw, decontaminate, html, linedup, neardup, oracles, packing, pii, rules, secrets, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +64,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(spark, table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Query]:
     found = (op1_decontaminate, op2_pii, op3_quality_rules, op4_line_dedup, op5_packing, op6_lm_score, op7_chat_format, op8_html_text, op9_quality_classifier, op10_near_duplicates)
+    found += (op11_secrets, op12_filter_audit, op13_whitening)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express. The others are held against brute force in tests/llm."""
-    return {"op7_chat_format": oracles.OP7, "op10_near_duplicates": oracles.OP10}
+    return {"op7_chat_format": oracles.OP7, "op10_near_duplicates": oracles.OP10, "op12_filter_audit": oracles.OP12}
