@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from threatlake.functions import normalize
@@ -152,3 +153,21 @@ def test_streams_equal_batches(spark, tmp_path):
     tries = ran(jobs.stream_bruteforce(stream), "r3", "update")
     assert "invalid_failures" in tries.columns
     assert ran(jobs.stream_incident_sessions(jobs.stream_rules(stream)), "r4", "complete").agg(F.sum("findings")).first()[0] == found.count()
+
+
+def test_hunts_scan_the_events_once(spark):
+    rows = events(spark, SF)
+    ir = {"steps": [{"id": "a", "predicates": [{"field": "event_outcome", "op": "eq", "value": "success"}]}, {"id": "b", "predicates": [{"field": "commandline", "op": "contains", "value": "minidump"}]}], "select": "b"}
+    found, counts = hunt.execute(rows, ir | {"relations": [{"type": "same", "step": "a", "field": "hostname"}, {"type": "within", "step": "a", "seconds": 600}]})
+    assert counts == {"a": rows.where("event_outcome = 'success'").count(), "b": rows.where("lower(commandline) like '%minidump%'").count()}
+    assert "events.parquet" not in str(found.inputFiles())
+    assert hunt.execute(rows.limit(0), ir)[1] == {"a": 0, "b": 0}
+    with pytest.raises(ValueError, match="within"):
+        hunt.run_hunt(rows, ir | {"relations": [{"type": "within", "step": "a", "seconds": 10**9}]})
+
+
+def test_questions_become_hunts():
+    ir = hunt.asked("Which of those ran mimikatz, and what did the same host do next?")
+    assert ir["use_previous"] and ir["select"] == "b" and [p["value"] for p in ir["steps"][0]["predicates"]] == ["mimikatz"]
+    assert ir["relations"] == [{"type": "after", "step": "a"}, {"type": "same", "step": "a", "field": "hostname"}]
+    assert hunt.asked("")["steps"][0]["predicates"] == [{"field": "process_name", "op": "ne", "value": ""}] and not hunt.asked("")["relations"]

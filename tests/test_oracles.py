@@ -5,7 +5,7 @@ import pytest
 
 from threatlake import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "events documents embeddings labels conversations benchmark".split()
 
 

@@ -36,11 +36,11 @@ def test_json_in_any_form(spark, tmp_path):
 
 def test_rows_with_lists_that_are_not_quoted(spark, tmp_path):
     header = "id,host.ip,host.mac,host.name,user"
-    rows = ["1,a,m,h1,u", "2,a,b,c,m,h2,u", '3,"a,b",m,h3,u', "4,h4,u", "5,a,m"]
+    rows = ["1,a,m,h1,u", "2,a,b,c,m,h2,u", '3,"a,b",m,h3,u', "4,h4,u", "5,a,m", '6,"open,m,h6,u', "7,a,m,h7,u"]
     (tmp_path / "x.csv").write_text("\n".join([header, *rows]))
     got = {r.raw["id"]: r.raw for r in read_raw(spark, str(tmp_path / "x.csv"), "csv_realign").collect()}
     assert [got[k]["host.ip"] for k in "123"] == ["a", "a, b, c, m", "a,b"] and [got[k]["host.name"] for k in "13"] == ["h1", "h3"]
-    assert got["2"]["host.mac"] == "h2" and got["2"]["host.name"] == "u" and got["2"]["user"] == "" and set(got) == set("12345")
+    assert got["2"]["host.mac"] == "h2" and got["2"]["host.name"] == "u" and got["2"]["user"] == "" and set(got) == set("1234567") and got["7"]["user"] == "u" and got["6"]["host.ip"].startswith("open")
 
 
 def test_lines_that_do_not_parse_and_attributes(spark, tmp_path):

@@ -30,7 +30,7 @@ def test_excluding_every_finding_keeps_the_severity(spark):
 
 
 def test_summary_of_no_findings_is_clean(spark):
-    none = spark.createDataFrame([], "severity string, tactic string, hostname string, user_name string, mitre string, rule_id string, seq long, rule_ord int")
+    none = spark.createDataFrame([], "severity string, tactic string, hostname string, user_name string, mitre string, rule_id string, rule_name string, seq long, rule_ord int")
     got = {r["item"]: r["value"] for r in verdicts.session_summary(none).collect()}
     assert got == {"overall_severity": "clean", "attack_stage": "None", "findings": "0", "critical": "0"}
 
@@ -72,3 +72,53 @@ def test_known_bad_commands(spark):
     rows = {r.text: r for r in per.collect()}
     assert rows[texts[0]].like_bad and rows[texts[0]].family == "credential-access" and abs(rows[texts[1]].benign_score - 1) < 1e-6
     assert not rows["zzzzqqqq"].like_bad and rows["zzzzqqqq"].family is None
+
+
+def test_forms_of_untrusted_json(spark):
+    """Each kind of field: bounds, enums, patterns, lists, nested objects, required fields, defaults."""
+    from threatlake.functions.schema import Field, against
+
+    form = (
+        Field("s", default="", longest=5), Field("i", "int", 1, 1, 10), Field("f", "float", 0.0, 0.0, 1.0), Field("b", "bool", False), Field("e", "enum", "a", values=("a", "b")),
+        Field("l", "list", (), longest=4, most=3, pattern="[a-z]+"), Field("d", "dict", {}, fields=(Field("x", "int", 0),)),
+        Field("ds", "dicts", (), most=3, fields=(Field("id"), Field("n", "int", 0)), drop=True), Field("req"),
+    )
+    none = {"s": "", "i": 1, "f": 0.0, "b": False, "e": "a", "l": [], "d": {"x": 0}, "ds": [], "req": None}
+    cases = {
+        '{"s":"abcdefgh","i":"12","f":2,"b":true,"e":"b","l":["ab","AB","cdefgh","x"],"d":{"x":"7","y":1},"ds":[{"id":"q"},{"n":1},5,{"id":"z"}],"req":true}': (
+            {"s": "abcde", "i": 10, "f": 1.0, "b": True, "e": "b", "l": ["ab", "cdef"], "d": {"x": 7}, "ds": [{"id": "q", "n": 0}], "req": "True"}, ["l: item failed pattern", "ds[2]: expected object"]),
+        '{"i":"x","f":"y","b":"true","e":"zz","l":"q","d":[],"ds":{}}': (none, ["i: type coercion failed for 'int'", "f: type coercion failed for 'float'", "e: 'zz' not in enum", "l: expected list", "d: expected object", "ds: expected list", "req: missing required field"]),
+        "[1]": (none, ["root: not an object"]), "nope": (none, ["root: invalid JSON"]), None: (none, ["root: invalid JSON"]),
+        '{"i":5.9,"f":true,"l":[1,null,"a"],"ds":[{"id":"u","n":"w"}],"req":null}': (none | {"i": 5, "f": 1.0, "l": ["a"]}, ["l: item failed pattern", "l: item failed pattern", "req: missing required field"]),
+        '{"i":-3.7,"s":1.5,"req":"r"}': (none | {"s": "1.5", "req": "r"}, []),
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "j string").select("j", against(form, F.col("j")).alias("r")).collect()
+    assert {r.j: (r.r.value.asDict(True), r.r.errors) for r in rows} == cases
+
+
+def test_sinks_are_idempotent(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 2} 10:00:00", "HIGH" if i % 3 else "LOW") for i in range(20)] + [(20, None, "LOW")], "seq long, t string, severity string")
+    rows = rows.select("seq", F.col("t").cast("timestamp").alias("ts"), "severity")
+    path = str(tmp_path / "sink")
+    held = lambda: sorted((r.seq, str(r.day), r.severity) for r in spark.read.parquet(path).collect())
+    verdicts.write_findings(rows, path)
+    first = held()
+    assert len(first) == 21
+    verdicts.write_findings(rows, path)
+    verdicts.write_findings(rows.where("severity = 'LOW'"), path)
+    assert held() == first
+    verdicts.write_findings(rows.limit(0), path)
+    assert held() == first
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for checkpoint in ("one", "two"):  # the second run has lost its checkpoint and does the batch again
+        verdicts.write_batches(stream, out, str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(out).count() == 21
+
+
+def test_nudge_says_why(spark):
+    scored = spark.createDataFrame([("a", 5, True, 0.4, True, ["x"]), ("b", 3, False, 0.4, True, [])], "commandline string, severity int, is_malicious boolean, confidence double, abstained boolean, indicators array<string>")
+    examples = spark.createDataFrame([("a", 2, True, None, 0.9), ("a", 1, False, None, 0.9)], "commandline string, rank int, label boolean, corrected_severity int, similarity double")
+    got = {r.commandline: (r.severity, r.abstained, r.indicators) for r in verdicts.nudge(scored, examples, "commandline").collect()}
+    assert got == {"a": (2, False, ["x", "Analyst-cleared a near-identical command as benign (sim=0.90)"]), "b": (3, True, [])}

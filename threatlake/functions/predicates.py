@@ -20,6 +20,52 @@ def matches(column: Column, pattern: str) -> Column:
     return F.coalesce((F.length(column) > 0) & column.rlike("(?dU)" + pattern), F.lit(False))
 
 
+#: Characters outside ASCII that a search without case takes for an ASCII letter.
+_FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(column: Column) -> Column:
+    """Lower case in which an ASCII literal occurs wherever a search without case would find it."""
+    return F.lower(F.translate(F.coalesce(column, F.lit("")), *_FOLDED))
+
+
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case ASCII texts of which every match of a pattern holds at least one; () if unknown.
+
+    Of a sequence the part whose shortest text is longest, of alternatives all parts, of
+    a group or a repeat what it must hold once.
+    """
+    from re import _parser as parser
+
+    def of(items) -> tuple[str, ...]:
+        best: tuple[str, ...] = ()
+        run = ""
+
+        def better(found: tuple[str, ...]) -> None:
+            nonlocal best
+            if found and all(found) and min(map(len, found)) > min(map(len, best), default=0):
+                best = found
+
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL" and value < 128:
+                run += chr(value).lower()
+                continue
+            better((run,))
+            run = ""
+            if name == "SUBPATTERN":
+                better(of(value[3]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                better(of(value[2]))
+            elif name == "BRANCH":
+                parts = [of(b) for b in value[1]]
+                better(tuple(x for p in parts for x in p) if all(parts) else ())
+        better((run,))
+        return best
+
+    return of(parser.parse(pattern))
+
+
 def number(column: str) -> Column:
     return F.when(F.col(column).cast("string").rlike(NUMBER), F.col(column).try_cast("double"))
 

@@ -18,11 +18,11 @@ def _network(events: DataFrame) -> DataFrame:
 
 
 def edges(events: DataFrame) -> DataFrame:
-    """Distinct spawn and connect edges, with the label of the first event."""
+    """Distinct spawn and connect edges, with the label and number of the first event."""
     spawn = events.where("parent_process_guid <> process_guid").select(
         F.col("parent_process_guid").alias("source"), F.col("process_guid").alias("target"), F.lit("SPAWNED").alias("type"), F.col("process_name").alias("label"), "seq")
     net = _network(events).select(F.col("process_guid").alias("source"), "target", F.lit("CONNECTED").alias("type"), F.col("destination_port").alias("label"), "seq")
-    return spawn.unionByName(net).groupBy("source", "target", "type").agg(F.min_by("label", "seq").alias("label"))
+    return spawn.unionByName(net).groupBy("source", "target", "type").agg(F.min_by("label", "seq").alias("label"), F.min("seq").alias("first_seq"))
 
 
 def nodes(events: DataFrame, findings: DataFrame) -> DataFrame:
@@ -65,25 +65,48 @@ def _all(rounds: list[DataFrame]) -> DataFrame:
     return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*files) if files else rounds[0]
 
 
-def tree(edge: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Depth of every process below its root, by frontier joins; a process is met once per path
-    of its own parents, and cycles end as a node is never walked twice.
+def first_parents(edge: DataFrame) -> DataFrame:
+    """(node, parent): the parent of a process's first spawn edge; of equal ones the least."""
+    order = F.struct(*(c for c in ("first_seq", "source") if c in edge.columns))
+    return edge.where("type = 'SPAWNED'").groupBy(F.col("target").alias("node")).agg(F.min_by("source", order).alias("parent"))
 
-    Rounds are written to the shared folder until one is empty; raises after most_rounds.
+
+def tree(edge: DataFrame, paths: bool = True, most_rounds: int | None = None) -> DataFrame:
+    """Every process of a spawn edge once: root, node, parent, depth, path, children, on_cycle.
+
+    The tree is that of first parents. Pointers double: after k rounds a node knows its
+    ancestor 2^k steps up, or its root, so a chain of n takes log2(n) rounds of one join each;
+    a node whose pointer still moves after that lies on a cycle or below one: root, depth and
+    path are null and on_cycle is true. path runs from the root to the node (None with
+    paths=False: paths of a long chain grow with the square of its length). children is
+    their number; they are the rows that name the node as parent. Rounds are written, and
+    what has met its root is not written again.
     """
-    scratch = Scratch(edge.sparkSession, "walk")
-    spawn = scratch.keep(edge.where("type = 'SPAWNED'").select("source", "target").distinct(), "spawn")
-    front = spawn.select(F.col("source").alias("node")).distinct().join(spawn.select(F.col("target").alias("node")), "node", "left_anti")
-    front = scratch.keep(front.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "0")
-    rounds = [front]
-    for k in range(1, most_rounds + 1):
-        front = front.join(spawn, front["node"] == spawn["source"]).where(~F.array_contains("path", F.col("target")))
-        front = front.select("root", F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("target")).alias("path"))
-        front = scratch.keep(front, str(k))
-        if front.isEmpty():
-            return _all(rounds).select("root", "node", "depth")
-        rounds.append(front)
-    raise RuntimeError(f"the tree did not end in {most_rounds} rounds")
+    spark = edge.sparkSession
+    scratch = Scratch(spark, "tree")
+    up = scratch.keep(first_parents(edge), "parents")
+    tops = up.select(F.col("parent").alias("node")).distinct().join(up.select("node"), "node", "left_anti")
+    below = up.select(F.col("node").alias("parent")).withColumn("_inner", F.lit(True))
+    step = F.array("parent") if paths else F.lit(None).cast("array<string>")
+    now = scratch.keep(up.join(below, "parent", "left").select("node", F.col("parent").alias("top"), F.lit(1).alias("depth"), step.alias("path"), F.col("_inner").isNull().alias("done")), "0")
+    settled, moving = now.where("done"), now.where("not done")
+    for k in range(1, up.count().bit_length() + 1):
+        if moving.isEmpty():
+            break
+        if most_rounds and k > most_rounds:
+            raise RuntimeError(f"the tree did not end in {most_rounds} rounds")
+        known = settled.unionByName(moving).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("done").alias("_done"))
+        path = F.concat("_path", "path") if paths else F.col("path")
+        then = moving.join(known, "top").select("node", F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth"), path.alias("path"), F.col("_done").alias("done"))
+        then = scratch.keep(then, str(k))
+        settled, moving = settled.unionByName(then.where("done")), then.where("not done")
+    own = F.array("node") if paths else F.lit(None).cast("array<string>")
+    roots = tops.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), own.alias("path"), F.lit(False).alias("on_cycle"))
+    found = settled.select(F.col("top").alias("root"), "node", "depth", (F.concat("path", F.array("node")) if paths else F.col("path")).alias("path"), F.lit(False).alias("on_cycle"))
+    lost = moving.select(F.lit(None).cast("string").alias("root"), "node", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("on_cycle"))
+    children = up.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    rows = roots.unionByName(found).unionByName(lost).join(up, "node", "left").join(children, "node", "left")
+    return rows.select("root", "node", "parent", "depth", "path", F.coalesce("children", F.lit(0)).alias("children"), "on_cycle")
 
 
 def ego(edge: DataFrame, matched: DataFrame) -> DataFrame:

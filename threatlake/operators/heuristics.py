@@ -134,8 +134,8 @@ def semantic_hits(scored: DataFrame, most: int | None = 100) -> DataFrame:
     return found.limit(most) if most else found
 
 
-def prescan(events: DataFrame, most: int | None = 100) -> DataFrame:
-    """The first report on a table of events as rows (item, ord, value, n)."""
+def prescan(events: DataFrame, most: int | None = None) -> DataFrame:
+    """The first report on a table of events as rows (item, ord, value, n); from all hits, or the first `most`."""
     from .summaries import process_edges, top_counts
 
     found = semantic_hits(event_semantics(events), most)

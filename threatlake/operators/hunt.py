@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.predicates import step
+from .shared import Scratch
 
 FIELDS = ("user_name", "hostname", "process_guid", "source_ip")
 
@@ -42,23 +43,47 @@ def within(select: DataFrame, partner: DataFrame, seconds: int, keys: tuple[str,
     return hit.drop("_b", "_at")
 
 
-def run_hunt(events: DataFrame, ir: dict, previous: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """ir: steps [{id, match, predicates}], relations [{type, ...}], select. Relations are
-    independent semi joins of the selected step; results by time, NULL last, the first `most`
-    if given (None: all)."""
+def execute(events: DataFrame, ir: dict, previous: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(results, events that match each step). ir: steps [{id, match, predicates}], relations
+    [{type, ...}], select.
+
+    One scan of the events sets a bit per step; what matches any step is written with its
+    bits, counted on the way, and the relations, independent semi joins of the selected step,
+    read that. Results by time, NULL last, the first `most` if given (None: all).
+    """
+    for r in ir.get("relations", ()):
+        if r["type"] == "within" and not 1 <= int(r["seconds"]) <= WEEK:
+            raise ValueError(f"within takes 1 to {WEEK} seconds, not {r['seconds']}")
     if ir.get("use_previous") and previous is not None:
         events = events.join(previous.select("seq").distinct(), "seq", "left_semi")
-    steps = {s["id"]: events.where(step(s)) for s in ir["steps"]}
-    out = steps[ir["select"]]
+    steps = ir["steps"]
+    bits = F.array_compact(F.array(*(F.when(step(s), F.lit(i)) for i, s in enumerate(steps))))
+    seen = Observation()
+    flagged = events.withColumn("_steps", bits).where(F.size("_steps") > 0)
+    counts = (F.coalesce(F.sum(F.array_contains("_steps", i).cast("long")), F.lit(0)).alias(f"s{i}") for i in range(len(steps)))
+    kept = Scratch(events.sparkSession, "hunt").keep(flagged.observe(seen, *counts), "flagged")
+    of = {s["id"]: kept.where(F.array_contains("_steps", i)).drop("_steps") for i, s in enumerate(steps)}
+    out = of[ir["select"]]
     for r in ir.get("relations", ()):
-        partner = steps[r["step"]]
+        partner = of[r["step"]]
         if r["type"] == "same":
             out = same(out, partner, r["field"])
         elif r["type"] == "within":
-            out = within(out, partner, max(1, min(int(r["seconds"]), WEEK)), tuple(r.get("keys", ())))
+            out = within(out, partner, int(r["seconds"]), tuple(r.get("keys", ())))
         else:
             out = after(out, partner, before=r["type"] == "before")
     out = out.orderBy(F.asc_nulls_last("ts"), "seq")
+    got = seen.get
+    return out.limit(most) if most else out, {s["id"]: int(got[f"s{i}"]) for i, s in enumerate(steps)}
+
+
+def run_hunt(events: DataFrame, ir: dict, previous: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The results of a hunt (see execute); of a single step without relations they are not written."""
+    if len(ir["steps"]) > 1 or ir.get("relations"):
+        return execute(events, ir, previous, most)[0]
+    if ir.get("use_previous") and previous is not None:
+        events = events.join(previous.select("seq").distinct(), "seq", "left_semi")
+    out = events.where(step(ir["steps"][0])).orderBy(F.asc_nulls_last("ts"), "seq")
     return out.limit(most) if most else out
 
 
@@ -155,21 +180,41 @@ def validate(ir: object) -> list[str]:
     return checked(ir)[1]
 
 
-#: Saved hunts by the words that ask for them: a process test and a command test.
-SAVED = {
-    "encoded powershell": (("process_name", "in", ["powershell.exe", "pwsh.exe"]), ("commandline", "regex", r"(-enc\b|-encodedcommand|frombase64)")),
-    "credential dumping": (("commandline", "regex", r"(lsass|sekurlsa|mimikatz|procdump|comsvcs)"),),
-    "download": (("commandline", "regex", r"(downloadstring|downloadfile|invoke-webrequest|urlcache|bitsadmin|wget|curl)"),),
-    "failed logon": (("event_outcome", "eq", "failed"),),
-    "new service": (("event_id", "eq", "7045"),),
-    "lateral movement": (("commandline", "regex", r"(psexec|wmic.*/node:|invoke-command)"),),
-}
-
-
-def saved(question: str) -> dict:
-    """The saved hunt whose words all occur in a question; an error if there is none."""
-    words = question.lower().split()
-    for name, tests in SAVED.items():
-        if all(any(w.startswith(x) for w in words) for x in name.split()):
-            return {"steps": [{"id": "a", "match": "all", "predicates": [{"field": f, "op": o, "value": v} for f, o, v in tests]}], "relations": [], "select": "a"}
-    raise ValueError(f"no saved hunt for {question!r}")
+#: What words of a question ask for, as a predicate.
+KEYWORDS = (
+    (r"lsass|credential dump|憑證|dump.*cred", "commandline", "contains", "lsass"),
+    (r"mimikatz|sekurlsa|logonpassword", "commandline", "contains", "mimikatz"),
+    (r"dcsync|replication", "commandline", "regex", r"(?i)dcsync|replication"),
+    (r"encoded|-enc\b|base64|混淆|obfuscat", "commandline", "regex", r"(?i)-e(nc)?\b"),
+    (r"download|cradle|invoke-webrequest|下載", "commandline", "regex", r"(?i)(downloadstring|downloadfile|invoke-webrequest|iwr|net\.webclient)"),
+    (r"powershell", "process_name", "eq", "powershell.exe"),
+    (r"scheduled task|schtasks|排程", "commandline", "contains", "schtasks"),
+    (r"registry run|reg add|persistence|持久", "commandline", "regex", r"(?i)reg.*add.*(run|runonce)"),
+    (r"psexec|lateral|橫向", "commandline", "regex", r"(?i)(psexec|invoke-command)"),
+    (r"external|outbound|c2|外網|連線", "destination_ip", "ne", ""),
+)
+#: Cues that ask for what came after, for the same host, and for the results before.
+AFTER_CUE = r"(?i)\b(after|then|next|subsequen|之後|接著|然後|後續)\b"
+HOST_CUE = r"(?i)(same host|same machine|same computer|同(一)?(主機|電腦))"
+PREVIOUS_CUE = r"(?i)(of those|among them|其中|這些裡|前(一|面)(個)?結果)"
+#: Predicates of a step from keywords at most, and characters of its description.
+KEYWORD_PREDICATES, DESCRIPTION = 6, 200
+
+
+def asked(question: str) -> dict:
+    """A hunt for the words of a question, any of them; without known words all process activity.
+
+    A word of order (after, then, next) asks for what the same user, or with such words the
+    same host, did afterwards; words that point back narrow the hunt to the results before.
+    """
+    anything = {"field": "process_name", "op": "ne", "value": ""}
+    found = [{"field": f, "op": o, "value": v} for words, f, o, v in KEYWORDS if re.search(words, question, re.IGNORECASE)]
+    ir = {
+        "description": question[:DESCRIPTION] or "hunt", "use_previous": bool(re.search(PREVIOUS_CUE, question)), "select": "a",
+        "steps": [{"id": "a", "match": "any", "predicates": found[:KEYWORD_PREDICATES] or [anything]}], "relations": [],
+    }
+    if re.search(AFTER_CUE, question):
+        ir["steps"].append({"id": "b", "match": "any", "predicates": [anything]})
+        field = "hostname" if re.search(HOST_CUE, question) else "user_name"
+        ir |= {"select": "b", "relations": [{"type": "after", "left": "a", "right": "b"}, {"type": "same", "field": field, "steps": ["a", "b"]}]}
+    return checked(ir)[0] | {"description": ir["description"]}

@@ -7,13 +7,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import access_is_dangerous
-from ..functions.predicates import matches, text
+from ..functions.predicates import folded, literals, matches, text
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,10 @@ class Rule:
     description: str = ""
     guidance: str = ""
 
-    def condition(self, low: Callable[[str], Column] = text) -> Column | None:
+    def condition(self, low: Callable[[str], Column] = text, fold: Callable[[str], Column] | None = None) -> Column | None:
         """The cheap tests first; None for a rule without conditions, which never holds.
-        low: the lower-cased column of a name."""
+        low: the lower-cased column of a name. fold: the folded column of a searched text;
+        where it holds none of the literals that a pattern needs, the pattern is not tried."""
         tests: list[Column] = []
         for column, words in (("process_name", self.names), ("event_outcome", self.outcomes), ("action_type", self.actions), ("event_category", self.categories)):
             if words:
@@ -53,17 +54,23 @@ class Rule:
             tests.append(F.concat(low("process_name"), F.lit("\x01"), low("parent_process_name")).isin(pairs))
         if self.dangerous:
             tests.append(access_is_dangerous(F.col("granted_access")))
-        if self.command:
-            tests.append(matches(F.col("commandline"), self.command))
-        if self.path:
-            tests.append(matches(F.coalesce(F.nullif("process_path", F.lit("")), "process_name"), self.path))
-        if self.properties:
-            tests.append(matches(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("properties", "object_guid", "access_mask"))), self.properties))
-        if self.target:
-            tests.append(matches(F.col("target_image"), self.target))
+        for name, pattern in (("command", self.command), ("path", self.path), ("properties", self.properties), ("target", self.target)):
+            if pattern:
+                if fold is not None and (needed := literals(pattern)):
+                    tests.append(reduce(or_, (F.contains(fold(name), F.lit(n)) for n in needed)))
+                tests.append(matches(searched(name), pattern))
         return reduce(and_, tests) if tests else None
 
 
+def searched(name: str) -> Column:
+    """The text that a rule's pattern searches."""
+    if name == "command":
+        return F.col("commandline")
+    if name == "path":
+        return F.coalesce(F.nullif("process_path", F.lit("")), "process_name")
+    return F.col("target_image") if name == "target" else F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("properties", "object_guid", "access_mask")))
+
+
 #: Ids, names, techniques, severities, conditions and patterns of the playbook, in its order.
 RULES = (
     Rule("TH-001", "Encoded PowerShell Execution", "T1059.001", "Execution", "HIGH", ("powershell.exe", "pwsh.exe"), command=r"(?i)(-[Ee]nc\b|-[Ee]ncodedCommand)"),
@@ -145,11 +152,12 @@ def summary(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def evaluate(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per event and rule that matches; one scan, no join. Names are lower-cased once."""
+    """One row per event and rule that matches; one scan, no join. Names are lower-cased and
+    searched texts folded once; a pattern is tried only where a literal that it needs occurs."""
     hits, names = [], ("process_name", "parent_process_name", "event_outcome", "action_type", "event_category")
-    events = events.withColumns({f"_low_{c}": text(c) for c in names})
+    events = events.withColumns({f"_low_{c}": text(c) for c in names} | {f"_fold_{c}": folded(searched(c)) for c in ("command", "path", "properties", "target")})
     for i, r in enumerate(rules):
-        if (condition := r.condition(lambda c: F.col(f"_low_{c}"))) is not None:
+        if (condition := r.condition(lambda c: F.col(f"_low_{c}"), lambda c: F.col(f"_fold_{c}"))) is not None:
             values = zip(_OF_RULE, (r.id, r.name, r.mitre, r.tactic, r.severity))
             hits.append(F.when(condition, F.struct(F.lit(i).alias("rule_ord"), *(F.lit(v).alias(n) for n, v in values))))
     found = events.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))

@@ -39,17 +39,34 @@ def iocs(events: DataFrame) -> DataFrame:
     return out.withColumn("external", ~F.col("ioc").rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"))
 
 
-def embed(texts: DataFrame, column: str, dim: int = 256) -> DataFrame:
-    """Signed hashed 3-grams of lower-cased text, L2-normalised: sparse rows (text, idx, w)."""
-    low = F.lower(column)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    rows = texts.select(F.col(column).alias("text")).distinct().where("text <> ''").withColumn(column, F.col("text")).select("text", F.explode(grams).alias("g"))
+#: Slots of an embedding; a text has at most as many of them.
+DIM = 256
+SPARSE = "array<struct<idx: int, w: double>>"
+
+
+def embedded(texts: DataFrame, column: str, dim: int = DIM) -> DataFrame:
+    """Signed hashed 3-grams of lower-cased text, L2-normalised: (text, slots), one row per
+    distinct text; null counts as empty. A text of under three characters is padded with
+    blanks; slots that cancel out are left out, so slots may be empty."""
+    rows = texts.select(F.coalesce(column, F.lit("")).alias("text")).distinct()
+    low = F.lower("text")
+    low = F.when(F.length(low) < 3, F.rpad(low, 3, " ")).otherwise(low)
+    rows = rows.select("text", low.alias("_low"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("_low") - 2), lambda i: F.substring(F.col("_low"), i, F.lit(3)))
+    rows = rows.select("text", F.explode(grams).alias("g"))
     digest = F.md5("g")
     index = F.conv(F.substring(digest, 31, 2), 16, 10).cast("int") % dim
-    sign = F.when(F.conv(F.substring(digest, 29, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = rows.groupBy("text", index.alias("idx")).agg(F.sum(sign).alias("w")).where("w <> 0")
-    norms = sums.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, "text").select("text", "idx", (F.col("w") / F.col("norm")).alias("w"))
+    sign = F.when(F.conv(F.substring(digest, 29, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+    sums = rows.groupBy("text", index.alias("idx")).agg(F.sum(sign).alias("w"))
+    slots = F.filter(F.array_sort(F.collect_list(F.struct("idx", "w"))), lambda x: x["w"] != 0)
+    whole = sums.groupBy("text").agg(slots.alias("_s"))
+    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return whole.select("text", F.transform("_s", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / norm).alias("w"))).cast(SPARSE).alias("slots"))
+
+
+def embed(texts: DataFrame, column: str, dim: int = DIM) -> DataFrame:
+    """The embeddings as sparse rows (text, idx, w)."""
+    return embedded(texts, column, dim).select("text", F.inline("slots"))
 
 
 def enrich_timeline(events: DataFrame, findings: DataFrame, correlated: DataFrame) -> DataFrame:

@@ -111,12 +111,6 @@ BENIGN = (
 SIMILAR = 0.30
 
 
-def dense(sparse: DataFrame, dim: int = 256) -> DataFrame:
-    """(text, embedding) from sparse rows (text, idx, w); a text has at most dim of them."""
-    slots = F.map_from_entries(F.collect_list(F.struct("idx", "w")))
-    return sparse.groupBy("text").agg(slots.alias("m")).select("text", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
-
-
 def known_bad(sparse: DataFrame, embed, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Commands (sparse rows text, idx, w) against the two fixed lists, which are broadcast.
 
@@ -143,18 +137,62 @@ def known_bad(sparse: DataFrame, embed, k: int = 5) -> tuple[DataFrame, DataFram
     return near.select("text", "rank", "corpus_id", "label", "score"), per.drop("_label")
 
 
-def fewshot(commands: DataFrame, feedback: DataFrame, out: DataFrame, embed, k: int = 3, least_trust: float = 0.9, least: float = 0.45) -> DataFrame:
+#: Stored postings are copied so many times, so that a slot that many vectors share is
+#: spread over as many groups.
+SALTS = 16
+#: Similarities are sums of rounded products: bounds are lowered by this much.
+SLACK = 1e-9
+
+
+def _prefix(vectors: DataFrame, order: DataFrame, least: float) -> DataFrame:
+    """Adds `prefix`: the slots of a unit vector, rarest first, up to where the rest is too
+    short (its norm below `least`) to reach the similarity alone.
+
+    order: one row with the map `n`, slot to number of stored vectors.
+    """
+    ranked = F.array_sort(F.transform("slots", lambda x: F.struct(F.coalesce(F.element_at("n", x["idx"]), F.lit(0)).alias("n"), x["idx"].alias("idx"), x["w"].alias("w"))))
+    rows = vectors.crossJoin(F.broadcast(order)).withColumn("_r", ranked)
+    start = F.struct(F.lit(0.0).alias("square"), F.lit(0).alias("spare"))
+    tail = F.aggregate(
+        F.reverse("_r"), start,
+        lambda a, x: F.struct((a["square"] + x["w"] * x["w"]).alias("square"), (a["spare"] + (F.sqrt(a["square"] + x["w"] * x["w"]) < least - SLACK).cast("int")).alias("spare")),
+        lambda a: a["spare"],
+    )
+    return rows.withColumn("prefix", F.slice(F.transform("_r", lambda x: x["idx"]), F.lit(1), F.size("_r") - tail)).drop("_r", "n")
+
+
+def similar(asked: DataFrame, stored: DataFrame, least: float) -> DataFrame:
+    """Pairs (text, other, similarity) of unit vectors with a similarity of `least` or more.
+
+    asked, stored: (text, slots), distinct texts. Two vectors that similar share a slot that
+    is in the prefix of both: the prefix that ends first in the common order leaves its
+    vector a rest too short to make up the similarity. So only prefixes are joined, and the
+    pairs found are verified with whole vectors. Texts go by digests until the end.
+    """
+    keyed = [v.withColumn("_k", F.unhex(F.sha2("text", 256))) for v in (asked, stored)]
+    counts = stored.select(F.explode("slots.idx").alias("idx")).groupBy("idx").agg(F.count("*").cast("int").alias("n"))
+    order = counts.agg(F.map_from_entries(F.collect_list(F.struct("idx", "n"))).alias("n"))
+    mine, theirs = (_prefix(v.select("_k", "slots"), order, least) for v in keyed)
+    mine = mine.select(F.col("_k").alias("_a"), F.explode("prefix").alias("idx"), F.pmod(F.xxhash64("_k"), F.lit(SALTS)).alias("_salt"))
+    theirs = theirs.select(F.col("_k").alias("_b"), F.explode("prefix").alias("idx")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = mine.join(theirs, ["idx", "_salt"]).select("_a", "_b").distinct()
+    left, right = (v.select(F.col("_k").alias(k), F.col("text").alias(t), F.map_from_entries("slots").alias(m)) for v, k, t, m in zip(keyed, ("_a", "_b"), ("text", "other"), ("_x", "_y")))
+    dot = F.aggregate(F.map_entries("_x"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.element_at("_y", e["key"]), F.lit(0.0)))
+    found = pairs.join(left, "_a").join(right, "_b").select("text", "other", F.round(dot, PLACES).alias("similarity"))
+    return found.where(F.col("similarity") >= least)
+
+
+def fewshot(commands: DataFrame, feedback: DataFrame, out: DataFrame, embedded, k: int = 3, least_trust: float = 0.9, least: float = 0.45) -> DataFrame:
     """Per command (column commandline) its k most similar trusted, labelled feedback ids that
     are not disputed (out: their ids): commandline, rank, id, label, corrected_severity, similarity.
 
-    Distinct commands of the feedback are the stored vectors, the commands the stated query set.
+    Distinct commands of both sides are joined by similarity; embedded gives the vectors
+    (text, slots) of a table's commandline.
     """
     good = feedback.where((F.col("trust") >= least_trust) & F.col("label").isNotNull()).join(out.select("id"), "id", "left_anti")
     good = good.groupBy("id").agg(F.min_by(F.struct("commandline", "label", "corrected_severity", "seq"), "seq").alias("f")).select("id", "f.*")
-    stored = dense(embed(good.select("commandline").distinct())).withColumnRenamed("text", "vec_id")
-    asked = dense(embed(commands.select("commandline").distinct())).select(F.concat(F.lit("?"), "text").alias("vec_id"), "embedding")
-    near = knn_dense(stored, asked, k).where(F.col("similarity") >= least)
-    found = near.select(F.expr("substr(query_id, 2)").alias("command"), F.col("neighbour_id").alias("commandline"), "similarity").join(good, "commandline")
-    order = W.partitionBy("command").orderBy(F.desc("similarity"), "seq")
+    near = similar(embedded(commands.select("commandline")), embedded(good.select("commandline")), least)
+    found = near.select(F.col("text").alias("command"), F.col("other").alias("commandline"), "similarity").join(good.fillna("", ["commandline"]), "commandline")
+    order = W.partitionBy("command").orderBy(F.desc("similarity"), "seq", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("command").alias("commandline"), "rank", "id", "label", "corrected_severity", "similarity")

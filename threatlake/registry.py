@@ -190,7 +190,7 @@ _hunt("hunt_execute", [{"type": "same", "step": "a", "field": "hostname"}, {"typ
 
 @query("select seq, ts, hostname from ev where contains(lower(commandline), 'minidump') order by ts nulls last, seq limit 1000")
 def topk_hunt_results(spark, sf_dir):
-    return hunt.run_hunt(events(spark, sf_dir), {"steps": [_B], "select": "b"}).select("seq", "ts", "hostname")
+    return hunt.run_hunt(events(spark, sf_dir), {"steps": [_B], "select": "b"}, most=1000).select("seq", "ts", "hostname")
 
 
 @query(f"select seq, rule_id, severity from de order by {_RANK} desc, length(commandline) desc, seq, rule_ord limit 15", _FINDINGS + _DEDUP)
@@ -320,6 +320,10 @@ _EDGES = """, ed as (select source, target, type, arg_min(label, seq) as label f
 
 @query("select source, target, type, label from ed", _EDGES)
 def graph_edges(spark, sf_dir):
+    return graph.edges(events(spark, sf_dir)).select("source", "target", "type", "label")
+
+
+def _edges(spark, sf_dir):
     return graph.edges(events(spark, sf_dir))
 
 
@@ -352,9 +356,16 @@ def graph_stats(spark, sf_dir):
     return graph.stats(_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 300)
 
 
-@query("select root, node, depth from t", _EDGES + ", t as (select source as root, source as node, 0 as depth from (select distinct source from ed where type = 'SPAWNED' and source not in (select target from ed where type = 'SPAWNED')) r union all select t.root, ed.target, t.depth + 1 from t join ed on ed.source = t.node and ed.type = 'SPAWNED')")
+_TREE = _EDGES + """, up as (select target as node, arg_min(source, first_seq) as parent from (select source, target, min(seq) as first_seq from (
+   select parent_process_guid as source, process_guid as target, seq from ev where parent_process_guid <> process_guid) x group by 1, 2) y group by 1),
+ walk as (select parent as root, parent as node, 0 as depth, [parent] as path from (select distinct parent from up where parent not in (select node from up)) r
+   union all select walk.root, up.node, walk.depth + 1, list_append(walk.path, up.node) from walk join up on up.parent = walk.node)"""
+
+
+@query("""select root, walk.node, up.parent, depth, array_to_string(path, '|') as path, coalesce(c.n, 0) as children, false as on_cycle from walk left join up on up.node = walk.node
+ left join (select parent as node, count(*) as n from up group by 1) c on c.node = walk.node""", _TREE)
 def process_tree(spark, sf_dir):
-    return graph.tree(graph_edges(spark, sf_dir))
+    return graph.tree(_edges(spark, sf_dir)).withColumn("path", F.array_join("path", "|"))
 
 
 @query("select source, count(distinct target) as destinations from ed where type = 'CONNECTED' group by source", _EDGES)
@@ -415,15 +426,11 @@ def feedback_disputed(spark, sf_dir):
     return verdicts.disputed(_feedback(spark, sf_dir))
 
 
-def _embedded(rows: DataFrame) -> DataFrame:
-    return summaries.embed(rows, rows.columns[0] if rows.columns[0] != "corpus_id" else "text")
-
-
 def _embed_sql(name: str, source: str) -> str:
     """Sparse embeddings of the texts of a table, as {name}(text, idx, w)."""
     byte = "cast('0x' || substr(md5(g), {}, 2) as int)"
-    return f""", {name}g as (select text, substr(lower(text), cast(i as bigint), 3) as g from (select text, unnest(range(1, greatest(length(text) - 2, 1) + 1)) as i from (select distinct text from {source} where text <> '') q0) q),
- {name}s as (select text, {byte.format(31)} as idx, sum(case when {byte.format(29)} % 2 = 0 then 1 else -1 end)::double as w from {name}g group by 1, 2 having sum(case when {byte.format(29)} % 2 = 0 then 1 else -1 end) <> 0),
+    return f""", {name}g as (select text, substr(low, cast(i as bigint), 3) as g from (select *, unnest(range(1, length(low) - 1)) as i from (select text, case when length(text) < 3 then rpad(lower(text), 3, ' ') else lower(text) end as low from (select distinct text from {source}) q0) q1) q),
+ {name}s as (select text, {byte.format(31)} as idx, sum(case when {byte.format(29)} % 2 = 1 then 1 else -1 end)::double as w from {name}g group by 1, 2 having sum(case when {byte.format(29)} % 2 = 1 then 1 else -1 end) <> 0),
  {name} as (select text, idx, w / sqrt(sum(w * w) over (partition by text)) as w from {name}s)"""
 
 
@@ -454,7 +461,7 @@ _FEWSHOT = _EMBEDDED + _DISPUTED + """, good as (select id, arg_min(commandline,
 
 def _fewshot(spark, sf_dir):
     shown = _feedback(spark, sf_dir)
-    return vectors.fewshot(events(spark, sf_dir).select("commandline"), shown, verdicts.disputed(shown), lambda rows: summaries.embed(rows, "commandline"))
+    return vectors.fewshot(events(spark, sf_dir).select("commandline"), shown, verdicts.disputed(shown), lambda rows: summaries.embedded(rows, "commandline"))
 
 
 @query("select commandline, cast(rank as int) as rank, id, label, round(similarity, 4) as similarity from fs", _FEEDBACK + _FEWSHOT)
@@ -504,8 +511,8 @@ def exclude_findings(spark, sf_dir):
     union all select 'critical', 1, cast(count(*) filter (severity = 'CRITICAL') as varchar) from de
     union all select 'host', 1, hostname from (select distinct hostname from de where hostname <> '') h
     union all select 'user', 1, user_name from (select distinct user_name from de where user_name <> '') u
-    union all select 'technique ' || mitre, 1, arg_max(rule_id, seq * 1000 + rule_ord) from de where regexp_full_match(mitre, 'T[0-9]{{4}}([.][0-9]{{3}})?') group by mitre
-    union all select 'key finding', row_number() over (order by {_RANK} desc, seq, rule_ord), rule_id || ' on ' || hostname || ' by ' || user_name from (select * from de order by {_RANK} desc, seq, rule_ord limit 8) k
+    union all select 'technique ' || mitre, 1, arg_max(rule_name, seq * 1000 + rule_ord) from de where regexp_full_match(mitre, 'T[0-9]{{4}}([.][0-9]{{3}})?') group by mitre
+    union all select 'key finding', row_number() over (order by {_RANK} desc, seq, rule_ord), rule_name || ' on ' || hostname || ' by ' || user_name from (select * from de order by {_RANK} desc, seq, rule_ord limit 8) k
     ) x""", _FINDINGS + _DEDUP)
 def agg_session_summary(spark, sf_dir):
     return verdicts.session_summary(dedup_findings(spark, sf_dir))
@@ -683,9 +690,33 @@ def techniques_union(spark, sf_dir):
     return joined.select("seq", F.array_join(F.array_sort(both), "|").alias("techniques"))
 
 
-@query("select seq, hostname from ev where lower(process_name) in ('powershell.exe', 'pwsh.exe') and regexp_matches(commandline, '(?i)(-enc\\b|-encodedcommand|frombase64)')")
+#: Questions in words: several keywords, an order with the same host, an order with the same user, no known word.
+_QUESTIONS = {
+    "dump": "Any LSASS access or credential dump?",
+    "then": "After an encoded command or a download, what ran on the same host?",
+    "next": "mimikatz, and what did that account do next?",
+    "any": "show me everything",
+}
+_ASKED = """, qa as (select 'dump' as question, * from ev where contains(lower(commandline), 'lsass')
+ union all select 'then', * from ev where regexp_matches(commandline, '(?i)-e(nc)?\\b') or regexp_matches(commandline, '(?i)(downloadstring|downloadfile|invoke-webrequest|iwr|net\\.webclient)')
+ union all select 'next', * from ev where contains(lower(commandline), 'mimikatz'))"""
+
+
+@query("""select 'dump' as question, seq, hostname from qa where question = 'dump' union all select 'any', seq, hostname from ev where process_name <> ''
+ union all select 'then', seq, hostname from ev where process_name <> '' and ts > (select min(ts) from qa where question = 'then') and hostname in (select hostname from qa where question = 'then' and hostname <> '')
+ union all select 'next', seq, hostname from ev where process_name <> '' and ts > (select min(ts) from qa where question = 'next') and user_name in (select user_name from qa where question = 'next' and user_name <> '')""", _ASKED)
 def hunt_keywords(spark, sf_dir):
-    return hunt.run_hunt(events(spark, sf_dir), hunt.saved("encoded powershell"), most=None).select("seq", "hostname")
+    rows = events(spark, sf_dir)
+    found = [hunt.run_hunt(rows, hunt.asked(text)).select(F.lit(name).alias("question"), "seq", "hostname") for name, text in _QUESTIONS.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query("select 'a' as step, count(*) filter (event_outcome = 'success') as events from ev union all select 'b', count(*) filter (contains(lower(commandline), 'minidump')) from ev")
+def hunt_step_counts(spark, sf_dir):
+    """Events that match each step of the hunt above, counted while the steps are found."""
+    relations = [{"type": "same", "step": "a", "field": "hostname"}]
+    counts = hunt.execute(events(spark, sf_dir), {"steps": [_A, _B], "relations": relations, "select": "b"})[1]
+    return spark.createDataFrame(list(counts.items()), "step string, events long")
 
 
 #: Raw records with source names, made from the events: dashes, second names, paths, padded and odd ids, missing commands.
@@ -733,9 +764,40 @@ def _verdicts(spark, sf_dir):
 _VALID = ", vd as (select seq, seq % 17 <> 0 as valid, case when seq % 17 = 0 then 1 else least(greatest(seq % 13, 1), 10) end as severity, seq % 17 <> 0 and seq % 2 = 0 as is_malicious, case when seq % 17 = 0 then [] else ['T1027'] end as techniques, case when seq % 17 = 0 then [] else ['said'] end as indicators from ev)"
 
 
-@query("select seq, valid, cast(severity as int) as severity, is_malicious, array_to_string(techniques, '|') as techniques from vd", _VALID)
+#: Verdicts of every odd kind: numbers as texts, fractions, words, null, lists; texts for lists; broken JSON.
+_SAID_ODD = """'{"severity": ' || case when seq % 19 = 0 then '"high"' when seq % 5 = 0 then '" ' || cast(seq % 13 as varchar(9)) || '"' when seq % 23 = 0 then cast(seq % 13 as varchar(9)) || '.7'
+ when seq % 29 = 0 then 'null' when seq % 31 = 0 then '[1]' when seq % 37 = 0 then 'true' else cast(seq % 13 - 2 as varchar(9)) end
+ || ', "is_malicious": ' || case seq % 4 when 0 then 'true' when 1 then 'false' when 2 then '"true"' else '1' end
+ || ', "mitre_techniques": ' || case when seq % 3 > 0 then '["T1027", "bad", 7, "T1059.001"]' else '"T1027"' end
+ || ', "indicators": ' || case when seq % 6 = 0 then '["a", null, 3, true, {"k":1}]' else '[]' end
+ || case when seq % 7 > 0 then ', "intent": "of ' || hostname || '", "decoded": 5' else ', "intent": null, "more": {}' end || case when seq % 17 = 0 then '' else '}' end"""
+_VALID_ODD = """, od as (select *, case when seq % 19 = 0 then null when seq % 5 = 0 then seq % 13 when seq % 23 = 0 then seq % 13 when seq % 29 = 0 then null when seq % 31 = 0 then null when seq % 37 = 0 then 1 else seq % 13 - 2 end as num from ev),
+ ov as (select *, seq % 17 <> 0 and num is not null as ok from od)"""
+
+
+@query("""select seq, ok as valid, cast(case when ok then least(greatest(num, 1), 10) else 1 end as int) as severity, ok and seq % 4 = 0 as is_malicious, case when ok and seq % 3 > 0 then 'T1027|T1059.001' else '' end as techniques,
+ case when ok and seq % 6 = 0 then 'a||3|True|{"k":1}' else '' end as indicators, case when not ok then 'The model returned an invalid response.' when seq % 7 > 0 then 'of ' || hostname else '' end as intent,
+ case when ok and seq % 7 > 0 then '5' end as said_decoded, case when ok then 'llm' else 'llm-invalid' end as source,
+ cast(case when seq % 17 = 0 then 1 else case when seq % 3 > 0 then 2 else 1 end + case when seq % 19 = 0 or (seq % 5 > 0 and seq % 23 > 0 and seq % 29 > 0 and seq % 31 = 0) then 1 else 0 end end as int) as errors from ov""", _VALID_ODD)
 def verdict_validate(spark, sf_dir):
-    return _verdicts(spark, sf_dir)[0].select("seq", "valid", "severity", "is_malicious", _joined("techniques", True))
+    found = verdicts.validate(events(spark, sf_dir).select("seq", F.expr(_SAID_ODD).alias("json")))
+    return found.select("seq", "valid", "severity", "is_malicious", _joined("techniques", True), _joined("indicators", True), "intent", "said_decoded", "source", F.size("errors").alias("errors"))
+
+
+#: Reports on sessions of every odd kind.
+_REPORT = """'{"x": 1' || case seq % 5 when 0 then ', "overall_severity": "HIGH"' when 1 then ', "overall_severity": "low"' when 2 then ', "overall_severity": "odd"' when 3 then ', "overall_severity": 3' else '' end
+ || case seq % 3 when 0 then ', "attack_stage": "Execution"' when 1 then ', "attack_stage": "execution"' else '' end || ', "affected_hosts": ["' || hostname || '", null, 5]'
+ || case when seq % 4 > 0 then ', "techniques_used": [{"id": "T1003", "name": "n"}, {"id": "bad"}, 5, {"name": "x"}, {"id": "T1059.001", "description": 7}]' else ', "techniques_used": {}' end
+ || case seq % 6 when 0 then ', "threat_actor_profile": null' when 1 then ', "threat_actor_profile": "P"' else '' end || case when seq % 17 = 0 then '' else '}' end"""
+
+
+@query("""select seq, ok as valid, case when ok and seq % 5 = 0 then 'high' when ok and seq % 5 = 1 then 'low' else 'clean' end as overall_severity, case when ok and seq % 3 = 0 then 'Execution' else 'Unknown' end as attack_stage,
+ case when ok then hostname || '||5' else '' end as affected_hosts, case when ok and seq % 4 > 0 then 'T1003:n:|T1059.001::7' else '' end as techniques_used,
+ case when ok and seq % 6 = 0 then '' when ok and seq % 6 = 1 then 'P' else 'Unknown' end as threat_actor_profile from (select *, seq % 17 <> 0 as ok from ev) x""")
+def verdict_session(spark, sf_dir):
+    found = verdicts.validate_session(events(spark, sf_dir).select("seq", F.expr(_REPORT).alias("json")))
+    used = F.array_join(F.transform("techniques_used", lambda t: F.concat_ws(":", t["id"], t["name"], t["description"])), "|").alias("techniques_used")
+    return found.select("seq", "valid", "overall_severity", "attack_stage", _joined("affected_hosts", True), used, "threat_actor_profile")
 
 
 _FLOOR = ", fl as (select vd.seq, cast(greatest(vd.severity, sev) as int) as severity, case when sev > vd.severity then sev >= 5 else is_malicious end as is_malicious, list_sort(list_distinct(list_concat(techniques, techs))) as techniques, len(list_distinct(list_concat(indicators, inds))) as n, sev, sev >= 5 as hm from vd join sem on sem.seq = vd.seq)"
@@ -777,14 +839,15 @@ def sink_feedback_jsonl(spark, sf_dir):
     return back.select("analyst", "commandline", "label", F.coalesce("corrected_severity", F.lit(-1)).alias("corrected_severity"))
 
 
-@query(f"select severity, cast(count(*) as bigint) as n from de group by severity", _FINDINGS + _DEDUP)
+@query("select cast(cast(ts as date) as varchar) as day, severity, count(*) as n from de group by 1, 2", _FINDINGS + _DEDUP)
 def sink_findings(spark, sf_dir):
-    """Findings written by severity, read back and counted: a severity is a folder."""
+    """Findings written by day and severity, all of them, then those of HIGH again, read back and counted."""
     from .operators.shared import Scratch
 
-    path = f"{Scratch(spark, 'sink').base}/findings"
-    verdicts.write_findings(dedup_findings(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("severity").agg(F.count("*").alias("n"))
+    path, found = f"{Scratch(spark, 'sink').base}/findings", dedup_findings(spark, sf_dir)
+    verdicts.write_findings(found, path)
+    verdicts.write_findings(found.where("severity = 'HIGH'"), path)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "severity").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:

@@ -98,8 +98,8 @@ def realign(cells: list[str], header: list[str]) -> list[str]:
 
 
 def read_csv_realigned(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV whose rows may have too many or too few cells (see realign); a row is one line.
-    The files share one header."""
+    """Header CSV whose rows may have too many or too few cells (see realign); a row is one
+    line, also where a quote is left open. The files share one header."""
     lines = spark.read.text(path).where("value <> ''")
     top = lines.first()
     header = next(csv.reader([top.value.removeprefix("\ufeff")])) if top else []
@@ -107,7 +107,7 @@ def read_csv_realigned(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
         for batch in batches:
-            rows = [list(zip(header, realign(cells, header))) for cells in csv.reader(batch.column(2).to_pylist())]
+            rows = [list(zip(header, realign(next(csv.reader([line]), []), header))) for line in batch.column(2).to_pylist()]
             raw = pa.array(rows, type=pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, batch.column(2)], names=["_src", "seq", "raw", "line"])
 
