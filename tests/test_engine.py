@@ -149,7 +149,6 @@ def test_streams_equal_batches(spark, tmp_path):
 
     found = rules.evaluate(rows)
     assert ran(jobs.stream_rules(stream), "r1").count() == found.count()
-    assert ran(jobs.stream_dedup(jobs.stream_rules(stream)), "r2").count() == rules.dedup(found).count()
     tries = ran(jobs.stream_bruteforce(stream), "r3", "update")
     assert "invalid_failures" in tries.columns
     assert ran(jobs.stream_incident_sessions(jobs.stream_rules(stream)), "r4", "complete").agg(F.sum("findings")).first()[0] == found.count()
@@ -171,3 +170,40 @@ def test_questions_become_hunts():
     assert ir["use_previous"] and ir["select"] == "b" and [p["value"] for p in ir["steps"][0]["predicates"]] == ["mimikatz"]
     assert ir["relations"] == [{"type": "after", "step": "a"}, {"type": "same", "step": "a", "field": "hostname"}]
     assert hunt.asked("")["steps"][0]["predicates"] == [{"field": "process_name", "op": "ne", "value": ""}] and not hunt.asked("")["relations"]
+
+
+def test_streams_in_any_order_equal_batches(spark, tmp_path):
+    """Shuffled findings in four micro-batches, the rows late within the watermark; then one far later."""
+    from threatlake.operators import rules
+
+    schema = "rule_ord int, rule_id string, seq long, ts timestamp, hostname string, user_name string, process_guid string, commandline string, source_ip string"
+    rng, begin, rows = random.Random(7), datetime(2024, 3, 1), []
+    for k in range(160):
+        at = begin + timedelta(minutes=3 * k if k % 40 < 20 else 3 * k + 300)
+        rows.append((k % 2, f"R{k % 2}", k, at, f"h{k % 3}", f"u{k % 2}", f"g{k % 5}" if k % 4 else None, "cmd", "ip"))
+    rng.shuffle(rows)
+    end = (0, "END", 999, begin + timedelta(days=30), "hx", "u", "g", "c", "i")
+    for n in range(4):
+        spark.createDataFrame(rows[n::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([end], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def ran(df, name):
+        done = df.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        done.processAllAvailable()
+        assert len([p for p in done.recentProgress if p.numInputRows]) >= 5
+        done.stop()
+        return spark.table(name)
+
+    batch = spark.createDataFrame(rows, schema)
+    columns = batch.columns
+    actor = F.coalesce("process_guid", "commandline")
+    want = batch.groupBy("rule_id", actor.alias("a"), "source_ip", "user_name", "hostname").agg(F.min_by(F.struct(*columns), F.struct("seq", "rule_ord")).alias("f")).select("f.*")
+    got = ran(jobs.stream_dedup(stream, "40 days", "40 days"), "any_order")
+    assert got.count() == 0  # the watermark has not passed
+    got = ran(jobs.stream_dedup(stream, "20 days", "1 hour"), "any_order_2").where("rule_id <> 'END'")
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+    sessions = ran(jobs.stream_incident_sessions(stream, "20 days"), "any_order_3").where("hostname <> 'hx'")
+    known = incidents.gap_sessions(batch).groupBy("hostname", "session").agg(F.count("*").alias("findings"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    columns = ["hostname", "session", "findings", "first_seen", "last_seen"]
+    assert known.count() > 3 and sorted(map(tuple, sessions.select(*columns).collect())) == sorted(map(tuple, known.select(*columns).collect()))

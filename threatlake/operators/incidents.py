@@ -48,6 +48,7 @@ def components(findings: DataFrame, seconds: int = 3600) -> DataFrame:
     in pairs.
     """
     scratch = Scratch(findings.sparkSession, "incidents")
+    findings = scratch.keep(findings, "findings")  # read several times below
     timed = gap_sessions(findings, seconds).select("seq", "rule_ord", "session")
     rows = findings.join(timed, ["seq", "rule_ord"], "left")
     host = F.coalesce("hostname", F.lit(""))
@@ -61,8 +62,8 @@ def components(findings: DataFrame, seconds: int = 3600) -> DataFrame:
     roots = connected(edges, scratch, "round")
     placed = edges.select("seq", F.col("a").alias("node")).distinct().join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("seq").alias("incident"))
-    found = scratch.keep(placed.join(least, "root").select("seq", "incident"), "found")
-    return findings.join(found, "seq", "left").withColumn("incident", F.coalesce("incident", "seq"))
+    found = placed.join(least, "root").select("seq", "incident")
+    return scratch.keep(findings.join(found, "seq", "left").withColumn("incident", F.coalesce("incident", "seq")), "labelled")
 
 
 def _key(*more: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import decode, predicates
 from .functions.normalize import DNS_NAMESPACE, access_is_dangerous, basename, canonical, outcome, parent_guid, process_guid, timestamp
 from .operators import graph, heuristics, hunt, incidents, rules, session, severity, summaries, vectors, verdicts
+from .sources import readers
 from .sources.tables import EVENTS_SQL, FEEDBACK_SQL, TRUSTED, events, feedback
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,19 @@ def src_tables(spark, sf_dir):
     return events(spark, sf_dir)
 
 
+@query("select conv_id, nullif(turn, 0) as turn, nullif(role, '') as role, nullif(text, '') as text from conversations")
+def src_json(spark, sf_dir):
+    """Conversations written as JSON arrays, one a file, and read back by byte ranges; a zero or an
+    empty text counts as missing."""
+    from .operators.shared import Scratch
+
+    path = f"{Scratch(spark, 'arrays').base}/json"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    readers.write_arrays(rows, path)
+    raw = readers.read_json(spark, path)
+    return raw.select(*(F.element_at("raw", c).cast(t).alias(c) for c, t in rows.dtypes))
+
+
 @query("select seq, granted_access in ('0x1410', '0x40') as dangerous from ev")
 def mask_dangerous(spark, sf_dir):
     return events(spark, sf_dir).select("seq", access_is_dangerous(F.col("granted_access")).alias("dangerous"))

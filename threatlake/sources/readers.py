@@ -8,8 +8,10 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +22,36 @@ def _rows(lines: DataFrame, raw) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("_src"), F.monotonically_increasing_id().alias("seq"), raw.alias("raw"), F.col("value").alias("line"))
 
 
+def _truthy(value):
+    """Whether a variant counts as a value: not null, false, zero, an empty text, list or object."""
+    kind, text = F.coalesce(F.schema_of_variant(value), F.lit("VOID")), F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    return (
+        F.when(kind == "VOID", False).when(kind == "BOOLEAN", text == "true").when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number != 0)
+        .when(kind == "STRING", text != "").otherwise(~text.isin("[]", "{}"))
+    )
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _large(lines: pd.Series) -> pd.Series:
+    """Records that are too large for a variant, or name a field twice, by the plain parser."""
+    return lines.map(lambda x: _texts(json.loads(x)) if x is not None else None)
+
+
+def typed(line):
+    """A JSON object's values as text; what is empty, zero or false by its JSON type is left out,
+    so 0 is missing and "0" is not. Null for what is no object."""
+    texts, kinds = F.from_json(line, MAP), F.try_parse_json(line)
+    by_kind = F.try_variant_get(kinds, "$", "map<string,variant>")
+    kept = F.map_filter(texts, lambda k, v: v.isNotNull() & F.coalesce(_truthy(F.element_at(by_kind, k)), F.lit(False)))
+    rest = F.when(kinds.isNull() & texts.isNotNull(), line)
+    return F.coalesce(F.when(by_kind.isNotNull(), kept), _large(rest))
+
+
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line; splittable. Lines that do not parse are left out (see corrupt)."""
-    return _rows(spark.read.text(path), F.from_json("value", MAP)).where("raw is not null")
+    """One object per line; splittable. Values as in `typed`. Lines that do not parse are left out
+    (see corrupt)."""
+    return _rows(spark.read.text(path), typed(F.col("value"))).where("raw is not null")
 
 
 def corrupt(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +61,7 @@ def corrupt(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are JSON objects, and all others as {"raw": line}."""
-    parsed = F.coalesce(F.from_json("value", MAP), F.create_map(F.lit("raw"), F.col("value")))
+    parsed = F.coalesce(typed(F.col("value")), F.create_map(F.lit("raw"), F.col("value")))
     return _rows(spark.read.text(path).where("trim(value) <> ''"), parsed)
 
 
@@ -53,26 +82,245 @@ def records(text: str) -> Iterator[dict]:
     yield from (r for r in found if isinstance(r, dict)) if isinstance(found, list) else ()
 
 
-def _by_file(spark: SparkSession, path: str, split) -> DataFrame:
-    """(_src, seq, raw, line) from whole files; split gives the records of a text. One task per
-    file, so large files belong into one object per line (read_ndjson), which Spark splits."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_src"), "value")
-    schema = pa.schema([("_src", pa.string()), ("seq", pa.int64()), ("raw", pa.map_(pa.string(), pa.string())), ("line", pa.string())])
+_SCHEMA = pa.schema([("_src", pa.string()), ("seq", pa.int64()), ("raw", pa.map_(pa.string(), pa.string())), ("line", pa.string())])
+_DDL = f"_src string, seq long, raw {MAP}, line string"
+
+
+def _batch(rows: list[tuple[str, int, dict]]) -> pa.RecordBatch:
+    columns = [r[0] for r in rows], [r[1] for r in rows], [list(_texts(r[2]).items()) for r in rows], [json.dumps(r[2], ensure_ascii=False) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+
+
+def _by_file(spark: SparkSession, paths: str | list[str], split) -> DataFrame:
+    """(_src, seq, raw, line) from whole files; split gives the records of a text. One task per file."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_src"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = enumerate(split(text))
                 while some := list(islice(found, 1_000)):
-                    columns = [src] * len(some), [i for i, _ in some], [list(_texts(r).items()) for _, r in some], [json.dumps(r, ensure_ascii=False) for _, r in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                    yield _batch([(src, i, r) for i, r in some])
+
+    return whole.mapInArrow(run, _DDL)
+
+
+#: An object can only end here, so files are read as texts between these.
+_END = "}"
+_ESCAPED = re.compile(r"\\.", re.S)
+_TOKEN = re.compile(r'\\.|["{}\[\]]', re.S)
+_NO_BRACKET = re.compile(r"[^{}\[\]]+")
+_WRAPPER = r'\ufeff?\s*\{\s*"(?:Events|events|records)"\s*:\s*\['
+_ARRAY = r"\ufeff?\s*\["
+#: Characters of a file that tell its form.
+_HEAD = 4_096
+_STEP = {"{": 1, "[": 1, "}": -1, "]": -1}
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(_src, block, at, value): texts between closing braces by file, byte range and order.
+    Spark splits files into byte ranges, wherever their lines end."""
+    lines = spark.read.option("lineSep", _END).text(path)
+    place = {"_src": "file_path", "block": "file_block_start", "size": "file_size"}
+    return lines.select(*(F.col(f"_metadata.{c}").alias(n) for n, c in place.items()), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _parts(text: str) -> list[str]:
+    """A text at its quotes: every second part lies inside a string if the first does not."""
+    return (_ESCAPED.sub("", text) if "\\" in text else text).split('"')
 
-    return whole.mapInArrow(run, f"_src string, seq long, raw {MAP}, line string")
+
+def _depth(text: str) -> int:
+    return text.count("{") + text.count("[") - text.count("}") - text.count("]")
+
+
+def _effects(pieces: DataFrame) -> DataFrame:
+    """Per byte range what it does to a reader: whether its quotes are odd in number, and, for
+    a reader that is outside or inside a string at its start, the change of depth and the
+    lowest depth on the way; and its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, odd, total, deep, least = None, False, 0, [0, 0], [0, 0]
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, odd, total, *deep, *least)], names=names)
+
+        names = ["_src", "block", "size", "odd", "bytes", "out_sum", "in_sum", "out_min", "in_min"]
+        for batch in batches:
+            for src, block, size, text in zip(*(batch.column(c).to_pylist() for c in ("_src", "block", "size", "value"))):
+                if now != (src, block, size):
+                    if now:
+                        yield row()
+                    now, odd, total, deep, least = (src, block, size), False, 0, [0, 0], [0, 0]
+                total += len(text.encode()) + 1
+                parts = _parts(text + _END)
+                for inside in (0, 1):
+                    for c in _NO_BRACKET.sub("", "".join(parts[inside ^ odd :: 2])):
+                        deep[inside] += _STEP[c]
+                        least[inside] = min(least[inside], deep[inside])
+                odd ^= len(parts) % 2 == 0
+        if now:
+            yield row()
+
+    return pieces.mapInArrow(run, "_src string, block long, size long, odd boolean, bytes long, out_sum long, in_sum long, out_min long, in_min long")
+
+
+def _starts(effects: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Per byte range the state of a reader at its start, a prefix scan of the effects: quotes
+    add up to a parity, by which the change of each range is known, and these add up in turn.
+
+    base: depth of the file's records, 1 in an array, 2 in a wrapper, 0 one after another.
+    over: whether the array of records has ended before. cut: whether the file ends without
+    a brace. broken: the file ends inside a string or an object.
+    """
+    first = pieces.where("block = 0").groupBy("_src").agg(F.min_by(F.substring("value", 1, _HEAD), "at").alias("head"))
+    base = first.select("_src", F.when(F.col("head").rlike(f"^{_ARRAY}"), 1).when(F.col("head").rlike(f"^{_WRAPPER}"), 2).otherwise(0).alias("base"))
+    whole = W.partitionBy("_src")
+    before = whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    out = effects.join(base, "_src").withColumn("inside", F.coalesce(F.sum(F.col("odd").cast("long")).over(before), F.lit(0)) % 2 == 1)
+    out = out.withColumns({"change": F.when(F.col("inside"), F.col("in_sum")).otherwise(F.col("out_sum")), "lowest": F.when(F.col("inside"), F.col("in_min")).otherwise(F.col("out_min"))})
+    out = out.withColumns({"depth": F.coalesce(F.sum("change").over(before), F.lit(0)), "cut": F.sum("bytes").over(whole) > F.col("size")})
+    # the first range opens the records; its own lowest depth is that of its start
+    low = F.when(F.col("block") > 0, F.col("depth") + F.col("lowest")).otherwise(F.col("depth") + F.col("change"))
+    ends = F.sum("change").over(whole) + F.col("cut").cast("int")
+    broken = (F.sum(F.col("odd").cast("long")).over(whole) % 2 == 1) | (ends != 0)
+    last = F.col("block") == F.max("block").over(whole)
+    out = out.withColumn("low", low).withColumns({"over": F.coalesce(F.min("low").over(before) < F.col("base"), F.lit(False)), "broken": broken, "cut": F.col("cut") & last})
+    return out.select("_src", "block", "inside", F.col("depth").cast("long").alias("depth"), "base", "over", "cut", "broken")
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Objects, and parts of them, from the pieces of byte ranges in order: _src, block, n, whole,
+    text. What goes on with an object of an earlier range has n = -1, other objects their
+    number in the range; what a range leaves open is not whole."""
+    key, state, held, out, pending = None, None, [], [], None
+
+    def close(whole: bool) -> None:
+        out.append((*key, state["n"], whole, "".join(held)))
+        held.clear()
+        state["n"] += 1
+
+    def take(text: str) -> None:
+        if state["over"]:
+            return
+        if not state["open"]:
+            for m in _TOKEN.finditer(text):
+                c = m[0]
+                if c == '"':
+                    state["inside"] = not state["inside"]
+                elif c in _STEP and not state["inside"]:
+                    if c == "{" and state["depth"] == state["base"]:
+                        text, state["open"] = text[m.start() :], True
+                        break
+                    state["depth"] += _STEP[c]
+                    if state["depth"] == state["base"]:
+                        state["seen"] = True
+                    if state["seen"] and state["depth"] < state["base"]:
+                        state["over"] = True
+                        return
+            else:
+                return
+        held.append(text)
+        parts = _parts(text)
+        state["depth"] += _depth("".join(parts[state["inside"] :: 2]))
+        state["inside"] ^= len(parts) % 2 == 0
+        if not state["inside"] and state["depth"] <= state["base"]:
+            state["open"] = False
+            close(True)
+
+    def finish() -> None:
+        if pending is not None:
+            take(pending if state["cut"] else pending + _END)
+        if held:
+            close(False)
+
+    def drained() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        done = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["_src", "block", "n", "whole", "text"])
+        out.clear()
+        return done
+
+    for batch in batches:
+        for src, block, inside, depth, base, over, cut, text in zip(*(batch.column(c).to_pylist() for c in ("_src", "block", "inside", "depth", "base", "over", "cut", "value"))):
+            if key != (src, block):
+                if key is not None:
+                    finish()
+                goes_on = (inside or depth > base) and block > 0
+                key, pending = (src, block), None
+                state = {"inside": inside, "depth": depth, "base": base, "over": over, "cut": cut, "open": goes_on, "n": -1 if goes_on else 0, "seen": block > 0 or base == 0}
+            if pending is not None:
+                take(pending + _END)
+            pending = text
+            if len(out) >= 1_000:
+                yield drained()
+    if key is not None:
+        finish()
+    if out:
+        yield drained()
+
+
+def _split_json(spark: SparkSession, path: str, wrapped: bool) -> DataFrame:
+    """(_src, seq, raw, line) of JSON files whose byte ranges are read by tasks of their own."""
+    from ..operators.shared import Scratch
+
+    scratch = Scratch(spark, "json")
+    pieces = _pieces(spark, path)
+    starts = scratch.keep(_starts(_effects(pieces), pieces), "starts")
+    fine = starts.where("not broken").drop("broken")
+    ordered = pieces.select("_src", "block", "at", "value").join(fine, ["_src", "block"]).sortWithinPartitions("_src", "block", "at")
+    found = scratch.keep(ordered.mapInArrow(_assemble, "_src string, block long, n long, whole boolean, text string"), "found")
+    parts = found.where("not whole or n < 0")
+    group = F.sum((F.col("n") >= 0).cast("int")).over(W.partitionBy("_src").orderBy("block", "n"))
+    joined = parts.withColumn("group", group).groupBy("_src", "group").agg(F.array_sort(F.collect_list(F.struct("block", "n", "text"))).alias("p"))
+    joined = joined.select("_src", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["n"].alias("n"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    objects_ = found.where("whole and n >= 0").select("_src", "block", "n", "text").unionByName(joined)
+    alone = found.where("whole or n >= 0").groupBy("_src").agg((F.count_if(F.expr("n >= 0")) == 1).alias("alone")).join(starts.select("_src", "base").distinct(), "_src")
+    rows = objects_.join(alone.select("_src", (F.col("alone") & (F.col("base") == 0) & F.lit(wrapped)).alias("alone")), "_src", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for src, block, n, text, single in zip(*(batch.column(c).to_pylist() for c in ("_src", "block", "n", "text", "alone"))):
+                for i, r in enumerate(records(text) if single else map(json.loads, objects(text))):
+                    some.append((src, block + max(n, 0) + i, r))
+                    if len(some) == 1_000:
+                        yield _batch(some)
+                        some = []
+            if some:
+                yield _batch(some)
+
+    whole = rows.select("_src", "block", "n", "text", "alone").mapInArrow(run, _DDL)
+    wrong = [r[0] for r in starts.where("broken").select("_src").distinct().collect()]
+    if not wrong:
+        return whole
+    return whole.unionByName(_by_file(spark, wrong, records if wrapped else lambda text: (json.loads(x) for x in objects(text))))
+
+
+def write_arrays(rows: DataFrame, path: str) -> None:
+    """Rows as JSON, an array in each file; a partition is a file."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + lines[0], *("," + x for x in lines[1:])])], names=["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(bracketed, "value string").write.text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array, one object, a wrapper, or objects one after another, whichever a file holds."""
-    return _by_file(spark, path, records)
+    """An array, one object, a wrapper, or objects one after another, whichever a file holds.
+
+    Spark splits files into byte ranges; one pass finds what each range does to a reader
+    (quotes, depth), a prefix scan gives the state at each start, a second pass cuts the
+    objects, and those that lie across ranges are put together. seq grows along the file: the
+    first byte of the range an object begins in, and its number there. Only files that end
+    inside a string or an object are read whole, by one task each; their names pass the driver.
+    """
+    return _split_json(spark, path, True)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +397,9 @@ def objects(text: str) -> Iterator[str]:
 
 
 def read_concat_json(spark: SparkSession, path: str) -> DataFrame:
-    """Objects one after another, also over several lines; what does not parse is skipped."""
-    return _by_file(spark, path, lambda text: (json.loads(x) for x in objects(text)))
+    """Objects one after another, also over several lines; what does not parse is skipped. Files
+    are split as in read_json."""
+    return _split_json(spark, path, False)
 
 
 _DATA = "struct<Data: array<struct<_Name: string, _VALUE: string>>>"
