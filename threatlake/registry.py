@@ -86,7 +86,7 @@ def src_tables(spark, sf_dir):
     return events(spark, sf_dir)
 
 
-@query("select conv_id, nullif(turn, 0) as turn, nullif(role, '') as role, nullif(text, '') as text from conversations")
+@query("select nullif(conv_id, 0) as conv_id, nullif(turn, 0) as turn, nullif(role, '') as role, nullif(text, '') as text from conversations")
 def src_json(spark, sf_dir):
     """Conversations written as JSON arrays, one a file, and read back by byte ranges; a zero or an
     empty text counts as missing."""
