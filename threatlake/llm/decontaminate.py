@@ -8,6 +8,7 @@ by banded alignment. Short items have shorter grams, so that the bound is at lea
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,6 +120,7 @@ class Index:
     budget: np.ndarray
     need: np.ndarray
     share: float
+    longest: int
 
     @classmethod
     def of(cls, rows: list[tuple[object, str]], share: float) -> Index:
@@ -128,81 +130,128 @@ class Index:
         budget = np.floor(length * share).astype(np.int64)
         q = np.minimum(Q, length // (budget + 1))  # so that need is 1 at least
         grams = [Grams.of(int(k), np.flatnonzero(q == k).tolist(), texts) for k in np.unique(q)]
-        return cls([i for i, _ in rows], texts, grams, budget, length + 1 - q - q * budget, share)
+        return cls([i for i, _ in rows], texts, grams, budget, length + 1 - q - q * budget, share, max(map(len, texts), default=0))
 
-    def regions(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, from, to) of document regions whose band holds enough shared q-grams."""
+    def regions(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last diagonal) of bands that hold enough shared q-grams."""
         code = points(text)
-        return [region for grams in self.grams for region in self._regions(grams.hits(code), len(text))]
+        for grams in self.grams:
+            yield from self._regions(grams.hits(code), len(text))
 
-    def _regions(self, hits: Iterator[tuple[np.ndarray, np.ndarray]], length: int) -> list[tuple[int, int, int]]:
-        span = np.int64(length + 4_000_000)
-        exact, banded = _Counts(), _Counts()
+    def _regions(self, hits: Iterator[tuple[np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[int, int, int]]:
+        zero = np.int64(self.longest + 2)  # diagonals, and numbers of bands, are no less than minus this
+        span = np.int64(length + 2 * self.longest + 8)
+        exact, banded_ = _Counts(), _Counts()
         for item, diagonal in hits:
             plain = self.budget[item] == 0
-            exact.add(item[plain] * span + diagonal[plain] + 2_000_000)
+            exact.add(item[plain] * span + diagonal[plain] + zero)
             item, diagonal = item[~plain], diagonal[~plain]
             band = np.floor_divide(diagonal, self.budget[item] + 1)
             # bands are two widths wide and overlap by one: a diagonal lies in two of them, and any
             # `budget` + 1 adjacent diagonals lie together in one
-            banded.add(np.concatenate([item * span + band + 2_000_000, item * span + band + 1_999_999]))
+            banded_.add(np.concatenate([item * span + band + zero, item * span + band + zero - 1]))
         # without edits a diagonal is the only place of a match
-        i, d = exact.code // span, exact.code % span - 2_000_000
+        i, d = exact.code // span, exact.code % span - zero
         enough = (exact.n >= self.need[i]) & (d >= 0)
-        out = [(i, d, d + len(self.texts[i])) for i, d in zip(i[enough].tolist(), d[enough].tolist())]
-        item, band, count = banded.code // span, banded.code % span - 2_000_000, banded.n
+        yield from ((i, d, d) for i, d in zip(i[enough].tolist(), d[enough].tolist()))
+        item, band, count = banded_.code // span, banded_.code % span - zero, banded_.n
         enough = count >= self.need[item]
+        # a place lies in two neighbouring bands, which are aligned as one; two matches
+        # apart are a length apart, so never in the same
+        last = None
         for i, b in zip(item[enough].tolist(), band[enough].tolist()):
-            width, size = int(self.budget[i]) + 1, len(self.texts[i])
-            out.append((i, max(0, b * width - width), min(length, (b + 2) * width + size + width)))
-        return out
+            if last and last[0] == i and b - last[2] <= 1 and b - last[1] < 2:
+                last = (i, last[1], b)
+                continue
+            if last:
+                yield self._band(*last)
+            last = (i, b, b)
+        if last:
+            yield self._band(*last)
+
+    def _band(self, i: int, first: int, last: int) -> tuple[int, int, int]:
+        width = int(self.budget[i]) + 1
+        return i, (first - 1) * width, (last + 3) * width
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Verified matches (item, start, end, edits); the best of an item's overlapping regions."""
+        """Verified matches (item, start, end, edits). Of an item's matches that overlap the one
+        with the fewest edits is kept, of equal ones the first; matches apart are all kept."""
         text = normal(text)
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for i, a, z in self.regions(text):
+        code, found = points(text), set()
+        for i, low, high in self.regions(text):
             item = self.texts[i]
-            exact = text.find(item, a, z)
-            match = (i, exact, exact + len(item), 0) if exact >= 0 else self._align(i, text, a, z)
-            if match:
-                where = (i, match[1] // max(1, len(item)))
-                near = [k for k in ((i, where[1] - 1), where, (i, where[1] + 1)) if k in best and best[k][1] < match[2] and match[1] < best[k][2]]
-                if not near:
-                    best[where] = match
-                elif match[3] < best[near[0]][3]:
-                    best.pop(near[0])
-                    best[where] = match
-        return sorted(best.values(), key=lambda m: (m[1], m[0]))
-
-    def _align(self, i: int, text: str, a: int, z: int) -> tuple[int, int, int, int] | None:
-        edits, start, end = banded(points(self.texts[i]), points(text[a:z]), int(self.budget[i]))
-        return (i, a + start, a + end, edits) if edits <= self.budget[i] else None
-
-
-def banded(pattern: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int]:
-    """Least edits of the whole pattern against any part of the region, with that part's ends.
-
-    The region is as wide as its band of diagonals, so every column of a row lies in the band.
-    Rows are numpy steps; insertions along a row are a running minimum.
+            exact = text.find(item, max(0, low), max(0, high) + len(item))
+            if exact >= 0:
+                found.add((i, 0, exact, exact + len(item)))
+            elif match := banded(points(item), code, low, high, int(self.budget[i])):
+                found.add((i, *match))
+        out, taken = [], {}
+        for i, edits, start, end in sorted(found):
+            mine = taken.setdefault(i, [])
+            at = bisect.bisect(mine, (start, end))
+            if not (at and mine[at - 1][1] > start or at < len(mine) and mine[at][0] < end):
+                mine.insert(at, (start, end))
+                out.append((i, start, end, edits))
+        return sorted(out, key=lambda m: (m[1], m[0]))
+
+
+#: Edits tried first; more are allowed step by step, so that a near copy costs little.
+FIRST_EDITS, MORE_EDITS = 64, 8
+#: Rows after which dead diagonals are dropped.
+TRIM = 16
+_BIG = np.int64(1 << 36)  # a cost and a start are one number: costs below 2^26, texts below 2^36
+
+
+def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the whole pattern's best match in a text on the diagonals from low
+    to high, None beyond `budget` edits. Of equal ones the latest start, then the first end.
+
+    Row by row only diagonals of the band are kept, shifted by one place a row, and those at
+    the band's rims that have used up the edits tried are dropped.
     """
-    n = len(region)
-    at = np.arange(n + 1, dtype=np.int64)
-    big = np.int64(1 << 20)
-    cost = at.copy() * 0  # a match may begin anywhere
-    packed = cost * big + (big - 1 - at)  # ties: the later start, so the shorter match
-    for row, c in enumerate(pattern, 1):
-        step = packed[:-1] + np.where(region == c, 0, big)
-        down = packed + big
-        new = np.empty_like(packed)
-        new[0] = down[0]
-        new[1:] = np.minimum(step, down[1:])
-        packed = np.minimum.accumulate(new - at * big) + at * big
-        if row % 32 == 0 and packed.min() // big > budget:
-            break
-    end = int(packed.argmin())
-    least = int(packed[end])
-    return least // int(big), int(big) - 1 - least % int(big), end
+    tried = min(budget, FIRST_EDITS)
+    while True:
+        if (match := _within(pattern, text, low, high, tried)) or tried >= budget:
+            return match
+        tried = min(budget, tried * MORE_EDITS)
+
+
+def _within(pattern: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
+    """banded() for a number of edits. A cell is cost * _BIG + (_BIG - 1 - start), so that the
+    least is the cheapest and then the latest."""
+    n, m = len(text), len(pattern)
+    first, high = max(low, -edits), min(high, n)
+    if first > high:
+        return None
+    dead = np.int64(edits + 1) * _BIG
+    diagonal = np.arange(first, high + 1, dtype=np.int64)
+    cell = np.where(diagonal >= 0, _BIG - 1 - diagonal, dead)  # a match may begin anywhere in the text
+    step = np.arange(len(cell), dtype=np.int64) * _BIG
+    for row in range(1, m + 1):
+        # characters of the text on this row's diagonals; beyond its ends nothing matches
+        a, z = row - 1 + first, row - 1 + first + len(cell)
+        seen = text[max(a, 0) : max(0, min(z, n))]
+        cost = np.full(len(cell), _BIG, np.int64)
+        cost[max(0, -a) : max(0, -a) + len(seen)][seen == pattern[row - 1]] = 0
+        new = cell + cost
+        new[:-1] = np.minimum(new[:-1], cell[1:] + _BIG)
+        if z > n:
+            new[max(0, n + 1 - row - first) :] = dead  # these end behind the text
+        if a < -1:
+            new[: -1 - a] = dead  # and these before it
+        cell = np.minimum.accumulate(new - step[: len(new)]) + step[: len(new)]
+        if row % TRIM == 0:
+            alive = np.flatnonzero(cell < dead)
+            if not len(alive):
+                return None
+            # the next rows reach so many places to the left of what lives, and none to its right
+            begin = max(0, int(alive[0]) - TRIM)
+            cell, first = np.minimum(cell[begin : alive[-1] + 1], dead), first + begin
+    at = int(cell.argmin())
+    least = int(cell[at])
+    if least >= int(dead):
+        return None
+    return least // int(_BIG), int(_BIG) - 1 - least % int(_BIG), m + first + at
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:

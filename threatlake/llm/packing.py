@@ -124,30 +124,35 @@ class Bins:
         while self.short and at < total:
             filling = self.short[-1]
             take = min(filling[0], total - at)
-            filling[1].append((doc, raw, at, take))
+            filling[1].append(self._piece(doc, raw, at, take))
             filling[0] -= take
             at += take
             if not filling[0]:
                 yield from self._rows(self.short.pop()[1])
         while total - at >= self.capacity:
-            yield from self._rows([(doc, raw, at, self.capacity)])
+            yield from self._rows([self._piece(doc, raw, at, self.capacity)])
             at += self.capacity
         if at < total:
             k = self.capacity // (total - at)
             pieces = self.open.setdefault(k, [])
-            pieces.append((doc, raw, at, total - at))
+            pieces.append(self._piece(doc, raw, at, total - at))  # the tail's ids only, not the document's
             if len(pieces) == k:
-                room = self.capacity - sum(p[3] for p in self.open.pop(k))
+                room = self.capacity - sum(len(p[2]) // 4 for p in self.open.pop(k))
                 if room:
                     self.short.append([room, pieces])
                 else:
                     yield from self._rows(pieces)
 
+    @staticmethod
+    def _piece(doc: object, raw: bytes, start: int, length: int) -> tuple:
+        """(id, start, ids of the piece as bytes, tokens of the document)."""
+        return doc, start, raw[4 * start : 4 * (start + length)], len(raw) // 4
+
     def _rows(self, pieces: list[tuple]) -> Iterator[list]:
         offset = 0
-        for doc, raw, start, length in pieces:
-            yield [doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4, self.next, offset]
-            offset += length
+        for doc, start, ids, total in pieces:
+            yield [doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next, offset]
+            offset += len(ids) // 4
         self.next += 1
 
     def rest(self) -> Iterator[list]:
@@ -155,11 +160,11 @@ class Bins:
         pieces = [p for k in sorted(self.open) for p in self.open[k]]
         room, now = self.short.pop() if self.short else (self.capacity, [])
         self.open = {}
-        for doc, raw, start, length in pieces:
-            while length:
-                take = min(room, length)
-                now.append((doc, raw, start, take))
-                start, length, room = start + take, length - take, room - take
+        for doc, start, ids, total in pieces:
+            while ids:
+                take = min(room, len(ids) // 4)
+                now.append((doc, start, ids[: 4 * take], total))
+                start, ids, room = start + take, ids[4 * take :], room - take
                 if not room:
                     yield from self._rows(now)
                     room, now = self.capacity, []
@@ -176,7 +181,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     less than one sequence a partition. sequence_id is unique over all partitions (the
     partition's number, then a count). Repeated rows are packed as often as they occur; null
     ids are kept; other columns, whatever their names, are ignored; an empty table gives no
-    rows. A partition keeps at most one open bin per class, k pieces of at most capacity / k ids.
+    rows. A partition keeps one open bin per class, fewer than k pieces of at most capacity / k ids,
+    and the full bins of k pieces that wait for a cut, which the next document fills first.
     """
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType),

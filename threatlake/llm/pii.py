@@ -121,8 +121,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             start = at
             while start > done["url"] and text[start - 1] in _SCHEME:
                 start -= 1
-            m = _URL_AT.match(text, end)
-            if start < at and text[start].isalpha() and m:
+            # a run is matched only behind a scheme, and then left behind: linear in the text
+            if start < at and text[start].isalpha() and (m := _URL_AT.match(text, end)):
                 stop = end + len(m[0].rstrip(".,;:!?)"))
                 done["url"] = m.end()
                 if stop > end:
