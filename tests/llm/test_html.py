@@ -114,3 +114,35 @@ def test_cut_off_tags_and_open_quotes():
 def test_a_mark_on_the_page_itself_does_not_remove_it():
     page = f"<body><div class='layout has-sidebar'><p>{WORDS * 3}</p><p>{WORDS}</p><div class=sidebar>side</div></div></body>"
     assert html.main_text(page) == f"{(WORDS * 3).strip()}\n{WORDS.strip()}"
+
+
+def test_text_in_forms_maths_and_named_blocks_stays():
+    """Expected texts are written out, not computed by the module."""
+    one, two = (WORDS * 4).strip(), ("Other words that tell of something else, at some length as well. " * 4).strip()
+    menu = "<nav><a href=1>Home</a> <a href=2>News</a></nav>"
+    assert html.main_text(f"<body>{menu}<form><article><h1>T</h1><p>{one}</p><p>{two}</p></article></form></body>") == f"T\n{one}\n{two}"
+    assert html.main_text(f"<body>{menu}<form action=x><input type=hidden name=v><div><p>{one}</p><p>{two}</p></div></form></body>") == f"{one}\n{two}"
+    assert html.main_text(f"<body>{menu}<div><p>{one}</p><p>{two}</p></div><form><p>Sign up for news</p><input><button>Go</button></form></body>") == f"{one}\n{two}"
+    for name in ("related-work", "notice-period", "no-sidebar", "alert-levels", "commentary", "adventure", "shared-memory", "menus-of-1900"):
+        assert html.main_text(f"<body>{menu}<article><p>{one}</p><p class='{name}'>{two}</p></article></body>") == f"{one}\n{two}", name
+    sections = "".join(f"<section class='{c}'><p>{t}</p></section>" for c, t in (("post", one), ("post no-sidebar", two), ("post no-sidebar", one[::-1])))
+    assert html.main_text(f"<body>{menu}<article>{sections}</article></body>") == f"{one}\n{two}\n{one[::-1]}"
+    for name in ("sidebar", "site-footer", "cookieNotice", "cookie-notice", "ad", "ad-slot", "comment-list", "newsletter_signup", "share-buttons", "related-posts"):
+        assert html.main_text(f"<body>{menu}<article><p>{one}</p><p>{two}</p></article><div class='{name}'><p>Words in a box at the side</p></div></body>") == f"{one}\n{two}", name
+    maths = "<p>So <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><annotation>x=1/y</annotation></math> holds.</p>"
+    assert html.main_text(f"<body><article><p>{one}</p>{maths}</article></body>") == f"{one}\nSo x=1y holds."
+
+
+def test_pages_with_forms_around_them_lose_nothing():
+    """Given pages with a form around their body, and a class word in their paragraphs."""
+    for page in PAGES[::25]:
+        text = html.main_text(page)
+        assert html.main_text(page.replace("<article>", "<form><article>").replace("</article>", "</article></form>")) == text
+        assert html.main_text(page.replace("<p>", "<p class='related-work'>")) == text
+
+
+def test_empty_and_clashing_tables(spark):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", "")]
+    odd = spark.createDataFrame([(*r, 1, "t", "x") for r in rows], "page_id long, url string, html string, _id int, text string, _text string")
+    assert sorted(map(tuple, html.extract(odd).collect()), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0)], key=repr)
+    assert html.extract(odd.limit(0)).count() == 0

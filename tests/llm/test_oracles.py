@@ -31,3 +31,16 @@ def test_rule_statistics(spark):
       select d.doc_id, len(w), length(array_to_string(w, '')), len(regexp_extract_all(t, '[#*$%&|<>]')), coalesce(dup.n, 0), coalesce(rep.n, 0) from d left join rep using (doc_id) left join dup using (doc_id)"""
     got = queries.op3_quality_rules(spark, SF).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
     assert sorted(map(tuple, got)) == sorted(asked(sql))
+
+
+def test_chat_tables_with_odd_rows(spark):
+    """Null keys, roles and texts, repeated rows, and columns with names used inside."""
+    from threatlake.llm import chat
+
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, None, None), (1, 0, "assistant", "x"), (1, 0, "assistant", "x"), (2, None, "user", "</s>")]
+    names = ["row", "turns", "formatted", "loss_mask", "pieces", "_r", "_t", "layout"]
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    done = chat.format_conversations(frame)
+    got = {r.conv_id: [tuple(t) for t in r.t] for r in done.select("conv_id", chat.read_back(done["formatted"]).alias("t")).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b")], 1: [("", ""), ("assistant", "x"), ("assistant", "x")], 2: [("user", "</s>")]}
+    assert chat.format_conversations(frame.limit(0)).count() == 0

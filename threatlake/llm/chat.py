@@ -22,8 +22,6 @@ _CONTROL = r"\|[A-Za-z0-9_]+\||/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>"
 _ESCAPE = rf"([<\[])(\\*)({_CONTROL})"
 _UNESCAPE = rf"([<\[])\\(\\*)({_CONTROL})"
 TURNS = "array<struct<role:string,text:string>>"
-#: Paths of a table with one turn a row.
-TURN_ROWS = ("role", "text", "turn")
 
 
 def escape(text: Column) -> Column:
@@ -49,11 +47,13 @@ def _role_back(role: Column) -> Column:
 @dataclass(frozen=True)
 class Layout:
     """paths: the nested field paths of a record, sorted; turns: their mapping, a SQL
-    expression over `_r`, the record as a struct of `fields`, that gives TURNS."""
+    expression over `_r`, the record as a struct of `fields`, that gives TURNS. by_row: the
+    record is a turn, and `_r` has the list of a key's turns."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    by_row: bool = False
 
     @property
     def fields(self) -> str:
@@ -90,6 +90,10 @@ LAYOUTS = (
 )
 
 
+#: A table with one turn a row.
+ROWS = Layout("rows", ("role", "text", "turn"), _list("turns", "role", "text"), by_row=True)
+
+
 def field_paths(skeleton: Column) -> Column:
     """The sorted field paths of a record: its keys, those of objects in them (a.b), and those of
     objects in lists (a[].b). Types do not count: a null and a text give one path, and other
@@ -171,15 +175,25 @@ def to_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LA
 
 
 def table_turns(table: DataFrame, keys: tuple[str, ...], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """The key columns and turns of a table whose other columns have the paths of a layout, or are
-    one turn a row. The schema's fingerprint selects the mapping; an unknown one is an error."""
+    """The key columns and turns of a table whose other columns have the paths of a layout.
+
+    The paths of the schema are hashed as those of a record are, and the hash selects the
+    layout, one of records or ROWS (a turn a row); an unknown one is an error.
+    """
     paths = schema_paths(T.StructType([f for f in table.schema.fields if f.name not in keys]))
-    if paths == TURN_ROWS:
-        return turns_of_rows(table, keys[0], "turn", "role", "text")
-    layout = {x.paths: x for x in layouts}.get(paths)
+    every = (*layouts, ROWS)
+    print_ = fingerprint(F.array(*map(F.lit, paths)))
+    hits = table.sparkSession.range(1).select(*(hit.alias(f"h{i}") for i, (_, hit) in enumerate(_known(print_, every)))).first()
+    layout = next((x for x, hit in zip(every, hits) if hit), None)
     if not layout:
         raise ValueError(f"no layout for columns {paths}")
-    record = F.struct(*(F.col(f"`{c}`") for c in table.columns if c not in keys)).alias("_r")
+    if layout.by_row:
+        # turns go by (turn, role, text), null turns first, so ties have a defined order
+        item = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        table = table.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("turns"))
+        record = F.struct("turns").alias("_r")
+    else:
+        record = F.struct(*(F.col(f"`{c}`") for c in table.columns if c not in keys)).alias("_r")
     return table.select(*keys, record).select(*keys, F.expr(f"cast({layout.turns} as {TURNS})").alias("turns"))
 
 
@@ -236,15 +250,25 @@ def masked_texts(formatted: Column, loss_mask: Column) -> Column:
     return F.transform(loss_mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
 
 
-def turns_of_rows(rows: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """The TURNS of each key from rows of turns (null role or text: empty).
-
-    Turns go by (turn, role, text), null turns first, so ties have a defined order. Rows of
-    one key are combined before the shuffle as far as they lie together.
-    """
-    item = F.struct(F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_t"))
-    return grouped.select(key, F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+def as_records(turns: DataFrame, key: str, number: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(key, json): conversations (key, turns) written as JSON records, each in the layout of its
+    number modulo their count. Layouts of a question and an answer take conversations of a
+    user's and an assistant's turn; others are written as a list of turns."""
+    two = (F.size("turns") == 2) & (F.col("turns")[0]["role"] == "user") & (F.col("turns")[1]["role"] == "assistant")
+    ask, answer, n = F.col("turns")[0]["text"], F.col("turns")[1]["text"], F.pmod(number, F.lit(len(layouts)))
+    plain = F.to_json(F.struct("turns"))
+    forms = {
+        "messages": F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))),
+        "prompt": F.when(two, F.to_json(F.struct(ask.alias("prompt"), answer.alias("completion")))),
+        "response": F.when(two, F.to_json(F.struct(ask.alias("prompt"), answer.alias("response")))),
+        "qa": F.when(two, F.to_json(F.struct(ask.alias("question"), answer.alias("answer")))),
+        "instruction": F.when(two, F.to_json(F.struct(ask.alias("instruction"), answer.alias("output")))),
+        "alpaca": F.when(two, F.to_json(F.struct(ask.alias("instruction"), F.lit("").alias("input"), answer.alias("output")))),
+    }
+    named = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
+    own = F.exists("turns", lambda t: t["role"].isin("human", "gpt"))
+    forms["conversations"] = F.when(~own, F.to_json(F.struct(named.alias("conversations"))))
+    return turns.select(key, F.coalesce(*(F.when(n == i, forms[x.name]) for i, x in enumerate(layouts) if x.name in forms), plain).alias("json"))
 
 
 def digests(formatted: DataFrame, key: str) -> DataFrame:

@@ -19,9 +19,10 @@ from .common import map_texts
 
 #: Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg annotation annotation-xml".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split()
 )
 #: Markup inside a block: part of its text, no summand of a density sum.
 _PHRASE = _INLINE - {"td", "th"}
@@ -38,35 +39,53 @@ _OUT_WORDS = frozenset(
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply widget toolbar pager pagination skip paywall".split()
 )
+#: Words beside those in a compound name that say where or what a box is, not what it is about.
+_BOX_WORDS = frozenset(
+    "site page main top bottom left right header head inner outer box bar row block area section container wrapper wrap holder panel pane list item items link links text title "
+    "button buttons btn icon icons img image form input slot unit zone content body group primary secondary global mobile desktop sticky fixed posts post articles stories".split()
+)
+#: Elements of a form that ask for something, and text characters for each of them from which a
+#: form is read as text that happens to stand in a form.
+_CONTROLS = frozenset("input button select textarea".split())
+_FORM_CHARS = 200
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*+")
 _STOP = re.compile(r"[>\"']")
 _WORDS = re.compile(r"[A-Za-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HUGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
 #: The least divisor of a density: pages without links, where the formula's logarithm is 0, stay comparable.
 _LEAST_SCALE = 0.1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "header", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "out", "header", "chars", "tags", "link_chars", "link_tags", "density", "total", "named")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
-        self.out = self.header = False
+        self.out = self.header = self.named = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _out_name(name: str) -> bool:
+    """Whether a whole class or id names what is no article: each of its words does, or says only
+    what box it is ("site-footer", "cookieNotice"; not "no-sidebar" or "related-work")."""
+    words = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))]
+    return any(w in _OUT_WORDS for w in words) and all(w in _OUT_WORDS or w in _BOX_WORDS for w in words)
+
+
 def _marks(node: Node, attrs: str) -> None:
     """Sets out (not of the article) and header from tag and attributes."""
     node.out, node.header = node.tag in _OUT_TAGS, node.tag == "header"
     if not attrs or node.tag in ("html", "body"):
         return
     found = {m[1].lower(): next((g for g in (m[2], m[3], m[4]) if g is not None), "") for m in _ATTR.finditer(attrs)}
-    names = {w.lower() for k in ("class", "id") if k in found for w in _WORDS.findall(found[k])}
-    node.out |= bool(names & _OUT_WORDS) or found.get("role", "").lower() in _OUT_ROLES
-    node.out |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    node.header |= "header" in names
+    names = [w for k in ("class", "id") if k in found for w in found[k].split()]
+    node.named = any(map(_out_name, names)) or found.get("role", "").lower() in _OUT_ROLES
+    node.named |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    node.out |= node.named
+    node.header |= any(n.lower() in ("header", "site-header", "page-header", "main-header", "top-header") for n in names)
 
 
 def _decoded(text: str) -> str:
@@ -239,8 +258,14 @@ def _penalties(nodes: list[Node]) -> None:
     for node in marked:
         node.out = node.tag in _RAW
     _count(nodes)
+    controls: Counter = Counter()
+    for node in reversed(nodes):
+        controls[id(node.parent)] += controls[id(node)] + (node.tag in _CONTROLS)
     for node in marked:
-        node.out = id(node) not in wraps and (node.tag in _OUT_TAGS or 2 * node.chars <= nodes[0].chars)
+        # a form or dialog whose text outweighs what it asks for is a block like any other
+        asks = node.tag in ("form", "dialog") and node.chars - node.link_chars <= _FORM_CHARS * (1 + controls[id(node)])
+        by_tag = asks or node.tag in _OUT_TAGS and node.tag not in ("form", "dialog")
+        node.out = id(node) not in wraps and (by_tag or node.named and 2 * node.chars <= nodes[0].chars)
     inside, head = set(), set()
     for node in nodes:
         up = id(node.parent)

@@ -1,13 +1,14 @@
 """Line dedup by a suffix array over line ids, DataFrame operations only.
 
 Lines that occur once end every repeat, so the array is built over the others. Prefix
-doubling ranks the suffixes by their first 1, 2, 4, ... lines: each step sorts the pairs
-of ranks, and their sorted order numbers the next ones. Suffixes that agree on m lines form
-an interval of the array whose least common prefix is at least m; the pair of ranks of the
-2^k-line prefixes at a run's start and 2^k lines before its end names that interval. Every
-maximal repeated run is the union of its shortest parts of a stated number of words that
-start or end at its lines; these are looked up, their first copy in the interval stays, and
-what they cover is merged into maximal stretches.
+doubling ranks the suffixes by their first 1, 2, 4, ... lines, until no rank is shared: each
+step sorts the pairs of ranks, and their sorted order numbers the next ones. Suffixes that
+agree on m lines form an interval of the array whose least common prefix is at least m; the
+pair of ranks of the 2^k-line prefixes at a run's start and 2^k lines before its end names
+that interval. A run of a stated number of words is looked up in its interval, whose first
+suffix in the text's order keeps it. With that suffix every left-maximal run's least common
+prefix is found by descending through the ranks; it makes the run right-maximal. What these
+maximal repeated runs cover is cut.
 """
 
 from __future__ import annotations
@@ -70,30 +71,19 @@ def _shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, least: tuple[int, ...]) -> DataFrame:
-    """(_k, start, m, least): runs of m lines with `least` words that repeat an earlier run, for each of `least`."""
+    """(_k, start, m, least): maximal runs of m lines with `least` words or more that repeat an
+    earlier run, for each of `least`."""
     lines = _lines(docs, id_col, text_col)
     ranks = _ranked(lines, ["h", "g"], scratch, "rank-0")
     # repeated rows of one document are one document
     found = lines.join(ranks, ["h", "g"]).select("_d", "_k", "line", F.col("new").alias("rank"), "words")
     found = scratch.keep(found.repartition(*_KEY).dropDuplicates([*_KEY, "line"]), "lines")
+    levels = _levels(found.select(*_KEY, "line", "rank"), scratch)
     runs = [_shortest_runs(found, n).withColumn("least", F.lit(n)) for n in least]
-    runs = scratch.keep(reduce(DataFrame.union, runs), "runs")
-    # doubling goes on among lines of such runs, up to the longest run asked about
-    longest = runs.agg(F.max("m")).first()[0] or 0
-    level = found.select(*_KEY, "line", "rank")
-    levels = level.withColumn("k", F.lit(0))
-    k = 0
-    while 2 << k <= longest:
-        later = level.select(*_KEY, (F.col("line") - (1 << k)).alias("line"), F.col("rank").alias("next"))
-        pairs = level.join(later, [*_KEY, "line"])
-        k += 1
-        ranks = _ranked(pairs, ["rank", "next"], scratch, f"rank-{k}")
-        level = pairs.join(ranks, ["rank", "next"]).select(*_KEY, "line", F.col("new").alias("rank"))
-        level = scratch.keep(level, f"level-{k}")
-        levels = levels.union(level.withColumn("k", F.lit(k)))
-    runs = runs.withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int"))
-    head = levels.select(*_KEY, F.col("line").alias("start"), "k", F.col("rank").alias("r"))
-    tail = levels.select(*_KEY, F.col("line").alias("last"), "k", F.col("rank").alias("s"))
+    runs = scratch.keep(reduce(DataFrame.union, runs).withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int")), "runs")
+    every = reduce(DataFrame.union, (level.withColumn("k", F.lit(k)) for k, level in enumerate(levels)))
+    head = every.select(*_KEY, F.col("line").alias("start"), "k", F.col("rank").alias("r"))
+    tail = every.select(*_KEY, F.col("line").alias("last"), "k", F.col("rank").alias("s"))
     # a run of 2^k lines is named by its one rank, without a second look
     exact = F.col("m") == F.expr("cast(shiftleft(1, k) as int)")
     headed = scratch.keep(runs.join(head, [*_KEY, "start", "k"]), "headed")
@@ -104,21 +94,62 @@ def later_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col:
     place = F.struct("_d", *_KEY, "start")
     first = named.groupBy("m", "r", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     first = scratch.keep(first, "first")
-    return named.join(first, ["m", "r", "s"]).where(place != F.col("first")).select(*_KEY, "start", "m", "least")
+    pairs = named.join(first, ["m", "r", "s"]).where(place != F.col("first"))
+    pairs = scratch.keep(pairs.select(*_KEY, "start", "least", F.col("first._k").alias("_f"), F.col("first.start").alias("at")), "pairs")
+    # left-maximal: one line before, it is not the same copy of the same run
+    before = pairs.select(*_KEY, F.col("start") + 1, "least", "_f", F.col("at") + 1).toDF(*pairs.columns)
+    return _prefixes(pairs.join(before, pairs.columns, "left_anti"), levels, scratch)
+
+
+def _levels(level: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Ranks (document, line, rank) of the suffixes by their first 1, 2, 4, ... lines, up to the
+    last length at which two suffixes share one."""
+    levels = [level]
+    while True:
+        k = len(levels)
+        later = level.select(*_KEY, (F.col("line") - (1 << (k - 1))).alias("line"), F.col("rank").alias("next"))
+        pairs = scratch.keep(level.join(later, [*_KEY, "line"]), f"pairs-{k}")
+        ranks = _ranked(pairs, ["rank", "next"], scratch, f"rank-{k}")
+        if ranks.isEmpty():
+            return levels
+        level = scratch.keep(pairs.join(ranks, ["rank", "next"]).select(*_KEY, "line", F.col("new").alias("rank")), f"level-{k}")
+        scratch.drop(f"pairs-{k}")
+        levels.append(level)
+
+
+#: Levels that one plan descends before its result is written.
+DESCENT = 3
+
+
+def _prefixes(pairs: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """pairs of suffixes (_k, start) and (_f, at) with m, the lines of their least common prefix:
+    where the next 2^k lines have one rank, both go on by as many, from the longest down."""
+    now = scratch.keep(pairs.withColumn("m", F.lit(0)), "left-maximal")
+    for k in reversed(range(len(levels))):
+        mine = levels[k].select(F.col("_k"), F.col("line").alias("_line"), F.col("rank").alias("_mine"))
+        theirs = levels[k].select(F.col("_k").alias("_f"), F.col("line").alias("_other"), F.col("rank").alias("_theirs"))
+        now = now.withColumns({"_line": F.col("start") + F.col("m"), "_other": F.col("at") + F.col("m")})
+        now = now.join(mine, ["_k", "_line"], "left").join(theirs, ["_f", "_other"], "left")
+        same = F.coalesce(F.col("_mine") == F.col("_theirs"), F.lit(False))
+        now = now.withColumn("m", F.col("m") + F.when(same, 1 << k).otherwise(0)).drop("_line", "_other", "_mine", "_theirs")
+        if k % DESCENT == 0 and k:
+            now = scratch.keep(now, f"common-{k}")
+    return now.select(*_KEY, "start", "m", "least")
 
 
 def _stretches(runs: DataFrame, name: str) -> DataFrame:
-    """Per document the merged deleted stretches, as an array of (from, to), to exclusive, and their lines."""
+    """Per document the merged deleted stretches, as an array of (from, to), to exclusive, their
+    lines, and the lines of the longest run."""
     order = W.partitionBy(*_KEY).orderBy("start", "end")
     runs = runs.select(*_KEY, "start", (F.col("start") + F.col("m")).alias("end"))
     runs = runs.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.withColumn("part", F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(order))
-    parts = runs.groupBy(*_KEY, "part").agg(F.min("start").alias("from"), F.max("end").alias("to"))
-    return parts.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(name), F.sum(F.col("to") - F.col("from")).alias(f"n_{name}"))
+    parts = runs.groupBy(*_KEY, "part").agg(F.min("start").alias("from"), F.max("end").alias("to"), F.max(F.col("end") - F.col("start")).alias("most"))
+    return parts.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(name), F.sum(F.col("to") - F.col("from")).alias(f"n_{name}"), F.max("most").alias(f"most_{name}"))
 
 
 def dedup_lines(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, count_col: str | None = None, long_col: str | None = None
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, count_col: str | None = None, long_col: str | None = None, run_col: str | None = None
 ) -> DataFrame:
     """The documents, all columns, with later copies of repeated line runs cut from the text.
 
@@ -130,7 +161,7 @@ def dedup_lines(
     type; null ids sort first. Repeated rows (same id and text) are one document and get
     equal texts; no row is added or lost, an empty table gives no rows, and extra columns may
     have any name. count_col: adds the number of lines cut; long_col: adds how many lie in
-    repeated runs of LONG_WORDS words or more. A document's lines are windowed in one task,
+    repeated runs of LONG_WORDS words or more; run_col: adds the lines of the longest run cut. A document's lines are windowed in one task,
     as its text is a row anyway.
     """
     scratch = Scratch(spark, "linedup")
@@ -141,7 +172,7 @@ def dedup_lines(
     copies = scratch.keep(later_copies(spark, bare, scratch, "_id", "_text", least), "copies")
     gone = _stretches(copies.where(F.col("least") == min_words), "gone")
     if long_col:
-        gone = gone.join(_stretches(copies.where(F.col("least") == LONG_WORDS), "long").drop("long"), "_k", "full")
+        gone = gone.join(_stretches(copies.where(F.col("least") == LONG_WORDS), "long").drop("long", "most_long"), "_k", "full")
     gone = scratch.keep(gone, "gone")
     size = gone.agg(F.sum(40 + 8 * F.size(F.coalesce("gone", F.array())))).first()[0] or 0
     joined = rows.withColumn("_k", _document(row[id_col], row[text_col])).join(F.broadcast(gone) if size <= SENT_BYTES else gone, "_k", "left")
@@ -151,5 +182,5 @@ def dedup_lines(
     stops = F.concat(F.transform("gone", lambda g: g["from"].cast("int")), F.array(F.size(lines)))
     left = F.flatten(F.zip_with(edges, stops, lambda a, z: F.slice(lines, a + 1, z - a)))
     out = [F.when(F.col("gone").isNull(), row[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else row[c].alias(c) for c in docs.columns]
-    out += [F.coalesce(n, F.lit(0)).cast("long").alias(c) for n, c in (("n_gone", count_col), ("n_long", long_col)) if c]
+    out += [F.coalesce(n, F.lit(0)).cast("long").alias(c) for n, c in (("n_gone", count_col), ("n_long", long_col), ("most_gone", run_col)) if c]
     return joined.select(*out)
