@@ -207,3 +207,35 @@ def test_streams_in_any_order_equal_batches(spark, tmp_path):
     known = incidents.gap_sessions(batch).groupBy("hostname", "session").agg(F.count("*").alias("findings"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     columns = ["hostname", "session", "findings", "first_seen", "last_seen"]
     assert known.count() > 3 and sorted(map(tuple, sessions.select(*columns).collect())) == sorted(map(tuple, known.select(*columns).collect()))
+
+
+def test_incidents_by_steps_equal_one_run(spark):
+    """Halves in both orders, a merge of two incidents by a later finding, and its triage."""
+    from threatlake.operators.shared import Scratch
+
+    rng, begin = random.Random(11), datetime(2024, 5, 1)
+    rows = [(k, 0, begin + timedelta(minutes=rng.randint(0, 60 * 90)) if k % 9 else None, f"h{k % 3}" if k % 7 else None, f"u{k % 29}" if k % 2 else "", f"g{k % 31}" if k % 3 else None) for k in range(90)]
+    schema = "seq long, rule_ord int, ts timestamp, hostname string, user_name string, process_guid string"
+    frame = spark.createDataFrame(rows, schema)
+    want = {r.seq: r.incident for r in incidents.components(frame).collect()}
+    assert len(set(want.values())) > 5
+    for order in ((0, 1), (1, 0)):
+        nodes, spans = spark.createDataFrame([], incidents.NODES), spark.createDataFrame([], incidents.SPANS)
+        for part in order:
+            before = nodes
+            nodes, spans = incidents.advance(frame.where(f"seq % 2 = {part}"), nodes, spans, Scratch(spark, "steps"))
+        assert {r.seq: r.incident for r in incidents.placed(nodes).collect()} == want
+        kept = {r.node: r.root for r in before.collect()}
+        for r in incidents.changed(before, nodes).collect():
+            assert kept.pop(r.node, None) != r.root
+        now = {r.node: r.root for r in nodes.collect()}
+        assert all(now[n] == r for n, r in kept.items())
+    pair = [(1, 0, begin, "h", "a", ""), (2, 0, begin + timedelta(hours=9), "h", "b", "")]
+    nodes, spans = incidents.advance(spark.createDataFrame(pair, schema), spark.createDataFrame([], incidents.NODES), spark.createDataFrame([], incidents.SPANS), Scratch(spark, "steps"))
+    assert {(r.seq, r.incident) for r in incidents.placed(nodes).collect()} == {(1, 1), (2, 2)}
+    late = spark.createDataFrame([(3, 0, begin + timedelta(hours=9, minutes=50), "h", "a", "")], schema)
+    nodes, _ = incidents.advance(late, nodes, spans, Scratch(spark, "steps"))
+    where = incidents.placed(nodes)
+    assert {(r.seq, r.incident) for r in where.collect()} == {(1, 1), (2, 1), (3, 1)}
+    log = spark.createDataFrame([(2, 7, "excluded"), (5, 8, "new")], "incident_id long, seq long, status string")
+    assert {(r.incident_id, r.status) for r in incidents.follow(log, where).collect()} == {(1, "excluded"), (5, "new")}

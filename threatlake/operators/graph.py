@@ -50,13 +50,24 @@ def top(node: DataFrame, edge: DataFrame, most: int = 500) -> DataFrame:
     return node.join(kept.union(parents).distinct(), "id", "left_semi")
 
 
-def stats(node: DataFrame, edge: DataFrame, most: int | None = None) -> DataFrame:
-    """Counts of the graph and of the severities of the nodes displayed (see top)."""
-    shown = top(node, edge, most) if most else node
+def top_edges(shown: DataFrame, edge: DataFrame, most: int | None = 2_000) -> DataFrame:
+    """Edges between displayed nodes (see top), the first `most` by their first event if given."""
+    ids = shown.select("id")
+    inner = edge.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    inner = inner.select("source", "target", "type", "label", "first_seq")
+    return inner.orderBy("first_seq", "source", "target", "type").limit(most) if most else inner
+
+
+def stats(node: DataFrame, edge: DataFrame, most: int | None = None, most_edges: int = 2_000) -> DataFrame:
+    """Counts of the graph, of its edges between displayed nodes, and of the severities of the
+    nodes displayed (see top); truncated: not all nodes, or not all of these edges, are shown."""
+    shown = Scratch(node.sparkSession, "shown").keep(top(node, edge, most) if most else node, "nodes")
+    inner = top_edges(shown, edge, None).agg(F.count("*").alias("_inner"))
     levels = [F.count_if(F.col("severity_rank") == r).alias(n) for r, n in ((4, "critical"), (3, "high"), (2, "medium"))]
     of_edges = edge.agg(F.count("*").alias("edges"), F.count_if(F.expr("type = 'SPAWNED'")).alias("spawned"), F.count_if(F.expr("type = 'CONNECTED'")).alias("connected"))
-    whole = node.agg(F.count("*").alias("nodes")).crossJoin(shown.agg(F.count("*").alias("displayed"), *levels)).crossJoin(of_edges)
-    return whole.withColumn("truncated", F.col("displayed") < F.col("nodes"))
+    whole = node.agg(F.count("*").alias("nodes")).crossJoin(shown.agg(F.count("*").alias("displayed"), *levels)).crossJoin(of_edges).crossJoin(inner)
+    cut = (F.col("displayed") < F.col("nodes")) | (F.col("_inner") > most_edges)
+    return whole.withColumns({"displayed_edges": F.least("_inner", F.lit(most_edges)), "truncated": cut}).drop("_inner")
 
 
 def _all(rounds: list[DataFrame]) -> DataFrame:

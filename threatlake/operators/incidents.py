@@ -66,6 +66,72 @@ def components(findings: DataFrame, seconds: int = 3600) -> DataFrame:
     return scratch.keep(findings.join(found, "seq", "left").withColumn("incident", F.coalesce("incident", "seq")), "labelled")
 
 
+#: What is kept between runs: the root of every node, and the first and last time of every
+#: host and span of time.
+NODES, SPANS = "node string, root string", "hostname string, span long, lo long, hi long"
+
+
+def advance(findings: DataFrame, nodes: DataFrame, spans: DataFrame, scratch: Scratch, seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """(nodes, spans) after new findings, from those before (empty tables of NODES, SPANS at first).
+
+    Links are those of components(): in spans of `seconds` all findings of a host chain, and
+    two neighbouring spans do where the last time of one is near the first of the next. New
+    findings can only add links, so their edges are contracted to the roots of the nodes they
+    touch, components of these few roots are found, and only nodes of roots that gave way
+    change. What is returned are the rows to keep; changed() gives those that differ.
+    """
+    host = F.coalesce("hostname", F.lit(""))
+    micros, width = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    rows = findings.select("seq", host.alias("hostname"), "user_name", "process_guid", micros.alias("at")).withColumn("span", F.floor(F.col("at") / width))
+    timed = rows.where("at is not null").groupBy("hostname", "span").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    fresh = scratch.keep(timed, "fresh-spans")
+    spans = scratch.keep(spans.unionByName(fresh).groupBy("hostname", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "spans")
+
+    def of_span(number: Column) -> Column:
+        return F.concat_ws("\x01", F.lit("t"), F.col("hostname"), number.cast("string"))
+
+    own = F.concat_ws("\x01", F.lit("e"), F.col("seq").cast("string"))
+    mine = rows.select(own.alias("a"), F.explode(F.array(
+        own, F.when(F.col("span").isNotNull(), of_span(F.col("span"))),
+        F.when(F.col("user_name") != "", F.concat_ws("\x01", F.lit("u"), "hostname", "user_name")),
+        F.when(F.col("process_guid") != "", F.concat_ws("\x01", F.lit("g"), "hostname", "process_guid")),
+    )).alias("b")).where("b is not null")
+    touched = fresh.select("hostname", F.explode(F.array(F.col("span") - 1, F.col("span"))).alias("span")).distinct()
+    left = spans.join(touched, ["hostname", "span"], "left_semi")
+    right = spans.select("hostname", (F.col("span") - 1).alias("span"), F.col("lo").alias("next"))
+    chained = left.join(right, ["hostname", "span"]).where(F.col("next") - F.col("hi") <= width)
+    edges = scratch.keep(mine.union(chained.select(of_span(F.col("span")), of_span(F.col("span") + 1))).distinct(), "new-edges")
+    known = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    known = scratch.keep(known, "known")
+    contracted = edges
+    for end in ("a", "b"):
+        found = known.select(F.col("node").alias(end), F.col("root").alias("_r"))
+        contracted = contracted.join(found, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    moved = connected(contracted.select("a", "b"), scratch, "contracted").select(F.col("node").alias("_n"), F.col("root").alias("_to"))
+    fresh_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("root", F.col("node"))
+    every = nodes.select("node", "root").unionByName(fresh_nodes)
+    out = every.join(moved, every["root"] == moved["_n"], "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return scratch.keep(out, "nodes"), spans
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The nodes whose root is new or another than before."""
+    return after.join(before.select("node", F.col("root").alias("_was")), "node", "left").where(~F.col("root").eqNullSafe(F.col("_was"))).select("node", "root")
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """(seq, incident) of kept nodes: the incident is the least seq under a root."""
+    own = nodes.where(F.col("node").startswith("e\x01")).select(F.expr("cast(substr(node, 3) as bigint)").alias("seq"), "root")
+    return own.join(own.groupBy("root").agg(F.min("seq").alias("incident")), "root").select("seq", "incident")
+
+
+def follow(log: DataFrame, where: DataFrame) -> DataFrame:
+    """Triage of incidents that may have merged since: it goes to the incident that now holds
+    the finding by which the old one was numbered (where: seq, incident)."""
+    now = where.select(F.col("seq").alias("incident_id"), "incident")
+    return log.join(now, "incident_id", "left").withColumn("incident_id", F.coalesce("incident", "incident_id")).drop("incident")
+
+
 def _key(*more: Column) -> Column:
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("rule_id", "hostname", "user_name", "process_guid")]
     return F.concat_ws("|", *text, F.substring(F.coalesce("commandline", F.lit("")), 1, 120), *more)

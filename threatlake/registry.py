@@ -282,6 +282,18 @@ def incident_components(spark, sf_dir):
     return incidents.components(dedup_findings(spark, sf_dir)).select("seq", "rule_id", "hostname", "incident")
 
 
+@query("select de.seq, rule_id, hostname, incident from de join inc on inc.seq = de.seq", _FINDINGS + _DEDUP + _DE_SESSIONS + _COMPONENTS)
+def incident_components_by_steps(spark, sf_dir):
+    """The same components from findings that come in three parts, not in their order."""
+    from .operators.shared import Scratch
+
+    found = Scratch(spark, "parts").keep(dedup_findings(spark, sf_dir), "findings")
+    nodes, spans = spark.createDataFrame([], incidents.NODES), spark.createDataFrame([], incidents.SPANS)
+    for part in (2, 0, 1):
+        nodes, spans = incidents.advance(found.where(f"seq % 3 = {part}"), nodes, spans, Scratch(spark, "advance"))
+    return found.join(incidents.placed(nodes), "seq").select("seq", "rule_id", "hostname", "incident")
+
+
 def _grouped(spark, sf_dir):
     """Findings under incident numbers that SQL can give as well; incidents_build has the real ones."""
     return dedup_findings(spark, sf_dir).withColumn("incident", F.expr("cast(seq % 40 as bigint)"))
@@ -327,7 +339,21 @@ def incidents_build(spark, sf_dir):
     return incidents.rollup(incidents.components(found))
 
 
-_EDGES = """, ed as (select source, target, type, arg_min(label, seq) as label from (
+_REAL = ", di as (select de.*, inc.incident from de join inc on inc.seq = de.seq)"
+_TRIAGE_REAL = _TRIAGE.replace("select seq % 60 as incident_id", "select incident as incident_id").replace("from ev where seq % 97 = 0 or seq % 60 in (7, 8)", "from di where seq % 3 = 0")
+
+
+@query("select incident, status, priority, note, finding_count from tm", _FINDINGS + _DEDUP + _DE_SESSIONS + _COMPONENTS + _REAL + _ROLLUP + _TRIAGE_REAL)
+def incidents_triaged(spark, sf_dir):
+    """Triage given through every third finding of an incident meets the incidents themselves."""
+    found = incidents.components(dedup_findings(spark, sf_dir))
+    log = found.where("seq % 3 = 0").selectExpr(
+        "incident as incident_id", "seq", "case seq % 5 when 0 then 'remediated' when 1 then 'pending_fix' when 2 then 'excluded' end as status",
+        "case when seq % 7 = 0 then 'P' || cast(seq % 4 as varchar(1)) end as priority", "case when seq % 3 = 0 then 'note ' || cast(seq as varchar(20)) end as note")
+    return incidents.triage_merge(incidents.rollup(found), log).select("incident", "status", "priority", "note", "finding_count")
+
+
+_EDGES = """, ed as (select source, target, type, arg_min(label, seq) as label, min(seq) as first_seq from (
  select parent_process_guid as source, process_guid as target, 'SPAWNED' as type, process_name as label, seq from ev where parent_process_guid <> process_guid
  union all select process_guid, 'net-' || destination_ip || ':' || coalesce(destination_port, ''), 'CONNECTED', destination_port, seq from ev where destination_ip <> '' and (event_id in ('3', '5156') or event_category = 'network_connection')) x group by 1, 2, 3)"""
 
@@ -359,15 +385,26 @@ def agg_graph_nodes(spark, sf_dir):
 _TOP = ", kept as (select id from nm order by severity_rank desc, first_seq, id limit 300), shown as (select * from nm where id in (select id from kept) or id in (select source from ed where target in (select id from kept)))"
 
 
+_INNER = ", inner_ed as (select * from ed where source in (select id from shown) and target in (select id from shown))"
+
+
 @query("select * from shown", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP)
 def topk_graph(spark, sf_dir):
     return graph.top(_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 300)
 
 
 @query("""select (select count(*) from nm) as nodes, count(*) as displayed, count(*) filter (severity_rank = 4) as critical, count(*) filter (severity_rank = 3) as high, count(*) filter (severity_rank = 2) as medium,
- (select count(*) from ed) as edges, (select count(*) from ed where type = 'SPAWNED') as spawned, (select count(*) from ed where type = 'CONNECTED') as connected, count(*) < (select count(*) from nm) as truncated from shown""", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP)
+ (select count(*) from ed) as edges, (select count(*) from ed where type = 'SPAWNED') as spawned, (select count(*) from ed where type = 'CONNECTED') as connected, least(200, (select count(*) from inner_ed)) as displayed_edges,
+ count(*) < (select count(*) from nm) or (select count(*) from inner_ed) > 200 as truncated from shown""", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP + _INNER)
 def graph_stats(spark, sf_dir):
-    return graph.stats(_nodes(spark, sf_dir), graph_edges(spark, sf_dir), 300)
+    return graph.stats(_nodes(spark, sf_dir), _edges(spark, sf_dir), 300, 200)
+
+
+@query("select source, target, type, label from inner_ed order by first_seq, source, target, type limit 200", _FINDINGS + _DEDUP + _NODES + _EDGES + _TOP + _INNER)
+def topk_graph_edges(spark, sf_dir):
+    """The edges shown with a graph that was cut: both ends are, and they are the first."""
+    edges = _edges(spark, sf_dir)
+    return graph.top_edges(graph.top(_nodes(spark, sf_dir), edges, 300), edges, 200).select("source", "target", "type", "label")
 
 
 _TREE = _EDGES + """, up as (select target as node, arg_min(source, first_seq) as parent from (select source, target, min(seq) as first_seq from (
