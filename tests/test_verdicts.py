@@ -1,5 +1,7 @@
+import base64
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -122,3 +124,48 @@ def test_nudge_says_why(spark):
     examples = spark.createDataFrame([("a", 2, True, None, 0.9), ("a", 1, False, None, 0.9)], "commandline string, rank int, label boolean, corrected_severity int, similarity double")
     got = {r.commandline: (r.severity, r.abstained, r.indicators) for r in verdicts.nudge(scored, examples, "commandline").collect()}
     assert got == {"a": (2, False, ["x", "Analyst-cleared a near-identical command as benign (sim=0.90)"]), "b": (3, True, [])}
+
+
+def test_commands_by_context(spark):
+    """A replication right by text, properties or object; a rule that raises; the same command in
+    two contexts; hidden text; no command."""
+    from threatlake.operators.heuristics import score_commands
+
+    right = "{1131F6AA-9c07-11d1-f79f-00c04fc2dcd2}"
+    rows = [
+        (0, "dir", "4662", "u", right, None), (1, "dir", "1", "u", right, None), (2, "dir", "4662", None, "Replication rights", None), (3, "dir", "4662", "u", None, right),
+        (4, f"x {right}", "1", "u", None, None), (5, "calc", "1", "u", None, None), (6, None, "4662", "u", right, None), (7, "dir", "1", "u", right, None),
+        (8, "powershell -enc " + base64.b64encode("sekurlsa::x and more".encode("utf-16-le")).decode(), None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "seq long, commandline string, event_id string, user_name string, properties string, object_guid string")
+    found = spark.createDataFrame([(5, 3, "R3", "HIGH"), (5, 1, "R1", "CRITICAL"), (5, 2, "R2", "LOW")], "seq long, rule_ord int, rule_name string, severity string")
+    got = score_commands(frame, found).collect()
+    assert len(got) == 7
+    by = {(r.commandline, r.event_id, r.properties, r.object_guid): (r.matched_right, r.severity, r.heuristic, r.confidence, r.abstained, r.source) for r in got}
+    used = "DS-Replication-Get-Changes"
+    assert by["dir", "4662", right, None] == (used, 10, 1, 0.45, True, "dcsync") == by["dir", "4662", None, right]
+    assert by["dir", "1", right, None] == (None, 1, 1, 0.7, False, "heuristic")
+    assert by["dir", "4662", "Replication rights", None] == ("Replication rights", 10, 1, 0.45, True, "dcsync")
+    assert by[f"x {right}", "1", None, None] == (used, 10, 1, 0.45, True, "dcsync")
+    assert by["calc", "1", None, None] == (None, 10, 10, 0.8, False, "heuristic")
+    assert next(r for r in got if r.commandline == "calc").indicators == ["Rule match: R1", "Rule match: R3"]
+    hidden = next(r for r in got if r.decoded)
+    assert (hidden.decoded, hidden.severity, hidden.techniques) == ("sekurlsa::x and more", 10, ["T1059.001", "T1003.001"])
+    assert score_commands(frame.select("commandline")).count() == 4 and score_commands(frame.limit(0)).count() == 0
+
+
+def test_first_report(spark):
+    """Steps follow the phases; without hits there is one step, and lists keep their order."""
+    from threatlake.operators.heuristics import NOTHING, PHASE_STEPS, SOMETHING, prescan
+
+    schema = "seq long, ts timestamp, commandline string, event_id string, user_name string, hostname string, process_name string, parent_process_name string, properties string"
+    rows = [(1, None, "dir", "1", "u", "h", "cmd", "", None), (2, datetime(2024, 1, 2), "amsiContext", "1", "u", "h", "cmd", "", None), (3, datetime(2024, 1, 1), "dir", "4662", "u", "h", "x", "", "replication")]
+    got = prescan(spark.createDataFrame(rows, schema)).collect()
+    of = lambda item: [(r.ord, r.value, r.n) for r in sorted(got, key=lambda r: r.ord) if r.item == item]
+    assert of("overall_severity") == [(1, "critical", 2)] and sorted(of("phase")) == [(1, "Credential Access", 1), (1, "Defense Evasion", 1)]
+    assert [v for _, v, _ in of("next_step")] == [SOMETHING, PHASE_STEPS["Credential Access"], PHASE_STEPS["Defense Evasion"]]
+    assert [o for o, _, _ in of("next_step")] == [1, 2, 3]
+    assert [(o, n) for o, _, n in of("finding")] == [(1, 10), (2, 10)] and of("finding")[1][1].startswith("3 AD Replication right: replication; ")
+    assert [v for _, v, _ in of("timeline")] == ["2024-01-01 00:00:00 x h 4662", "2024-01-02 00:00:00 cmd h 1"]
+    none = prescan(spark.createDataFrame([], schema)).collect()
+    assert sorted((r.item, r.value) for r in none) == [("next_step", NOTHING), ("overall_severity", "clean")]

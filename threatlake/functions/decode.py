@@ -1,4 +1,7 @@
-"""Encoded command lines: base64 arguments and blobs as text."""
+"""Encoded command lines: base64 arguments and blobs as text.
+
+Column expressions decode them; Python sees only commands with a gzip layer.
+"""
 
 from __future__ import annotations
 
@@ -66,11 +69,35 @@ def candidates(command: Column, most: int | None = None) -> Column:
     return F.slice(both, 1, most) if most else both
 
 
+#: A gzip header in base64; UTF-16 units without lone surrogates, as hex digits, one after the other.
+PACKED = "^H4[s-v]"
+UNITS = r"\G(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])"
+
+
+def _best(blob: Column) -> Column:
+    """(decoded, layer) of a base64 blob without a gzip layer, by column expressions alone; null
+    if it is no base64 or no encoding gives a text."""
+    whole = F.when((F.length(blob) % 4 == 0) & blob.rlike("^[A-Za-z0-9+/]+={0,2}$"), F.unbase64(blob))
+    wide = F.when(F.regexp_replace(F.hex(whole), UNITS, "") == "", F.decode(whole, "UTF-16LE"))
+    narrow = F.when(F.is_valid_utf8(whole.cast("string")), whole.cast("string"))
+
+    def judged(text: Column, kind: str) -> Column:
+        text = F.replace(text, F.lit("\0"), F.lit(""))
+        share = F.length(F.regexp_replace(text, r"[^ -~\t\r\n]", "")) / F.length(text)
+        return F.when(F.length(text) >= LEAST, F.struct(share.alias("share"), text.alias("decoded"), F.lit(kind).alias("layer")))
+
+    texts = F.array(judged(wide, "utf-16-le"), judged(narrow, "utf-8"))
+    plain = F.filter(texts, lambda t: t["share"] >= PLAIN)
+    # of equal shares the first one counts
+    return F.reduce(plain, F.get(plain, F.lit(0)), lambda best, t: F.when(t["share"] > best["share"], t).otherwise(best))
+
+
 def decode_commands(events: DataFrame, column: str = "commandline", most: int | None = None) -> DataFrame:
-    """Distinct commands with the first text hidden in them, its layer, and the number of
-    candidates; Python sees only commands that have some."""
+    """Distinct commands with the first text hidden in them, its layer, and the number of candidates."""
     distinct = events.select(F.col(column).alias("commandline")).where("commandline is not null").distinct().withColumn("_found", candidates(F.col("commandline"), most))
+    packed = F.exists("_found", lambda b: b.rlike(PACKED))
+    first = F.get(F.filter(F.transform("_found", _best), lambda d: d.isNotNull()), F.lit(0))
     tried = F.size("_found").alias("candidates")
-    none = distinct.where(F.size("_found") == 0).select("commandline", F.lit(None).cast("string").alias("decoded"), F.lit(None).cast("string").alias("layer"), tried)
-    some = distinct.where(F.size("_found") > 0).withColumn("_d", _decoded("_found"))
-    return none.unionByName(some.select("commandline", "_d.decoded", "_d.layer", tried))
+    native = distinct.where(~packed).withColumn("_d", first).select("commandline", "_d.decoded", "_d.layer", tried)
+    some = distinct.where(packed).withColumn("_d", _decoded("_found"))
+    return native.unionByName(some.select("commandline", "_d.decoded", "_d.layer", tried))

@@ -6,12 +6,14 @@ Patterns run once per distinct text; their results are joined back to the events
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.decode import decode_commands
 from ..functions.predicates import OPS, matches
-from .severity import confidence_of_number, number_of_word, tactic_of, word_of_number
-from .verdicts import REPLICATION_RIGHTS, replication_right
+from .severity import TACTICS, confidence_of_number, number_of_word, tactic_of, word_of_number
+from .shared import Scratch
+from .verdicts import REPLICATION_RIGHTS, replication_right, replication_signs, used_right
 
 #: Pattern, indicator, severity, technique; in their order.
 CHECKS = (
@@ -105,11 +107,27 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 
 def event_semantics(events: DataFrame) -> DataFrame:
-    """Events with severity, techniques and indicators of their activity."""
+    """Events with severity, techniques and indicators of their activity.
+
+    The judged texts are written first, so that the join with the events is one that may be
+    split where a text (an empty one, say) is very frequent.
+    """
     is_4662 = F.coalesce(F.col("event_id") == "4662", F.lit(False))
     keyed = events.withColumns({"activity": activity(events), "is_4662": is_4662})
     texts = keyed.select("activity", "is_4662").distinct()
-    return keyed.join(_scored(texts.withColumn("hits", hits(F.col("activity"), F.col("is_4662")))), ["activity", "is_4662"]).drop("is_4662")
+    judged = _scored(texts.withColumn("hits", hits(F.col("activity"), F.col("is_4662"))))
+    return keyed.join(Scratch(events.sparkSession, "semantics").keep(judged, "texts"), ["activity", "is_4662"]).drop("is_4662")
+
+
+def with_replication(scored: DataFrame) -> DataFrame:
+    """Scored events, those that use a replication right judged by that alone: severity 10."""
+    right = used_right(F.col("activity"), scored)
+    used = right.isNotNull()
+    return scored.withColumns({
+        "severity": F.when(used, F.lit(10)).otherwise(F.col("severity")),
+        "techniques": F.when(used, F.array(F.lit("T1003.006"))).otherwise(F.col("techniques")),
+        "indicators": F.when(used, replication_signs(right, F.col("user_name"))).otherwise(F.col("indicators")),
+    })
 
 
 def escalate(scored: DataFrame, findings: DataFrame) -> DataFrame:
@@ -134,32 +152,98 @@ def semantic_hits(scored: DataFrame, most: int | None = 100) -> DataFrame:
     return found.limit(most) if most else found
 
 
-def prescan(events: DataFrame, most: int | None = None) -> DataFrame:
-    """The first report on a table of events as rows (item, ord, value, n); from all hits, or the first `most`."""
+#: What to do next if nothing was found, if something was, and for a phase.
+NOTHING = "Continue rule evaluation and review timeline/process graph for environment-specific anomalies."
+SOMETHING = "Prioritize initial findings with severity 7 or higher before broad triage."
+PHASE_STEPS = {
+    "Credential Access": "Validate affected identities, rotate credentials where compromise is plausible, and hunt for reuse.",
+    "Defense Evasion": "Collect process memory, script block logs, and EDR telemetry for evasion artifacts.",
+    "Lateral Movement": "Correlate source/destination hosts and remote execution events in chronological order.",
+}
+#: Rows of a report's lists: findings, timeline.
+SHOWN_FINDINGS, SHOWN_TIMES = 100, 200
+ITEM = "struct<item: string, ord: int, value: string, n: bigint>"
+
+
+def prescan(events: DataFrame, most: int | None = None, findings: int = SHOWN_FINDINGS, times: int = SHOWN_TIMES) -> DataFrame:
+    """The first report on a table of events as rows (item, ord, value, n).
+
+    Items: overall_severity (n: hits), phase (n: hits), next_step in order, finding (the most
+    severe hits: seq and indicators, n: severity), top counts, process edge, and timeline (the
+    first events by time). Severity, phases and steps come from all hits, or the first `most`.
+    """
     from .summaries import process_edges, top_counts
 
-    found = semantic_hits(event_semantics(events), most)
-    worst = found.agg(word_of_number(F.coalesce(F.max("severity"), F.lit(1))).alias("value"), F.count("*").alias("n"))
-    out = worst.select(F.lit("overall_severity").alias("item"), F.lit(1).alias("ord"), "value", "n")
-    phases = found.select("seq", F.explode("techniques").alias("t")).withColumn("value", tactic_of(F.col("t"))).where("value is not null")
-    out = out.union(phases.groupBy("value").agg(F.countDistinct("seq").alias("n")).select(F.lit("phase"), F.lit(1), "value", "n"))
-    counts = top_counts(events)
-    out = out.union(counts.select(F.concat(F.lit("top "), "field"), "rank", "value", "n"))
+    judged = with_replication(event_semantics(events)).select("seq", "severity", "techniques", "indicators")
+    found = Scratch(events.sparkSession, "prescan").keep(semantic_hits(judged, most), "hits")
+    phases = sorted(set(TACTICS.values()))
+    tactics = F.transform("techniques", tactic_of)
+    counts = [F.count_if(F.array_contains(tactics, p)).alias(f"p{i}") for i, p in enumerate(phases)]
+    whole = found.agg(F.count("*").alias("n"), F.coalesce(F.max("severity"), F.lit(1)).alias("worst"), *counts)
+
+    def item(name: str, value: Column, n: Column, ord_: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("item"), (F.lit(1) if ord_ is None else ord_).alias("ord"), value.alias("value"), n.cast("long").alias("n"))
+
+    number = {p: F.col(f"p{i}") for i, p in enumerate(phases)}
+    seen = [F.when(n > 0, item("phase", F.lit(p), n)) for p, n in number.items()]
+    steps = [F.when(F.col("n") > 0, F.lit(SOMETHING)).otherwise(F.lit(NOTHING)), *(F.when(number[p] > 0, F.lit(step)) for p, step in PHASE_STEPS.items())]
+    steps = F.transform(F.array_compact(F.array(*steps)), lambda s, i: item("next_step", s, F.lit(1), i + 1).cast(ITEM))
+    known = F.array_compact(F.array(item("overall_severity", word_of_number(F.col("worst")), F.col("n")).cast(ITEM), *(s.cast(ITEM) for s in seen)))
+    out = whole.select(F.inline(F.concat(known, steps)))
+
+    def placed(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+        return rows.orderBy(*order).limit(most).withColumn("ord", F.row_number().over(W.orderBy(*order)))
+
+    best = placed(found, [F.desc("severity"), F.asc("seq")], findings)
+    out = out.union(best.select(F.lit("finding"), "ord", F.concat_ws(" ", "seq", F.array_join("indicators", "; ")), F.col("severity").cast("long")))
+    top = top_counts(events)
+    out = out.union(top.select(F.concat(F.lit("top "), "field"), "rank", "value", "n"))
     edges = process_edges(events.where("parent_process_name <> '' and process_name <> ''"))
-    return out.union(edges.select(F.lit("process edge"), F.lit(1), F.concat("parent", F.lit(" > "), "child"), "n"))
-
-
-def score_commands(events: DataFrame) -> DataFrame:
-    """A verdict per distinct command: what its text and the text hidden in it show."""
-    decoded = decode_commands(events)
-    text = F.concat_ws("\n", "commandline", "decoded")
-    scored = _scored(decoded.withColumn("hits", hits(text, F.lit(False))))
-    right = replication_right(text)
-    scored = scored.withColumns({
-        "severity": F.when(right.isNotNull(), F.lit(10)).otherwise(F.col("severity")),
-        "techniques": F.when(right.isNotNull(), F.array_union(F.array(F.lit("T1003.006")), "techniques")).otherwise(F.col("techniques")),
+    out = out.union(edges.select(F.lit("process edge"), F.lit(1), F.concat("parent", F.lit(" > "), "child"), "n"))
+    first = placed(events.where("ts is not null").select("seq", "ts", "process_name", "hostname", "event_id"), [F.asc("ts"), F.asc("seq")], times)
+    return out.union(first.select(F.lit("timeline"), "ord", F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "process_name", "hostname", "event_id"), F.lit(1)))
+
+
+#: What a verdict on a command depends on, beside the command.
+CONTEXT = ("event_id", "process_name", "hostname", "user_name", "properties", "object_guid")
+
+
+def score_commands(events: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """A verdict per distinct command and context (CONTEXT; columns that the events lack are null).
+
+    A used replication right decides alone (source dcsync); else what the text and the text
+    hidden in it show, raised by the rules that match an event of that context, if their
+    findings are given. heuristic is the severity without the replication right; confidence falls
+    where both disagree. Texts are judged once each and written, then joined to the contexts.
+    Events without a command have no verdict; verdicts.nudge adds the feedback of analysts.
+    """
+    lacking = {c: F.lit(None).cast("string") for c in CONTEXT if c not in events.columns}
+    rows = events.where("commandline is not null").withColumns(lacking) if lacking else events.where("commandline is not null")
+    keys = ["commandline", *CONTEXT]
+    if findings is None:
+        contexts = rows.select(*keys).distinct().withColumns({"_n": F.lit(1), "_names": F.array().cast("array<string>")})
+    else:
+        number = number_of_word(F.col("severity"))
+        strong = F.when(number >= 8, F.struct("rule_ord", F.concat(F.lit("Rule match: "), "rule_name").alias("name")))
+        marked = rows.select("seq", *keys).join(findings.select("seq", number.alias("_n"), strong.alias("_r")), "seq", "left")
+        contexts = marked.groupBy(*keys).agg(F.coalesce(F.max("_n"), F.lit(1)).alias("_n"), F.array_sort(F.collect_set("_r")).alias("_names"))
+        contexts = contexts.withColumn("_names", F.transform("_names", lambda x: x["name"]))
+    text = F.concat_ws("\n# decoded:\n", "commandline", "decoded")
+    judged = decode_commands(rows).withColumns({"_right": replication_right(text), "hits": hits(text, F.lit(False))})
+    texts = Scratch(events.sparkSession, "commands").keep(_scored(judged).drop("candidates"), "texts")
+    out = contexts.join(texts, "commandline")
+    is_4662 = F.coalesce(F.col("event_id") == "4662", F.lit(False))
+    named = F.when(is_4662 & F.col("_right").isNotNull(), 10).otherwise(F.col("severity"))
+    out = out.withColumns({"matched_right": F.coalesce("_right", used_right(F.lit(None).cast("string"), out)), "heuristic": F.greatest(named, "_n")})
+    used = F.col("matched_right").isNotNull()
+    out = out.withColumns({
+        "severity": F.when(used, F.lit(10)).otherwise(F.col("heuristic")),
+        "techniques": F.when(used, F.array(F.lit("T1003.006"))).otherwise(F.col("techniques")),
+        "indicators": F.when(used, replication_signs(F.col("matched_right"), F.col("user_name"))).otherwise(F.array_union("indicators", "_names")),
+        "source": F.when(used, "dcsync").otherwise("heuristic"),
     })
-    return confidence(scored.withColumn("is_malicious", F.col("severity") >= 5), F.col("severity"), F.lit(True)).drop("layer", "candidates")
+    out = out.withColumn("is_malicious", F.col("severity") >= 5)
+    return confidence(out, F.col("heuristic"), F.col("is_malicious") == (F.col("heuristic") >= 5)).drop("_right", "_n", "_names")
 
 
 def confidence(rows: DataFrame, heuristic: Column, agree: Column) -> DataFrame:

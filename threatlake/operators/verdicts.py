@@ -26,15 +26,28 @@ def replication_right(text: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(low, F.lit(guid)), F.lit(name)) for guid, name in REPLICATION_RIGHTS.items()))
 
 
+def used_right(text: Column, events: DataFrame) -> Column:
+    """The replication right that an event uses, null if none: named in its text, or by a 4662's
+    properties or object. Columns that the events lack count as null."""
+    is_4662 = F.coalesce(F.col("event_id") == "4662", F.lit(False))
+    properties, thing = (F.col(c) if c in events.columns else F.lit(None).cast("string") for c in ("properties", "object_guid"))
+    named = F.when(is_4662 & F.contains(F.lower(properties), F.lit("replication")), properties)
+    listed = F.when(is_4662, replication_right(F.concat_ws(" ", properties, thing)))
+    return F.coalesce(replication_right(text), named, listed)
+
+
 def replication_rights(events: DataFrame) -> DataFrame:
-    """Events that use a replication right: named in the command, or by a 4662's properties or object."""
-    is_4662 = F.col("event_id") == "4662"
-    named = F.when(is_4662 & F.contains(F.lower("properties"), F.lit("replication")), F.col("properties"))
-    listed = F.when(is_4662, F.coalesce(replication_right(F.col("properties")), replication_right(F.col("object_guid")) if "object_guid" in events.columns else F.lit(None)))
-    found = F.coalesce(replication_right(F.col("commandline")), named, listed)
+    """Events that use a replication right."""
+    found = used_right(F.col("commandline"), events)
     return events.select("seq", "hostname", "user_name", found.alias("matched_right"), F.lit(10).alias("severity")).where("matched_right is not null")
 
 
+def replication_signs(right: Column, user: Column) -> Column:
+    """What a verdict on a used replication right says."""
+    actor = F.concat(F.lit("Actor: "), F.coalesce(user, F.lit("unknown")), F.lit(" (should be a DC machine account)"))
+    return F.array(F.concat(F.lit("AD Replication right: "), right), F.lit("EID 4662 triggered by non-DC account"), actor)
+
+
 def exclude_findings(findings: DataFrame, excluded: DataFrame, key: tuple[str, ...] = ("seq", "rule_id")) -> DataFrame:
     """Per incident its counts, and severity and priority of the findings not excluded; with
     none of those left the old severity stays. excluded: incident and key columns."""
@@ -190,6 +203,8 @@ def nudge(rows: DataFrame, examples: DataFrame, key: str, least: float = 0.8) ->
     }
     if "abstained" in rows.columns:
         out["abstained"] = F.when(up | down, False).otherwise(F.col("abstained"))
+    if "source" in rows.columns:
+        out["source"] = F.when(up | down, F.concat("source", F.lit("+fewshot"))).otherwise(F.col("source"))
     if "indicators" in rows.columns:
         raised = F.concat(F.lit("Analyst-labelled a near-identical command as malicious "), seen)
         cleared = F.concat(F.lit("Analyst-cleared a near-identical command as benign "), seen)

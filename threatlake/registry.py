@@ -594,11 +594,44 @@ def filter_tree_ancestors(spark, sf_dir):
     return graph.with_ancestors(graph_edges(spark, sf_dir), _matched(spark, sf_dir))
 
 
-@query()
+def _share(text: str) -> str:
+    return f"(length(regexp_replace({text}, '[^ -~\\t\\r\\n]', '', 'g')) / length({text}))"
+
+
+_ARGUMENT = f"regexp_extract(commandline, {_lit(decode.ARGUMENT)}, 1)"
+#: The hidden text of a command, for UTF-16 of ASCII characters and UTF-8 alone.
+_DECODED = f""", dc0 as (select commandline, list_concat(case when {_ARGUMENT} <> '' then [{_ARGUMENT}] else [] end, regexp_extract_all(commandline, {_lit(decode.BLOB)})) as blobs from (select distinct commandline from ev where commandline is not null) q),
+ dc1 as (select commandline, unnest(blobs) as b, generate_subscripts(blobs, 1) as i from dc0), dc2 as (select commandline, i, case when length(b) % 4 = 0 then hex(try(from_base64(b))) end as h from dc1),
+ dc3 as (select commandline, i, 1 as k, 'utf-16-le' as layer, decode(unhex(regexp_replace(h, '(..)00', '\\1', 'g'))) as t from dc2 where regexp_full_match(h, '(..00)+')
+ union all select commandline, i, 2, 'utf-8', replace(try(decode(unhex(h))), chr(0), '') from dc2),
+ dc as (select commandline, t as decoded, layer from (select *, row_number() over (partition by commandline order by i, {_share('t')} desc, k) as rn from dc3 where length(t) >= {decode.LEAST} and {_share('t')} >= {decode.PLAIN}) q where rn = 1)"""
+
+
+@query("select commandline, decoded, layer, len(list_distinct(blobs)) as candidates from dc0 left join dc using (commandline)", _DECODED)
 def decode_commands(spark, sf_dir):
     return decode.decode_commands(events(spark, sf_dir))
 
 
+#: The argument's pattern asks for 16 characters of base64, which 10 bytes give.
+_WHOLE = "case when kind = 'utf-8' then strlen(text) else 2 * length(text) end >= 10 and " + _share("text") + " >= 0.85"
+
+
+@query(f"select kind, count(*) as commands, count(*) filter ({_WHOLE}) as decoded, sum(case when {_WHOLE} then length(text) else 0 end)::bigint as chars, count(distinct case when {_WHOLE} then md5(text) end) as texts from (select distinct text, case when text = '' then 'utf-8' when doc_id % 2 = 0 then 'utf-16-le' else 'utf-8' end as kind from documents where text is not null) q group by kind")
+def decode_hidden(spark, sf_dir):
+    """Every whole text of documents hidden in a command, in UTF-16 or UTF-8, and decoded again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    kind = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") != ""), "utf-16-le").otherwise("utf-8").alias("kind")
+    rows = docs.select("text", kind).distinct()
+    raw = F.when(F.col("kind") == "utf-8", F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
+    rows = rows.select("text", "kind", F.concat(F.lit("powershell -enc "), F.translate(F.base64(raw), "\r\n", "")).alias("commandline"))
+    found = decode.decode_commands(rows).join(rows, "commandline")
+    right = (F.col("decoded") == F.col("text")) & (F.col("layer") == F.col("kind"))
+    return found.groupBy("kind").agg(
+        F.count("*").alias("commands"), F.count_if(right).alias("decoded"), F.sum(F.when(right, F.length("text")).otherwise(0)).alias("chars"),
+        F.count_distinct(F.when(right, F.md5("text"))).alias("texts"),
+    )
+
+
 @query("""select query_id, cast(rank as int) as rank, neighbour_id, round(similarity, 4) as similarity from (
     select *, row_number() over (partition by query_id order by similarity desc, neighbour_id) as rank from (
     select q.vec_id as query_id, v.vec_id as neighbour_id, coalesce(round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9), 0) as similarity
@@ -652,17 +685,51 @@ _TACTIC = "case split_part(t, '.', 1) " + " ".join(f"when '{k}' then '{v}'" for
 _COUNTS = " union all ".join(f"select '{c}' as field, coalesce({c}, 'unknown') as value, seq from ev" for c in ("event_id", "hostname", "user_name"))
 
 
-@query(f"""select 'overall_severity' as item, 1 as ord, case when m >= 9 then 'critical' when m >= 7 then 'high' when m >= 5 then 'medium' else 'clean' end as value, n from (select coalesce(max(sev), 1) as m, count(*) as n from sem where sev >= 5) a
- union all select 'phase', 1, value, count(distinct seq) from (select seq, {_TACTIC} as value from (select seq, unnest(techs) as t from sem where sev >= 5) b0) b where value is not null group by value
+def _right_sql(text: str) -> str:
+    return "coalesce(" + ", ".join(f"case when contains(lower({text}), '{g}') then {_lit(n)} end" for g, n in verdicts.REPLICATION_RIGHTS.items()) + ")"
+
+
+_BY_CONTEXT = f"case when event_id = '4662' then coalesce(case when contains(lower(properties), 'replication') then properties end, {_right_sql("concat_ws(' ', properties, object_guid)")}) end"
+_SIGNS = "['AD Replication right: ' || mr, 'EID 4662 triggered by non-DC account', 'Actor: ' || coalesce(user_name, 'unknown') || ' (should be a DC machine account)']"
+_PRE = f""", pr as (select seq, case when mr is not null then 10 else sev end as sev, case when mr is not null then ['T1003.006'] else techs end as techs, case when mr is not null then {_SIGNS} else inds end as inds
+ from (select *, coalesce({_right_sql(_ACTIVITY)}, {_BY_CONTEXT}) as mr from sem) m), hi as (select * from pr where sev >= 5),
+ ph as (select value, count(distinct seq) as n from (select seq, {_TACTIC} as value from (select seq, unnest(techs) as t from hi) b0) b where value is not null group by value),
+ steps as (select 0 as o, case when exists (select 1 from hi) then {_lit(heuristics.SOMETHING)} else {_lit(heuristics.NOTHING)} end as step
+ {" ".join(f"union all select {i + 1}, {_lit(step)} where {_lit(p)} in (select value from ph)" for i, (p, step) in enumerate(heuristics.PHASE_STEPS.items()))})"""
+
+
+@query(f"""select 'overall_severity' as item, 1 as ord, case when m >= 9 then 'critical' when m >= 7 then 'high' when m >= 5 then 'medium' else 'clean' end as value, n from (select coalesce(max(sev), 1) as m, count(*) as n from hi) a
+ union all select 'phase', 1, value, n from ph
+ union all select 'next_step', cast(row_number() over (order by o) as int), step, 1 from steps
+ union all select 'finding', cast(row_number() over (order by sev desc, seq) as int), seq || ' ' || array_to_string(inds, '; '), sev from (select * from hi order by sev desc, seq limit 100) f
+ union all select 'timeline', cast(row_number() over (order by ts, seq) as int), concat_ws(' ', strftime(ts, '%Y-%m-%d %H:%M:%S'), process_name, hostname, event_id), 1 from (select * from ev where ts is not null order by ts, seq limit 200) t
  union all select 'top ' || field, cast(rank as int), value, n from (select *, row_number() over (partition by field order by n desc, f) as rank from (select field, value, count(*) as n, min(seq) as f from ({_COUNTS}) c0 group by 1, 2) c1) c where rank <= 12
- union all select 'process edge', 1, parent || ' > ' || child, n from (select lower(parent_process_name) as parent, lower(process_name) as child, count(*) as n, min(seq) as f from ev group by 1, 2 order by n desc, f limit 20) d""", _SEMANTICS)
+ union all select 'process edge', 1, parent || ' > ' || child, n from (select lower(parent_process_name) as parent, lower(process_name) as child, count(*) as n, min(seq) as f from ev group by 1, 2 order by n desc, f limit 20) d""", _SEMANTICS + _PRE)
 def agg_prescan(spark, sf_dir):
     return heuristics.prescan(events(spark, sf_dir), None)
 
 
-@query()
+_CONTEXT = ", ".join(heuristics.CONTEXT)
+_COMMANDS = _DECODED + f""", ct as (select commandline, decoded, layer, concat_ws(chr(10) || '# decoded:' || chr(10), commandline, decoded) as txt from (select distinct commandline from ev) q left join dc using (commandline)),
+ ch as (select *, {_hit_sql('txt', 'false')} as hits, {_right_sql('txt')} as rt from ct),
+ cx as (select ev.commandline, {", ".join("ev." + c for c in heuristics.CONTEXT)}, coalesce(max({_NUMBER.replace("else 3", "when 'LOW' then 3")}), 1) as n,
+ coalesce(list_sort(list_distinct(list({{'o': rule_ord, 'n': 'Rule match: ' || rule_name}}) filter ({_NUMBER} >= 8))), []) as names from ev left join fi on fi.seq = ev.seq group by all),
+ s0 as (select cx.*, decoded, layer, hits, coalesce(rt, {_BY_CONTEXT}) as mr, greatest(n, case when event_id = '4662' and rt is not null then 10 else coalesce(list_max([h.s for h in hits]), 1) end) as heuristic from cx join ch using (commandline)),
+ s1 as (select *, case when mr is not null then 10 else heuristic end as severity, case when mr is not null then ['T1003.006'] else [h.t for h in hits] end as techs,
+ case when mr is not null then {_SIGNS} else list_concat([h.i for h in hits], [x.n for x in names]) end as inds, case when mr is not null then 'dcsync' else 'heuristic' end as source from s0),
+ s2 as (select *, severity >= 5 as is_malicious, (severity >= 5) = (heuristic >= 5) as agree, severity >= 7 or heuristic >= 7 as strong, severity <= 2 and len(inds) = 0 as benign from s1),
+ sc as (select *, not agree or not (strong or benign) as abstained, round(least(case when agree then 1.0 else 0.45 end, case when strong then least(0.95, 0.7 + 0.05 * len(inds)) when benign then 0.7 else 0.4 end), 2)::double as confidence from s2)"""
+
+
+def _commands(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return heuristics.score_commands(rows, rules.evaluate(rows))
+
+
+@query(f"select commandline, {_CONTEXT}, decoded, layer, mr as matched_right, source, severity, heuristic, is_malicious, {_TECHS} as techniques, array_to_string(inds, '|') as indicators, confidence, abstained from sc", _FINDINGS + _COMMANDS)
 def score_commands(spark, sf_dir):
-    return heuristics.score_commands(events(spark, sf_dir)).select("commandline", "decoded", "severity", "is_malicious", _joined("techniques"), _joined("indicators", True), "confidence", "abstained")
+    columns = ("decoded", "layer", "matched_right", "source", "severity", "heuristic", "is_malicious", "confidence", "abstained")
+    return _commands(spark, sf_dir).select("commandline", *heuristics.CONTEXT, *columns, _joined("techniques"), _joined("indicators", True))
 
 
 _SHOWN = ", sh as (select seq, sev as severity, hostname as host, user_name, technique from (select *, unnest(list_distinct(techs)) as technique from sem where sev >= 5) q), nw as (select * from sh where (technique, host) not in (select mitre, hostname from de))"
@@ -872,10 +939,17 @@ def verdict_confidence(spark, sf_dir):
     return heuristics.confidence(_floored(spark, sf_dir), F.col("heuristic"), agree).select("seq", "confidence", "abstained")
 
 
-@query()
+_NUDGED = """, nd as (select sc.*, coalesce(severity < 7 and label, false) as up, coalesce(severity < 7 and not label, false) as down, similarity, corrected from sc left join (
+ select fs.commandline as c, fs.label, fs.similarity, fb.corrected_severity as corrected from fs join good using (id) join fb on fb.seq = good.seq where fs.rank = 1 and similarity >= 0.8) e on c = commandline)"""
+
+
+@query(f"""select commandline, {_CONTEXT}, case when up then greatest(7, coalesce(corrected, 7)) when down then least(severity, 2) else severity end as severity, up or (is_malicious and not down) as is_malicious, up or down as moved,
+ case when up or down then round(greatest(0.8, least(similarity, 0.97)), 2) else confidence end as confidence, abstained and not (up or down) as abstained, case when up or down then source || '+fewshot' else source end as source,
+ array_to_string(list_concat(inds, case when up then ['Analyst-labelled a near-identical command as malicious ' || printf('(sim=%.2f)', similarity)] when down then ['Analyst-cleared a near-identical command as benign ' || printf('(sim=%.2f)', similarity)] else [] end), '|') as indicators
+ from nd""", _FINDINGS + _COMMANDS + _FEEDBACK + _FEWSHOT + _NUDGED)
 def verdict_feedback_nudge(spark, sf_dir):
-    scored = heuristics.score_commands(events(spark, sf_dir))
-    return verdicts.nudge(scored, _fewshot(spark, sf_dir), "commandline").select("commandline", "severity", "is_malicious", "moved", "confidence")
+    moved = verdicts.nudge(_commands(spark, sf_dir), _fewshot(spark, sf_dir), "commandline")
+    return moved.select("commandline", *heuristics.CONTEXT, "severity", "is_malicious", "moved", "confidence", "abstained", "source", _joined("indicators", True))
 
 
 @query("select case when seq % 2 = 0 then analyst else '' end as analyst, commandline, label, case when corrected_severity is null then -1 else corrected_severity end as corrected_severity from fb", _FEEDBACK)
