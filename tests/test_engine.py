@@ -149,8 +149,14 @@ def test_streams_equal_batches(spark, tmp_path):
 
     found = rules.evaluate(rows)
     assert ran(jobs.stream_rules(stream), "r1").count() == found.count()
-    tries = ran(jobs.stream_bruteforce(stream), "r3", "update")
-    assert "invalid_failures" in tries.columns
+    # the same rows in four files, one a batch, not in order of time
+    rows.repartition(4, F.xxhash64("seq")).write.parquet(str(tmp_path / "parts"))
+    parts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "parts"))
+    named = lambda df: sorted(map(str, df.select("window.*", *(c for c in df.columns if c != "window")).collect()))
+    wide = {"least": 1, "width": "30 days", "slide": "15 days"}
+    want = named(jobs.stream_bruteforce(rows, **wide))
+    assert len({r.split("rule_id='")[1][:11] for r in want}) == 3
+    assert named(ran(jobs.stream_bruteforce(parts, **wide), "r3", "complete")) == want
     assert ran(jobs.stream_incident_sessions(jobs.stream_rules(stream)), "r4", "complete").agg(F.sum("findings")).first()[0] == found.count()
 
 
@@ -239,3 +245,18 @@ def test_incidents_by_steps_equal_one_run(spark):
     assert {(r.seq, r.incident) for r in where.collect()} == {(1, 1), (2, 1), (3, 1)}
     log = spark.createDataFrame([(2, 7, "excluded"), (5, 8, "new")], "incident_id long, seq long, status string")
     assert {(r.incident_id, r.status) for r in incidents.follow(log, where).collect()} == {(1, "excluded"), (5, "new")}
+
+
+def test_validation_hunts_find_the_evidence(spark):
+    from threatlake.operators import heuristics
+
+    rows = events(spark, SF).cache()
+    counts = {r.technique: r.evidence for r in heuristics.evidence(rows).collect()}
+    for technique in ("T1003.001", "T1059.001", "T1140"):
+        ir, errors = hunt.checked(heuristics.validation_hunt(technique))
+        assert not errors and hunt.run_hunt(rows, ir).count() == counts[technique] > 0
+    for technique in [*heuristics.EVIDENCE, "T9999"]:
+        assert not hunt.checked(heuristics.validation_hunt(technique))[1]
+    asked = spark.createDataFrame([("T1140",), ("T9999",)], "technique string")
+    found = {r.technique: r.evidence for r in heuristics.with_evidence(asked, rows).collect()}
+    assert found == {"T1140": counts["T1140"], "T9999": rows.where("process_name <> ''").count()}

@@ -5,6 +5,8 @@ Patterns run once per distinct text; their results are joined back to the events
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -254,15 +256,44 @@ def confidence(rows: DataFrame, heuristic: Column, agree: Column) -> DataFrame:
     return rows.withColumns({"confidence": F.round(F.when(agree, value).otherwise(F.least(value, F.lit(0.45))), 2), "abstained": ~agree | ~(strong | benign)})
 
 
+def validation_hunt(technique: str) -> dict:
+    """The hunt for evidence of a technique: any of its tests, or any process if it has none."""
+    tests = EVIDENCE.get(technique, [("process_name", "ne", "")])
+    step = {"id": "a", "match": "any", "predicates": [{"field": f, "op": o, "value": v} for f, o, v in tests]}
+    return {"description": f"Validate {technique} activity", "steps": [step], "relations": [], "select": "a"}
+
+
 def hypotheses(scored: DataFrame, findings: DataFrame, most: int | None = 12) -> DataFrame:
-    """Techniques that activity suggests and no rule has confirmed on that host: the most severe
-    event of each, and how many events are evidence."""
+    """Techniques that activity suggests and no rule has confirmed on that host, the most severe
+    first: the most severe event of each, what is suspected and why, and the hunt (JSON, for
+    hunt.checked and run_hunt) that would validate it."""
     confirmed = findings.where("mitre <> ''").select(F.col("mitre").alias("technique"), F.coalesce("hostname", F.lit("")).alias("host")).distinct()
-    shown = scored.where("severity >= 5").select("seq", "severity", F.coalesce("hostname", F.lit("")).alias("host"), "user_name", F.explode("techniques").alias("technique"))
+    signs = F.array_join(F.slice("indicators", 1, 3), ", ").alias("signs")
+    shown = scored.where("severity >= 5").select("seq", "severity", F.coalesce("hostname", F.lit("")).alias("host"), "user_name", signs, F.explode("techniques").alias("technique"))
     new = drop_confirmed(shown, confirmed)
-    best = new.groupBy("technique").agg(F.max_by(F.struct("severity", "host", "user_name", "seq"), F.struct("severity", -F.col("seq"))).alias("b"))
-    top = best.select("technique", "b.*").orderBy(F.desc("severity"), "seq", "technique")
-    return (top.limit(most) if most else top).withColumn("confidence", confidence_of_number(F.col("severity")))
+    best = new.groupBy("technique").agg(F.max_by(F.struct("severity", "host", "user_name", "seq", "signs"), F.struct("severity", -F.col("seq"))).alias("b"))
+    order = (F.desc("severity"), F.asc("seq"), F.asc("technique"))
+    top = best.select("technique", "b.*").orderBy(*order)
+    top = top.limit(most) if most else top
+    by = F.when(F.col("user_name") != "", F.concat(F.lit(" by "), "user_name")).otherwise("")
+    known = {t: json.dumps(validation_hunt(t)) for t in EVIDENCE}
+    asked = F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.col("technique"))
+    other = F.replace(F.lit(json.dumps(validation_hunt("$"))), F.lit("$"), F.col("technique"))
+    # one row per technique, so that a single task may number them
+    return top.withColumns({
+        "id": F.concat(F.lit("hyp_"), F.row_number().over(W.orderBy(*order)) - 1), "confidence": confidence_of_number(F.col("severity")),
+        "hypothesis": F.concat(F.lit("Suspected "), "technique", F.lit(" activity on "), F.coalesce(F.nullif("host", F.lit("")), F.lit("a host")), by, F.lit(" — not yet matched by a detection rule.")),
+        "rationale": F.concat(F.lit("Suspected (no rule match): "), F.coalesce(F.nullif("signs", F.lit("")), F.lit("suspicious activity")), F.lit(" (severity "), "severity", F.lit(").")),
+        "validation_query": F.coalesce(asked, other),
+    }).drop("signs")
+
+
+def with_evidence(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows with a technique and how many events its validation hunt finds; one scan for all."""
+    counts = evidence(events).agg(F.map_from_entries(F.collect_list(F.struct("technique", "evidence"))).alias("_known"))
+    others = events.agg(F.count_if(F.coalesce(F.col("process_name") != "", F.lit(False))).alias("_others"))
+    one = counts.crossJoin(others)
+    return rows.crossJoin(F.broadcast(one)).withColumn("evidence", F.coalesce(F.element_at("_known", F.col("technique")), "_others")).drop("_known", "_others")
 
 
 def drop_confirmed(rows: DataFrame, confirmed: DataFrame) -> DataFrame:

@@ -187,34 +187,45 @@ def is_invalid_user(name: Column) -> Column:
     return F.lower(F.trim(F.coalesce(name, F.lit("")))).isin(INVALID_USERS)
 
 
-def bruteforce(events: DataFrame, least: int = 5) -> DataFrame:
-    """Per source with at least `least` failures of users who do not exist, what else it did.
+def logons(events: DataFrame) -> DataFrame:
+    return events.where((text("process_name") == "sshd") | (text("event_category") == "authentication")).where("source_ip <> ''")
+
 
-    One aggregate: partial sums leave at most one row per source and task before the shuffle.
-    """
-    auth = events.where((text("process_name") == "sshd") | (text("event_category") == "authentication")).where("source_ip <> ''")
+def tries(auth: DataFrame, *keys: Column | str) -> DataFrame:
+    """Per key the failures of users who do not exist, those of others and the successes, with
+    their names and times. One aggregate: partial sums leave at most one row per key and task
+    before the shuffle."""
     failed, won, invalid = text("event_outcome") == "failed", text("event_outcome") == "success", is_invalid_user(F.col("user_name"))
 
     def named(test: Column, column: str, out: str) -> Column:
         return F.array_join(F.array_sort(F.collect_set(F.when(test & (F.col(column) != ""), F.col(column)))), ", ").alias(out)
 
-    per = auth.groupBy("source_ip").agg(
+    return auth.groupBy(*keys).agg(
         F.count_if(failed & invalid).alias("invalid"), F.count_if(failed & ~invalid).alias("real"), F.count_if(won).alias("won"),
         named(won, "user_name", "won_users"), named(failed & ~invalid, "user_name", "real_users"), named(failed | won, "hostname", "hosts"),
         F.min(F.when(failed & invalid, F.col("ts"))).alias("first_seen"),
         F.max(F.when(won, F.col("ts"))).alias("last_won"), F.max(F.when(failed & ~invalid, F.col("ts"))).alias("last_real"), F.max(F.when(failed & invalid, F.col("ts"))).alias("last_invalid"),
     )
 
+
+def cases(per: DataFrame, least: int, *keys: str) -> DataFrame:
+    """What the tries of a key amount to, where users who do not exist failed `least` times."""
+
     def case(rule, name, severity, users, last):
         return F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), users.alias("accounts"), F.col(last).alias("last_seen"))
 
-    cases = F.array(
+    of_key = F.array(
         F.when(F.col("won") > 0, case("TH-CORR-001", "SSH Brute Force — Account Compromised", "CRITICAL", F.col("won_users"), "last_won")),
         F.when(F.col("real") > 0, case("TH-CORR-002", "SSH Brute Force — Valid Account Targeted", "HIGH", F.col("real_users"), "last_real")),
         F.when((F.col("won") == 0) & (F.col("real") == 0), case("TH-CORR-003", "SSH User Enumeration Detected", "MEDIUM", F.lit(""), "last_invalid")),
     )
-    found = per.where(F.col("invalid") >= least).select("source_ip", "invalid", "hosts", "first_seen", F.explode(F.filter(cases, lambda c: c.isNotNull())).alias("c"))
+    found = per.where(F.col("invalid") >= least).select(*keys, "invalid", "hosts", "first_seen", F.explode(F.filter(of_key, lambda c: c.isNotNull())).alias("c"))
     return found.select(
-        "c.rule_id", "c.rule_name", F.lit("T1110.001").alias("mitre"), F.lit("Credential Access").alias("tactic"), "c.severity", "source_ip", F.col("invalid").alias("invalid_failures"),
+        "c.rule_id", "c.rule_name", F.lit("T1110.001").alias("mitre"), F.lit("Credential Access").alias("tactic"), "c.severity", *keys, F.col("invalid").alias("invalid_failures"),
         "hosts", "c.accounts", "first_seen", "c.last_seen",
     )
+
+
+def bruteforce(events: DataFrame, least: int = 5) -> DataFrame:
+    """Per source with at least `least` failures of users who do not exist, what else it did."""
+    return cases(tries(logons(events), "source_ip"), least, "source_ip")

@@ -740,15 +740,24 @@ _EVIDENCE = " union all ".join(
 )
 
 
-def _hypotheses(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    return heuristics.hypotheses(heuristics.event_semantics(rows), dedup_findings(spark, sf_dir)).join(heuristics.evidence(rows), "technique", "left")
+def _hunt_sql() -> str:
+    import json
+
+    whens = " ".join(f"when {_lit(t)} then {_lit(json.dumps(heuristics.validation_hunt(t)))}" for t in heuristics.EVIDENCE)
+    return f"case technique {whens} else replace({_lit(json.dumps(heuristics.validation_hunt('$')))}, '$', technique) end"
 
 
-@query(f"""select h.*, e.evidence, case when severity >= 9 then 0.9::double when severity >= 7 then 0.75::double when severity >= 5 then 0.55::double else 0.4::double end as confidence from (
- select technique, severity, host, user_name, seq from (select *, row_number() over (partition by technique order by severity desc, seq) as rn from nw) q where rn = 1 order by severity desc, seq, technique limit 12) h left join ({_EVIDENCE}) e using (technique)""", _SEMANTICS + _FINDINGS + _DEDUP + _SHOWN)
+@query(f"""select technique, severity, host, user_name, seq, 'hyp_' || (row_number() over (order by severity desc, seq, technique) - 1) as id,
+ 'Suspected ' || technique || ' activity on ' || coalesce(nullif(host, ''), 'a host') || coalesce(' by ' || nullif(user_name, ''), '') || ' — not yet matched by a detection rule.' as hypothesis,
+ 'Suspected (no rule match): ' || signs || ' (severity ' || severity || ').' as rationale, {_hunt_sql()} as validation_query,
+ coalesce(e.evidence, (select count(*) from ev where process_name <> '')) as evidence, case when severity >= 9 then 0.9::double when severity >= 7 then 0.75::double when severity >= 5 then 0.55::double else 0.4::double end as confidence
+ from (select * from (select *, row_number() over (partition by technique order by severity desc, seq) as rn from (
+ select pr.seq, sev as severity, hostname as host, user_name, array_to_string(inds[1:3], ', ') as signs, unnest(list_distinct(techs)) as technique from pr join ev on ev.seq = pr.seq where sev >= 5) s
+ where (technique, host) not in (select mitre, hostname from de)) q where rn = 1 order by severity desc, seq, technique limit 12) h left join ({_EVIDENCE}) e using (technique)""", _SEMANTICS + _PRE + _FINDINGS + _DEDUP + _SHOWN)
 def hypotheses_rank(spark, sf_dir):
-    return _hypotheses(spark, sf_dir)
+    rows = events(spark, sf_dir)
+    scored = heuristics.with_replication(heuristics.event_semantics(rows))
+    return heuristics.with_evidence(heuristics.hypotheses(scored, dedup_findings(spark, sf_dir)), rows)
 
 
 @query("select seq, technique, host from nw", _SEMANTICS + _FINDINGS + _DEDUP + _SHOWN)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.predicates import text
 from ..operators import rules
 
 
@@ -74,12 +73,11 @@ def stream_dedup(findings: DataFrame, delay: str = "1 hour", keep: str = "1 hour
     return findings.withColumns(keys).withWatermark("ts", delay).groupBy(*keys).transformWithState(_lowest(schema, millis), schema, "Append", "EventTime")
 
 
-def stream_bruteforce(events: DataFrame, least: int = 5, delay: str = "1 hour") -> DataFrame:
-    """Failures of users who do not exist and successes per source in sliding hours."""
-    auth = events.where((text("process_name") == "sshd") | (text("event_category") == "authentication")).where("source_ip <> ''").withWatermark("ts", delay)
-    failed = (text("event_outcome") == "failed") & rules.is_invalid_user(F.col("user_name"))
-    per = auth.groupBy(F.window("ts", "1 hour", "10 minutes"), "source_ip").agg(F.count_if(failed).alias("invalid_failures"), F.count_if(text("event_outcome") == "success").alias("successes"))
-    return per.where(F.col("invalid_failures") >= least)
+def stream_bruteforce(events: DataFrame, least: int = 5, delay: str = "1 hour", width: str = "1 hour", slide: str = "10 minutes") -> DataFrame:
+    """The cases of rules.bruteforce per source and sliding window; a window is closed, and its
+    state ends, once the watermark is past it."""
+    auth = rules.logons(events).withWatermark("ts", delay)
+    return rules.cases(rules.tries(auth, F.window("ts", width, slide), "source_ip"), least, "window", "source_ip")
 
 
 def stream_incident_sessions(findings: DataFrame, delay: str = "1 hour", gap: str = "1 hour") -> DataFrame:
