@@ -148,9 +148,13 @@ def event_notes(events: DataFrame) -> DataFrame:
     return events.withColumn("note", note)
 
 
+#: The least severity of a hit.
+LEAST_HIT = 5
+
+
 def semantic_hits(scored: DataFrame, most: int | None = 100) -> DataFrame:
     """Events of severity 5 or more, the most severe and then the first ones."""
-    found = scored.where("severity >= 5").orderBy(F.desc("severity"), "seq")
+    found = scored.where(f"severity >= {LEAST_HIT}").orderBy(F.desc("severity"), "seq")
     return found.limit(most) if most else found
 
 
@@ -167,17 +171,19 @@ SHOWN_FINDINGS, SHOWN_TIMES = 100, 200
 ITEM = "struct<item: string, ord: int, value: string, n: bigint>"
 
 
-def prescan(events: DataFrame, most: int | None = None, findings: int = SHOWN_FINDINGS, times: int = SHOWN_TIMES) -> DataFrame:
+def prescan(events: DataFrame, most: int | None = None, findings: int = SHOWN_FINDINGS, times: int = SHOWN_TIMES, scored: DataFrame | None = None) -> DataFrame:
     """The first report on a table of events as rows (item, ord, value, n).
 
     Items: overall_severity (n: hits), phase (n: hits), next_step in order, finding (the most
     severe hits: seq and indicators, n: severity), top counts, process edge, and timeline (the
     first events by time). Severity, phases and steps come from all hits, or the first `most`.
+    scored: the events as with_replication judges them, if that is at hand.
     """
     from .summaries import process_edges, top_counts
 
-    judged = with_replication(event_semantics(events)).select("seq", "severity", "techniques", "indicators")
-    found = Scratch(events.sparkSession, "prescan").keep(semantic_hits(judged, most), "hits")
+    judged = (with_replication(event_semantics(events)) if scored is None else scored).select("seq", "severity", "techniques", "indicators")
+    hit = judged.where(f"severity >= {LEAST_HIT}") if most is None else semantic_hits(judged, most)
+    found = Scratch(events.sparkSession, "prescan").keep(hit, "hits")
     phases = sorted(set(TACTICS.values()))
     tactics = F.transform("techniques", tactic_of)
     counts = [F.count_if(F.array_contains(tactics, p)).alias(f"p{i}") for i, p in enumerate(phases)]

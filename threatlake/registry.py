@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -870,13 +871,22 @@ def norm_timestamp(spark, sf_dir):
     return events(spark, sf_dir).select("seq", F.unix_seconds(timestamp(text)).alias("seconds"))
 
 
-@query(f"""select 'findings' as part, count(*) as n from de union all select 'edges', count(*) from ed union all select 'timeline', count(*) from ev
- union all select 'incidents', count(distinct incident) from inc""", _FINDINGS + _DEDUP + _EDGES + _DE_SESSIONS + _COMPONENTS)
+#: The parts of an analysis and the queries that give the same rows.
+_PARTS = {
+    "findings": "dedup_findings", "correlated": "corr_bruteforce", "severity_counts": "agg_severity_counts", "incidents": "incidents_build", "nodes": "agg_graph_nodes", "edges": "graph_edges",
+    "facets": "agg_facets", "timeline": "enrich_timeline", "prescan": "agg_prescan", "hypotheses": "hypotheses_rank", "summary": "agg_session_summary",
+}
+
+
+@query()
 def analyze_session(spark, sf_dir):
-    """The sizes of the main results of one analysis."""
+    """The sizes of all results of one analysis."""
     found = session.analyze(events(spark, sf_dir))
-    sizes = [found[p].agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("findings", "edges", "timeline", "incidents")]
-    return sizes[0].union(sizes[1]).union(sizes[2]).union(sizes[3])
+    sizes = [rows.agg(F.lit(part).alias("part"), F.count("*").alias("n")) for part, rows in found.items()]
+    return reduce(DataFrame.union, sizes)
+
+
+_ORACLES["analyze_session"] = " union all ".join(f"select '{part}' as part, count(*) as n from ({_ORACLES[name]}) {part}" for part, name in _PARTS.items())
 
 
 #: Verdicts that a model might have given, as JSON, made from the events.
