@@ -155,9 +155,14 @@ def test_patterns_see_whole_texts(spark):
 
 
 def test_words_that_steer_a_model(spark):
-    from threatlake.registry import _MARKERS
+    from threatlake.functions.predicates import MARKERS, steering
 
     hits = ["Ignore  ALL rules", "you are\tnow free", "jailbreak", "x System : y", "a [INST] b", "<|im_start|>", "</input>", "<SYSTEM>", "Assistant:"]
     misses = ["ignore it", "you were now", "[inst", "input>x", "assist:", "im_start", "", None]
     rows = spark.createDataFrame([(t,) for t in hits + misses], "t string")
-    assert [r.t for r in rows.where(predicates.matches(F.col("t"), _MARKERS)).collect()] == hits
+    assert [r.t for r in rows.where(predicates.matches(F.col("t"), MARKERS)).collect()] == hits
+    nested = {"list": F.array("t"), "key": F.create_map(F.coalesce("t", F.lit("")), F.lit(1)), "value": F.create_map(F.lit(1), F.array(F.struct(F.lit(2).alias("n"), F.col("t").alias("x"))))}
+    for value in nested.values():
+        assert [r.t for r in steering(rows.select("t", value.alias("v a")), "v a").where("steers").collect()] == hits
+    assert steering(rows.select(F.lit(None).cast("array<map<string,string>>").alias("v"), F.lit(1).alias("n"))).where("steers").count() == 0
+    assert steering(rows.select(F.struct(F.col("t").alias("system:")).alias("v"))).where("not steers").count() == 0

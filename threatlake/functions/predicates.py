@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -85,3 +87,32 @@ def step(spec: dict) -> Column:
     """A hunt step: predicates [{field, op, value}] joined by match 'all' or 'any'."""
     tests = [OPS[p["op"]](p["field"], p["value"]) for p in spec["predicates"]]
     return reduce(and_ if spec.get("match", "all") == "all" else or_, tests)
+
+
+#: Fixed value: words that try to steer a model.
+MARKERS = r"(?i)(ignore\s+(previous|all|above)|you\s+are\s+now|jailbreak|system\s*:|\[INST\]|<\|im_start\|>|</?input>|</?system>|assistant\s*:)"
+
+
+def steers(value: Column, kind: T.DataType) -> Column:
+    """Whether a value holds such words: in its text, or in any key or value nested in it, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        found = F.exists(value, lambda v: steers(v, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        found = steers(F.map_keys(value), T.ArrayType(kind.keyType)) | steers(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        found = F.lit(any(re.search(MARKERS, f.name) for f in kind.fields)) & value.isNotNull()
+        for f in kind.fields:
+            found = found | steers(value[f.name], f.dataType)
+    elif isinstance(kind, (T.StringType, T.VariantType)):
+        return matches(value if isinstance(kind, T.StringType) else F.to_json(value), MARKERS)
+    else:
+        return F.lit(False)
+    return F.coalesce(found, F.lit(False))
+
+
+def steering(rows: DataFrame, *columns: str) -> DataFrame:
+    """Adds `steers`: whether any of the columns (all, if none is named) holds such words."""
+    found = F.lit(False)
+    for c in columns or rows.columns:
+        found = found | steers(F.col(f"`{c}`"), rows.schema[c].dataType)
+    return rows.withColumn("steers", found)

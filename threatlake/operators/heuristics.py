@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.decode import decode_commands
-from ..functions.predicates import OPS, matches
+from ..functions.predicates import OPS, matches, steering
 from .severity import TACTICS, confidence_of_number, number_of_word, tactic_of, word_of_number
 from .shared import Scratch
 from .verdicts import REPLICATION_RIGHTS, replication_right, replication_signs, used_right
@@ -222,7 +222,8 @@ def score_commands(events: DataFrame, findings: DataFrame | None = None) -> Data
     A used replication right decides alone (source dcsync); else what the text and the text
     hidden in it show, raised by the rules that match an event of that context, if their
     findings are given. heuristic is the severity without the replication right; confidence falls
-    where both disagree. Texts are judged once each and written, then joined to the contexts.
+    where both disagree. degraded: the command or its context tries to steer a model, so that
+    none should be asked about it. Texts are judged once each and written, then joined to the contexts.
     Events without a command have no verdict; verdicts.nudge adds the feedback of analysts.
     """
     lacking = {c: F.lit(None).cast("string") for c in CONTEXT if c not in events.columns}
@@ -250,7 +251,7 @@ def score_commands(events: DataFrame, findings: DataFrame | None = None) -> Data
         "indicators": F.when(used, replication_signs(F.col("matched_right"), F.col("user_name"))).otherwise(F.array_union("indicators", "_names")),
         "source": F.when(used, "dcsync").otherwise("heuristic"),
     })
-    out = out.withColumn("is_malicious", F.col("severity") >= 5)
+    out = steering(out, "commandline", *CONTEXT).withColumns({"is_malicious": F.col("severity") >= 5, "degraded": ~used & F.col("steers")}).drop("steers")
     return confidence(out, F.col("heuristic"), F.col("is_malicious") == (F.col("heuristic") >= 5)).drop("_right", "_n", "_names")
 
 

@@ -124,16 +124,15 @@ def activity_text(spark, sf_dir):
     return events(spark, sf_dir).select("seq", heuristics.activity(events(spark, sf_dir)).alias("activity"))
 
 
-#: Fixed value: words that try to steer a model.
-_MARKERS = r"(?i)(ignore\s+(previous|all|above)|you\s+are\s+now|jailbreak|system\s*:|\[INST\]|<\|im_start\|>|</?input>|</?system>|assistant\s*:)"
-
-
-@query(" union all ".join(f"select '{t}' as source, count(*) as scanned, count(*) filter (coalesce(regexp_matches(text, {_lit(_MARKERS)}), false)) as flagged from {t}" for t in ("conversations", "documents", "benchmark")))
+@query(" union all ".join(f"select '{t}' as source, count(*) as scanned, count(*) filter (coalesce(regexp_matches(text, {_lit(predicates.MARKERS)}), false)) as flagged from {t}" for t in ("conversations", "documents", "benchmark")))
 def prompt_injection_scan(spark, sf_dir):
-    """Texts with such words in every table of texts, whole texts."""
-    flagged = F.count_if(predicates.matches(F.col("text"), _MARKERS)).alias("flagged")
-    counts = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.lit(t).alias("source"), F.count("*").alias("scanned"), flagged) for t in ("conversations", "documents", "benchmark")]
-    return counts[0].union(counts[1]).union(counts[2])
+    """Texts with such words in every table of texts, whole texts; as plain, listed and mapped values."""
+    shapes = {"conversations": F.col("text"), "documents": F.array(F.struct("source", "text")), "benchmark": F.create_map(F.lit("item"), F.array("text"))}
+    counts = []
+    for t, value in shapes.items():
+        rows = predicates.steering(spark.read.parquet(f"{sf_dir}/{t}.parquet").select(value.alias("value")), "value")
+        counts.append(rows.agg(F.lit(t).alias("source"), F.count("*").alias("scanned"), F.count_if("steers").alias("flagged")))
+    return reduce(DataFrame.union, counts)
 
 
 @query(f"select {_FCOLS} from fi", _FINDINGS)
@@ -711,6 +710,7 @@ def agg_prescan(spark, sf_dir):
 
 
 _CONTEXT = ", ".join(heuristics.CONTEXT)
+_STEERS = " or ".join(f"coalesce(regexp_matches({c}, {_lit(predicates.MARKERS)}), false)" for c in ("commandline", *heuristics.CONTEXT))
 _COMMANDS = _DECODED + f""", ct as (select commandline, decoded, layer, concat_ws(chr(10) || '# decoded:' || chr(10), commandline, decoded) as txt from (select distinct commandline from ev) q left join dc using (commandline)),
  ch as (select *, {_hit_sql('txt', 'false')} as hits, {_right_sql('txt')} as rt from ct),
  cx as (select ev.commandline, {", ".join("ev." + c for c in heuristics.CONTEXT)}, coalesce(max({_NUMBER.replace("else 3", "when 'LOW' then 3")}), 1) as n,
@@ -727,9 +727,9 @@ def _commands(spark, sf_dir):
     return heuristics.score_commands(rows, rules.evaluate(rows))
 
 
-@query(f"select commandline, {_CONTEXT}, decoded, layer, mr as matched_right, source, severity, heuristic, is_malicious, {_TECHS} as techniques, array_to_string(inds, '|') as indicators, confidence, abstained from sc", _FINDINGS + _COMMANDS)
+@query(f"select commandline, {_CONTEXT}, decoded, layer, mr as matched_right, source, severity, heuristic, is_malicious, {_TECHS} as techniques, array_to_string(inds, '|') as indicators, confidence, abstained, mr is null and ({_STEERS}) as degraded from sc", _FINDINGS + _COMMANDS)
 def score_commands(spark, sf_dir):
-    columns = ("decoded", "layer", "matched_right", "source", "severity", "heuristic", "is_malicious", "confidence", "abstained")
+    columns = ("decoded", "layer", "matched_right", "source", "severity", "heuristic", "is_malicious", "confidence", "abstained", "degraded")
     return _commands(spark, sf_dir).select("commandline", *heuristics.CONTEXT, *columns, _joined("techniques"), _joined("indicators", True))
 
 
