@@ -1,6 +1,6 @@
 """Encoded command lines: base64 arguments and blobs as text.
 
-Column expressions decode them; Python sees only commands with a gzip layer.
+Column expressions decode them; Python is given only blobs of commands with a gzip layer.
 """
 
 from __future__ import annotations
@@ -95,9 +95,10 @@ def _best(blob: Column) -> Column:
 def decode_commands(events: DataFrame, column: str = "commandline", most: int | None = None) -> DataFrame:
     """Distinct commands with the first text hidden in them, its layer, and the number of candidates."""
     distinct = events.select(F.col(column).alias("commandline")).where("commandline is not null").distinct().withColumn("_found", candidates(F.col("commandline"), most))
+    # no filter on candidates: it would move below the distinct and search every event's command
     packed = F.exists("_found", lambda b: b.rlike(PACKED))
     first = F.get(F.filter(F.transform("_found", _best), lambda d: d.isNotNull()), F.lit(0))
-    tried = F.size("_found").alias("candidates")
-    native = distinct.where(~packed).withColumn("_d", first).select("commandline", "_d.decoded", "_d.layer", tried)
-    some = distinct.where(packed).withColumn("_d", _decoded("_found"))
-    return native.unionByName(some.select("commandline", "_d.decoded", "_d.layer", tried))
+    unpacked = _decoded(F.when(packed, F.col("_found")).otherwise(F.array().cast("array<string>")))
+    both = distinct.withColumns({"_packed": packed, "_native": F.when(~packed, first), "_python": unpacked})
+    decoded = {c: F.when(F.col("_packed"), F.col(f"_python.{c}")).otherwise(F.col(f"_native.{c}")).alias(c) for c in ("decoded", "layer")}
+    return both.select("commandline", *decoded.values(), F.size("_found").alias("candidates"))
