@@ -623,8 +623,8 @@ def decode_hidden(spark, sf_dir):
     kind = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") != ""), "utf-16-le").otherwise("utf-8").alias("kind")
     rows = docs.select("text", kind).distinct()
     raw = F.when(F.col("kind") == "utf-8", F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
-    rows = rows.select("text", "kind", F.concat(F.lit("powershell -enc "), F.translate(F.base64(raw), "\r\n", "")).alias("commandline"))
-    found = decode.decode_commands(rows).join(rows, "commandline")
+    rows = rows.select("text", "kind", F.concat(F.lit("powershell -enc "), F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))).alias("commandline"))
+    found = decode.decoded(rows)  # distinct texts of a kind make distinct commands
     right = (F.col("decoded") == F.col("text")) & (F.col("layer") == F.col("kind"))
     return found.groupBy("kind").agg(
         F.count("*").alias("commands"), F.count_if(right).alias("decoded"), F.sum(F.when(right, F.length("text")).otherwise(0)).alias("chars"),
