@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from threatlake.functions.decode import decode_blob, decode_commands
+from threatlake.operators import verdicts
 
 
 def plan(frame):
@@ -22,3 +23,10 @@ def test_a_blob_is_decoded_once(spark):
     found = decode_commands(spark.createDataFrame([(f"x -enc {b}",) for b in blobs], "commandline string"))
     assert {r.commandline[7:]: (r.decoded, r.layer) if r.layer else None for r in found.collect()} == blobs
     assert sum(v is None for v in blobs.values()) > 5 and plan(found.select(F.length("decoded"))).count("unbase64(") == 1
+
+
+def test_a_verdict_is_parsed_once(spark):
+    rows = spark.range(3).selectExpr("""'{"severity": ' || id || ', "attack_stage": "Execution"}' as json""")
+    for found in (verdicts.validate(rows), verdicts.validate_session(rows)):
+        assert plan(found.drop("json").select("source", "valid", "errors")).count("parseJson(") <= 2
+    assert plan(verdicts.validate_session(rows)).count("parseJson(") == 1

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import once
+
 #: Fixed value: characters of an offending value that an error quotes.
 QUOTED = 40
 
@@ -71,9 +73,14 @@ def _part(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _fields(v: Column) -> Column:
+    """The fields of an object by name, null if the value is none; far cheaper than its schema."""
+    return _part(v, "$", "map<string, variant>")
+
+
 def _text(v: Column, longest: int) -> Column:
     """A value as text: texts as they are, numbers as written, booleans as words, the rest as JSON."""
-    plain = F.when(_kind(v) == "BOOLEAN", F.initcap(_part(v, "$", "string"))).when(_kind(v).rlike("^(ARRAY|OBJECT)"), F.to_json(v)).otherwise(_part(v, "$", "string"))
+    plain = once(_kind(v), lambda kind: F.when(kind == "BOOLEAN", F.initcap(_part(v, "$", "string"))).when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v)).otherwise(_part(v, "$", "string")))
     return F.substring(F.translate(plain, "\0", ""), 1, longest)
 
 
@@ -98,45 +105,66 @@ def _say(*parts: Column | str) -> Column:
     return F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
 
 
-def checked(f: Field, v: Column, path: Column) -> tuple[Column, Column]:
-    """(value, errors) of a field whose value is the variant v; v is not null."""
-    good: Column
+def _pair(value: Column, errors: Column) -> Column:
+    return F.struct(value.alias("value"), errors.alias("errors"))
+
+
+def checked(f: Field, v: Column, path: Column) -> Column:
+    """Struct (value, errors) of a field whose value is the variant v; v is not null. Whatever is
+    named more than once is worked out once."""
     if f.kind == "str":
-        text = _text(v, f.longest)
         if not f.pattern:
-            return text, no_errors()
-        return F.when(fits(f, text), text).otherwise(f.fallback()), F.when(fits(f, text), no_errors()).otherwise(_say(path, ": failed pattern"))
+            return _pair(_text(v, f.longest), no_errors())
+        return once(_text(v, f.longest), lambda text: _pair(F.when(fits(f, text), text).otherwise(f.fallback()), F.when(fits(f, text), no_errors()).otherwise(_say(path, ": failed pattern"))))
     if f.kind in ("int", "float"):
-        number = _number(v, f.kind == "int")
         wrong = _say(path, f": type coercion failed for '{f.kind}'")
-        return F.when(number.isNull(), f.fallback()).otherwise(_bounded(number, f).cast(f.type)), F.when(number.isNull(), wrong).otherwise(no_errors())
+        return once(_number(v, f.kind == "int"), lambda n: _pair(F.when(n.isNull(), f.fallback()).otherwise(_bounded(n, f).cast(f.type)), F.when(n.isNull(), wrong).otherwise(no_errors())))
     if f.kind == "bool":
-        return (_kind(v) == "BOOLEAN") & F.coalesce(_part(v, "$", "boolean"), F.lit(False)), no_errors()
+        return _pair((_kind(v) == "BOOLEAN") & F.coalesce(_part(v, "$", "boolean"), F.lit(False)), no_errors())
     if f.kind == "enum":
-        text = F.lower(_text(v, 128)) if f.lower else _text(v, 128)
-        good = text.isin(*f.values)
-        return F.when(good, text).otherwise(f.fallback()), F.when(good, no_errors()).otherwise(_say(path, ": '", F.substring(text, 1, QUOTED), "' not in enum"))
+
+        def chosen(text: Column) -> Column:
+            good = text.isin(*f.values)
+            return _pair(F.when(good, text).otherwise(f.fallback()), F.when(good, no_errors()).otherwise(_say(path, ": '", F.substring(text, 1, QUOTED), "' not in enum")))
+
+        def lowered(text: Column) -> Column:
+            return F.when(text.isin(*f.values), text).otherwise(F.lower(text))
+
+        return once(once(_text(v, 128), lowered) if f.lower else _text(v, 128), chosen)
     if f.kind == "dict":
-        good = _kind(v).startswith("OBJECT")
-        return F.when(good, compiled(f.fields, v, path)[0]).otherwise(f.fallback()), F.when(good, no_errors()).otherwise(_say(path, ": expected object"))
-    good = _kind(v).startswith("ARRAY")
-    not_list = _say(path, ": expected list")
-    items = F.slice(F.coalesce(_part(v, "$", "array<variant>"), F.array().cast("array<variant>")), 1, f.most)
+        wrong = _pair(f.fallback(), _say(path, ": expected object"))
+        return once(_fields(v), lambda m: F.when(m.isNotNull(), _pair(compiled(f.fields, m, path)["value"], no_errors())).otherwise(wrong))
+    wrong = _pair(f.fallback(), _say(path, ": expected list"))
     if f.kind == "list":
-        texts = F.transform(items, lambda x: F.coalesce(_text(x, f.longest), F.lit(f.null_item)))
-        bad = F.transform(F.filter(texts, lambda t: ~fits(f, t)), lambda t: F.concat(path, F.lit(": item failed pattern")))
-        return F.when(good, F.filter(texts, lambda t: fits(f, t))).otherwise(f.fallback()), F.when(good, bad).otherwise(not_list)
+
+        def texts(all_: Column) -> Column:
+            if not f.pattern:
+                return _pair(all_, no_errors())
+            bad = F.transform(F.filter(all_, lambda t: ~fits(f, t)), lambda t: F.concat(path, F.lit(": item failed pattern")))
+            return _pair(F.filter(all_, lambda t: fits(f, t)), bad)
+
+        def listed(items: Column) -> Column:
+            found = F.transform(F.slice(items, 1, f.most), lambda x: F.coalesce(_text(x, f.longest), F.lit(f.null_item)))
+            return F.when(items.isNotNull(), once(found, texts)).otherwise(wrong)
+
+        return once(_part(v, "$", "array<variant>"), listed)
 
     def one(x: Column, i: Column) -> Column:
         where = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        value, errors = compiled(f.fields, x, where)
-        is_object = _kind(x).startswith("OBJECT")
-        said = F.when(is_object, no_errors()).otherwise(_say(where, ": expected object"))
-        return F.struct(value.alias("value"), (is_object & (F.size(errors) == 0 if f.drop else F.lit(True))).alias("keep"), said.alias("errors"))
 
-    found = F.transform(items, one)
-    values = F.transform(F.filter(found, lambda x: x["keep"]), lambda x: x["value"])
-    return F.when(good, values).otherwise(f.fallback()), F.when(good, F.flatten(F.transform(found, lambda x: x["errors"]))).otherwise(not_list)
+        def judged(r: Column) -> Column:
+            return F.struct(r["value"].alias("value"), (F.size(r["errors"]) == 0 if f.drop else F.lit(True)).alias("keep"), no_errors().alias("errors"))
+
+        none = F.struct(defaults(f.fields).alias("value"), F.lit(False).alias("keep"), _say(where, ": expected object").alias("errors"))
+        return once(_fields(x), lambda m: F.when(m.isNotNull(), once(compiled(f.fields, m, where), judged)).otherwise(none))
+
+    def sorted_out(all_: Column) -> Column:
+        return _pair(F.transform(F.filter(all_, lambda x: x["keep"]), lambda x: x["value"]), F.flatten(F.transform(all_, lambda x: x["errors"])))
+
+    def each(items: Column) -> Column:
+        return F.when(items.isNotNull(), once(F.transform(F.slice(items, 1, f.most), one), sorted_out)).otherwise(wrong)
+
+    return once(_part(v, "$", "array<variant>"), each)
 
 
 def fits(f: Field, text: Column) -> Column:
@@ -148,30 +176,34 @@ def no_errors() -> Column:
     return F.array().cast("array<string>")
 
 
-def compiled(fields: tuple[Field, ...], v: Column, path: Column | None = None) -> tuple[Column, Column]:
-    """(struct of the fields, errors) of an object in the variant v. A missing or null field
-    takes its default; a required one is an error. Fields that are not declared are dropped."""
-    values, errors = [], []
-    for f in fields:
+def compiled(fields: tuple[Field, ...], given: Column, path: Column | None = None) -> Column:
+    """Struct (value: struct of the fields, errors) of an object given as a map of variants. A missing or
+    null field takes its default; a required one is an error. Fields that are not declared are
+    dropped."""
+
+    def field(f: Field) -> Column:
         at = F.concat(path, F.lit(f".{f.name}")) if path is not None else F.lit(f.name)
-        part = _part(v, f"$.{f.name}", "variant")
-        missing = part.isNull() | (_kind(part) == "VOID")
-        value, wrong = checked(f, part, at)
-        given = F.when(part.isNotNull() & (_kind(part) == "VOID"), F.lit(f.null).cast(f.type)) if f.null is not ... else None
-        values.append((given.when(missing, f.fallback()) if given is not None else F.when(missing, f.fallback())).otherwise(value).alias(f.name))
-        errors.append(F.when(missing, _say(at, ": missing required field") if f.default is ... else no_errors()).otherwise(wrong))
-    return F.struct(*values), F.concat(*errors)
+        missing = _pair(f.fallback(), _say(at, ": missing required field") if f.default is ... else no_errors())
+
+        def judged(part: Column) -> Column:
+            null = _pair(F.lit(f.null).cast(f.type), missing["errors"]) if f.null is not ... else missing
+            return F.when(part.isNull(), missing).when(F.is_variant_null(part), null).otherwise(checked(f, part, at))
+
+        return once(given[f.name], judged)
+
+    found = F.struct(*(field(f).alias(f.name) for f in fields))
+    return once(found, lambda r: _pair(F.struct(*(r[f.name]["value"].alias(f.name) for f in fields)), F.concat(*(r[f.name]["errors"] for f in fields))))
 
 
 def against(fields: tuple[Field, ...], text: Column) -> Column:
     """Struct (value, errors) of a JSON text. No JSON, or no object, gives the defaults and says so.
 
-    A text beyond what a variant holds (128 MB, or a single text of 20 million characters) is
-    no JSON here.
+    The text is parsed once. One beyond what a variant holds (128 MB, or a single text of 20
+    million characters) is no JSON here.
     """
-    v = F.try_parse_json(F.coalesce(text, F.lit("")))
-    value, errors = compiled(fields, v)
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    said = F.when(v.isNull(), _say("root: invalid JSON")).otherwise(_say("root: not an object"))
-    return F.struct(F.when(is_object, value).otherwise(defaults(fields)).alias("value"), F.when(is_object, errors).otherwise(said).alias("errors"))
 
+    def parsed(v: Column) -> Column:
+        said = F.when(v.isNull(), _say("root: invalid JSON")).otherwise(_say("root: not an object"))
+        return once(_fields(v), lambda m: F.when(m.isNotNull(), compiled(fields, m)).otherwise(_pair(defaults(fields), said)))
+
+    return once(F.try_parse_json(F.coalesce(text, F.lit(""))), parsed)
