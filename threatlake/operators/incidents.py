@@ -78,7 +78,8 @@ def advance(findings: DataFrame, nodes: DataFrame, spans: DataFrame, scratch: Sc
     two neighbouring spans do where the last time of one is near the first of the next. New
     findings can only add links, so their edges are contracted to the roots of the nodes they
     touch, components of these few roots are found, and only nodes of roots that gave way
-    change. What is returned are the rows to keep; changed() gives those that differ.
+    change. A new finding is a leaf: what it links is linked directly, so that the rounds see
+    users, processes and spans but no findings, and its root is that of the least of these. What is returned are the rows to keep; changed() gives those that differ.
     """
     host = F.coalesce("hostname", F.lit(""))
     micros, width = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
@@ -106,9 +107,14 @@ def advance(findings: DataFrame, nodes: DataFrame, spans: DataFrame, scratch: Sc
     contracted = edges
     for end in ("a", "b"):
         found = known.select(F.col("node").alias(end), F.col("root").alias("_r"))
-        contracted = contracted.join(found, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
-    moved = connected(contracted.select("a", "b"), scratch, "contracted").select(F.col("node").alias("_n"), F.col("root").alias("_to"))
-    fresh_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("root", F.col("node"))
+        contracted = contracted.join(found, end, "left").withColumn(f"_new_{end}", F.col("_r").isNull()).withColumn(end, F.coalesce("_r", end)).drop("_r")
+    contracted = scratch.keep(contracted.select("a", "b", (F.col("_new_a") & F.col("a").startswith("e\x01")).alias("leaf")), "links")
+    leaves = contracted.where("leaf and a <> b").select("a", "b", F.min("b").over(W.partitionBy("a")).alias("m"))
+    leaves = scratch.keep(leaves, "leaves")
+    links = leaves.select(F.col("m").alias("a"), "b").union(contracted.where("not leaf").select("a", "b"))
+    moved = connected(links, scratch, "contracted").select(F.col("node").alias("_n"), F.col("root").alias("_to"))
+    fresh_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+    fresh_nodes = fresh_nodes.join(leaves.select(F.col("a").alias("node"), "m").distinct(), "node", "left").select("node", F.coalesce("m", "node").alias("root"))
     every = nodes.select("node", "root").unionByName(fresh_nodes)
     out = every.join(moved, every["root"] == moved["_n"], "left").select("node", F.coalesce("_to", "root").alias("root"))
     return scratch.keep(out, "nodes"), spans
