@@ -48,3 +48,22 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert audit.audit(spark, docs, labels).count() == 0
+
+
+def test_one_join_serves_all_filters(spark, monkeypatch):
+    """The driver's memory follows the plans: a join per filter and set filled it on few rows."""
+    joins, sent = [], []
+    keep = audit.Scratch.keep
+
+    def counted(self, df, name):
+        run = df._jdf.queryExecution()
+        joins.append(run.optimizedPlan().toString().count("Join "))
+        if name.startswith(("survivors", "effects")):
+            sent.append("Broadcast" in run.sparkPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(audit.Scratch, "keep", counted)
+    docs = spark.createDataFrame([(1, "some text", "a")], "doc_id long, text string, source string")
+    audit.audit(spark, docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert sum(joins) > 0 and max(joins) <= 2 and sum(joins) <= 10, joins
+    assert sent and not any(sent)

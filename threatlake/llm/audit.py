@@ -1,10 +1,10 @@
 """How filters interact, by failing-id relations.
 
-Every filter leaves one table of the ids that fail it. The survivors of a set of filters are
-the survivors of a smaller set left-anti joined with one such table; what a filter removes
-after a set is a left-semi join of the set's survivors with its table, and what it would
-remove again is the left-anti join of its table with those survivors. Orders that begin
-with the same filters share these joins: five filters have 120 orders, but 32 sets.
+One table holds the ids that fail each filter. The survivors of a set of filters are the
+survivors of a smaller set left-anti joined with the ids of one more filter; what a filter
+removes after a set is a left-semi join of the set's survivors with its ids, and what it
+would remove again is the left-anti join of its ids with those survivors. Orders that begin
+with the same filters share these: five filters have 120 orders, but 32 sets.
 """
 
 from __future__ import annotations
@@ -66,35 +66,36 @@ def relations(scratch: Scratch, base: DataFrame, filters: str) -> tuple[DataFram
     """Counts by part of what survives each set of filters (_part, prefix, kept), and of what
     each filter does after each set (_part, prefix, step_filter and the four of EFFECTS).
 
-    base: _row, _part, _good, _toxic and one boolean column per filter. Sets of one size are
-    one table with the set in `prefix`, written before the next size reads it.
+    base: _row, _part, _good, _toxic and one boolean column per filter; filters: letters in
+    rising order. The filter is a column of the failing ids and the set one of the survivors,
+    so that one join serves all of them: a join per filter and set makes plans, generated code
+    and broadcasts that fill the driver, however few the rows. Ids are merged, not broadcast:
+    their files are many times smaller than what the driver would hold.
     """
-    fails = {f: scratch.keep(base.where(F.col(f)).select("_row", "_part"), f"fails-{f}") for f in filters}
-    survivors = base.select("_row", "_part", "_good", "_toxic", F.lit("").alias("prefix"))
-    kept, effects = [survivors.groupBy("_part", "prefix").agg(F.count("*").alias("kept"))], []
-    for k in range(len(filters)):
-        sets = list(map("".join, combinations(filters, k)))
-        cells, nexts = [], []
-        for f, failing in fails.items():
-            ids = failing.select("_row")
-            removed = survivors.where(~F.col("prefix").contains(f)).join(ids, "_row", "left_semi")
-            cells.append(removed.select("_part", "prefix", F.lit(f).alias("step_filter"), *marks(1, 0, F.col("_good").cast("int"), F.col("_toxic").cast("int"))))
-            if k:
-                after = F.explode(F.array(*(F.lit(s) for s in sets if f not in s))).alias("prefix")
-                again = failing.select("_row", "_part", after).join(survivors.select("_row", "prefix"), ["_row", "prefix"], "left_anti")
-                cells.append(again.select("_part", "prefix", F.lit(f).alias("step_filter"), *marks(0, 1, 0, 0)))
-            # each set is reached once, from the set without its last filter
-            before = survivors.where(F.substring("prefix", -1, 1) < f)
-            nexts.append(before.join(ids, "_row", "left_anti").withColumn("prefix", F.concat("prefix", F.lit(f))))
-        sums = reduce(DataFrame.unionByName, cells).groupBy("_part", "prefix", "step_filter").agg(*(F.sum(c).cast("long").alias(c) for c in EFFECTS))
-        effects.append(scratch.keep(sums, f"effects-{k}"))
-        then = scratch.keep(reduce(DataFrame.unionByName, nexts), f"survivors-{k + 1}")
-        if k:
-            scratch.drop(f"survivors-{k}")
-        survivors = then
-        kept.append(scratch.keep(survivors.groupBy("_part", "prefix").agg(F.count("*").alias("kept")), f"kept-{k + 1}"))
-    scratch.drop(f"survivors-{len(filters)}")
-    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, effects)
+    letters = F.array(*map(F.lit, filters))
+    sets = [s for k in range(1, len(filters)) for s in map("".join, combinations(filters, k))]
+    failed = F.explode(F.array_compact(F.array(*(F.when(F.col(f), f) for f in filters))))
+    failing = scratch.keep(base.select("_row", "_part", failed.alias("step_filter")), "failing")
+    ids = failing.select("_row", "step_filter").hint("merge")
+    names = [f"survivors-{k}" for k in range(len(filters) + 1)]
+    survivors = scratch.keep(base.select("_row", "_part", "_good", "_toxic", F.lit("").alias("prefix")), names[0])
+    for name in names[1:]:
+        # each set is reached once, from the set without its last filter
+        later = F.filter(letters, lambda f: f > F.substring("prefix", -1, 1))
+        passed = survivors.withColumn("step_filter", F.explode(later)).join(ids, ["_row", "step_filter"], "left_anti")
+        survivors = scratch.keep(passed.select("_row", "_part", "_good", "_toxic", F.concat("prefix", "step_filter").alias("prefix")), name)
+    survivors = scratch.spark.read.schema(survivors.schema).parquet(*(f"{scratch.base}/{name}" for name in names))
+    kept = scratch.keep(survivors.groupBy("_part", "prefix").agg(F.count("*").alias("kept")), "kept")
+    others = F.filter(letters, lambda f: ~F.col("prefix").contains(f))
+    removed = survivors.withColumn("step_filter", F.explode(others)).join(ids, ["_row", "step_filter"], "left_semi")
+    after = F.filter(F.array(*map(F.lit, sets)), lambda s: ~s.contains(F.col("step_filter")))
+    again = failing.withColumn("prefix", F.explode(after)).join(survivors.select("_row", "prefix").hint("merge"), ["_row", "prefix"], "left_anti")
+    cells = [
+        removed.select("_part", "prefix", "step_filter", *marks(1, 0, F.col("_good").cast("int"), F.col("_toxic").cast("int"))),
+        again.select("_part", "prefix", "step_filter", *marks(0, 1, 0, 0)),
+    ]
+    sums = reduce(DataFrame.unionByName, cells).groupBy("_part", "prefix", "step_filter").agg(*(F.sum(c).cast("long").alias(c) for c in EFFECTS))
+    return kept, scratch.keep(sums, "effects")
 
 
 def marks(*values: int | Column) -> list[Column]:
